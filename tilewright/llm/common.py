@@ -104,3 +104,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, so that tasks after the first reuse what was loaded."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_tilewright_worker_cache", types.ModuleType("_tilewright_worker_cache")).__dict__

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tilewright.llm.bpe import op8_bpe
 from tilewright.llm.jaccard import op3_jaccard
 
 OP3_SQL = r"""
@@ -26,5 +27,5 @@ cls AS (SELECT doc_id, CASE WHEN len(sh) = 0 THEN doc_id ELSE min(doc_id) OVER (
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, class_id, component_id FROM s JOIN low ON low.x = s.doc_id JOIN cls USING (doc_id)
 """
 
-QUERIES = {"op3_jaccard": op3_jaccard}
+QUERIES = {"op3_jaccard": op3_jaccard, "op8_bpe": op8_bpe}
 SQL = {"op3_jaccard": OP3_SQL}
