@@ -1,0 +1,306 @@
+"""Toxic spans by a linear-chain conditional random field.
+
+Tokens are words; each is inside a toxic span (state 1) or not (state 0). Documents carry labels, tokens don't: a word or
+a word's beginning is taken as a mark of toxicity where training documents with it are toxic far more often than others,
+and the tokens of toxic training documents are labelled by these marks. The field has weights for the word, its first
+letters, whether either neighbour is a mark, and the transitions; it is fitted on labelled stretches of tokens by
+gradient ascent on the exact conditional likelihood (forward-backward).
+
+A text is scored whole. Tokens without any weighted feature share one emission, so stretches of them are powers of one
+two-by-two matrix: forward and backward passes visit the informative tokens only and stay exact. Marginals give the
+offending offsets, and the probability that some token is toxic, the largest marginal and the expected number of toxic
+tokens give the document's score through a logistic function fitted on the training documents.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from dataclasses import dataclass, field
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.llm.common import keyed_texts, small_batches, table
+
+#: Bounds of the training sample: toxic documents, clean ones for each, and characters of a document that may be in it.
+SAMPLE, CLEAN_EACH, SAMPLE_CHARS = 1500, 3, 20_000
+#: Lengths of word beginnings that are features.
+STEMS = (4, 5, 6)
+#: Tokens around a mark that make a training stretch; stretches at most.
+AROUND, STRETCHES = 8, 6000
+_WORDS = re.compile(r"\w+")
+
+
+@dataclass
+class Tagger:
+    """The fitted field: weights of state 1 by feature, transitions, and the document's logistic function."""
+
+    words: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
+    bias: float = -4.0
+    moves: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
+    document: tuple[float, float, float, float] = (-3.0, 6.0, 0.0, 0.0)
+
+    def emission(self, word: str) -> float | None:
+        """Weight of state 1 over state 0 of a word; None without any feature (then it is the bias)."""
+        w, s = self.words.get(word), self.stems
+        hits = [s[p] for n in STEMS if len(word) >= n and (p := word[:n]) in s] if s else []
+        if w is None and not hits:
+            return None
+        return self.bias + (w or 0.0) + sum(hits)
+
+    def marginals(self, emissions: dict[int, float], n: int) -> tuple[np.ndarray, float, float]:
+        """(marginal of state 1 at each key of emissions in order, log P(no toxic token), expected toxic tokens)."""
+        move = np.exp(np.array(self.moves)).reshape(2, 2)
+        plain = move * np.array([1.0, np.exp(self.bias)])
+        at = sorted(emissions)
+        # between informative tokens stand powers of plain; each is scaled by its largest entry
+        values, vectors = np.linalg.eig(plain)
+        inverse = np.linalg.inv(vectors)
+
+        def power(k: int) -> tuple[np.ndarray, float]:
+            top = np.abs(values).max()
+            return (vectors * (values / top) ** k @ inverse).real, k * float(np.log(top))
+
+        steps, position = [], -1
+        for i in at:
+            steps.append((power(i - position - 1) if position >= 0 or i > 0 else (np.eye(2), 0.0), emissions[i], position < 0))
+            position = i
+        forward, scale, log_none = [], 0.0, 0.0
+        state = None
+        for (gap, log_gap), e, first in steps:
+            k = np.array([1.0, np.exp(e)])
+            if first:
+                lead = at[0]
+                if lead == 0:
+                    state = k.copy()
+                else:
+                    start = np.array([1.0, np.exp(self.bias)])
+                    gap, log_gap = power(lead - 1)
+                    state = (start @ gap @ move) * k
+                    scale += log_gap
+            else:
+                state = (state @ gap @ move) * k
+                scale += log_gap
+            total = state.sum()
+            scale += float(np.log(total))
+            state = state / total
+            forward.append(state)
+        tail = n - 1 - at[-1]
+        gap, log_gap = power(tail)
+        back = gap @ np.ones(2)
+        log_all = scale + log_gap + float(np.log(forward[-1] @ back))
+        backward = [back / back.sum()]
+        for (gap, _), e, first in reversed(steps[1:]):
+            back = gap @ move @ (np.array([1.0, np.exp(e)]) * backward[-1])
+            backward.append(back / back.sum())
+        backward.reverse()
+        both = np.array(forward) * np.array(backward)
+        p = both[:, 1] / both.sum(axis=1)
+        log_none = (n - 1) * float(np.log(move[0, 0])) - log_all
+        return p, min(0.0, log_none), float(p.sum())
+
+    def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """(score of the document, (start, end, marginal) of its informative tokens in code points of the lower-cased text)."""
+        words = _WORDS.findall(text.lower())
+        own, stems, out = self.words, self.stems, {}
+        found = [i for i, w in enumerate(words) if w in own or w[:4] in stems or w[:5] in stems or w[:6] in stems]
+        for i in found:
+            if (e := self.emission(words[i])) is not None:
+                out[i] = e
+        if not out:
+            return self.score(0.0, 0.0, 0.0), []
+        p, log_none, expected = self.marginals(out, len(words))
+        spans = [m.span() for i, m in enumerate(_WORDS.finditer(text.lower())) if i in out]
+        return self.score(float(-np.expm1(log_none)), float(p.max()), expected), [(a, b, float(x)) for (a, b), x in zip(spans, p, strict=True)]
+
+    def inputs(self, text: str) -> tuple[float, float, float]:
+        words = _WORDS.findall(text.lower())
+        out = {i: e for i, w in enumerate(words) if (e := self.emission(w)) is not None}
+        if not out:
+            return 0.0, 0.0, 0.0
+        p, log_none, expected = self.marginals(out, len(words))
+        return float(-np.expm1(log_none)), float(p.max()), expected
+
+    def score(self, some: float, most: float, expected: float) -> float:
+        c, a, b, d = self.document
+        return float(1 / (1 + np.exp(-(c + a * some + b * most + d * np.log1p(expected)))))
+
+
+def _marks(toxic: list[list[str]], clean: list[list[str]]) -> tuple[set[str], set[str]]:
+    """Words, and beginnings of words, that mark toxicity: seen in enough toxic documents, and there far more often."""
+
+    def pick(of):
+        t, c = Counter(), Counter()
+        for docs, to in ((toxic, t), (clean, c)):
+            for d in docs:
+                to.update(of(d))
+        share = len(toxic) / (len(toxic) + len(clean))
+        often = {k: n for k, n in t.items() if n >= 3}
+        # likelihood ratio against the same share everywhere, beyond what so many candidates reach by chance
+        least = 2 * np.log(max(50, len(often)))
+        out = {}
+        for k, n in often.items():
+            m = c[k]
+            a, b = (n + 0.5) / (len(toxic) + 1), (m + 0.5) / (len(clean) + 1)
+            g = 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0.0))
+            if a > 4 * b and g > least:
+                out[k] = n
+        return out
+
+    words = pick(set)
+    stems = pick(lambda d: {w[:n] for w in set(d) for n in STEMS if len(w) > n})
+    return set(words), {s for s, n in stems.items() if n >= 2 * max([words.get(s, 0), 1])}
+
+
+def _unlike(docs: list[list[str]]) -> list[list[str]]:
+    """The documents without those that share many word groups with one before: copies would make any word a mark."""
+    seen: set[int] = set()
+    out = []
+    for d in docs:
+        own = sorted({crc32(" ".join(d[i : i + 4]).encode()) for i in range(max(1, len(d) - 3))})[:24]
+        if 4 * sum(h in seen for h in own) < len(own):
+            out.append(d)
+        seen.update(own)
+    return out
+
+
+def _sequences(docs: list[list[str]], toxic: bool, marks: tuple[set[str], set[str]]) -> list[tuple[list[str], list[int]]]:
+    words, stems = marks
+    out = []
+    for d in docs:
+        is_mark = [w in words or any(w[:n] in stems for n in STEMS) for w in d]
+        centres = [i for i, m in enumerate(is_mark) if m][:6] or [len(d) // 2]
+        for i in centres if d else ():
+            a, b = max(0, i - AROUND), min(len(d), i + AROUND + 1)
+            out.append((d[a:b], [int(toxic and m) for m in is_mark[a:b]]))
+    return out
+
+
+def fit(rows: list[tuple[str, int]], rounds: int = 60) -> Tagger:
+    """The field for (text, label) rows. No rows, or rows of one label, give a tagger that scores all alike."""
+    seen, toxic, clean = set(), [], []
+    for text, label in rows:
+        if text not in seen:
+            seen.add(text)
+            (toxic if label else clean).append(_WORDS.findall(text.lower()))
+    tagger = Tagger()
+    if not toxic or not clean:
+        tagger.document = (-3.0 if not toxic else 3.0, 0.0, 0.0, 0.0)
+        return tagger
+    toxic, clean = _unlike(toxic), _unlike(clean)
+    marks = _marks(toxic, clean)
+    sequences = (_sequences(toxic, True, marks) + _sequences(clean, False, marks))[: 4 * STRETCHES]
+    if len(sequences) > STRETCHES:
+        sequences = sequences[:: -(-len(sequences) // STRETCHES)]
+    names = {("w", w): k for k, w in enumerate(sorted(marks[0]))}
+    names.update({("s", s): len(names) + k for k, s in enumerate(sorted(marks[1]))})
+    length = max(len(s) for s, _ in sequences)
+    width = 1 + len(STEMS)
+    none = len(names)
+    ids = np.full((len(sequences), length, width), none)
+    gold = np.zeros((len(sequences), length), dtype=np.int64)
+    there = np.zeros((len(sequences), length), dtype=bool)
+    for r, (words, labels) in enumerate(sequences):
+        for i, w in enumerate(words):
+            ids[r, i, 0] = names.get(("w", w), none)
+            for k, n in enumerate(STEMS):
+                if len(w) >= n:
+                    ids[r, i, 1 + k] = names.get(("s", w[:n]), none)
+        gold[r, : len(labels)] = labels
+        there[r, : len(words)] = True
+    weights, bias, moves = np.zeros(none + 1), -2.0, np.zeros((2, 2))
+    moment = [np.zeros_like(weights), 0.0, np.zeros_like(moves)]
+    size = np.arange(len(sequences))
+    last = there.sum(axis=1) - 1
+    for _ in range(rounds):
+        emit = np.zeros((len(sequences), length, 2))
+        emit[..., 1] = weights[ids].sum(axis=2) + bias
+        # forward and backward in log space over all stretches side by side
+        fwd = np.empty_like(emit)
+        fwd[:, 0] = emit[:, 0]
+        for i in range(1, length):
+            fwd[:, i] = np.logaddexp(fwd[:, i - 1, 0, None] + moves[0], fwd[:, i - 1, 1, None] + moves[1]) + emit[:, i]
+        back = np.zeros_like(emit)
+        for i in range(length - 2, -1, -1):
+            x = emit[:, i + 1] + back[:, i + 1]
+            new = np.logaddexp(moves[None, :, 0] + x[:, 0, None], moves[None, :, 1] + x[:, 1, None])
+            back[:, i] = np.where((i + 1 <= last)[:, None], new, 0.0)
+        whole = np.logaddexp(fwd[size, last, 0], fwd[size, last, 1])
+        p = np.exp(fwd[..., 1] + back[..., 1] - whole[:, None]) * there
+        miss = (gold - p) * there
+        g_w = np.bincount(ids.ravel(), weights=np.repeat(miss.ravel(), width), minlength=none + 1)
+        g_w[none] = 0
+        g_m = np.zeros((2, 2))
+        pair = there[:, 1:]
+        for a in (0, 1):
+            for b in (0, 1):
+                q = np.exp(fwd[:, :-1, a] + moves[a, b] + emit[:, 1:, b] + back[:, 1:, b] - whole[:, None])
+                g_m[a, b] = (((gold[:, :-1] == a) & (gold[:, 1:] == b) & pair).sum() - (q * pair).sum())
+        grads = (g_w - 0.05 * weights, miss.sum() - 0.05 * bias, g_m - 0.5 * moves)
+        steps = []
+        for k, g in enumerate(grads):
+            moment[k] = moment[k] + g * g
+            steps.append(0.5 * g / (np.sqrt(moment[k]) + 1e-8))
+        weights, bias, moves = weights + steps[0], bias + steps[1], moves + steps[2]
+        moves -= moves[0, 0]
+    tagger.words = {k: float(weights[i]) for (kind, k), i in names.items() if kind == "w" and abs(weights[i]) > 1e-3}
+    tagger.stems = {k: float(weights[i]) for (kind, k), i in names.items() if kind == "s" and abs(weights[i]) > 1e-3}
+    tagger.bias, tagger.moves = float(bias), tuple(float(x) for x in moves.ravel())
+    x = np.array([[1.0, s, m, np.log1p(e)] for text, _ in rows for s, m, e in [tagger.inputs(text)]])
+    y = np.array([label for _, label in rows], dtype=np.float64)
+    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    theta = np.zeros(4)
+    for _ in range(25):  # Newton steps of a logistic regression with a small penalty
+        p = 1 / (1 + np.exp(-x @ theta))
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(4)
+        theta = theta + np.linalg.solve(h, x.T @ (share * (y - p)) - 0.5 * theta)
+    tagger.document = tuple(float(t) for t in theta)
+    return tagger
+
+
+def held_out(key: str = "doc_id"):
+    """Whether the label of a document may not be learned from: crc32 of its id as text leaves 0 by 5."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """A bounded sample of labelled documents that aren't held out: at most sample of label 1 and
+    CLEAN_EACH times as many of label 0, the first by a hash of the id, of at most chars characters each. Labels are picked before texts are read."""
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out())
+    picked = None
+    for value in (1, 0):
+        part = known.where(F.col("label") == value).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample if value else CLEAN_EACH * sample)
+        picked = part if picked is None else picked.unionByName(part)
+    # at most four times sample rows of a number each
+    texts = keyed_texts(documents).where(F.length("text") <= chars).join(F.broadcast(picked), "doc_id")
+    return sorted((r["text"], int(r["label"])) for r in texts.select("text", "label").collect())
+
+
+def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score, predicted, spans) of every row; spans: (start, end, marginal) of tokens more likely
+    toxic than not, in code points of the lower-cased text.
+
+    A null text is empty and scores as a text without toxic words. Null ids count as not held out and are never
+    trained on; repeated rows keep their number; other columns are ignored. Without labels all score alike.
+    """
+    small_batches(documents.sparkSession)
+    tagger = fit(training_rows(documents, labels, sample=sample))
+
+    def run(batches):
+        for batch in batches:
+            out = [tagger.tag(t) for t in batch.column("text").to_pylist()]
+            scores = pa.array([s for s, _ in out], pa.float64())
+            spans = pa.array([[{"start": a, "end": b, "marginal": p} for a, b, p in x if p >= 0.5] for _, x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores, spans], names=["doc_id", "score", "spans"])
+
+    scored = keyed_texts(documents).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

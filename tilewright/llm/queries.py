@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tilewright.llm.bpe import op8_bpe
+from tilewright.llm.crf import op1_toxicity
+from tilewright.llm.fingerprint import op2_fingerprint
 from tilewright.llm.jaccard import op3_jaccard
 from tilewright.llm.license import op4_license
 from tilewright.llm.media import op9_media
@@ -31,5 +33,5 @@ cls AS (SELECT doc_id, CASE WHEN len(sh) = 0 THEN doc_id ELSE min(doc_id) OVER (
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, class_id, component_id FROM s JOIN low ON low.x = s.doc_id JOIN cls USING (doc_id)
 """
 
-QUERIES = {"op3_jaccard": op3_jaccard, "op4_license": op4_license, "op5_mixture": op5_mixture, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_fingerprint": op2_fingerprint, "op3_jaccard": op3_jaccard, "op4_license": op4_license, "op5_mixture": op5_mixture, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc}
 SQL = {"op3_jaccard": OP3_SQL, "op5_mixture": OP5_SQL, "op10_warc": OP10_SQL}
