@@ -112,3 +112,27 @@ def worker_cache() -> dict:
     import types
 
     return sys.modules.setdefault("_tilewright_worker_cache", types.ModuleType("_tilewright_worker_cache")).__dict__
+
+
+def beside(documents: DataFrame, fields: str, make) -> DataFrame:
+    """(row, fields): each row whole, as a struct that keeps its names apart, beside what make(texts) returns for it.
+
+    make takes the texts of a batch (str, null as empty) and returns one list for each field. One pass, no exchange.
+    """
+    from pyspark.sql.types import StructField, StructType
+
+    text = next(i for i, f in enumerate(documents.schema.fields) if f.name.lower() == "text")
+    made = StructType.fromDDL(fields)
+    schema = StructType([StructField("row", documents.schema), *made.fields])
+    small_batches(documents.sparkSession)
+    names = schema.names
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in batches:
+            row = batch.column("row")
+            texts = [x or "" for x in row.field(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([row, *(pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(make(texts), made.fields, strict=True))], names=names)
+
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")).mapInArrow(run, schema)

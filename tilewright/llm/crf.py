@@ -20,11 +20,10 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import keyed_texts, small_batches, table
+from tilewright.llm.common import beside, keyed_texts, table
 
 #: Bounds of the training sample: toxic documents, clean ones for each, and characters of a document that may be in it.
 SAMPLE, CLEAN_EACH, SAMPLE_CHARS = 1500, 3, 20_000
@@ -281,26 +280,23 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic",
     return sorted((r["text"], int(r["label"])) for r in texts.select("text", "label").collect())
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted, spans) of every row; spans: (start, end, marginal) of tokens more likely
-    toxic than not, in code points of the lower-cased text.
+def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted, spans) of every row, and with keep row, the whole row as a struct. spans:
+    (start, end, marginal) of tokens more likely toxic than not, in code points of the lower-cased text.
 
     A null text is empty and scores as a text without toxic words. Null ids count as not held out and are never
     trained on; repeated rows keep their number; other columns are ignored. Without labels all score alike.
     """
-    small_batches(documents.sparkSession)
     tagger = fit(training_rows(documents, labels, sample=sample))
 
-    def run(batches):
-        for batch in batches:
-            out = [tagger.tag(t) for t in batch.column("text").to_pylist()]
-            scores = pa.array([s for s, _ in out], pa.float64())
-            spans = pa.array([[{"start": a, "end": b, "marginal": p} for a, b, p in x if p >= 0.5] for _, x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores, spans], names=["doc_id", "score", "spans"])
+    def tag(texts):
+        out = [tagger.tag(t) for t in texts]
+        return [s for s, _ in out], [[{"start": a, "end": b, "marginal": p} for a, b, p in x if p >= 0.5] for _, x in out]
 
-    scored = keyed_texts(documents).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+    scored = beside(documents, "score double, spans array<struct<start:int,end:int,marginal:double>>", tag)
+    scored = scored.withColumn("doc_id", F.col("row")[documents.select(documents["doc_id"]).columns[0]].cast("long"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans", *["row"] * keep)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))

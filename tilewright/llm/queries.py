@@ -9,6 +9,8 @@ from tilewright.llm.jaccard import op3_jaccard
 from tilewright.llm.license import op4_license
 from tilewright.llm.media import op9_media
 from tilewright.llm.mixture import OP5_SQL, op5_mixture
+from tilewright.llm.quality import op6_quality
+from tilewright.llm.chat import op7_chat
 from tilewright.llm.warc import OP10_SQL, op10_warc
 
 OP3_SQL = r"""
@@ -33,5 +35,5 @@ cls AS (SELECT doc_id, CASE WHEN len(sh) = 0 THEN doc_id ELSE min(doc_id) OVER (
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, class_id, component_id FROM s JOIN low ON low.x = s.doc_id JOIN cls USING (doc_id)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_fingerprint": op2_fingerprint, "op3_jaccard": op3_jaccard, "op4_license": op4_license, "op5_mixture": op5_mixture, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_fingerprint": op2_fingerprint, "op3_jaccard": op3_jaccard, "op4_license": op4_license, "op5_mixture": op5_mixture, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc}
 SQL = {"op3_jaccard": OP3_SQL, "op5_mixture": OP5_SQL, "op10_warc": OP10_SQL}
