@@ -2,27 +2,28 @@
 
 A document is the set of its distinct word shingles. Two documents link when 100 * |A & B| >= 75 * |A | B|.
 
-Tokens (shingles) have one global order: rare ones first, by hash, then frequent ones. Frequent tokens form
-classes 2 and 3 by how often they occur; each class is dealt by hash into groups. Rare tokens of a prefix are indexed
-alone, tokens of a class k group in combinations of k. A prefix is extended until
-
-    (rare tokens) + sum over groups of max(0, tokens of the group in the prefix - (k - 1))  >=  |x| - o + 1
-
-with o = ceil(0.75 |x|), the least overlap of any link of x. Of the two prefixes of a linked pair, take the one that
-ends first in the global order: at most |x| - o of its tokens are missing in the partner, so either a rare token or,
-in some group of class k, k tokens are in both prefixes. So every link shares an indexed key.
-
-Groups are as many as an eighth of a document's size, so that combinations stay in proportion to it. Linked documents
-differ in size by at most 4/3; each document therefore emits its combinations for two overlapping ranges of sizes,
-and the number of groups belongs to the range.
-
-How often a token occurs is counted over all documents in one table of fixed size (one counter per hash slot); the
-class is a function of that counter, so slots that tokens share cost some order, never a link. That table of classes is
-all that is broadcast: one byte a slot.
-
-Key lists yield star edges (each member to the smallest), never pairs. Their connected components hold every link;
-exact copies (equal sets) are reduced to one representative first. Components are verified with whole sets, large ones
-in blocks that meet two by two. Verified links then give the final components.
+1. Extended prefixes. Tokens (shingles) are ordered by hash. The prefix of a set x has |x| - o + |x| / 4 tokens, with
+   o = ceil(0.75 |x|) the least overlap of any link of x. Of two linked sets take the one
+   whose prefix ends first: at most |x| - o of its tokens are missing in the partner, so both prefixes hold
+   k common tokens at least (see prefix_of).
+2. Token frequencies. Occurrences in prefixes are counted exactly over all documents (each task sends a token once,
+   with its count), and the counts of tokens with more than one go back to the documents, whose tokens meet the counts
+   bucket by bucket as a stream. A document with fewer than k such tokens has no link and ends here.
+3. Token combinations. The h tokens left are ordered by frequency. Of k common ones, one at least is among the first
+   h - k + 1. Rare tokens are indexed alone. Frequent ones form classes 2 and 3, whose tokens are indexed in
+   combinations of 2 and 3; each class is dealt by hash into groups, and the first tokens are extended until
+
+       (rare tokens) + sum over groups of max(0, tokens of the group - (class - 1))  >=  h - k + 1
+
+   so that a linked pair shares a rare token, or as many tokens of some group as its class combines. Groups are in
+   proportion to a document's size, which keeps combinations in proportion to it too; linked sizes differ by 4/3 at
+   most, so each document emits combinations for two overlapping ranges of sizes, and groups belong to the range.
+4. Verification. Documents that share a key form a star around the smallest, never pairs; stars are first drawn within
+   a task and one document a key goes on. Connected components of stars hold every link; exact copies (equal sets) are
+   one node. Components are verified with whole sets, large ones in blocks that meet two by two, and verified links
+   give the final components.
+
+Nothing but a fixed-size filter is broadcast; it only spares documents without candidates the way.
 """
 
 from __future__ import annotations
@@ -40,10 +41,10 @@ from tilewright.llm.common import batches_by_key, components, keyed_texts, parti
 from tilewright.llm.shingles import mix, shingle_sets, slices
 
 WIDTH = 5
-#: Counters of the table of frequencies, and its parts on the way.
-SLOTS, PARTS = 1 << 22, 16
-#: Occurrences from which a token is frequent at least; more if counters are fuller on average.
-FREQUENT, VERY = 48, 32
+#: Occurrences from which a token is of class 2 and of class 3.
+FREQUENT, VERY = 64, 4096
+#: Parts of the filter on the way to the driver; salts that spread a frequent token's documents.
+PARTS, SALTS = 16, 4
 #: Documents of a block of the verification.
 BLOCK = 1024
 #: Bits of the filter that keeps documents without a candidate from moving; it never decides a link.
@@ -72,141 +73,239 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def token_classes(docs: DataFrame, width: int = WIDTH, slots: int = SLOTS) -> tuple[np.ndarray, int]:
-    """The class (1 to 3) of each hash slot, and the number of tokens. Counts all documents; slots bytes come to the driver."""
-
-    def count(batches):
-        total = np.zeros(slots, dtype=np.uint32)
-        for batch in batches:
-            held = [x for _, x in _sets(batch, width)]
-            if held:
-                total += np.bincount((np.concatenate(held) & _U(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint32)
-        for k, part in enumerate(np.split(total, PARTS)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "counts"])
-
-    def add(batches):
-        for group in batches_by_key(batches, "part"):
-            total = np.zeros(slots // PARTS, dtype=np.uint64)
-            for x in group.column("counts").to_pylist():
-                total += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
-            yield pa.RecordBatch.from_arrays([group.column("part").combine_chunks().slice(0, 1), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "counts"])
-
-    parts = docs.mapInArrow(count, "part int, counts binary").repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(add, "part int, counts binary")
-    total = np.zeros(slots, dtype=np.uint64)
-    for k, x in parts.collect():
-        total[k * (slots // PARTS) : (k + 1) * (slots // PARTS)] = np.frombuffer(zlib.decompress(x), dtype=np.uint64)
-    n = int(total.sum())
-    frequent = max(FREQUENT, 4 * n // slots)
-    return (1 + (total >= frequent).astype(np.uint8) + (total >= frequent * VERY).astype(np.uint8)), n
-
-
 def ranges_of(n: int) -> list[int]:
     """The two ranges of sizes that a set of n tokens belongs to; sets whose sizes differ by 4/3 at most share one."""
     at = int(np.floor(np.log(n) / np.log(4 / 3) + 1e-9))
     return [at - 1, at]
 
 
-def keys_of(x: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The keys that index a set: single rare tokens and combinations of frequent ones."""
-    n = len(x)
-    if n < 2:  # links of a single token are equal sets
-        return x[:0]
-    need = n + (-75 * n // 100) + 1  # n - ceil(0.75 n) + 1
-    kind = classes[(x & _U(len(classes) - 1)).astype(np.int64)]
-    rare = x[kind == 1]
+def prefix_of(n: int) -> tuple[int, int]:
+    """(length of the extended prefix, common tokens k that links have in it) of a set of n tokens.
+
+    A set's own prefix has a quarter of its tokens more than links can miss. k must hold for both of two linked sets, so
+    it is a quarter of the least partner's size, less one in case two tokens of a set fall together in 48 bits.
+    """
+    o = -(-75 * n // 100)
+    return min(n, n - o + -(-n // 4)), max(1, (3 * n // 4) // 4 - 1)
+
+
+def keys_of(n: int, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys that index a set of n tokens, from those of its prefix that others have too."""
+    k = prefix_of(n)[1]
+    need = len(tokens) - k + 1
+    if need < 1:
+        return tokens[:0]
+    order = np.lexsort((tokens, counts))
+    tokens, counts = tokens[order], counts[order]
+    rare = tokens[counts < FREQUENT]
     if len(rare) >= need:
-        return rare[:need]  # sorted by hash already
-    often = [(k, int(h)) for k in (2, 3) for h in x[kind == k].tolist()]
+        return rare[:need]
+    often = [(2 + (c >= VERY), h) for h, c in zip(tokens[len(rare) :].tolist(), counts[len(rare) :].tolist(), strict=True)]
     out = set()
     for r in ranges_of(n):
         least = (4 / 3) ** r
-        groups = max(1, int(least / 8))
+        groups = max(1, int(least / 32))
+        most = min(3, prefix_of(int(np.ceil(least - 1e-6)))[1])  # the smallest set of the range must afford its classes
         have, dealt = len(rare), {}
-        for k, h in often:
-            k = k if least >= 8 else 2
-            own = dealt.setdefault((k, (h >> 24) % groups), [])
-            if len(own) >= k - 1:
+        for c, h in often:
+            c = min(c, most if least >= 64 else min(2, most))
+            own = dealt.setdefault((c, (h >> 8) % groups), [])
+            if len(own) >= c - 1:
                 have += 1
-                for c in combinations(own, k - 1):
-                    out.add(hash((r + 1000, k, *c, h)))
+                for others in combinations(own, c - 1):
+                    out.add(hash((r + 1000, c, *others, h)))
             own.append(h)
             if have >= need:
                 break
-    more = mix(np.array([h & 0xFFFFFFFFFFFFFFFF for h in out], dtype=_U)) if out else x[:0]
-    return np.concatenate([rare, more])
+        if have < need:
+            raise AssertionError("a prefix of combinations must reach every link")
+    return np.concatenate([rare, mix(np.array([h & 0xFFFFFFFFFFFFFFFF for h in out], dtype=_U))])
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Arrays of one length in one value; sorted ones lose most of their bytes."""
+    return len(columns[0]).to_bytes(4, "little") + zlib.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), 1)
+
 
+def _unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
+    n, at, raw, out = int.from_bytes(value[:4], "little"), 0, zlib.decompress(value[4:]), []
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
 
-def candidate_edges(docs: DataFrame, classes: np.ndarray, tokens: int, width: int = WIDTH) -> DataFrame:
-    """Star edges (a, b) of documents that share a key and are of like size."""
+
+def _by_bucket(keys: np.ndarray, buckets: int):
+    """(bucket, positions of its keys, sorted by key)."""
+    bucket = keys & _U(buckets - 1)
+    order = np.lexsort((keys, bucket))
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=_U))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        yield b, order[cut[b] : cut[b + 1]]
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+def shared_tokens(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n, hits): for each document and bucket the tokens of its prefix that others have too, with counts."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(zlib.compress(classes.tobytes(), 1))
     parts = partitions(spark)
-    buckets = 1 << max(6, int(np.ceil(np.log2(max(1, tokens / 4 / 250_000)))))
+    names, kinds, schema = ["bucket", "salt", "kind", "value"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()], "bucket int, salt int, kind int, value binary"
 
-    def index(batches):
-        known = np.frombuffer(zlib.decompress(shared.value), dtype=np.uint8)
-        held, weight = [], 0
+    def held(batches):
+        """Prefixes by about two million tokens, 48 bits each: (id, size, tokens)."""
+        own, weight = [], 0
+        for batch in batches:
+            for i, x in _sets(batch, width):
+                if len(x) > 1:
+                    short = x >> _U(16)
+                    short = short[np.concatenate([[True], short[1:] != short[:-1]])]
+                    own.append((i, len(x), short[: prefix_of(len(x))[0]]))
+                    weight += len(own[-1][2])
+                if weight > 2_000_000:
+                    yield own
+                    own, weight = [], 0
+        if own:
+            yield own
 
-        def flush():
-            sizes = [len(k) for _, _, k in held]
-            keys = np.concatenate([k for _, _, k in held])
-            ids = np.repeat(np.array([i for i, _, _ in held], dtype=np.int64), sizes)
-            ns = np.repeat(np.array([n for _, n, _ in held], dtype=np.uint32), sizes)
-            bucket = (keys >> _U(8)) & _U(buckets - 1)
-            order = np.argsort(bucket, kind="stable")
-            keys, ids, ns, bucket = keys[order], ids[order], ns[order], bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=_U))
+    def count(batches):
+        for own in held(batches):
+            tokens, counts = np.unique(np.concatenate([x for _, _, x in own]), return_counts=True)
+            yield _batch([(b, 0, 0, _pack(np.diff(tokens[at], prepend=_U(0)), counts[at].astype(np.uint32))) for b, at in _by_bucket(tokens, buckets)], names, kinds)
+
+    def total(batches):
+        for group in batches_by_key(batches, "bucket"):
+            got = [_unpack(v, "<u8", "<u4") for v in group.column("value").to_pylist()]
+            tokens, counts = np.concatenate([np.cumsum(t, dtype=_U) for t, _ in got]), np.concatenate([c for _, c in got])
+            order = np.argsort(tokens, kind="stable")
+            tokens, counts = tokens[order], counts[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else order
+            sums = np.add.reduceat(counts, first)
+            tokens, sums = tokens[first][sums > 1], np.minimum(sums[sums > 1], VERY)
+            b = group.column("bucket")[0].as_py()
+            yield _batch([(b, k, 0, _pack(np.diff(tokens, prepend=_U(0)), sums.astype(np.uint16))) for k in range(SALTS)], names, kinds)
+
+    def entries(batches):
+        for turn, own in enumerate(held(batches)):
+            tokens = np.concatenate([x for _, _, x in own])
+            which = np.repeat(np.arange(len(own), dtype=np.uint32), [len(x) for _, _, x in own])
+            ids, sizes = np.array([i for i, _, _ in own], dtype=np.int64), np.array([n for _, n, _ in own], dtype=np.uint32)
             rows = []
-            for b in np.flatnonzero(np.diff(cut)).tolist():
-                s = slice(cut[b], cut[b + 1])
-                own = np.concatenate([ids[s][:1], np.diff(ids[s])])
-                rows.append((b, (keys[s] >> _U(16)).astype(_U).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + zlib.compress(own.tobytes() + ns[s].tobytes(), 1), s.stop - s.start))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], names=["bucket", "entries", "n"])
+            for b, at in _by_bucket(tokens, buckets):
+                docs_at = np.unique(which[at])
+                value = _pack(np.diff(tokens[at], prepend=_U(0)), np.searchsorted(docs_at, which[at]).astype(np.uint32))
+                rows.append((b, int(ids[0] + turn) % SALTS, 1, len(value).to_bytes(4, "little") + value + _pack(ids[docs_at], sizes[docs_at])))
+            yield _batch(rows, names, kinds)
+
+    def hits(batches):
+        known, tokens, counts = None, None, None
+        for batch in batches:
+            rows = []
+            for b, salt, kind, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    known, (tokens, counts) = (b, salt), _unpack(value, "<u8", "<u2")
+                    tokens = np.cumsum(tokens, dtype=_U)
+                elif known == (b, salt) and len(tokens):
+                    size = int.from_bytes(value[:4], "little")
+                    own, which = _unpack(value[4 : 4 + size], "<u8", "<u4")
+                    ids, sizes = _unpack(value[4 + size :], "<i8", "<u4")
+                    own = np.cumsum(own, dtype=_U)
+                    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                    there = np.flatnonzero(tokens[at] == own)
+                    there = there[np.argsort(which[there], kind="stable")]
+                    doc = which[there]
+                    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else doc
+                    for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True) if len(doc) else ():
+                        own_at = there[s:e]
+                        rows.append((int(ids[doc[s]]), int(sizes[doc[s]]), own[own_at].tobytes() + counts[at[own_at]].tobytes()))
+            yield _batch(rows, ["doc_id", "n", "hits"], [pa.int64(), pa.int64(), pa.binary()])
+
+    totals = docs.mapInArrow(count, schema).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(total, schema)
+    return docs.mapInArrow(entries, schema).unionByName(totals).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind").mapInArrow(hits, "doc_id long, n long, hits binary")
+
+
+def candidate_edges(docs: DataFrame, tokens: int, width: int = WIDTH) -> DataFrame:
+    """Edges (a, b) of stars of documents that share a key. tokens: the sum of all set sizes, for the number of buckets."""
+    spark = docs.sparkSession
+    parts = partitions(spark)
+    buckets = 1 << max(3, int(np.ceil(np.log2(max(1, tokens / 2 / 2_000_000)))))
+
+    def star(keys, ids):
+        """(edges, first document of each key)."""
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        low = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+        off = ids != low
+        return np.unique(np.stack([low[off], ids[off]], axis=1), axis=0), keys[new], ids[new]
+
+    def keyed(batches):
+        keys, ids, weight = [], [], 0
 
+        def flush():
+            edges, k, i = star(np.concatenate(keys), np.concatenate(ids))
+            rows = [(-1, *e, None) for e in edges.tolist()]
+            rows += [(b, None, None, _pack(np.diff(k[at], prepend=_U(0)), i[at])) for b, at in _by_bucket(k, buckets)]
+            keys.clear(), ids.clear()
+            return _batch(rows, ["bucket", "a", "b", "value"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()])
+
+        def close(doc, n, got):
+            x = np.concatenate([np.frombuffer(v, dtype="<u8", count=len(v) // 10) for v in got])
+            c = np.concatenate([np.frombuffer(v, dtype="<u2", offset=len(v) // 10 * 8) for v in got])
+            x, at = np.unique(x, return_index=True)  # a repeated row has its tokens twice
+            k = keys_of(n, x, c[at].astype(np.int64))
+            if len(k):
+                keys.append(k)
+                ids.append(np.full(len(k), doc, dtype=np.int64))
+            return len(k)
+
+        last, got = None, []
         for batch in batches:
-            for i, x in _sets(batch, width):
-                k = keys_of(x, known)
-                if len(k):
-                    held.append((i, len(x), k))
-                    weight += len(k)
-                if weight > 2_000_000:
-                    yield flush()
-                    weight = 0
-        if held:
+            for doc, n, hit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last and last != (doc, n):
+                    weight += close(*last, got)
+                    got = []
+                    if weight > 1_000_000:
+                        yield flush()
+                        weight = 0
+                last = (doc, n)
+                got.append(hit)
+        if last:
+            close(*last, got)
+        if keys:
             yield flush()
 
     def lists(batches):
-        for group in batches_by_key(batches, "bucket"):
-            keys, ids, ns = [], [], []
-            for x, n in zip(group.column("entries").to_pylist(), group.column("n").to_pylist(), strict=True):
-                six = np.zeros((n, 8), dtype=np.uint8)
-                six[:, :6] = np.frombuffer(x, dtype=np.uint8, count=6 * n).reshape(n, 6)
-                keys.append(six.view(_U).ravel())
-                rest = zlib.decompress(x[6 * n :])
-                ids.append(np.cumsum(np.frombuffer(rest, dtype=np.int64, count=n)))
-                ns.append(np.frombuffer(rest, dtype=np.uint32, offset=8 * n))
-            keys, ids, ns = np.concatenate(keys), np.concatenate(ids), np.concatenate(ns).astype(np.int64)
-            by_key = np.sort(keys)
-            twice = by_key[1:][by_key[1:] == by_key[:-1]]
-            if not len(twice):
-                continue
-            keep = np.isin(keys, twice)
-            keys, ids, ns = keys[keep], ids[keep], ns[keep]
-            order = np.lexsort((ids, ns, keys))
-            keys, ids, ns = keys[order], ids[order], ns[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (3 * ns[1:] > 4 * ns[:-1])])
-            star = np.cumsum(new) - 1
-            low = np.full(star[-1] + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, star, ids)
-            a, b = low[star], ids
-            e = np.unique(np.stack([a[a != b], b[a != b]], axis=1), axis=0)
-            if len(e):
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
-
-    entries = docs.mapInArrow(index, "bucket int, entries binary, n int")
-    return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lists, "a long, b long").distinct()
+        keys, ids, at = [], [], None
+
+        def flush():
+            edges, _, _ = star(np.concatenate(keys), np.concatenate(ids))
+            keys.clear(), ids.clear()
+            return _batch(edges.tolist(), ["a", "b"], [pa.int64(), pa.int64()])
+
+        for batch in batches:
+            ready = []
+            for b, x, y, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b < 0:
+                    ready.append((x, y))
+                    continue
+                if b != at and keys:
+                    yield flush()
+                at = b
+                k, i = _unpack(value, "<u8", "<i8")
+                keys.append(np.cumsum(k, dtype=_U))
+                ids.append(i)
+            if ready:
+                yield _batch(ready, ["a", "b"], [pa.int64(), pa.int64()])
+        if keys:
+            yield flush()
+
+    found = shared_tokens(docs, buckets, width).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "n").mapInArrow(keyed, "bucket int, a long, b long, value binary")
+    spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("a", "b"))
+    return found.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(lists, "a long, b long").distinct()
 
 
 def links_within(ids: list[int], sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple[int, int]]:
@@ -339,8 +438,8 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     full = digests.where("n_shingles > 0 AND doc_id IS NOT NULL")
     low = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classed = stored(full.join(low, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "class_id"))
-    classes, tokens = token_classes(known, width)
-    edges = candidate_edges(known, classes, tokens, width)
+    tokens = digests.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    edges = candidate_edges(known, tokens, width)
     # exact copies are one node from here on
     copies = classed.where("doc_id <> class_id").select("doc_id", "class_id")
     as_class = lambda e, c: e.join(copies.select(F.col("doc_id").alias(c), F.col("class_id").alias(f"{c}_class")), c, "left").withColumn(c, F.coalesce(f"{c}_class", c)).drop(f"{c}_class")
