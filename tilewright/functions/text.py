@@ -1,0 +1,153 @@
+"""String, hash and colour functions as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def slugify(text: Column) -> Column:
+    s = F.regexp_replace(F.replace(F.lower(text), F.lit("/"), F.lit("--")), "[^a-z0-9-]+", "-")
+    return F.regexp_replace(F.regexp_replace(s, "-{3,}", "--"), "^-|-$", "")
+
+
+def base64url(data: Column) -> Column:
+    return F.rtrim(F.translate(F.base64(data), "+/", "-_"), F.lit("="))
+
+
+def etag(text: Column) -> Column:
+    return F.concat(F.lit('"'), F.substring(base64url(F.unhex(F.sha2(text, 256))), 1, 24), F.lit('"'))
+
+
+def content_version(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
+def git_blob_sha(text: Column) -> Column:
+    data = F.encode(text, "UTF-8")
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(data).cast("string")), "UTF-8"), F.unhex(F.lit("00")), data))
+
+
+def fnv_shard(key: Column, shards: int) -> Column:
+    """FNV-1a over code units of an ASCII key, modulo shards; -1 without shards."""
+    if shards < 1:
+        return F.lit(-1).cast("long")
+    codes = F.transform(F.split(key, ""), lambda c: F.ascii(c).cast("long"))
+    h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(0xFFFFFFFF))
+    return h % shards
+
+
+def hex_parameter(data: Column) -> Column:
+    return F.concat(F.lit("\\x"), F.lower(F.hex(data)))
+
+
+def safe_label(text: Column, most: int = 200) -> Column:
+    return F.substring(F.regexp_replace(text, "[\r\n\t]", " "), 1, most)
+
+
+def safe_origin(url: Column) -> Column:
+    """scheme://host[:port] of an http or https address without user; else null."""
+    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z]+)://", 1))
+    host = F.lower(F.regexp_extract(url, "^[A-Za-z]+://([^/?#]*)", 1))
+    return F.when(scheme.isin("http", "https") & (host != "") & ~F.contains(host, F.lit("@")), F.concat(scheme, F.lit("://"), host))
+
+
+def byte_range(header: Column, size: Column) -> Column:
+    """struct(start, stop) of a single byte range: prefix, open or suffix; null if it can't be met."""
+    first, last = F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 1), F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 2)
+    a, b = first.try_cast("long"), last.try_cast("long")
+    start = F.when(a.isNotNull(), a).when(b > 0, F.greatest(size - b, F.lit(0)))
+    stop = F.when(a.isNotNull() & b.isNotNull(), F.least(b, size - 1)).when(a.isNotNull() | b.isNotNull(), size - 1)
+    return F.when((start < size) & (start <= stop), F.struct(start.alias("start"), stop.alias("stop")))
+
+
+def tile_path(path: Column) -> Column:
+    """struct(z, x, y) of /tiles/z/x/y.pbf, else null."""
+    pattern = r"^/tiles/(\d{1,2})/(\d+)/(\d+)\.pbf$"
+    part = lambda k: F.regexp_extract(path, pattern, k).try_cast("int")
+    return F.when(path.rlike(pattern), F.struct(part(1).alias("z"), part(2).alias("x"), part(3).alias("y")))
+
+
+def accepts_gzip(header: Column) -> Column:
+    return F.coalesce(header.rlike(r"(?i)(?:^|,)\s*gzip\s*(?:,|$)"), F.lit(False))
+
+
+def replace_once(text: Column, old: str, new: str) -> Column:
+    """The text with old replaced where it stands exactly once; else null."""
+    pieces = F.split(text, "\\Q" + old + "\\E")
+    return F.when(F.size(pieces) == 2, F.concat(F.element_at(pieces, 1), F.lit(new), F.element_at(pieces, 2)))
+
+
+def language_key(name: Column) -> Column:
+    """name_xx_YY as name:xx-YY."""
+    return F.when(name.startswith("name_"), F.concat(F.lit("name:"), F.replace(F.substr(name, F.lit(6)), F.lit("_"), F.lit("-")))).otherwise(name)
+
+
+def font_family(name: Column) -> Column:
+    """A family by the words of a font's name: the first rule that matches wins."""
+    low = F.lower(name)
+    weight = F.when(low.rlike("bold|black|heavy"), "Bold").when(low.rlike("medium|semi"), "Medium").otherwise("Regular")
+    return F.concat(F.lit("Sans "), weight, F.when(low.rlike("italic|oblique"), F.lit(" Italic")).otherwise(F.lit("")))
+
+
+def content_type(path: Column) -> Column:
+    """By file ending."""
+    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    known = {"html": "text/html; charset=utf-8", "js": "text/javascript; charset=utf-8", "css": "text/css; charset=utf-8", "json": "application/json; charset=utf-8", "png": "image/png", "svg": "image/svg+xml", "pbf": "application/x-protobuf"}
+    out = None
+    for k, v in known.items():
+        out = F.when(ending == k, v) if out is None else out.when(ending == k, v)
+    return out.otherwise("application/octet-stream")
+
+
+def byte_hex(value: Column) -> Column:
+    byte = F.least(F.greatest(F.floor(value + 0.5), F.lit(0)), F.lit(255)).cast("int")
+    return F.lpad(F.hex(byte), 2, "0")
+
+
+def hsl_to_hex(h: Column, s: Column, light: Column) -> Column:
+    """#RRGGBB of hue in degrees, saturation and lightness from 0 to 1: six sectors of hue."""
+    hue = F.pmod(h, F.lit(360.0)) / 60.0
+    chroma = (1 - F.abs(2 * light - 1)) * s
+    x = chroma * (1 - F.abs(hue % 2 - 1))
+    m = light - chroma / 2
+    sector = F.floor(hue)
+    pick = lambda order: F.element_at(F.array(*order), (sector + 1).cast("int"))
+    zero = F.lit(0.0)
+    red, green, blue = pick([chroma, x, zero, zero, x, chroma]), pick([x, chroma, chroma, x, zero, zero]), pick([zero, zero, x, chroma, chroma, x])
+    return F.concat(F.lit("#"), *(byte_hex((c + m) * 255) for c in (red, green, blue)))
+
+
+def normalize_hex(color: Column) -> Column:
+    """Short hex colours doubled, in upper case."""
+    return F.upper(F.when(color.rlike("^#[0-9A-Fa-f]{3,4}$"), F.concat(F.lit("#"), F.regexp_replace(F.substring(color, 2, 8), "(.)", "$1$1"))).otherwise(color))
+
+
+def color_to_hex(color: Column) -> Column:
+    """Hex, rgb(), rgba(), hsl() and hsla() as hex; eight digits where alpha is below 1; anything else as it is."""
+    number = r"([0-9.]+%?)"
+    pattern = rf"(?i)^(rgb|hsl)a?\(\s*{number}\s*,\s*{number}\s*,\s*{number}\s*(?:,\s*{number}\s*)?\)$"
+    part = lambda k: F.regexp_extract(color, pattern, k)
+    plain = lambda t: F.regexp_replace(t, "%", "").try_cast("double")
+    share = lambda t: F.when(t.endswith("%"), plain(t) / 100).otherwise(plain(t))
+    channel = lambda t: F.when(t.endswith("%"), plain(t) * 2.55).otherwise(plain(t))
+    alpha = F.when(part(5) == "", F.lit(1.0)).otherwise(share(part(5)))
+    body = F.when(F.lower(part(1)) == "rgb", F.concat(F.lit("#"), *(byte_hex(channel(part(k))) for k in (2, 3, 4)))).otherwise(hsl_to_hex(plain(part(2)), share(part(3)), share(part(4))))
+    whole = F.when(alpha < 1, F.concat(body, byte_hex(alpha * 255))).otherwise(body)
+    return F.when(color.rlike(pattern), whole).when(color.rlike("^#[0-9A-Fa-f]{3,8}$"), normalize_hex(color)).otherwise(color)
+
+
+def choose(value: Column, rules: list[tuple[list[str], str]], default: Column) -> Column:
+    """The name of the first rule that lists the value."""
+    out = None
+    for names, to in rules:
+        out = F.when(value.isin(names), to) if out is None else out.when(value.isin(names), to)
+    return default if out is None else out.otherwise(default)
+
+
+def first_match(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The name of the first rule whose pattern is found."""
+    out = None
+    for pattern, to in rules:
+        out = F.when(text.rlike(pattern), to) if out is None else out.when(text.rlike(pattern), to)
+    return out.otherwise(default)

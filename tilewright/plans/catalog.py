@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tilewright.plans import inventory, metrics, tiles  # noqa: F401
+from tilewright.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
