@@ -174,10 +174,10 @@ def _captures(blocks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
 def read_records(archives: DataFrame, captures: DataFrame, keep_payload: bool = False) -> DataFrame:
     """The records at (archive, block, at, length), read by range from the archives' blocks and parsed.
 
-    A block's ranges meet the block once; they are no more than its records.
+    A block's ranges meet the block once, by the same merge join at every size; they are no more than its records.
     """
     ranges = captures.groupBy("archive", "block").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("ranges"))
-    joined = archives.where("data IS NOT NULL").select("archive", "block", "data").join(ranges, ["archive", "block"]).select("data", F.transform("ranges", lambda r: r["at"]).alias("at"), F.transform("ranges", lambda r: r["length"]).alias("length"))
+    joined = archives.where("data IS NOT NULL").select("archive", "block", "data").join(ranges.hint("merge"), ["archive", "block"]).select("data", F.transform("ranges", lambda r: r["at"]).alias("at"), F.transform("ranges", lambda r: r["length"]).alias("length"))
 
     def run(batches):
         for batch in batches:
