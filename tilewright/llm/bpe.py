@@ -19,13 +19,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm.common import keyed_texts, small_batches, table, worker_cache
+from tilewright.llm.common import keyed_texts, small_batches, table, tidy, worker_cache
 from tilewright.llm.shingles import slices
 
 VOCABULARY = "byte_bpe_50k.json"
 LONG = 128
 #: Words whose ids are kept by a worker.
-KEPT = 600_000
+KEPT = 250_000
 #: Size of the table of merges: two to this power.
 TABLE_BITS = 19
 _NONE = 1 << 60
@@ -268,7 +268,7 @@ def encoded(documents: DataFrame, name: str = VOCABULARY, keep_ids: bool = False
                         kept.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *([pa.array(kept, pa.binary())] if keep_ids else [])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
-    return keyed_texts(documents).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return keyed_texts(documents).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import batches_by_key, partitions, small_batches, stored, table
+from tilewright.llm.common import batches_by_key, partitions, small_batches, stored, table, tidy
 
 #: Names of roles and the states after them; state 0 is the start.
 ROLES = ("system", "user", "assistant")
@@ -157,7 +157,7 @@ def formatted(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([g.column("conv_id").combine_chunks().slice(0, 1), g.column("block").combine_chunks().slice(0, 1), pa.array([m.ravel().tolist()], pa.list_(pa.int64()))], names=["conv_id", "block", "costs"])
 
     order = ["group", "turn", "role", "text"]
-    costs = rows.repartition(partitions(spark), "group").sortWithinPartitions(*order).mapInArrow(matrices, "conv_id long, block long, costs array<long>")
+    costs = rows.repartition(partitions(spark), "group").sortWithinPartitions(*order).mapInArrow(tidy(matrices), "conv_id long, block long, costs array<long>")
     chains = costs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "costs"))).alias("chain"))
 
     def borders(batches):
@@ -170,7 +170,7 @@ def formatted(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["group", "part", "parts", "cost", "start", "stop"])
 
-    known = stored(chains.mapInArrow(borders, "group string, part int, parts int, cost long, start int, stop int"))
+    known = stored(chains.mapInArrow(tidy(borders), "group string, part int, parts int, cost long, start int, stop int"))
 
     def repair(batches):
         for g in batches_by_key(batches, "group"):
@@ -183,7 +183,7 @@ def formatted(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=["conv_id", "part", "parts", "cost", "n_turns", "n_out", "roles", "text"])
 
-    return rows.join(known, "group").repartition(partitions(spark), "group").sortWithinPartitions(*order).mapInArrow(repair, "conv_id long, part int, parts int, cost long, n_turns long, n_out long, roles array<string>, text string")
+    return rows.join(known, "group").repartition(partitions(spark), "group").sortWithinPartitions(*order).mapInArrow(tidy(repair), "conv_id long, part int, parts int, cost long, n_turns long, n_out long, roles array<string>, text string")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

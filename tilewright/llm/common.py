@@ -135,4 +135,28 @@ def beside(documents: DataFrame, fields: str, make) -> DataFrame:
             texts = [x or "" for x in row.field(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([row, *(pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(make(texts), made.fields, strict=True))], names=names)
 
-    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")).mapInArrow(run, schema)
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")).mapInArrow(tidy(run), schema)
+
+
+def tidy(run):
+    """run, a function over Arrow batches, that gives freed memory back when it ends: idle workers stay small."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

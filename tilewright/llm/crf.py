@@ -17,16 +17,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from sys import intern
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import beside, keyed_texts, table
+from tilewright.llm.common import beside, keyed_texts, table, trim
 
 #: Bounds of the training sample: toxic documents, clean ones for each, and characters of a document that may be in it.
-SAMPLE, CLEAN_EACH, SAMPLE_CHARS = 1500, 3, 20_000
+SAMPLE, CLEAN_EACH, SAMPLE_CHARS = 1200, 3, 20_000
 #: Lengths of word beginnings that are features.
 STEMS = (4, 5, 6)
 #: Tokens around a mark that make a training stretch; stretches at most.
@@ -186,7 +187,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 60) -> Tagger:
     for text, label in rows:
         if text not in seen:
             seen.add(text)
-            (toxic if label else clean).append(_WORDS.findall(text.lower()))
+            (toxic if label else clean).append(list(map(intern, _WORDS.findall(text.lower()))))
     tagger = Tagger()
     if not toxic or not clean:
         tagger.document = (-3.0 if not toxic else 3.0, 0.0, 0.0, 0.0)
@@ -288,6 +289,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep
     trained on; repeated rows keep their number; other columns are ignored. Without labels all score alike.
     """
     tagger = fit(training_rows(documents, labels, sample=sample))
+    trim()
 
     def tag(texts):
         out = [tagger.tag(t) for t in texts]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import keyed_texts, partitions, small_batches, stored, table, utf8
+from tilewright.llm.common import keyed_texts, partitions, small_batches, stored, table, tidy, utf8
 from tilewright.llm.shingles import mix, slices
 
 #: RUN is WINDOW at most.
@@ -84,7 +84,7 @@ def class_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["class", "n"])
 
     out = np.zeros(CLASSES, dtype=np.int64)
-    for k, n in docs.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n")).collect():
+    for k, n in docs.mapInArrow(tidy(run), "class long, n long").groupBy("class").agg(F.sum("n")).collect():
         out[k] = n
     return out
 
@@ -189,7 +189,7 @@ def fingerprints(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
             out = [_text_of(filters(h)) for a, b in slices([len(t) for t in texts]) for h in features(texts[a:b], ranks)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
-    return keyed_texts(documents).mapInArrow(run, "doc_id long, fingerprint string")
+    return keyed_texts(documents).mapInArrow(tidy(run), "doc_id long, fingerprint string")
 
 
 def compare(a: str, b: str) -> float:
@@ -259,7 +259,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

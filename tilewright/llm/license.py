@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm.common import keyed_texts, small_batches, table, utf8, worker_cache
+from tilewright.llm.common import keyed_texts, small_batches, table, tidy, utf8, worker_cache
 
 #: Words of any script; A-Z are lowered before. On UTF-8 bytes, where other scripts' letters are bytes from 128 up.
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
@@ -182,7 +182,7 @@ def license_labels(documents: DataFrame, phrases: dict[str, str] | None = None,
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    return keyed_texts(documents).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return keyed_texts(documents).mapInArrow(tidy(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm.common import keyed_texts, small_batches, table, utf8
+from tilewright.llm.common import keyed_texts, small_batches, table, tidy, utf8
 
 #: Samples of a stored row, and sides of the tile and of the difference hash.
 WIDTH, TILE, HASH = 64, 32, 8
@@ -150,7 +150,7 @@ def media_features(images: DataFrame, key: str = "doc_id", media: str = "media")
                     rows.append((None, None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.binary())))], names=[key, "height", "width", "feature", "tile"])
 
-    return images.select(key, media).mapInArrow(run, f"{key} {images.schema[key].dataType.simpleString()}, height int, width int, feature string, tile binary")
+    return images.select(key, media).mapInArrow(tidy(run), f"{key} {images.schema[key].dataType.simpleString()}, height int, width int, feature string, tile binary")
 
 
 def text_media(documents: DataFrame, bmp: bool = False) -> DataFrame:
@@ -175,7 +175,7 @@ def text_media(documents: DataFrame, bmp: bool = False) -> DataFrame:
             columns = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(columns))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
 
-    return keyed_texts(documents).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+    return keyed_texts(documents).mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

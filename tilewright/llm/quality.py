@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import batches_by_key, beside, keyed_texts, small_batches, stored, table, utf8
+from tilewright.llm.common import batches_by_key, beside, keyed_texts, small_batches, stored, table, tidy, trim, utf8
 from tilewright.llm.shingles import _BYTE, _Powers, mix, slices
 
 BUCKETS, PARTS = 1 << 16, 16
@@ -75,7 +75,7 @@ def raw_counts(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([group.column("part").combine_chunks().slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
     out = np.zeros(BUCKETS, dtype=np.int64)
-    for k, x in docs.mapInArrow(count, "part int, counts binary").repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(add, "part int, counts binary").collect():
+    for k, x in docs.mapInArrow(tidy(count), "part int, counts binary").repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(tidy(add), "part int, counts binary").collect():
         out[k * (BUCKETS // PARTS) : (k + 1) * (BUCKETS // PARTS)] = np.frombuffer(x, dtype=np.int64)
     return out
 
@@ -185,6 +185,7 @@ def weighed(documents: DataFrame, labels: DataFrame, keep: bool = False) -> Data
     docs = keyed_texts(documents)
     sample = good_sample(documents, labels)
     ratios, cut = fitted(sample, raw_counts(docs) if sample else np.zeros(BUCKETS))
+    trim()
     weights = lambda texts: [mean_ratios([t.encode() for t in texts], ratios).tolist()]
     doc_id = F.col("row")[documents.select(documents["doc_id"]).columns[0]].cast("long")
     rows = beside(documents, "log_weight double", weights)

@@ -87,7 +87,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def slices(sizes: list[int], limit: int = 1 << 21):
+def slices(sizes: list[int], limit: int = 1 << 19):
     """Ranges of consecutive items of about limit bytes; a larger item stands alone."""
     at = total = 0
     for i, n in enumerate(sizes):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import partitions, small_batches, stored, table
+from tilewright.llm.common import partitions, small_batches, stored, table, tidy
 
 #: Captures of an index block, bytes of an archive block at least, zlib level of records.
 LINES, BLOCK, LEVEL = 3000, 1 << 20, 2
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         if captures:
             yield rows()
 
-    return stored(ready.mapInArrow(run, "key string, archive string, block int, at int, length int, page_id long, data binary"))
+    return stored(ready.mapInArrow(tidy(run), "key string, archive string, block int, at int, length int, page_id long, data binary"))
 
 
 def build_index(archives: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def build_index(archives: DataFrame) -> DataFrame:
         if lines:
             yield row()
 
-    return stored(ordered.mapInArrow(run, "part int, block int, first_key string, last_key string, lines binary"))
+    return stored(ordered.mapInArrow(tidy(run), "part int, block int, first_key string, last_key string, lines binary"))
 
 
 def _captures(blocks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ def _captures(blocks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
                 got = [x.split(" ")[1:5] for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), *(pa.array([int(g[k]) for g in got], pa.int32()) for k in (1, 2, 3))], names=["archive", "block", "at", "length"])
 
-    return blocks.select("first_key", "lines").mapInArrow(run, "archive string, block int, at int, length int")
+    return blocks.select("first_key", "lines").mapInArrow(tidy(run), "archive string, block int, at int, length int")
 
 
 def read_records(archives: DataFrame, captures: DataFrame, keep_payload: bool = False) -> DataFrame:
@@ -186,7 +186,7 @@ def read_records(archives: DataFrame, captures: DataFrame, keep_payload: bool =
                 columns = [("page_id", pa.int64(), "page_id"), ("payload_bytes", pa.int64(), "bytes"), ("payload_digest", pa.string(), "digest"), ("record_type", pa.string(), "type"), ("refers_to", pa.int64(), "refers_to"), *[("payload", pa.binary(), "payload")] * keep_payload]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for _, kind, k in columns], names=[c[0] for c in columns])
 
-    return joined.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload)
+    return joined.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload)
 
 
 def look_up(archives: DataFrame, index: DataFrame, urls: list[str], keep_payload: bool = True) -> DataFrame:
@@ -203,7 +203,7 @@ def look_up(archives: DataFrame, index: DataFrame, urls: list[str], keep_payload
                     out.update((part, blocks[i]["block"]) for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(out)], pa.int32()) for k in (0, 1)], names=["part", "block"])
 
-    blocks = index.join(directory.mapInArrow(find, "part int, block int"), ["part", "block"])
+    blocks = index.join(directory.mapInArrow(tidy(find), "part int, block int"), ["part", "block"])
     return read_records(archives, _captures(blocks, keys), keep_payload)
 
 
