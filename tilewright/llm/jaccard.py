@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import batches_by_key, components, keyed_texts, partitions, small_batches, stored, table, utf8
+from tilewright.llm.common import batches_by_key, components, keyed_texts, partitions, small_batches, stored, table, tidy, utf8
 from tilewright.llm.shingles import mix, shingle_sets, slices
 
 WIDTH = 5
@@ -70,7 +70,7 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 rows.append((i, len(x), int(a.view(np.int64)), int(b.view(np.int64))))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["doc_id", "n_shingles", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long")
 
 
 def ranges_of(n: int) -> list[int]:
@@ -223,8 +223,24 @@ def shared_tokens(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFram
                         rows.append((int(ids[doc[s]]), int(sizes[doc[s]]), own[own_at].tobytes() + counts[at[own_at]].tobytes()))
             yield _batch(rows, ["doc_id", "n", "hits"], [pa.int64(), pa.int64(), pa.binary()])
 
-    totals = docs.mapInArrow(count, schema).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(total, schema)
-    return docs.mapInArrow(entries, schema).unionByName(totals).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind").mapInArrow(hits, "doc_id long, n long, hits binary")
+    totals = docs.mapInArrow(tidy(count), schema).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(total), schema)
+    return docs.mapInArrow(tidy(entries), schema).unionByName(totals).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind").mapInArrow(tidy(hits), "doc_id long, n long, hits binary")
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Edges (root, node) of the connected components of pairs; a root is its component's smallest node."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[at[:, 0]], root[at[:, 1]]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    off = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[root[off]], nodes[off]], axis=1)
 
 
 def candidate_edges(docs: DataFrame, tokens: int, width: int = WIDTH) -> DataFrame:
@@ -234,13 +250,13 @@ def candidate_edges(docs: DataFrame, tokens: int, width: int = WIDTH) -> DataFra
     buckets = 1 << max(3, int(np.ceil(np.log2(max(1, tokens / 2 / 2_000_000)))))
 
     def star(keys, ids):
-        """(edges, first document of each key)."""
+        """(edges that connect what the stars of all keys connect, first document of each key)."""
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         low = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         off = ids != low
-        return np.unique(np.stack([low[off], ids[off]], axis=1), axis=0), keys[new], ids[new]
+        return forest(np.stack([low[off], ids[off]], axis=1)), keys[new], ids[new]
 
     def keyed(batches):
         keys, ids, weight = [], [], 0
@@ -279,7 +295,7 @@ def candidate_edges(docs: DataFrame, tokens: int, width: int = WIDTH) -> DataFra
             yield flush()
 
     def lists(batches):
-        keys, ids, at = [], [], None
+        keys, ids, at, weight = [], [], None, 0
 
         def flush():
             edges, _, _ = star(np.concatenate(keys), np.concatenate(ids))
@@ -292,10 +308,12 @@ def candidate_edges(docs: DataFrame, tokens: int, width: int = WIDTH) -> DataFra
                 if b < 0:
                     ready.append((x, y))
                     continue
-                if b != at and keys:
+                if b != at and weight > 4_000_000:
                     yield flush()
+                    weight = 0
                 at = b
                 k, i = _unpack(value, "<u8", "<i8")
+                weight += len(k)
                 keys.append(np.cumsum(k, dtype=_U))
                 ids.append(i)
             if ready:
@@ -303,9 +321,10 @@ def candidate_edges(docs: DataFrame, tokens: int, width: int = WIDTH) -> DataFra
         if keys:
             yield flush()
 
-    found = shared_tokens(docs, buckets, width).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "n").mapInArrow(keyed, "bucket int, a long, b long, value binary")
+    found = shared_tokens(docs, buckets, width).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "n").mapInArrow(tidy(keyed), "bucket int, a long, b long, value binary")
     spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("a", "b"))
-    return found.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(lists, "a long, b long").distinct()
+    # keys are about a sixth of what moved before
+    return found.repartition(max(6, parts // 6), spread).sortWithinPartitions("bucket").mapInArrow(tidy(lists), "a long, b long").distinct()
 
 
 def links_within(ids: list[int], sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple[int, int]]:
@@ -391,7 +410,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, bloc
             yield pa.RecordBatch.from_arrays([group.column("part").combine_chunks().slice(0, 1), pa.array([zlib.compress(m.tobytes(), 1)], pa.binary())], names=["part", "bits"])
 
     wanted = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for k, x in dealt.select("doc_id").mapInArrow(bits, "part int, bits binary").repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(either, "part int, bits binary").collect():
+    for k, x in dealt.select("doc_id").mapInArrow(tidy(bits), "part int, bits binary").repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(tidy(either), "part int, bits binary").collect():
         wanted[k * len(wanted) // PARTS : (k + 1) * len(wanted) // PARTS] = np.frombuffer(zlib.decompress(x), dtype=np.uint8)
     mask = spark.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
 
@@ -402,7 +421,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, bloc
             keep = (m[(h >> _U(3)).astype(np.int64)] >> (h & _U(7)).astype(np.uint8)) & 1
             yield batch.filter(pa.array(keep.astype(bool)))
 
-    texts = docs.mapInArrow(likely, "doc_id long, text string").join(dealt, "doc_id")
+    texts = docs.mapInArrow(tidy(likely), "doc_id long, text string").join(dealt, "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = texts.select("doc_id", "text", "root", "own", "blocks", other).select("doc_id", "text", "own", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), (F.col("blocks") == 1).alias("alone"), (F.least("own", "other") == F.greatest("own", "other")).alias("inner"))
 
@@ -419,7 +438,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, bloc
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     # sets of the largest units first would need a sort by size; a unit is bounded by two blocks instead
-    return units.select("unit", "doc_id", "own", "inner", "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(verify, "a long, b long")
+    return units.select("unit", "doc_id", "own", "inner", "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(tidy(verify), "a long, b long")
 
 
 def jaccard_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
