@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from tilewright.operators import metrics as M
 from tilewright.plans.registry import query
 
-_T = "e AS (SELECT *, epoch_ms(ts) AS ms FROM events)"
+_T = "e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)"
 
 
 def _events(read):
-    return read("events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return read("events").withColumn("ms", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long"))
 
 
 _RANK = lambda f: f"list_sort(list(value))[CAST(least(count(*) - 1, floor(count(*) * {f})) AS BIGINT) + 1]"
@@ -71,8 +71,8 @@ def disabled_window(read):
     return M.disabled(_events(read), "user_id", "ms", F.col("event_type") == "error", 3_600_000).select("event_id", "disabled")
 
 
-@query(f"""WITH {_T}, p AS (SELECT user_id % 10 AS host, ms AS at, 1 AS d FROM e UNION ALL SELECT user_id % 10, ms + CAST(round(value * 10000) AS BIGINT), -1 FROM e),
-s AS (SELECT host, at, sum(sum(d)) OVER (PARTITION BY host ORDER BY at) AS open FROM p GROUP BY host, at) SELECT host, CAST(max(open) AS BIGINT) AS most FROM s GROUP BY 1""")
+@query(f"""WITH {_T}, p AS (SELECT user_id % 10 AS host, ms AS t, 1 AS d FROM e UNION ALL SELECT user_id % 10, ms + CAST(round(value * 10000) AS BIGINT), -1 FROM e),
+s AS (SELECT host, t, sum(sum(d)) OVER (PARTITION BY host ORDER BY t) AS n FROM p GROUP BY host, t) SELECT host, CAST(max(n) AS BIGINT) AS most FROM s GROUP BY 1""")
 def max_concurrency(read):
     e = _events(read).select((F.col("user_id") % 10).alias("host"), F.col("ms").alias("start"), (F.col("ms") + F.round(F.col("value") * 10000).cast("long")).alias("stop"))
     return M.max_concurrency(e, "host")
