@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.plans import features, inventory, metrics, tiles  # noqa: F401
+from tilewright.plans import features, inventory, metrics, recode, tiles  # noqa: F401
 from tilewright.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

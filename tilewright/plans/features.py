@@ -98,7 +98,7 @@ def clip_rect(read):
     pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     b = _boxes(read).withColumn("ring", F.array(pt(x, y), pt(x + w, y), pt(x + w, y + w), pt(x, y + w), pt(x, y)))
-    c = G.clip_ring(b.select("id", "ring"), "ring", 4096, "clipped").where("clipped IS NOT NULL")
+    c = b.select("id", G.clip_ring(F.col("ring"), 4096).alias("clipped")).where("clipped IS NOT NULL")
     xs, ys = F.transform("clipped", lambda p: p["x"]), F.transform("clipped", lambda p: p["y"])
     c = c.select("id", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
     # a corner that only touches leaves an edge without area
@@ -112,12 +112,12 @@ def overscale_transform(read):
     return _boxes(read).select("id", moved[0][0]["x"].alias("x"), moved[0][0]["y"].alias("y"))
 
 
-@query("""WITH c AS (SELECT event_id % 900 AS k, event_id % 16 AS x, value, epoch_us(ts) AS at, event_id FROM events)
-SELECT k, x, arg_max(value, (at, event_id)) AS value, max(at) AS at FROM c GROUP BY k, x""")
+@query("""WITH c AS (SELECT event_id % 900 AS k, event_id % 16 AS x, value, epoch_us(ts) AS t, event_id FROM events)
+SELECT k, x, arg_max(value, (t, event_id)) AS value, max(t) AS t FROM c GROUP BY k, x""")
 def cache_upsert(read):
     i = F.col("event_id")
-    e = read("events").select((i % 900).alias("k"), (i % 16).alias("x"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
-    return C.upsert(e.where("event_id % 3 > 0"), e.where("event_id % 3 = 0"), ["k", "x"], ["at", "event_id"]).select("k", "x", "value", "at")
+    e = read("events").select((i % 900).alias("k"), (i % 16).alias("x"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    return C.upsert(e.where("event_id % 3 > 0"), e.where("event_id % 3 = 0"), ["k", "x"], ["t", "event_id"]).select("k", "x", "value", "t")
 
 
 @query("""WITH r AS (SELECT doc_id, doc_id % 8 AS shard, n_chars, sum(n_chars) OVER (PARTITION BY doc_id % 8 ORDER BY doc_id DESC) AS running FROM documents WHERE lang = 'en') SELECT doc_id, shard, CAST(running AS BIGINT) AS running FROM r WHERE running <= 200000""")
