@@ -83,7 +83,7 @@ def mixed(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHED
     rows = rows.withColumn("times", times).withColumn("once_more", wanted - F.col("times") * F.col("source_size"))
     rows = rows.withColumn("taken", F.col("times") * F.col("size") + F.least("size", F.greatest(F.lit(0), F.col("once_more") - F.col("before"))))
     middle = F.col("times") * F.col("before") + F.least("once_more", "before") + F.col("taken") / 2.0
-    rows = rows.withColumn("share", middle / wanted)
+    rows = rows.withColumn("share", F.try_divide(middle, wanted))
     position = None
     for k, knots in enumerate(schedules):
         on = F.col("place") % len(schedules) == k

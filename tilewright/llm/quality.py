@@ -5,7 +5,7 @@ buckets. The target model is fitted on documents labelled good, the raw model co
 weight is the ratio of the two generative models, taken per n-gram (the mean of log ratios), so that length alone
 doesn't decide. Resampling without replacement adds Gumbel noise, a function of the document's id, to the log weight
 and keeps the k largest keys. k is the number of documents whose log weight reaches what all but MISSED of the good
-training documents reach, each half of them under the other half's model; the k-th key is found by histograms that close in on it, not by a global sort.
+training documents reach under a model that they weren't in, with a margin; the k-th key is found by histograms that close in on it, not by a global sort.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BUCKETS, PARTS = 1 << 16, 16
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
 #: Share of good training documents that may fall below the cut, scale of the Gumbel noise, counts added to each bucket.
 MISSED, NOISE, ADDED = 0.002, 0.004, 1.0
+#: Parts of the training sample, each scored under the model of the others.
+FOLDS = 8
 _U = np.uint64
 REPEAT = _U(0x5851F42D4C957F2D)
 _CLASS = np.full(256, 2, dtype=np.uint8)
@@ -100,18 +102,20 @@ def mean_ratios(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
 
 
 def fitted(sample: list[bytes], raw: np.ndarray) -> tuple[np.ndarray, float]:
-    """(log ratios, cut): the cut is what all but MISSED of the sample reach when the target model is fitted on the
-    other half, as new documents would."""
+    """(log ratios, cut): the cut is what all but MISSED of the sample reach when the target model is fitted on the other
+    folds, as new documents would, less a quarter of its distance from the median for the sample's own error."""
     if not sample:
         return np.zeros(BUCKETS), -1.0
-    halves = []
-    for part in (sample[::2], sample[1::2]):
+    folds = []
+    for k in range(FOLDS):
         counts = np.zeros(BUCKETS, dtype=np.int64)
-        for a, b in slices([len(t) for t in part]):
-            counts += np.bincount(ngram_buckets(part[a:b])[0], minlength=BUCKETS)
-        halves.append(counts)
-    crossed = np.concatenate([mean_ratios(sample[::2], log_ratios(halves[1], raw)), mean_ratios(sample[1::2], log_ratios(halves[0], raw))])
-    return log_ratios(halves[0] + halves[1], raw), float(np.quantile(crossed, MISSED))
+        for a, b in slices([len(t) for t in sample[k::FOLDS]]):
+            counts += np.bincount(ngram_buckets(sample[k::FOLDS][a:b])[0], minlength=BUCKETS)
+        folds.append(counts)
+    whole = np.sum(folds, axis=0)
+    crossed = np.concatenate([mean_ratios(sample[k::FOLDS], log_ratios(whole - f, raw)) for k, f in enumerate(folds)])
+    least, middle = np.quantile(crossed, [MISSED, 0.5])
+    return log_ratios(whole, raw), float(least - (middle - least) / 4)
 
 
 def held_out() -> Column:
