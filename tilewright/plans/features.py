@@ -174,3 +174,24 @@ def geometry_sanity(read):
     geom = F.array(F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y"))))
     b = _boxes(read).select(G.sane(geom, F.lit(4096.0), 1).alias("s"), F.col("x"), F.col("y"))
     return b.agg(F.count_if(F.col("s") & (F.col("x") >= 0) & (F.col("y") >= 0)).alias("sane"), F.count("*").alias("n"))
+
+
+@query(f"WITH {_F} SELECT payload_idx AS z, layer, gtype, count(*) AS features, CAST(sum(CASE gtype WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END) AS BIGINT) AS points, CAST(sum(fid) AS BIGINT) AS fids FROM f WHERE feature_idx % 50 = 0 GROUP BY ALL")
+def mvt_roundtrip(read):
+    """Features to tiles on the wire and back; a tile for each payload and block of orders."""
+    from tilewright.sources.mvt import decode_tiles, encode_tiles
+
+    f = _features(read).where("feature_idx % 50 = 0")
+    f = f.select(F.col("payload_idx").alias("z"), F.floor(F.col("feature_idx") / 2000).cast("int").alias("x"), F.lit(0).alias("y"), "layer", F.lit(2).alias("version"), F.lit(4096).alias("extent"), "fid", "gtype", "props", "geom")
+    back = decode_tiles(encode_tiles(f))
+    return back.groupBy("z", "layer", "gtype").agg(F.count("*").alias("features"), F.sum(F.size(F.flatten("geom")).cast("long")).alias("points"), F.sum("fid").alias("fids"))
+
+
+@query("SELECT CAST(event_id % 6 AS INT) AS z, count(*) AS tiles, CAST(sum(strlen(event_type)) AS BIGINT) AS bytes FROM (SELECT * FROM events WHERE event_id < 500) GROUP BY 1")
+def sqlite_roundtrip(read):
+    """Tiles packed into one archive and unpacked: the 500 first events are its region."""
+    from tilewright.sources.archives import pack_sqlite, unpack_sqlite
+
+    t = read("events").where("event_id < 500").select((F.col("event_id") % 6).cast("int").alias("z"), F.col("event_id").cast("int").alias("x"), F.lit(0).alias("y"), F.encode("event_type", "UTF-8").alias("tile"))
+    back = unpack_sqlite(pack_sqlite(t, {"name": "events", "format": "pbf"}), "archive")
+    return back.groupBy("z").agg(F.count("*").alias("tiles"), F.sum(F.octet_length("tile").cast("long")).alias("bytes"))

@@ -1,0 +1,79 @@
+"""State machines over streams: time-to-live caches and circuit breakers, keyed, by event time.
+
+applyInPandasWithState keeps one small state a key; a state ends by an event-time timeout, so that idle keys free their
+memory. The batch forms of the same rules are in operators.metrics and operators.cache.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def ttl_cache(reads: DataFrame, fresh_ms: int, stale_ms: int, late: str = "1 hour") -> DataFrame:
+    """(key, at, state) of reads (key, at timestamp): miss, fresh, stale or expired by the age of the entry.
+
+    A miss or an expired read stores the key anew; bounds are inclusive. An entry is forgotten once it has expired and
+    the watermark has passed it.
+    """
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stored = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+        out = []
+        for at in rows["at"]:
+            ms = int(at.value // 1_000_000)
+            age = None if stored is None else ms - stored
+            verdict = "miss" if age is None else "fresh" if age <= fresh_ms else "stale" if age <= stale_ms else "expired"
+            if verdict in ("miss", "expired"):
+                stored = ms
+            out.append(verdict)
+        state.update((stored,))
+        state.setTimeoutTimestamp(max(stored + stale_ms + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": key[0], "at": rows["at"].to_numpy(), "state": out})
+
+    return reads.withWatermark("at", late).groupBy("key").applyInPandasWithState(run, "key string, at timestamp, state string", "stored long", "append", "EventTimeTimeout")
+
+
+def circuit_breaker(calls: DataFrame, limit: int, cooldown_ms: int, late: str = "1 hour") -> DataFrame:
+    """(key, at, verdict) of calls (key, at timestamp, ok): passed, failed or refused.
+
+    limit failures in a row open the circuit until cooldown_ms after the last; calls meanwhile are refused. The next one
+    is a probe; a success starts the count over.
+    """
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        failures, until = state.get if state.exists else (0, -1)
+        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+        out, ms = [], 0
+        for at, ok in zip(rows["at"], rows["ok"], strict=True):
+            ms = int(at.value // 1_000_000)
+            if ms < until:
+                out.append("refused")
+            elif ok:
+                failures, until = 0, -1
+                out.append("passed")
+            else:
+                failures += 1
+                until = ms + cooldown_ms if failures >= limit else -1
+                out.append("failed")
+        state.update((failures, until))
+        state.setTimeoutTimestamp(max(ms, until, state.getCurrentWatermarkMs()) + 24 * 3_600_000)
+        yield pd.DataFrame({"key": key[0], "at": rows["at"].to_numpy(), "verdict": out})
+
+    return calls.withWatermark("at", late).groupBy("key").applyInPandasWithState(run, "key string, at timestamp, verdict string", "failures int, until long", "append", "EventTimeTimeout")
+
+
+def coalesced(requests: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """(key, window, requests, coalesced): requests of a key within a window are one fetch; windows close with the watermark."""
+    grouped = requests.withWatermark("at", late).groupBy("key", F.window("at", window))
+    return grouped.agg(F.count("*").alias("requests")).withColumn("coalesced", F.col("requests") - 1)
