@@ -105,17 +105,24 @@ def byte_hex(value: Column) -> Column:
     return F.lpad(F.hex(byte), 2, "0")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hsl_to_hex(h: Column, s: Column, light: Column) -> Column:
     """#RRGGBB of hue in degrees, saturation and lightness from 0 to 1: six sectors of hue."""
-    hue = F.pmod(h, F.lit(360.0)) / 60.0
-    chroma = (1 - F.abs(2 * light - 1)) * s
-    x = chroma * (1 - F.abs(hue % 2 - 1))
-    m = light - chroma / 2
-    sector = F.floor(hue)
-    pick = lambda order: F.element_at(F.array(*order), (sector + 1).cast("int"))
-    zero = F.lit(0.0)
-    red, green, blue = pick([chroma, x, zero, zero, x, chroma]), pick([x, chroma, chroma, x, zero, zero]), pick([zero, zero, x, chroma, chroma, x])
-    return F.concat(F.lit("#"), *(byte_hex((c + m) * 255) for c in (red, green, blue)))
+
+    def hexed(v):
+        x = v["c"] * (1 - F.abs(v["h"] % 2 - 1))
+        low = v["l"] - v["c"] / 2
+        k = F.floor(v["h"]).cast("int")
+        # the sectors in which each channel is full, part and empty, from sector 0
+        order = {"red": "cx00xc", "green": "xccx00", "blue": "00xccx"}
+        level = lambda codes: F.array(*({"c": v["c"], "x": x, "0": F.lit(0.0)}[c] for c in codes))
+        return F.concat(F.lit("#"), *(byte_hex((F.get(level(codes), k) + low) * 255) for codes in order.values()))
+
+    return let(F.struct((F.pmod(h, F.lit(360.0)) / 60.0).alias("h"), ((1 - F.abs(2 * light - 1)) * s).alias("c"), light.alias("l")), hexed)
 
 
 def normalize_hex(color: Column) -> Column:
@@ -127,14 +134,17 @@ def color_to_hex(color: Column) -> Column:
     """Hex, rgb(), rgba(), hsl() and hsla() as hex; eight digits where alpha is below 1; anything else as it is."""
     number = r"([0-9.]+%?)"
     pattern = rf"(?i)^(rgb|hsl)a?\(\s*{number}\s*,\s*{number}\s*,\s*{number}\s*(?:,\s*{number}\s*)?\)$"
-    part = lambda k: F.regexp_extract(color, pattern, k)
-    plain = lambda t: F.regexp_replace(t, "%", "").try_cast("double")
-    share = lambda t: F.when(t.endswith("%"), plain(t) / 100).otherwise(plain(t))
-    channel = lambda t: F.when(t.endswith("%"), plain(t) * 2.55).otherwise(plain(t))
-    alpha = F.when(part(5) == "", F.lit(1.0)).otherwise(share(part(5)))
-    body = F.when(F.lower(part(1)) == "rgb", F.concat(F.lit("#"), *(byte_hex(channel(part(k))) for k in (2, 3, 4)))).otherwise(hsl_to_hex(plain(part(2)), share(part(3)), share(part(4))))
-    whole = F.when(alpha < 1, F.concat(body, byte_hex(alpha * 255))).otherwise(body)
-    return F.when(color.rlike(pattern), whole).when(color.rlike("^#[0-9A-Fa-f]{3,8}$"), normalize_hex(color)).otherwise(color)
+    read = F.struct(*(F.regexp_extract(color, pattern, k).alias(f"p{k}") for k in range(1, 6)))
+
+    def parsed(t):
+        plain = lambda k: F.regexp_replace(t[k], "%", "").try_cast("double")
+        scaled = lambda k, unit, most: plain(k) * F.when(t[k].endswith("%"), most / 100).otherwise(unit)
+        rgb = F.lower(t["p1"]) == "rgb"
+        body = F.when(rgb, F.concat(F.lit("#"), *(byte_hex(scaled(k, 1.0, 255.0)) for k in ("p2", "p3", "p4")))).otherwise(hsl_to_hex(plain("p2"), scaled("p3", 1.0, 1.0), scaled("p4", 1.0, 1.0)))
+        alpha = F.when(t["p5"] == "", F.lit(1.0)).otherwise(scaled("p5", 1.0, 1.0))
+        return F.concat(body, F.when(alpha < 1, byte_hex(alpha * 255)).otherwise(F.lit("")))
+
+    return F.when(color.rlike(pattern), let(read, parsed)).when(color.rlike("^#[0-9A-Fa-f]{3,8}$"), normalize_hex(color)).otherwise(color)
 
 
 def choose(value: Column, rules: list[tuple[list[str], str]], default: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.functions.text import base64url
+from tilewright.functions.text import base64url, let
 
 GEOMETRY = "array<array<struct<x:double,y:double>>>"
 
@@ -110,11 +110,6 @@ def _clip_side(ring: Column, axis: str, bound: Column, keep_greater: bool) -> Co
     return F.flatten(F.transform(ring, edge))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value evaluated once: Catalyst would repeat a merged projection at each use."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def clip_ring(ring: Column, extent: int) -> Column:
     """The ring clipped to 0..extent, rounded half up, repeats dropped and closed; null if it vanishes."""
     none = F.array().cast("array<struct<x:double,y:double>>")
@@ -122,16 +117,16 @@ def clip_ring(ring: Column, extent: int) -> Column:
 
     def rounded(r):
         whole = F.transform(r, lambda p: F.struct(F.floor(p["x"] + 0.5).cast("double").alias("x"), F.floor(p["y"] + 0.5).cast("double").alias("y")))
-        return _let(whole, lambda w: _let(dedupe_points(w), lambda d: _let(F.when((F.size(d) > 1) & (F.get(d, F.lit(0)) == F.get(d, F.size(d) - 1)), F.slice(d, 1, F.greatest(F.size(d) - 1, F.lit(0)))).otherwise(d), lambda o: F.when(F.size(o) >= 3, F.array_append(o, F.get(o, F.lit(0)))))))
+        return let(whole, lambda w: let(dedupe_points(w), lambda d: let(F.when((F.size(d) > 1) & (F.get(d, F.lit(0)) == F.get(d, F.size(d) - 1)), F.slice(d, 1, F.greatest(F.size(d) - 1, F.lit(0)))).otherwise(d), lambda o: F.when(F.size(o) >= 3, F.array_append(o, F.get(o, F.lit(0)))))))
 
     def cut(r, k):
         if k == len(sides):
             return rounded(r)
         axis, bound, greater = sides[k]
-        return _let(F.when(F.size(r) > 0, _clip_side(r, axis, F.lit(float(bound)), greater)).otherwise(r), lambda n: cut(n, k + 1))
+        return let(F.when(F.size(r) > 0, _clip_side(r, axis, F.lit(float(bound)), greater)).otherwise(r), lambda n: cut(n, k + 1))
 
     opened = F.when(F.size(ring) < 3, none).when(F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))).otherwise(ring)
-    return _let(opened, lambda r: cut(r, 0))
+    return let(opened, lambda r: cut(r, 0))
 
 
 def first_of(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
