@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -141,6 +142,7 @@ def beside(documents: DataFrame, fields: str, make) -> DataFrame:
 def tidy(run):
     """run, a function over Arrow batches, that gives freed memory back when it ends: idle workers stay small."""
 
+    @functools.wraps(run)
     def tidied(batches):
         try:
             yield from run(batches)

@@ -247,7 +247,7 @@ def candidate_edges(docs: DataFrame, tokens: int, width: int = WIDTH) -> DataFra
     """Edges (a, b) of stars of documents that share a key. tokens: the sum of all set sizes, for the number of buckets."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    buckets = 1 << max(3, int(np.ceil(np.log2(max(1, tokens / 2 / 2_000_000)))))
+    buckets = 1 << max(6, int(np.ceil(np.log2(max(1, tokens / 2 / 2_000_000)))))
 
     def star(keys, ids):
         """(edges that connect what the stars of all keys connect, first document of each key)."""
@@ -455,8 +455,9 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL")
     digests = stored(set_digests(docs, width))
     full = digests.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    low = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    classed = stored(full.join(low, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "class_id"))
+    # sets with copies alone meet their documents; kept apart, so that a group of very many copies can be split there
+    low = stored(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).where("class_id < last").drop("last"))
+    classed = stored(full.join(low, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     tokens = digests.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     edges = candidate_edges(known, tokens, width)
     # exact copies are one node from here on

@@ -70,10 +70,13 @@ def mixed(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHED
     """
     text, source, key = documents["text"], documents["source"], documents["doc_id"]
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
-    sized = stored(documents.select(key.cast("long").alias("doc_id"), source.isNull().alias("no_source"), F.coalesce(source.cast("string"), F.lit("")).alias("source_key"), word_count(text).alias("size"), digest.alias("digest"), *([F.struct(*(documents[c] for c in documents.columns)).alias("row")] if keep else [])))
+    sized = documents.select(key.cast("long").alias("doc_id"), source.isNull().alias("no_source"), F.coalesce(source.cast("string"), F.lit("")).alias("source_key"), word_count(text).alias("size"), digest.alias("digest"), *([F.struct(*(documents[c] for c in documents.columns)).alias("row")] if keep else []))
     sized = sized.withColumn("bucket", F.substring("digest", 1, HEX))
-    goals = targets(sized, weights, cap)
-    sums = sized.groupBy("no_source", "source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
+    # sizes alone are kept: counting words again beside whole rows is cheaper than writing these
+    sizes = stored(sized.drop("row"))
+    sized = sized if keep else sizes
+    goals = targets(sizes, weights, cap)
+    sums = sizes.groupBy("no_source", "source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("no_source", "source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(goals, ["no_source", "source_key"]).drop("bucket_size")
     inner = Window.partitionBy("no_source", "source_key", "bucket").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
