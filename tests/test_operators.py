@@ -167,3 +167,24 @@ def test_circuit_stream(spark, tmp_path):
     rows = [("k", at(1000), False), ("k", at(1001), False), ("k", at(1500), True), ("k", at(2101), True), ("k", at(2200), False)]
     got = run_stream(spark, tmp_path, rows, "key string, at timestamp, ok boolean", lambda s: state.circuit_breaker(s, 2, 1000))
     assert [r["verdict"] for r in sorted(got, key=lambda r: r["at"])] == ["failed", "failed", "refused", "passed", "failed"]
+
+
+def test_single_file_archives(spark, monkeypatch):
+    from tilewright.sources import pmtiles
+
+    monkeypatch.setattr(pmtiles, "ROOT_BYTES", 2000)
+
+    assert [pmtiles.tile_number(*a) for a in ((0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 0), (2, 0, 0))] == [0, 1, 2, 3, 4, 5]
+    for n in (0, 4, 5, 20, 21, 341, 99_999, 123_456_789):
+        assert pmtiles.tile_number(*pmtiles.tile_address(n)) == n
+    rows = [(z, x, y, b"same" if z < 3 else f"{z}/{x}/{y}".encode()) for z in range(8) for x in range(1 << z) for y in range(1 << z)]
+    data = pmtiles.write_archive(rows, {"name": "t"})
+    head = pmtiles.read_header(data)
+    assert (head["min_zoom"], head["max_zoom"], head["addressed"], head["about"]) == (0, 7, len(rows), {"name": "t"}) and head["leaves_bytes"] > 0
+    assert sorted(pmtiles.read_archive(data)) == sorted(rows)
+    for bad in (b"PMTiles", data[:-9], b"x" * 200):
+        with pytest.raises(ValueError):
+            list(pmtiles.read_archive(bad))
+    df = spark.createDataFrame([("a", 1, 0, 1, bytearray(b"t1")), ("a", 0, 0, 0, bytearray(b"t0")), ("b", 2, 3, 0, bytearray(b"t2"))], "asset string, z int, x int, y int, tile binary")
+    packed = pmtiles.pack_archives(df).selectExpr("asset AS path", "archive AS content")
+    assert sorted((r["path"], r["z"], r["x"], r["y"], bytes(r["tile"])) for r in pmtiles.read_archives(packed).collect()) == [("a", 0, 0, 0, b"t0"), ("a", 1, 0, 1, b"t1"), ("b", 2, 3, 0, b"t2")]
