@@ -172,7 +172,7 @@ def test_circuit_stream(spark, tmp_path):
 def test_single_file_archives(spark, monkeypatch):
     from tilewright.sources import pmtiles
 
-    monkeypatch.setattr(pmtiles, "ROOT_BYTES", 2000)
+    monkeypatch.setattr(pmtiles, "ROOT_BYTES", 120)
 
     assert [pmtiles.tile_number(*a) for a in ((0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 0), (2, 0, 0))] == [0, 1, 2, 3, 4, 5]
     for n in (0, 4, 5, 20, 21, 341, 99_999, 123_456_789):
