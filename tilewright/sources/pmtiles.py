@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 
 MAGIC = b"PMTiles"
 #: header: offsets and lengths of root, metadata, leaves and tiles, counts, flags, zooms and bounds
-HEADER = struct.Struct("<7sB11Q6B4iB2i")
-ROOT_BYTES = 16_384 - HEADER.size
+HEADER = "<7sB11Q6B4iB2i"
+HEADER_BYTES = 127
+ROOT_BYTES = 16_384 - HEADER_BYTES
 
 
 def tile_number(z: int, x: int, y: int) -> int:
@@ -129,17 +130,17 @@ def write_archive(tiles: list[tuple[int, int, int, bytes]], metadata: dict) -> b
         root, step = _directory(tops), step * 2
     about = gzip.compress(json.dumps(metadata, sort_keys=True).encode(), mtime=0)
     zooms = [z for z, *_ in tiles] or [0]
-    first = HEADER.size + len(root)
-    header = HEADER.pack(MAGIC, 3, HEADER.size, len(root), first, len(about), first + len(about), len(leaves), first + len(about) + len(leaves), placed,
+    first = HEADER_BYTES + len(root)
+    header = struct.pack(HEADER, MAGIC, 3, HEADER_BYTES, len(root), first, len(about), first + len(about), len(leaves), first + len(about) + len(leaves), placed,
                          len(ordered), len(entries), len(seen), 1, 2, 1, 1, min(zooms), max(zooms), -1_800_000_000, -850_511_287, 1_800_000_000, 850_511_287, min(zooms), 0, 0)
     return header + root + about + leaves + b"".join(body)
 
 
 def read_header(data: bytes) -> dict:
     """Header and metadata; ValueError for anything else."""
-    if len(data) < HEADER.size or data[:7] != MAGIC or data[7] != 3:
+    if len(data) < HEADER_BYTES or data[:7] != MAGIC or data[7] != 3:
         raise ValueError("not an archive of version 3")
-    v = HEADER.unpack_from(data)
+    v = struct.unpack_from(HEADER, data)
     names = ("root", "root_bytes", "metadata", "metadata_bytes", "leaves", "leaves_bytes", "tiles", "tiles_bytes", "addressed", "entries", "contents", "clustered", "internal", "tile_compression", "tile_type", "min_zoom", "max_zoom")
     out = dict(zip(names, v[2:19], strict=True))
     if out["tiles"] + out["tiles_bytes"] > len(data):
