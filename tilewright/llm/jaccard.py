@@ -243,8 +243,9 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes[root[off]], nodes[off]], axis=1)
 
 
-def candidate_edges(docs: DataFrame, tokens: int, width: int = WIDTH) -> DataFrame:
-    """Edges (a, b) of stars of documents that share a key. tokens: the sum of all set sizes, for the number of buckets."""
+def candidate_edges(docs: DataFrame, tokens: int, copies: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Edges (a, b) of stars of documents that share a key; documents of copies (doc_id) have none, their like stands for
+    them. tokens: the sum of all set sizes, for the number of buckets."""
     spark = docs.sparkSession
     parts = partitions(spark)
     buckets = 1 << max(6, int(np.ceil(np.log2(max(1, tokens / 2 / 2_000_000)))))
@@ -321,7 +322,7 @@ def candidate_edges(docs: DataFrame, tokens: int, width: int = WIDTH) -> DataFra
         if keys:
             yield flush()
 
-    found = shared_tokens(docs, buckets, width).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "n").mapInArrow(tidy(keyed), "bucket int, a long, b long, value binary")
+    found = shared_tokens(docs, buckets, width).join(copies, "doc_id", "left_anti").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "n").mapInArrow(tidy(keyed), "bucket int, a long, b long, value binary")
     spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("a", "b"))
     # keys are about a sixth of what moved before
     return found.repartition(max(6, parts // 6), spread).sortWithinPartitions("bucket").mapInArrow(tidy(lists), "a long, b long").distinct()
@@ -459,11 +460,8 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     low = stored(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).where("class_id < last").drop("last"))
     classed = stored(full.join(low, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     tokens = digests.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    edges = candidate_edges(known, tokens, width)
-    # exact copies are one node from here on
-    copies = classed.where("doc_id <> class_id").select("doc_id", "class_id")
-    as_class = lambda e, c: e.join(copies.select(F.col("doc_id").alias(c), F.col("class_id").alias(f"{c}_class")), c, "left").withColumn(c, F.coalesce(f"{c}_class", c)).drop(f"{c}_class")
-    candidates = components(as_class(as_class(stored(edges), "a"), "b"))
+    copies = classed.where("doc_id <> class_id").select("doc_id")
+    candidates = components(candidate_edges(known, tokens, copies, width))
     links = components(verified_edges(known, candidates.select(F.col("node").alias("doc_id"), "root"), width))
     found = classed.join(links.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     return found.unionByName(digests.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
