@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch holds at most; long texts make batches large before rows make them many.
 BATCH_ROWS = 1000
+#: Bytes after which a batch is sent; a longer text is a batch of its own.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small enough for a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int("".join(c for c in spark.conf.get(key) if c in "0123456789-")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
