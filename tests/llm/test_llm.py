@@ -99,6 +99,19 @@ def test_keys_reach_every_link():
         assert keys[0] & keys[1]
 
 
+def test_pack_round_trip():
+    for n in (0, 1, 9):
+        a, b = np.arange(n, dtype=np.uint64) * np.uint64(1 << 50), np.arange(n, dtype=np.uint16)
+        x, y = jaccard._unpack(jaccard._pack(a, b), "<u8", "<u2")
+        assert (x == a).all() and (y == b).all() and len(x) == len(y) == n
+
+
+def test_jaccard_without_common_tokens(spark):
+    rows = [(k, " ".join(f"u{k}x{j}" for j in range(9)), "en", "s") for k in range(20)]
+    got = jaccard.jaccard_components(documents(spark, rows)).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["n_shingles"] == 5 for r in got) and len(got) == 20
+
+
 def test_forest():
     pairs = np.array([[1, 2], [2, 3], [9, 8], [3, 1], [10, 9]])
     assert sorted(map(tuple, jaccard.forest(pairs).tolist())) == [(1, 2), (1, 3), (8, 9), (8, 10)]

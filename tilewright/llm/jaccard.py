@@ -124,11 +124,13 @@ def keys_of(n: int, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _pack(*columns: np.ndarray) -> bytes:
     """Arrays of one length in one value; sorted ones lose most of their bytes."""
-    return len(columns[0]).to_bytes(4, "little") + zlib.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), 1)
+    return len(columns[0]).to_bytes(4, "little") + zlib.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns), 1)
 
 
 def _unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
     n, at, raw, out = int.from_bytes(value[:4], "little"), 0, zlib.decompress(value[4:]), []
+    if not n:
+        return [np.zeros(0, dtype=kind) for kind in kinds]
     for kind in kinds:
         width = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T).view(kind).ravel())
