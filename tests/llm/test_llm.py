@@ -74,6 +74,21 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(documents(spark, EDGE).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    verified = jaccard.verified_edges
+    monkeypatch.setattr(jaccard, "verified_edges", lambda *a, **b: verified(*a, **b, block=block))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[:k] + [f"other{k}"] + base[k + 1 :]), "en", "s") for k in range(12)] + [(20 + k, " ".join(base), "en", "s") for k in range(3)]
+    rows += [(40, " ".join(f"v{k}" for k in range(30)), "en", "s"), (20, " ".join(base), "en", "s"), (50, "", "en", "s")]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, *_ in rows}
+    want = {a: sum(a != b and bool(sets[a]) and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    got = jaccard.jaccard_components(documents(spark, rows), links=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and want[21] > 12 and len(got) == len(rows)
+    plain = jaccard.jaccard_components(documents(spark, rows)).collect()
+    assert sorted(r[:4] for r in got) == sorted(tuple(r) for r in plain)
+
+
 def test_keys_reach_every_link():
     r = np.random.default_rng(3)
     for _ in range(300):

@@ -330,71 +330,106 @@ def candidate_edges(docs: DataFrame, tokens: int, copies: DataFrame, width: int
     return found.repartition(max(6, parts // 6), spread).sortWithinPartitions("bucket").mapInArrow(tidy(lists), "a long, b long").distinct()
 
 
-def links_within(ids: list[int], sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect what all links of these sets connect: pairs already connected aren't compared again.
-
-    sides: only sets of different sides are compared (two blocks that meet).
-    """
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-    side = np.array([sides[i] for i in order]) if sides else None
-    sizes = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    by = np.argsort(flat, kind="stable")
-    token, who = flat[by], owner[by]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    count = np.diff(np.append(first, len(token)))
-    place = np.empty(len(flat), dtype=np.int64)
-    place[by] = np.repeat(np.arange(len(first)), count)
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    root = np.arange(len(sets))
-    found = []
-    for j in range(1, len(sets)):
-        i0 = int(np.searchsorted(sizes, -(-3 * sizes[j] // 4), side="left"))
+class _Unit:
+    """Sets in order of size, indexed by token. sides: only sets of different sides are compared (two blocks that meet)."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], sides: list[int] | None = None):
+        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+        self.ids, self.sets = [ids[i] for i in order], [sets[i] for i in order]
+        self.side = np.array([sides[i] for i in order]) if sides else None
+        self.sizes = np.array([len(x) for x in sets])[order]
+        flat = np.concatenate(self.sets)
+        by = np.argsort(flat, kind="stable")
+        token, self.who = flat[by], np.repeat(np.arange(len(sets)), self.sizes)[by]
+        self.first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        self.count = np.diff(np.append(self.first, len(token)))
+        self.place = np.empty(len(flat), dtype=np.int64)
+        self.place[by] = np.repeat(np.arange(len(self.first)), self.count)
+        self.start = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def holders(self, tokens: np.ndarray) -> np.ndarray:
+        """The sets of each token, one after another."""
+        return np.concatenate([self.who[self.first[t] : self.first[t] + self.count[t]] for t in tokens.tolist()])
+
+    def near(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of set j, the smaller sets that share one of its rarest tokens: every link of j to them is there)."""
+        none, n = np.zeros(0, dtype=np.int64), int(self.sizes[j])
+        i0 = int(np.searchsorted(self.sizes, -(-3 * n // 4), side="left"))
         if i0 >= j:
-            continue
-        own = place[start[j] : start[j + 1]]
-        own = own[np.argsort(count[own], kind="stable")]
+            return none, none
+        own = self.place[self.start[j] : self.start[j + 1]]
+        own = own[np.argsort(self.count[own], kind="stable")]
         # a set of a link misses at most a quarter of these tokens: the rarest of them reach every link
-        rare = own[: sizes[j] - (-(-75 * int(sizes[j]) // 100)) + 1]
-        rare = rare[count[rare] > 1]
+        rare = own[: n - (-(-75 * n // 100)) + 1]
+        rare = rare[self.count[rare] > 1]
         if not len(rare):
-            continue
-        near = np.unique(np.concatenate([who[first[t] : first[t] + count[t]] for t in rare.tolist()]))
+            return own, none
+        near = np.unique(self.holders(rare))
         near = near[(near >= i0) & (near < j)]
+        return own, near if self.side is None else near[self.side[near] != self.side[j]]
+
+    def linked(self, j: int, near: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        return near[100 * hits >= 75 * (self.sizes[near] + self.sizes[j] - hits)]
+
+
+def links_within(ids: list[int], sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all links of these sets connect: pairs already connected aren't compared again."""
+    u = _Unit(ids, sets, sides)
+    root = np.arange(len(sets))
+    found = []
+    for j in range(1, len(sets)):
+        own, near = u.near(j)
         near = near[root[near] != root[j]]
-        if side is not None:
-            near = near[side[near] != side[j]]
         while len(near):
-            if len(near) > 24 and int(count[own].sum()) < 200 * len(near) * 8:
-                hits = np.bincount(np.concatenate([who[first[t] : first[t] + count[t]] for t in own.tolist()]), minlength=len(sets))[near]
-                linked = near[100 * hits >= 75 * (sizes[near] + sizes[j] - hits)]
-                for i in linked.tolist():
+            if len(near) > 24 and int(u.count[own].sum()) < 200 * len(near) * 8:
+                for i in u.linked(j, near, np.bincount(u.holders(own), minlength=len(sets))[near]).tolist():
                     if root[i] != root[j]:
-                        found.append((ids[i], ids[j]))
+                        found.append((u.ids[i], u.ids[j]))
                         root[root == root[j]] = root[i]
                 break
-            i = int(near[-1])
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= 75 * (sizes[i] + sizes[j] - both):
-                found.append((ids[i], ids[j]))
-                root[root == root[j]] = root[i]
+            if len(u.linked(j, near[-1:], np.array([len(np.intersect1d(u.sets[near[-1]], u.sets[j], assume_unique=True))]))):
+                found.append((u.ids[near[-1]], u.ids[j]))
+                root[root == root[j]] = root[near[-1]]
             near = near[:-1]
             near = near[root[near] != root[j]]
     return found
 
 
-def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+def all_links_within(ids: list[int], sets: list[np.ndarray], sides: list[int] | None = None) -> np.ndarray:
+    """All links (a, b) of these sets; each candidate pair is compared once. Repeated ids count once."""
+    u = _Unit(ids, sets, sides)
+    seen = np.zeros(len(u.first), dtype=bool)
+    names, found = np.array(u.ids, dtype=np.int64), [np.zeros((0, 2), dtype=np.int64)]
+    for j in range(1, len(sets)):
+        own, near = u.near(j)
+        if not len(near):
+            continue
+        if int(u.count[own].sum()) < int(u.sizes[near].sum()):
+            hits = np.bincount(u.holders(own), minlength=len(sets))[near]
+        else:
+            seen[own] = True
+            hits = np.array([np.count_nonzero(seen[u.place[u.start[i] : u.start[i + 1]]]) for i in near.tolist()])
+            seen[own] = False
+        linked = names[u.linked(j, near, hits)]
+        found.append(np.stack([np.minimum(linked, names[j]), np.maximum(linked, names[j])], axis=1))
+    pairs = np.concatenate(found)
+    return pairs if len(set(ids)) == len(ids) else np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, block: int = BLOCK, copies: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that connect what the links of each candidate component connect. members: (doc_id, root).
 
+    copies: (doc_id, copies) of those that stand for more than themselves. With it every candidate pair is compared, and
+    rows (a, null, n) tell with how many documents a links in a unit; else n is null.
+
     A component of more than block documents is dealt by hash into blocks; every two of its blocks meet in a unit, so
     its documents are copied once a block and no task holds more than two blocks.
     """
     spark = docs.sparkSession
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = stored(members.join(sizes, "root").select("doc_id", "root", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    members = members.withColumn("copies", F.lit(1).cast("long")) if copies is None else members.join(copies, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    dealt = stored(members.join(sizes, "root").select("doc_id", "root", "copies", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
 
     def bits(batches):
         m = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
@@ -426,7 +461,9 @@ def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, bloc
 
     texts = docs.mapInArrow(tidy(likely), "doc_id long, text string").join(dealt, "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = texts.select("doc_id", "text", "root", "own", "blocks", other).select("doc_id", "text", "own", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), (F.col("blocks") == 1).alias("alone"), (F.least("own", "other") == F.greatest("own", "other")).alias("inner"))
+    units = texts.select("doc_id", "text", "root", "own", "copies", "blocks", other).select("doc_id", "text", "own", "copies", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), (F.col("blocks") == 1).alias("alone"), (F.least("own", "other") == F.greatest("own", "other")).alias("inner"))
+
+    counted = copies is not None
 
     def verify(batches):
         for group in batches_by_key(batches, "unit"):
@@ -436,16 +473,32 @@ def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, bloc
             for a, b in slices([len(x) for x in texts]):
                 sets += shingle_sets(texts[a:b], width)
             del texts
-            found = links_within(ids, sets, None if inner[0] else own)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            sides = None if inner[0] else own
+            if not counted:
+                rows = [(*x, None) for x in links_within(ids, sets, sides)]
+            elif len(pairs := all_links_within(ids, sets, sides)):
+                nodes, at = np.unique(pairs, return_inverse=True)
+                a, b = at.reshape(-1, 2).T
+                weight = dict(zip(ids, group.column("copies").to_pylist(), strict=True))
+                weight = np.array([weight[i] for i in nodes.tolist()], dtype=np.int64)
+                n = np.zeros(len(nodes), dtype=np.int64)
+                np.add.at(n, a, weight[b])
+                np.add.at(n, b, weight[a])
+                rows = [(*x, None) for x in forest(pairs).tolist()] + [(i, None, k) for i, k in zip(nodes.tolist(), n.tolist(), strict=True)]
+            else:
+                rows = []
+            if rows:
+                yield _batch(rows, ["a", "b", "n"], [pa.int64()] * 3)
 
     # sets of the largest units first would need a sort by size; a unit is bounded by two blocks instead
-    return units.select("unit", "doc_id", "own", "inner", "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(tidy(verify), "a long, b long")
+    return units.select("unit", "doc_id", "own", "inner", "copies", "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(tidy(verify), "a long, b long, n long")
+
 
+def jaccard_components(documents: DataFrame, width: int = WIDTH, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) of every row, and n_links if links are asked for.
 
-def jaccard_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row.
+    n_links: the other documents that it links to, copies included. Every candidate pair is verified then; pairs are
+    added up in their unit, as a group's pairs grow with the square of its size. An id must have one text for that.
 
     class_id: the smallest doc_id with an equal set. component_id: the smallest doc_id that links reach, itself
     included. A null or empty text, or one without words, has no shingles, links with nothing and is its own component;
@@ -459,15 +512,32 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     digests = stored(set_digests(docs, width))
     full = digests.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # sets with copies alone meet their documents; kept apart, so that a group of very many copies can be split there
-    low = stored(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).where("class_id < last").drop("last"))
+    least = [F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last"), *([F.count_distinct("doc_id").alias("copies")] if links else [])]
+    low = stored(full.groupBy("d1", "d2", "n_shingles").agg(*least).where("class_id < last").drop("last"))
     classed = stored(full.join(low, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     tokens = digests.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     copies = classed.where("doc_id <> class_id").select("doc_id")
     candidates = components(candidate_edges(known, tokens, copies, width))
-    links = components(verified_edges(known, candidates.select(F.col("node").alias("doc_id"), "root"), width))
-    found = classed.join(links.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
-    return found.unionByName(digests.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+    members = candidates.select(F.col("node").alias("doc_id"), "root")
+    rest = digests.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    if not links:
+        met = components(verified_edges(known, members, width))
+        found = classed.join(met.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+        return found.unionByName(rest)
+    sizes = low.select("class_id", "copies")
+    checked = stored(verified_edges(known, members, width, copies=sizes.withColumnRenamed("class_id", "doc_id")))
+    met = components(checked.where("b IS NOT NULL").select("a", "b"))
+    none = F.lit(None).cast("long")
+    facts = met.select(F.col("node").alias("class_id"), "root", none.alias("n")).unionByName(checked.where("b IS NULL").select(F.col("a").alias("class_id"), none.alias("root"), "n"))
+    facts = facts.unionByName(sizes.select("class_id", none.alias("root"), (F.col("copies") - 1).alias("n"))).groupBy("class_id").agg(F.min("root").alias("root"), F.sum("n").alias("n"))
+    found = classed.join(facts, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"), F.coalesce("n", F.lit(0).cast("long")).alias("n_links"))
+    return found.unionByName(rest.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3_jaccard with the number of links of each document."""
+    return jaccard_components(table(spark, sf_dir, "documents"), links=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tilewright.llm.bpe import op8_bpe
 from tilewright.llm.crf import op1_toxicity
 from tilewright.llm.fingerprint import op2_fingerprint
-from tilewright.llm.jaccard import op3_jaccard
+from tilewright.llm.jaccard import op3_jaccard, op3_links
 from tilewright.llm.license import op4_license
 from tilewright.llm.media import op9_media
 from tilewright.llm.mixture import OP5_SQL, op5_mixture
@@ -35,5 +35,9 @@ cls AS (SELECT doc_id, CASE WHEN len(sh) = 0 THEN doc_id ELSE min(doc_id) OVER (
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, class_id, component_id FROM s JOIN low ON low.x = s.doc_id JOIN cls USING (doc_id)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_fingerprint": op2_fingerprint, "op3_jaccard": op3_jaccard, "op4_license": op4_license, "op5_mixture": op5_mixture, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc}
-SQL = {"op3_jaccard": OP3_SQL, "op5_mixture": OP5_SQL, "op10_warc": OP10_SQL}
+# the links of OP3_SQL, counted for each document
+OP3_LINKS_SQL = f"""{OP3_SQL[: OP3_SQL.index("reach AS (")]}n AS (SELECT x, count(*) AS n FROM both_ways GROUP BY x)
+SELECT r.doc_id, n_shingles, class_id, component_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links FROM ({OP3_SQL}) r LEFT JOIN n ON n.x = r.doc_id"""
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_fingerprint": op2_fingerprint, "op3_jaccard": op3_jaccard, "op3_links": op3_links, "op4_license": op4_license, "op5_mixture": op5_mixture, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc}
+SQL = {"op3_jaccard": OP3_SQL, "op3_links": OP3_LINKS_SQL, "op5_mixture": OP5_SQL, "op10_warc": OP10_SQL}
