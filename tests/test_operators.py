@@ -188,3 +188,26 @@ def test_single_file_archives(spark, monkeypatch):
     df = spark.createDataFrame([("a", 1, 0, 1, bytearray(b"t1")), ("a", 0, 0, 0, bytearray(b"t0")), ("b", 2, 3, 0, bytearray(b"t2"))], "asset string, z int, x int, y int, tile binary")
     packed = pmtiles.pack_archives(df).selectExpr("asset AS path", "archive AS content")
     assert sorted((r["path"], r["z"], r["x"], r["y"], bytes(r["tile"])) for r in pmtiles.read_archives(packed).collect()) == [("a", 0, 0, 0, b"t0"), ("a", 1, 0, 1, b"t1"), ("b", 2, 3, 0, b"t2")]
+
+
+def test_archives_by_region(spark):
+    from tilewright.sources import archives
+
+    rows = [(k // 7, 5, k, k % 3, b"t%d" % k) for k in range(40)] + [(0, 5, 3, 0, b"t3")]
+    tiles = spark.createDataFrame(rows, "region long, z int, x int, y int, tile binary")
+    packed = archives.pack_sqlite_by(tiles, "region", {"name": "x"})
+    assert sorted(r["region"] for r in packed.collect()) == list(range(6))
+    back = sorted((r["x"], r["y"], bytes(r["tile"])) for r in archives.unpack_sqlite(packed, "archive").collect())
+    assert back == [(k, k % 3, b"t%d" % k) for k in range(40)]
+
+
+def test_round_trips_take_every_row(spark):
+    from datetime import datetime
+
+    from tilewright.plans import features
+
+    lines = spark.createDataFrame([(k, 1 + k % 9, k % 5, 1 + k % 3, "N", "O") for k in range(1, 120)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string")
+    events = spark.createDataFrame([(k, 1, "view", 1.0, datetime(2024, 1, 1)) for k in range(6000)], "event_id long, user_id long, event_type string, value double, ts timestamp")
+    tables = {"lineitem": lines, "events": events}
+    assert sum(r["features"] for r in features.mvt_roundtrip_all(tables.get).collect()) == 119
+    assert sum(r["tiles"] for r in features.sqlite_roundtrip_all(tables.get).collect()) == 6000

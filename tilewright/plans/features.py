@@ -179,9 +179,18 @@ def geometry_sanity(read):
 @query(f"WITH {_F} SELECT payload_idx AS z, layer, gtype, count(*) AS features, CAST(sum(CASE gtype WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END) AS BIGINT) AS points, CAST(sum(fid) AS BIGINT) AS fids FROM f WHERE feature_idx % 50 = 0 GROUP BY ALL")
 def mvt_roundtrip(read):
     """Features to tiles on the wire and back; a tile for each payload and block of orders."""
+    return _back(_features(read).where("feature_idx % 50 = 0"))
+
+
+@query(f"WITH {_F} SELECT payload_idx AS z, layer, gtype, count(*) AS features, CAST(sum(CASE gtype WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END) AS BIGINT) AS points, CAST(sum(fid) AS BIGINT) AS fids FROM f GROUP BY ALL")
+def mvt_roundtrip_all(read):
+    """All features to tiles on the wire and back."""
+    return _back(_features(read))
+
+
+def _back(f):
     from tilewright.sources.mvt import decode_tiles, encode_tiles
 
-    f = _features(read).where("feature_idx % 50 = 0")
     f = f.select(F.col("payload_idx").alias("z"), F.floor(F.col("feature_idx") / 2000).cast("int").alias("x"), F.lit(0).alias("y"), "layer", F.lit(2).alias("version"), F.lit(4096).alias("extent"), "fid", "gtype", "props", "geom")
     back = decode_tiles(encode_tiles(f))
     return back.groupBy("z", "layer", "gtype").agg(F.count("*").alias("features"), F.sum(F.size(F.flatten("geom")).cast("long")).alias("points"), F.sum("fid").alias("fids"))
@@ -195,3 +204,13 @@ def sqlite_roundtrip(read):
     t = read("events").where("event_id < 500").select((F.col("event_id") % 6).cast("int").alias("z"), F.col("event_id").cast("int").alias("x"), F.lit(0).alias("y"), F.encode("event_type", "UTF-8").alias("tile"))
     back = unpack_sqlite(pack_sqlite(t, {"name": "events", "format": "pbf"}), "archive")
     return back.groupBy("z").agg(F.count("*").alias("tiles"), F.sum(F.octet_length("tile").cast("long")).alias("bytes"))
+
+
+@query("SELECT CAST(event_id % 6 AS INT) AS z, count(*) AS tiles, CAST(sum(strlen(event_type)) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def sqlite_roundtrip_all(read):
+    """The tiles of all events packed and unpacked: an archive for each block of 5000 events."""
+    from tilewright.sources.archives import pack_sqlite_by, unpack_sqlite
+
+    t = read("events").select(F.floor(F.col("event_id") / 5000).alias("region"), (F.col("event_id") % 6).cast("int").alias("z"), F.col("event_id").cast("int").alias("x"), F.lit(0).alias("y"), F.encode("event_type", "UTF-8").alias("tile"))
+    back = unpack_sqlite(pack_sqlite_by(t, "region", {"name": "events", "format": "pbf"}), "archive")
+    return back.groupBy("z").agg(F.count("*").alias("tiles"), F.sum(F.octet_length("tile").cast("long")).alias("bytes"))

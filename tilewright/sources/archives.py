@@ -45,6 +45,27 @@ def valid_archive(files: DataFrame, magic: bytes = b"PMTiles", least: int = 127,
     return files.withColumn("valid", (F.substring("content", 1, len(magic)) == F.lit(magic)) & F.col("length").between(least, most))
 
 
+def _archive(metadata: dict[str, str]) -> sqlite3.Connection:
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE metadata (name TEXT, value TEXT)")
+    db.execute("CREATE TABLE tiles (zoom_level INTEGER, tile_column INTEGER, tile_row INTEGER, tile_data BLOB)")
+    db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
+    db.executemany("INSERT INTO metadata VALUES (?, ?)", sorted(metadata.items()))
+    return db
+
+
+def _insert(db: sqlite3.Connection, batch: pa.RecordBatch) -> None:
+    z, x, y, tile = (batch.column(c).to_pylist() for c in ("z", "x", "row", "tile"))
+    db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", zip(z, x, y, (gzip.compress(t, 6, mtime=0) for t in tile), strict=True))
+
+
+def _bytes(db: sqlite3.Connection) -> bytes:
+    db.commit()
+    data = db.serialize()
+    db.close()
+    return data
+
+
 def pack_sqlite(tiles: DataFrame, metadata: dict[str, str]) -> DataFrame:
     """One row (archive): an SQLite archive of tiles (z, x, y, tile) with rows flipped to TMS and tiles compressed.
 
@@ -53,20 +74,39 @@ def pack_sqlite(tiles: DataFrame, metadata: dict[str, str]) -> DataFrame:
     rows = tiles.dropDuplicates(["z", "x", "y"]).select("z", "x", tms_row(F.col("z"), F.col("y")).alias("row"), "tile").coalesce(1).sortWithinPartitions("z", "x", "row")
 
     def pack(batches):
-        db = sqlite3.connect(":memory:")
-        db.execute("CREATE TABLE metadata (name TEXT, value TEXT)")
-        db.execute("CREATE TABLE tiles (zoom_level INTEGER, tile_column INTEGER, tile_row INTEGER, tile_data BLOB)")
-        db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
-        db.executemany("INSERT INTO metadata VALUES (?, ?)", sorted(metadata.items()))
+        db = _archive(metadata)
         for batch in batches:
-            z, x, y, tile = (batch.column(c).to_pylist() for c in ("z", "x", "row", "tile"))
-            db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", zip(z, x, y, (gzip.compress(t, 6, mtime=0) for t in tile), strict=True))
-        db.commit()
-        yield pa.RecordBatch.from_arrays([pa.array([db.serialize()], pa.binary())], names=["archive"])
+            _insert(db, batch)
+        yield pa.RecordBatch.from_arrays([pa.array([_bytes(db)], pa.binary())], names=["archive"])
 
     return rows.mapInArrow(pack, "archive binary")
 
 
+def pack_sqlite_by(tiles: DataFrame, region: str, metadata: dict[str, str]) -> DataFrame:
+    """(region, archive): an archive as of pack_sqlite for each value of a long column. Regions meet by exchange and are
+    packed one after another; a task holds the archive of one region. Repeated addresses of a region keep one."""
+    rows = tiles.select(F.col(region).alias("region"), "z", "x", "y", "tile").repartition("region").dropDuplicates(["region", "z", "x", "y"])
+    rows = rows.select("region", "z", "x", tms_row(F.col("z"), F.col("y")).alias("row"), "tile").sortWithinPartitions("region", "z", "x", "row")
+
+    def pack(batches):
+        row = lambda at, db: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([_bytes(db)], pa.binary())], names=["region", "archive"])
+        at = db = None
+        for batch in batches:
+            keys, start = batch.column("region").to_pylist(), 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[start]:
+                    if db is None or keys[start] != at:
+                        if db is not None:
+                            yield row(at, db)
+                        at, db = keys[start], _archive(metadata)
+                    _insert(db, batch.slice(start, i - start))
+                    start = i
+        if db is not None:
+            yield row(at, db)
+
+    return rows.withColumn("region", F.col("region").cast("long")).mapInArrow(pack, "region long, archive binary")
+
+
 def unpack_sqlite(archives: DataFrame, column: str = "content") -> DataFrame:
     """(z, x, y, tile) of SQLite archives in a binary column."""
 
