@@ -211,3 +211,12 @@ def test_round_trips_take_every_row(spark):
     tables = {"lineitem": lines, "events": events}
     assert sum(r["features"] for r in features.mvt_roundtrip_all(tables.get).collect()) == 119
     assert sum(r["tiles"] for r in features.sqlite_roundtrip_all(tables.get).collect()) == 6000
+
+
+def test_etags_of_all_events(spark):
+    from tilewright.plans import metrics
+
+    rows = [(1, 1, "a"), (2, 1, "b"), (3, 2, "a"), (4, 2, "a"), (43, 3, "c"), (44, 3, "d")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string")
+    got = sorted(map(tuple, metrics.etag_consistency_all({"events": events}.get).collect()))
+    assert got == [(1, 2, False), (2, 1, True), (3, 2, False)]

@@ -55,6 +55,12 @@ def etag_consistency(read):
     return e.withColumn("consistent", F.col("etags") == 1)
 
 
+@query("SELECT user_id, count(DISTINCT event_type) AS etags, count(DISTINCT event_type) = 1 AS consistent FROM events GROUP BY 1")
+def etag_consistency_all(read):
+    e = read("events").groupBy("user_id").agg(F.count_distinct("event_type").alias("etags"))
+    return e.withColumn("consistent", F.col("etags") == 1)
+
+
 @query("SELECT count(*) AS requests, count(DISTINCT user_id) AS keys, count(*) FILTER (event_type = 'error') AS failures, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(value) AS peak FROM events")
 def counter_snapshot(read):
     return read("events").agg(F.count("*").alias("requests"), F.count_distinct("user_id").alias("keys"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.max("value").alias("peak"))
