@@ -220,3 +220,16 @@ def test_etags_of_all_events(spark):
     events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string")
     got = sorted(map(tuple, metrics.etag_consistency_all({"events": events}.get).collect()))
     assert got == [(1, 2, False), (2, 1, True), (3, 2, False)]
+
+
+def test_whole_texts_are_recoded(spark):
+    import hashlib
+
+    from tilewright.plans import features, recode
+
+    rows = [(1, "Ab/c " + "x" * 80 + " End!", "en"), (2, "Caf\u00e9 Noir", "fr"), (3, "plain", None), (4, None, "en")]
+    tables = {"documents": spark.createDataFrame(rows, "doc_id long, text string, lang string")}
+    md5 = lambda t: t if t is None else hashlib.md5(t.encode()).hexdigest()
+    slugs = {1: "ab--c-" + "x" * 80 + "-end", 2: "caf-noir", 3: "plain", 4: None}
+    assert {r["doc_id"]: r["digest"] for r in recode.slugify_all(tables.get).collect()} == {i: md5(t) for i, t in slugs.items()}
+    assert {r["doc_id"]: r["digest"] for r in features.hex_parameter_all(tables.get).collect()} == {i: md5(t if t is None else "\\x" + t.encode().hex()) for i, t, _ in rows}

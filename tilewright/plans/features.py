@@ -169,6 +169,12 @@ def hex_parameter(read):
     return read("documents").select("doc_id", X.hex_parameter(F.encode(F.substring("text", 1, 16), "UTF-8")).alias("p"))
 
 
+@query("SELECT doc_id, md5('\\x' || lower(hex(encode(text)))) AS digest FROM documents")
+def hex_parameter_all(read):
+    """Parameters of whole texts, as digest."""
+    return read("documents").select("doc_id", F.md5(X.hex_parameter(F.encode("text", "UTF-8"))).alias("digest"))
+
+
 @query(f"WITH {_BOX} SELECT count(*) FILTER (x >= 0 AND y >= 0 AND x <= 4096 AND y <= 4096) AS sane, count(*) AS n FROM b")
 def geometry_sanity(read):
     geom = F.array(F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y"))))

@@ -106,6 +106,13 @@ def slugify(read):
     return read("documents").where("lang = 'en'").select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query("WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(lower(text), '/', '--'), '[^a-z0-9-]+', '-', 'g'), '-{3,}', '--', 'g'), '^-|-$', '', 'g') AS slug FROM documents) SELECT doc_id, length(slug) AS n, md5(slug) AS digest FROM s")
+def slugify_all(read):
+    """Slugs of whole texts, as length and digest."""
+    s = read("documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
+    return s.select("doc_id", F.length("slug").cast("long").alias("n"), F.md5("slug").alias("digest"))
+
+
 @query("SELECT page_id, CASE WHEN lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) IN ('http', 'https') AND NOT contains(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), '@') AND regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) <> '' THEN lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) END AS origin FROM pages")
 def safe_origin(read):
     return read("pages").select("page_id", X.safe_origin(F.col("url")).alias("origin"))
