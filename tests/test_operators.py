@@ -233,3 +233,11 @@ def test_whole_texts_are_recoded(spark):
     slugs = {1: "ab--c-" + "x" * 80 + "-end", 2: "caf-noir", 3: "plain", 4: None}
     assert {r["doc_id"]: r["digest"] for r in recode.slugify_all(tables.get).collect()} == {i: md5(t) for i, t in slugs.items()}
     assert {r["doc_id"]: r["digest"] for r in features.hex_parameter_all(tables.get).collect()} == {i: md5(t if t is None else "\\x" + t.encode().hex()) for i, t, _ in rows}
+
+
+def test_tiles_of_all_points(spark):
+    from tilewright.plans import tiles
+
+    tables = {"events": spark.createDataFrame([(k, 1) for k in range(2000)], "event_id long, user_id long")}
+    got = [tuple(r) for r in tiles.distinct_tiles_all(tables.get).collect()]
+    assert len(got) == len(set(got)) and [r for r in got if r[0] == 0] == [(0, 0, 0)] and len([r for r in got if r[0] == 10]) > 1000

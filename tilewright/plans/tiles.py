@@ -107,6 +107,12 @@ def distinct_tiles(read):
     return c.select("z", T.tile_x(F.col("lon"), F.col("z")).alias("x"), T.tile_y(F.col("lat"), F.col("z")).alias("y")).distinct()
 
 
+@query(f"WITH {POINTS}, t AS (SELECT DISTINCT z, {sql_x('lon', 'z')} AS x, {sql_y('lat', 'z')} AS y FROM points, (SELECT unnest(range(0, 11)) AS z)) SELECT CAST(z AS INT) AS z, x, y FROM t")
+def distinct_tiles_all(read):
+    p = points(read).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(10))))
+    return p.select("z", T.tile_x(F.col("lon"), F.col("z")).alias("x"), T.tile_y(F.col("lat"), F.col("z")).alias("y")).distinct()
+
+
 def _plan(read):
     return regions(read).select(F.col("asset").alias("id"), "west", "south", "east", "north", (F.substring("asset", 2, 9).cast("long") * 97 + 300).alias("size"))
 
