@@ -13,7 +13,7 @@ from tilewright.functions import expressions as E
 from tilewright.functions import text as X
 from tilewright.functions import tilemath as T
 from tilewright.operators import cache, features, inventory, metrics, planning, routing
-from tilewright.operators.profile import RULES, apply_profile
+from tilewright.operators.profile import RULES, apply_profile, centroid
 from tilewright.sources import archives, mvt
 from tilewright.streaming import state
 
@@ -103,8 +103,20 @@ def test_expressions(spark):
 def test_profile_matches_several_rules(spark):
     df = spark.createDataFrame([(1, "polygon", {"landuse": "farmland", "name": "f"}), (2, "line", {"highway": "primary_link"}), (3, "point", {})], "osm_id long, geom_kind string, tags map<string,string>")
     got = sorted((r["osm_id"], r["layer"], r["attrs"].get("class")) for r in apply_profile(df).collect())
-    assert got == [(1, "landcover", "farmland"), (1, "landuse", "farmland"), (2, "transportation", "primary_link")] and len(RULES) == 55
-    assert apply_profile(df, zoom=3).count() == 1
+    assert got == [(1, "landcover", "farmland"), (1, "landuse", "farmland"), (2, "transportation", "primary")] and len(RULES) == 55
+    assert apply_profile(df, zoom=3).count() == 1 and apply_profile(df, rules=[]).count() == 0
+    tags = [("polygon", {"natural": "glacier"}), ("polygon", {"natural": "water", "name": "it's"}), ("line", {"highway": "residential", "bridge": "no"}), ("line", {"railway": "tram", "tunnel": "culvert"}), ("line", {"highway": "primary_link", "bridge": "viaduct"}), ("line", None)]
+    many = spark.createDataFrame([(k, *t) for k, t in enumerate(tags)], "osm_id long, geom_kind string, tags map<string,string>")
+    attrs = {(r["osm_id"], r["layer"]): r["attrs"] for r in apply_profile(many).collect()}
+    assert attrs[0, "landcover"] == {"class": "ice"} and attrs[1, "water"] == {"class": "lake", "name": "it's"} and (5, "transportation") not in attrs
+    assert attrs[2, "transportation"] == {"class": "minor", "subclass": "residential", "brunnel": "none", "ramp": "0"}
+    assert attrs[3, "transportation"] == {"class": "transit", "subclass": "tram", "brunnel": "tunnel"}
+    assert attrs[4, "transportation"] == {"class": "primary", "subclass": "primary_link", "brunnel": "bridge", "ramp": "1"}
+
+
+def test_centroid(spark):
+    df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)],), ([(1.0, 1.0), (3.0, 5.0)],), ([],)], "ring array<struct<x:double,y:double>>")
+    assert [tuple(r["c"]) for r in df.select(centroid(F.col("ring")).alias("c")).collect()] == [(2.0, 1.0), (2.0, 3.0), (None, None)]
 
 
 def test_text(spark):

@@ -155,30 +155,79 @@ def header_functions(read):
     return read("pages").select("page_id", X.language_key(pick("name_zh_Hans", "name_en", "class", "name")).alias("k"), X.content_type(pick("a/b.PNG", "x.pbf", "i.html", "noending")).alias("type"), X.accepts_gzip(pick("br, gzip", "GZIP", "gzipped", "deflate")).alias("gzip"))
 
 
-# elements whose tags come from parts
-_TAGS = [("natural", "water"), ("highway", "motorway_link"), ("highway", "primary"), ("landuse", "farmland"), ("amenity", "cafe"), ("building", "yes"), ("place", "city"), ("boundary", "administrative"), ("waterway", "river"), ("aeroway", "runway")]
+# elements whose tags come from parts: a main tag by the part's key, others by its size
+_MAIN = {
+    "natural": "wood scrub heath grassland fell glacier sand beach wetland water peak volcano",
+    "landuse": "forest meadow farmland orchard vineyard grass residential commercial industrial retail cemetery recreation_ground quarry farmyard",
+    "leisure": "garden playground golf_course pitch park nature_reserve",
+    "boundary": "national_park protected_area administrative",
+    "waterway": "riverbank dock river canal stream drain ditch",
+    "highway": "motorway motorway_link trunk trunk_link primary primary_link secondary secondary_link tertiary tertiary_link unclassified residential living_street service track pedestrian path footway cycleway steps",
+    "railway": "rail narrow_gauge light_rail subway tram monorail", "route": "ferry", "aerialway": "cable_car gondola t-bar", "building": "yes house", "aeroway": "runway taxiway aerodrome helipad heliport",
+    "place": "continent country state region city town village suburb neighbourhood hamlet", "amenity": "cafe", "tourism": "hotel", "addr:housenumber": "12", "shop": "bakery",
+}
+_TAGS = [(k, v) for k, values in _MAIN.items() for v in values.split()]
 
 
 def _elements(read):
-    k = F.col("p_partkey")
-    main = F.element_at(F.array(*(F.struct(F.lit(a).alias("k"), F.lit(b).alias("v")) for a, b in _TAGS)), (k % 10 + 1).cast("int"))
-    tags = F.map_from_entries(F.filter(F.array(main, F.when(k % 3 == 0, F.struct(F.lit("name").alias("k"), F.concat(F.lit("n"), k.cast("string")).alias("v"))), F.struct(F.lit("admin_level").alias("k"), (F.col("p_size") % 9).cast("string").alias("v"))), lambda x: x.isNotNull()))
-    kind = F.element_at(F.array(*map(F.lit, ("point", "line", "polygon"))), (F.col("p_size") % 3 + 1).cast("int"))
-    return read("part").select(k.alias("osm_id"), kind.alias("geom_kind"), tags.alias("tags"))
-
-
-@query("""WITH e AS (SELECT p_partkey AS id, p_partkey % 10 AS t, p_partkey % 3 = 0 AS named, CAST(p_size % 9 AS VARCHAR) AS lvl, ['point', 'line', 'polygon'][p_size % 3 + 1] AS g FROM part),
-r AS (SELECT id, 'water' AS layer, 7 AS rule FROM e WHERE t = 0 AND g = 'polygon' UNION ALL SELECT id, 'water_name', 51 FROM e WHERE t = 0 AND g = 'polygon' AND named
-UNION ALL SELECT id, 'transportation', 12 FROM e WHERE t = 1 AND g = 'line' UNION ALL SELECT id, 'transportation', 14 FROM e WHERE t = 2 AND g = 'line' UNION ALL SELECT id, 'transportation_name', 28 FROM e WHERE t = 2 AND g = 'line' AND named
-UNION ALL SELECT id, 'landcover', 2 FROM e WHERE t = 3 AND g = 'polygon' UNION ALL SELECT id, 'landuse', 3 FROM e WHERE t = 3 AND g = 'polygon'
-UNION ALL SELECT id, 'poi', 47 FROM e WHERE t = 4 AND g = 'point' UNION ALL SELECT id, 'poi', 48 FROM e WHERE t = 4 AND g = 'polygon' UNION ALL SELECT id, 'building', 31 FROM e WHERE t = 5 AND g = 'polygon'
-UNION ALL SELECT id, 'place', 43 FROM e WHERE t = 6 AND g = 'point' UNION ALL SELECT id, 'boundary', 35 FROM e WHERE t = 7 AND g = 'line' AND lvl = '2' UNION ALL SELECT id, 'boundary', 36 FROM e WHERE t = 7 AND g = 'line' AND lvl = '4'
-UNION ALL SELECT id, 'boundary', 37 FROM e WHERE t = 7 AND g = 'line' AND lvl IN ('5', '6') UNION ALL SELECT id, 'boundary', 38 FROM e WHERE t = 7 AND g = 'line' AND lvl IN ('7', '8')
-UNION ALL SELECT id, 'waterway', 9 FROM e WHERE t = 8 AND g = 'line' UNION ALL SELECT id, 'water_name', 52 FROM e WHERE t = 8 AND g = 'line' AND named
-UNION ALL SELECT id, 'aeroway', 32 FROM e WHERE t = 9 AND g = 'line' UNION ALL SELECT id, 'aeroway', 33 FROM e WHERE t = 9 AND g = 'polygon')
-SELECT id AS osm_id, CAST(rule AS INT) AS rule, layer FROM r""")
+    main = f"element_at(array({', '.join(f"struct('{a}' AS k, '{b}' AS v)" for a, b in _TAGS)}), CAST(p_partkey % {len(_TAGS)} + 1 AS INT))"
+    more = {
+        "name": "CASE WHEN p_partkey % 5 < 3 THEN 'n' || p_partkey END", "name:en": "CASE WHEN p_size % 2 = 1 THEN 'e' || p_partkey END", "ref": "CASE WHEN p_size % 7 = 0 THEN 'A' || p_size END", "admin_level": "CAST(p_size % 9 AS STRING)",
+        "disputed": "CASE WHEN p_size % 4 = 0 THEN 'yes' END", "maritime": "CASE WHEN p_size % 5 = 0 THEN 'yes' ELSE 'no' END", "water": "CASE WHEN p_size % 3 = 0 THEN 'pond' END", "population": "CASE WHEN p_size % 2 = 0 THEN CAST(p_size * 100 AS STRING) ELSE 'many' END",
+        "height": "p_size || '.5'", "min_height": "CASE WHEN p_size % 3 = 1 THEN 'low' ELSE '2' END", "ele": "p_size || '.25'", "location": "CASE WHEN p_size % 7 = 0 THEN 'underground' END",
+        "bridge": "CASE p_size % 4 WHEN 1 THEN 'yes' WHEN 2 THEN 'no' END", "tunnel": "CASE p_size % 6 WHEN 1 THEN 'culvert' WHEN 2 THEN 'yes' END", "surface": "CASE WHEN p_size % 3 = 2 THEN 'asphalt' END", "iata": "CASE WHEN p_size % 2 = 0 THEN 'IAT' END",
+    }
+    pairs = ", ".join(f"struct('{key}' AS k, {v} AS v)" for key, v in more.items())
+    return read("part").selectExpr("p_partkey AS osm_id", f"element_at(array('point', 'line', 'polygon'), CAST(p_partkey DIV {len(_TAGS)} % 3 + 1 AS INT)) AS geom_kind", f"map_from_entries(filter(array({main}, {pairs}), x -> x.v IS NOT NULL)) AS tags")
+
+
+# the rules once more, for SQL: number, layer, least zoom, kinds of elements, main tag, its values (* any), what else it needs
+_PROFILE_SQL = """
+  (1, 'landcover', 3, 'polygon', 'natural', 'wood scrub heath grassland fell glacier sand beach wetland', ''), (2, 'landcover', 3, 'polygon', 'landuse', 'forest meadow farmland orchard vineyard grass', ''),
+  (3, 'landuse', 6, 'polygon', 'landuse', 'residential commercial industrial retail cemetery recreation_ground quarry farmland farmyard', ''), (4, 'landuse', 7, 'polygon', 'leisure', 'garden playground golf_course pitch', ''),
+  (5, 'park', 5, 'polygon', 'boundary', 'national_park protected_area', ''), (6, 'park', 7, 'polygon', 'leisure', 'park nature_reserve', ''),
+  (7, 'water', 4, 'polygon', 'natural', 'water', ''), (8, 'water', 5, 'polygon', 'waterway', 'riverbank dock', ''),
+  (9, 'waterway', 6, 'line', 'waterway', 'river', ''), (10, 'waterway', 8, 'line', 'waterway', 'canal', ''), (11, 'waterway', 10, 'line', 'waterway', 'stream drain ditch', ''),
+  (12, 'transportation', 4, 'line', 'highway', 'motorway motorway_link', ''), (13, 'transportation', 4, 'line', 'highway', 'trunk trunk_link', ''), (14, 'transportation', 6, 'line', 'highway', 'primary primary_link', ''),
+  (15, 'transportation', 8, 'line', 'highway', 'secondary secondary_link', ''), (16, 'transportation', 9, 'line', 'highway', 'tertiary tertiary_link', ''), (17, 'transportation', 11, 'line', 'highway', 'unclassified residential living_street', ''),
+  (18, 'transportation', 12, 'line', 'highway', 'service', ''), (19, 'transportation', 12, 'line', 'highway', 'track', ''), (20, 'transportation', 12, 'line', 'highway', 'pedestrian', ''),
+  (21, 'transportation', 13, 'line', 'highway', 'path footway cycleway', ''), (22, 'transportation', 13, 'line', 'highway', 'steps', ''), (23, 'transportation', 8, 'line', 'railway', 'rail narrow_gauge', ''),
+  (24, 'transportation', 9, 'line', 'railway', 'light_rail subway tram monorail', ''), (25, 'transportation', 7, 'line', 'route', 'ferry', ''), (26, 'transportation', 10, 'line', 'aerialway', 'cable_car gondola chair_lift drag_lift platter t-bar rope_tow', ''),
+  (27, 'transportation_name', 7, 'line', 'highway', 'motorway trunk', 'name or ref'), (28, 'transportation_name', 8, 'line', 'highway', 'primary', 'name or ref'), (29, 'transportation_name', 10, 'line', 'highway', 'secondary tertiary', 'name or ref'),
+  (30, 'transportation_name', 12, 'line', 'highway', 'unclassified residential', 'name'), (31, 'building', 13, 'polygon', 'building', '*', ''), (32, 'aeroway', 9, 'line', 'aeroway', 'runway taxiway', ''),
+  (33, 'aeroway', 10, 'polygon', 'aeroway', 'aerodrome runway taxiway helipad', ''), (34, 'aerodrome_label', 8, 'point polygon', 'aeroway', 'aerodrome heliport', ''),
+  (35, 'boundary', 0, 'line', 'boundary', 'administrative', '2'), (36, 'boundary', 3, 'line', 'boundary', 'administrative', '4'), (37, 'boundary', 6, 'line', 'boundary', 'administrative', '5 6'), (38, 'boundary', 8, 'line', 'boundary', 'administrative', '7 8'),
+  (39, 'place', 0, 'point', 'place', 'continent', ''), (40, 'place', 2, 'point', 'place', 'country', ''), (41, 'place', 3, 'point', 'place', 'state', ''), (42, 'place', 4, 'point', 'place', 'region', ''), (43, 'place', 5, 'point', 'place', 'city', ''),
+  (44, 'place', 7, 'point', 'place', 'town', ''), (45, 'place', 9, 'point', 'place', 'village', ''), (46, 'place', 10, 'point', 'place', 'suburb neighbourhood hamlet', ''),
+  (47, 'poi', 11, 'point', 'amenity', '*', ''), (48, 'poi', 12, 'polygon', 'amenity', '*', ''), (49, 'poi', 11, 'point', 'tourism', '*', ''), (50, 'poi', 12, 'polygon', 'tourism', '*', ''),
+  (51, 'water_name', 5, 'polygon', 'natural', 'water', 'name'), (52, 'water_name', 6, 'line', 'waterway', 'river canal stream', 'name'), (53, 'mountain_peak', 8, 'point', 'natural', 'peak volcano', ''),
+  (54, 'housenumber', 16, 'point', 'addr:housenumber', '*', ''), (55, 'housenumber', 16, 'polygon', 'addr:housenumber', '*', '')"""
+
+
+@query(f"""WITH tags(nr, k, v) AS (VALUES {", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(_TAGS))}),
+e AS (SELECT p_partkey AS id, p_size AS n, k, v, ['point', 'line', 'polygon'][p_partkey // {len(_TAGS)} % 3 + 1] AS g, CASE WHEN p_partkey % 5 < 3 THEN 'n' || p_partkey END AS name, CASE WHEN p_size % 7 = 0 THEN 'A' || p_size END AS ref FROM part JOIN tags ON p_partkey % {len(_TAGS)} = nr),
+r(rule, layer, least, kinds, key, vals, needs) AS (VALUES {_PROFILE_SQL}),
+h AS (SELECT * FROM e JOIN r ON k = key AND list_contains(string_split(kinds, ' '), g) AND (vals = '*' OR list_contains(string_split(vals, ' '), v))
+  AND (needs = '' OR needs = 'name' AND name IS NOT NULL OR needs = 'name or ref' AND (name IS NOT NULL OR ref IS NOT NULL) OR layer = 'boundary' AND list_contains(string_split(needs, ' '), CAST(n % 9 AS VARCHAR)))),
+a AS (SELECT *, CASE
+    WHEN rule = 1 THEN CASE WHEN v = 'wood' THEN 'wood' WHEN v IN ('scrub', 'heath') THEN 'scrub' WHEN v = 'glacier' THEN 'ice' WHEN v IN ('sand', 'beach') THEN 'sand' WHEN v = 'wetland' THEN 'wetland' ELSE 'grass' END
+    WHEN rule = 2 THEN CASE WHEN v = 'forest' THEN 'wood' WHEN v IN ('farmland', 'orchard', 'vineyard') THEN 'farmland' ELSE 'grass' END
+    WHEN rule IN (7, 51) THEN CASE WHEN n % 3 = 0 THEN 'pond' ELSE 'lake' END
+    WHEN rule BETWEEN 12 AND 16 THEN replace(v, '_link', '') WHEN rule IN (17, 30) THEN 'minor' WHEN rule = 21 THEN 'path' WHEN rule = 23 THEN 'rail' WHEN rule = 24 THEN 'transit' WHEN rule = 26 THEN 'aerialway' WHEN rule < 54 AND layer <> 'boundary' THEN v END AS class,
+  CASE WHEN rule IN (25, 26) THEN 'none' WHEN rule BETWEEN 12 AND 30 THEN CASE WHEN n % 4 = 1 THEN 'bridge' WHEN n % 6 IN (1, 2) THEN 'tunnel' ELSE 'none' END END AS brunnel FROM h)
+SELECT id AS osm_id, CAST(rule AS INT) AS rule, layer, CAST(least AS INT) AS min_zoom, array_to_string(list_sort(list_filter([
+  'class=' || class, 'brunnel=' || brunnel, CASE WHEN layer = 'transportation' OR layer = 'poi' THEN 'subclass=' || v END,
+  CASE WHEN rule BETWEEN 12 AND 22 THEN 'ramp=' || CASE WHEN contains(v, '_link') THEN '1' ELSE '0' END END,
+  CASE WHEN rule BETWEEN 12 AND 21 AND n % 3 = 2 THEN 'surface=asphalt' END, CASE WHEN rule BETWEEN 12 AND 17 OR layer = 'transportation_name' THEN 'ref=' || ref END,
+  CASE WHEN layer NOT IN ('landcover', 'building', 'housenumber') AND rule <> 32 THEN 'name=' || name END, CASE WHEN layer = 'aeroway' THEN 'type=' || v END,
+  CASE WHEN layer = 'building' THEN 'render_height=' || n || '.5' END, CASE WHEN layer = 'building' AND n % 3 <> 1 THEN 'render_min_height=2.0' END, CASE WHEN layer = 'building' THEN 'underground=' || (n % 7 = 0) END,
+  CASE WHEN layer = 'aerodrome_label' AND n % 2 = 0 THEN 'iata=IAT' END, CASE WHEN layer = 'boundary' THEN 'admin_level=' || (n % 9) END, CASE WHEN layer = 'boundary' THEN 'disputed=' || CAST(n % 4 = 0 AS INT) END,
+  CASE WHEN layer = 'boundary' THEN 'maritime=' || CAST(n % 5 = 0 AS INT) END, CASE WHEN layer = 'place' THEN 'name:latin=' || CASE WHEN n % 2 = 1 THEN 'e' || id ELSE name END END,
+  CASE WHEN layer = 'place' AND rule < 46 AND n % 2 = 0 THEN 'population=' || n * 100 END, CASE WHEN layer = 'place' THEN 'rank=' || greatest(rule - 39, 1) END,
+  CASE WHEN layer = 'mountain_peak' THEN 'ele=' || n || '.25' END, CASE WHEN layer = 'housenumber' THEN 'housenumber=' || v END], lambda x: x IS NOT NULL)), ';') AS attrs FROM a""")
 def profile_union(read):
-    return apply_profile(_elements(read)).select("osm_id", "rule", "layer")
+    pairs = F.sort_array(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return apply_profile(_elements(read)).select("osm_id", "rule", "layer", "min_zoom", F.concat_ws(";", pairs).alias("attrs"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n, count(*) FILTER (l_returnflag IN ('A', 'R') AND l_quantity >= 10 AND NOT (l_linestatus = 'F' AND l_linenumber > 4)) AS hit,
