@@ -2,10 +2,13 @@
 
 Tokens are runs of letters and digits, or of other signs, lower-cased. Single tokens and pairs are hashed into BUCKETS
 buckets. The target model is fitted on documents labelled good, the raw model counts every document. A document's
-weight is the ratio of the two generative models, taken per n-gram (the mean of log ratios), so that length alone
-doesn't decide. Resampling without replacement adds Gumbel noise, a function of the document's id, to the log weight
-and keeps the k largest keys. k is the number of documents whose log weight reaches what all but MISSED of the good
-training documents reach under a model that they weren't in, with a margin; the k-th key is found by histograms that close in on it, not by a global sort.
+importance weight is the ratio of the two generative models: its log is the sum of log ratios over the n-grams. So a
+short text stays near 0, and a long one weighs as much as its wording says.
+
+Resampling without replacement is a Gumbel top-k: a standard Gumbel variable, a function of the document's id and a
+seed, is added to log weight / TEMPERATURE, and the k largest keys are kept. k is a parameter; without it, k is the number
+of documents whose log weight reaches what all but MISSED of the good training documents reach under a model that they
+weren't in. The k-th key is found by histograms that close in on it, not by a global sort.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from tilewright.llm.shingles import _BYTE, _Powers, mix, slices
 BUCKETS, PARTS = 1 << 16, 16
 #: Bounds of the training sample: good documents, poor ones, and characters of a document.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
-#: Share of good training documents that may fall below the cut, scale of the Gumbel noise, counts added to each bucket.
-MISSED, NOISE, ADDED = 0.002, 0.004, 1.0
+#: Share of good training documents that may fall below the cut, what log weights are divided by, counts added to each bucket.
+MISSED, TEMPERATURE, ADDED = 0.001, 1.0, 1.0
 #: Parts of the training sample, each scored under the model of the others.
 FOLDS = 8
 _U = np.uint64
+#: The bucket of a token that follows itself. Repetition is the commonest sign of degenerate text; single pairs of equal
+#: tokens are too rare to be learned, their class isn't.
 REPEAT = _U(0x5851F42D4C957F2D)
 _CLASS = np.full(256, 2, dtype=np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -90,20 +95,20 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(t / t.sum()) - np.log(r / r.sum())
 
 
-def mean_ratios(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
-    """Mean log ratio of each text; 0 without n-grams."""
+def log_weights(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
+    """Sum of the log ratios of each text's n-grams; 0 without n-grams."""
     out = []
     for a, b in slices([len(t) for t in texts]):
         buckets, counts = ngram_buckets(texts[a:b])
         sums = np.concatenate([[0.0], np.cumsum(ratios[buckets])])
         ends = np.cumsum(counts)
-        out.append((sums[ends] - sums[ends - counts]) / np.maximum(counts, 1))
+        out.append(sums[ends] - sums[ends - counts])
     return np.concatenate(out) if out else np.zeros(0)
 
 
 def fitted(sample: list[bytes], raw: np.ndarray) -> tuple[np.ndarray, float]:
     """(log ratios, cut): the cut is what all but MISSED of the sample reach when the target model is fitted on the other
-    folds, as new documents would, less a quarter of its distance from the median for the sample's own error."""
+    folds, as new documents would."""
     if not sample:
         return np.zeros(BUCKETS), -1.0
     folds = []
@@ -113,9 +118,8 @@ def fitted(sample: list[bytes], raw: np.ndarray) -> tuple[np.ndarray, float]:
             counts += np.bincount(ngram_buckets(sample[k::FOLDS][a:b])[0], minlength=BUCKETS)
         folds.append(counts)
     whole = np.sum(folds, axis=0)
-    crossed = np.concatenate([mean_ratios(sample[k::FOLDS], log_ratios(whole - f, raw)) for k, f in enumerate(folds)])
-    least, middle = np.quantile(crossed, [MISSED, 0.5])
-    return log_ratios(whole, raw), float(least - (middle - least) / 4)
+    crossed = np.concatenate([log_weights(sample[k::FOLDS], log_ratios(whole - f, raw)) for k, f in enumerate(folds)])
+    return log_ratios(whole, raw), float(np.quantile(crossed, MISSED))
 
 
 def held_out() -> Column:
@@ -172,36 +176,43 @@ def kth_key(scored: DataFrame, k: int, bins: int = 4096, few: int = 4096) -> tup
     return low, t_low
 
 
-def _key(doc_id: Column) -> tuple[Column, Column]:
-    """(key, tie) of a row: its log weight with Gumbel noise from 53 bits of a hash of the id, never 0 or 1."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit("noise")), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.col("log_weight") - NOISE * F.log(-F.log(uniform)), F.xxhash64(doc_id, F.lit("tie"))
+def _key(doc_id: Column, temperature: float, seed: int) -> tuple[Column, Column]:
+    """(key, tie) of a row: its log weight by temperature, and a standard Gumbel variable from 53 bits of a hash of the
+    id and seed, never 0 or 1."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed), F.lit("noise")), 11).cast("double") + 0.5) / float(1 << 53)
+    return F.col("log_weight") / F.lit(float(temperature)) - F.log(-F.log(uniform)), F.xxhash64(doc_id, F.lit(seed), F.lit("tie"))
+
+
+def top_k(scored: DataFrame, k: int) -> Column:
+    """Whether a row of (key, tie) is among the k of the largest keys; rows of one key and tie stay together."""
+    if k < 1:
+        return F.lit(False)
+    last, least = kth_key(scored, k)
+    return (F.col("key") > last) | ((F.col("key") == last) & (F.col("tie") >= least))
 
 
-def weighed(documents: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
+def weighed(documents: DataFrame, labels: DataFrame, keep: bool = False, k: int | None = None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
     """(doc_id, log_weight, key, kept) of every row, and with keep row, the whole row as a struct.
 
-    A null or empty text has log weight 0. Noise depends on doc_id alone, so reruns agree; rows with equal keys are told
-    apart by a hash of the id. Without labelled good documents every log weight is 0 and all are kept. Null ids count as
-    one id. An empty table gives an empty result; other columns are ignored.
+    k: rows to keep (all if there are fewer); None: as many as reach the cut. A null or empty text has log weight 0.
+    Noise depends on doc_id and seed alone, so reruns agree; rows with equal keys are told apart by a hash of the id.
+    Without labelled good documents every log weight is 0 and, without k, all are kept. Null ids count as one id. An
+    empty table gives an empty result; other columns are ignored.
     """
     small_batches(documents.sparkSession)
     docs = keyed_texts(documents)
     sample = good_sample(documents, labels)
     ratios, cut = fitted(sample, raw_counts(docs) if sample else np.zeros(BUCKETS))
     trim()
-    weights = lambda texts: [mean_ratios([t.encode() for t in texts], ratios).tolist()]
+    weights = lambda texts: [log_weights([t.encode() for t in texts], ratios).tolist()]
     doc_id = F.col("row")[documents.select(documents["doc_id"]).columns[0]].cast("long")
     rows = beside(documents, "log_weight double", weights)
-    key, tie = _key(doc_id)
-    scored = stored(rows.select(doc_id.alias("doc_id"), "log_weight").select("doc_id", "log_weight", _key(F.col("doc_id"))[0].alias("key"), _key(F.col("doc_id"))[1].alias("tie")))
-    k = scored.where(F.col("log_weight") >= cut).count()
-    kept = F.lit(False)
-    if k:
-        last, least = kth_key(scored, k)
-        kept = (F.col("key") > last) | ((F.col("key") == last) & (F.col("tie") >= least))
+    key, tie = _key(F.col("doc_id"), temperature, seed)
+    scored = stored(rows.select(doc_id.alias("doc_id"), "log_weight").select("doc_id", "log_weight", key.alias("key"), tie.alias("tie")))
+    n, reached = scored.agg(F.count("*"), F.count_if(F.col("log_weight") >= cut)).first()
+    kept = top_k(scored, min(n, reached if k is None else k))
     if keep:  # weights are made again beside the rows: cheaper than moving texts to meet them
-        scored = rows.withColumns({"doc_id": doc_id, "key": key, "tie": tie})
+        scored = rows.withColumn("doc_id", doc_id).withColumns({"key": key, "tie": tie})
     return scored.select("doc_id", "log_weight", "key", kept.alias("kept"), *["row"] * keep)
 
 
