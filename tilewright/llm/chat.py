@@ -6,8 +6,13 @@ turns are kept, merged into the turn before, relabelled, or empty turns are inse
 in order. Between equal costs the path whose choices come first in the table of moves wins, so results are definite.
 
 Costs of a turn are a small matrix (state before, state after) for each role, and matrices compose by (min, +), so a
-conversation of any length is split into blocks of turns: each block gives one matrix, the blocks of a conversation
+conversation of any length is split into blocks of TURNS turns: each block gives one matrix, the blocks of a conversation
 are chained to find the state at every border, and blocks are then repaired on their own.
+
+Turns are range-sorted by conversation and number, so that a hot conversation spreads over tasks. A conversation that
+lies within one task and one block is repaired there; turns of the others are counted through, dealt by block, and meet
+again. Text is kept but for one thing: "<|" in it gets a zero-width space in the middle, so that it can't pass for a
+marker of the format.
 """
 
 from __future__ import annotations
@@ -16,7 +21,8 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import batches_by_key, partitions, small_batches, stored, table, tidy
@@ -28,8 +34,8 @@ ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assi
 NEXT = {0: ("system", "user"), 1: ("user",), 2: ("assistant",), 3: ("user",)}
 FINAL = (0, 3)
 MERGE, INSERT, RELABEL = 1, 2, 3
-#: Turn numbers of a block.
-TURNS = 1 << 16
+#: Turns of a block, the text of one row of the result.
+TURNS = 1 << 12
 _FAR = 1 << 40
 
 
@@ -137,53 +143,106 @@ def rendered(turns: list[tuple[str, str]], goes_on: bool = False) -> str:
     return "\n<|end|>\n".join(out)
 
 
+def _rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def _whole(conv: int | None, roles: list[str | None], texts: list[str]) -> tuple:
+    """(conv_id, cost, n_turns, n_out, roles, text) of a conversation in one block."""
+    known = [role_of(r) for r in roles]
+    cost, states = best_states([block_matrix(known)])
+    turns, _ = repaired(known, texts, states[0], states[1], True)
+    return conv, cost, len(roles), len(turns), [r for r, _ in turns], rendered(turns) + "\n<|end|>\n"
+
+
 def formatted(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
     """(conv_id, part, parts, cost, n_turns, n_out, roles, text) of each block of each conversation.
 
-    Almost every conversation is one block; the texts of a longer one, joined in order of part, are its rendering. cost is
-    the whole conversation's. Turns follow by number, then by role and text; null numbers come first, as turn -1. A null
-    text is empty; a null or unknown role is relabelled. Rows without conv_id are one conversation of id null. Repeated
-    rows are turns of their own. An empty table gives an empty result; other columns are ignored.
+    A conversation of up to TURNS turns is one row, whatever their numbers. A longer one has a row for each TURNS turns:
+    parts of them, whose texts, joined in order of part, are its rendering; cost is the whole conversation's. Turns
+    follow by number, then by role and text; null numbers come first. A null text is empty; a null or unknown role is
+    relabelled. Rows without conv_id are one conversation of id null. Repeated rows are turns of their own. An empty
+    table gives an empty result; other columns are ignored.
     """
     spark = conversations.sparkSession
     small_batches(spark)
     c = conversations
-    rows = c.select(c["conv_id"].cast("long").alias("conv_id"), F.coalesce(c["turn"].cast("long"), F.lit(-1)).alias("turn"), c["role"].cast("string").alias("role"), F.coalesce(c["text"].cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.floor(F.col("turn") / turns).cast("long")).withColumn("group", F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("block").cast("string")))
+    rows = c.select(c["conv_id"].cast("long").alias("conv_id"), c["turn"].cast("long").alias("turn"), c["role"].cast("string").alias("role"), F.coalesce(c["text"].cast("string"), F.lit("")).alias("text"))
+    order = ["conv_id", "turn", "role", "text"]
+    # equal turns of one conversation may be told apart in any way
+    ranged = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order, "tie").sortWithinPartitions(*order).drop("turn", "tie")
+    kinds = {"conv_id": pa.int64(), "cost": pa.int64(), "n_turns": pa.int64(), "n_out": pa.int64(), "roles": pa.list_(pa.string()), "text": pa.string(), "place": pa.int32(), "at": pa.int64(), "role": pa.string()}
+
+    def first(batches):
+        """Whole conversations, repaired, and the turns of those that may go on in another task or block."""
+        place = TaskContext.get().partitionId()
+        held, n, size, conv, is_open = [], 0, 0, None, True  # turns of the current conversation; the first may have begun before
+
+        def left():
+            return [(conv, None, None, None, None, text, place, n - len(held) + k, role) for k, (role, text) in enumerate(held)]
+
+        out, begun = [], False
+        for batch in batches:
+            for at, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
+                if begun and at != conv:
+                    out += left() if is_open else [(*_whole(conv, *zip(*held, strict=True)), None, None, None)]
+                    held, n, is_open = [], 0, False
+                begun, conv = True, at
+                held.append((role, text))
+                n, size = n + 1, size + len(text)
+                if len(held) > turns or is_open and len(held) >= 1000:
+                    out, is_open = out + left(), True
+                    held = []
+                if len(out) >= 1000 or size > 4 << 20:
+                    if out:
+                        yield _rows(out, kinds)
+                    out, size = [], 0
+        out += left()
+        if out:
+            yield _rows(out, kinds)
+
+    known = "conv_id long, cost long, n_turns long, n_out long, roles array<string>, text string"
+    taken = stored(ranged.mapInArrow(tidy(first), known + ", place int, at long, role string"))
+    done = taken.where("place IS NULL").select("conv_id", F.lit(0).alias("part"), F.lit(1).alias("parts"), "cost", "n_turns", "n_out", "roles", "text")
+    # the turns of open conversations, numbered through: places of one conversation follow each other
+    mine = F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("place").cast("string"))
+    left = taken.where("place IS NOT NULL").select("conv_id", "place", "at", "role", "text", mine.alias("piece"))
+    earlier = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = left.groupBy("conv_id", "place", "piece").agg(F.count("*").alias("n")).select("piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    dense = left.join(starts, "piece").withColumn("turn", F.col("start") + F.col("at")).withColumn("block", F.floor(F.col("turn") / turns).cast("long"))
+    blocks = dense.select("conv_id", "block", "turn", "role", "text", F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("block").cast("string")).alias("group"))
 
     def matrices(batches):
         for g in batches_by_key(batches, "group"):
             m = block_matrix([role_of(r) for r in g.column("role").to_pylist()])
-            yield pa.RecordBatch.from_arrays([g.column("conv_id").combine_chunks().slice(0, 1), g.column("block").combine_chunks().slice(0, 1), pa.array([m.ravel().tolist()], pa.list_(pa.int64()))], names=["conv_id", "block", "costs"])
+            yield _rows([(g.column("conv_id")[0].as_py(), g.column("block")[0].as_py(), m.ravel().tolist())], {"conv_id": pa.int64(), "block": pa.int64(), "costs": pa.list_(pa.int64())})
 
-    order = ["group", "turn", "role", "text"]
-    costs = rows.repartition(partitions(spark), "group").sortWithinPartitions(*order).mapInArrow(tidy(matrices), "conv_id long, block long, costs array<long>")
+    costs = blocks.drop("text").repartition(partitions(spark), "group").sortWithinPartitions("group", "turn").mapInArrow(tidy(matrices), "conv_id long, block long, costs array<long>")
     chains = costs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "costs"))).alias("chain"))
+    border = {"group": pa.string(), "part": pa.int32(), "parts": pa.int32(), "cost": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
 
     def borders(batches):
         for batch in batches:
             out = []
             for conv, chain in zip(batch.column("conv_id").to_pylist(), batch.column("chain").to_pylist(), strict=True):
                 total, states = best_states([np.array(x["costs"], dtype=np.int64).reshape(4, 4) for x in chain])
-                for k, x in enumerate(chain):
-                    out.append((f"{'' if conv is None else conv}/{x['block']}", k, len(chain), total, states[k], states[k + 1]))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["group", "part", "parts", "cost", "start", "stop"])
+                out += [(f"{'' if conv is None else conv}/{x['block']}", k, len(chain), total, states[k], states[k + 1]) for k, x in enumerate(chain)]
+            yield _rows(out, border)
 
-    known = stored(chains.mapInArrow(tidy(borders), "group string, part int, parts int, cost long, start int, stop int"))
+    met = stored(chains.mapInArrow(tidy(borders), "group string, part int, parts int, cost long, start int, stop int"))
+    result = {"conv_id": pa.int64(), "part": pa.int32(), "parts": pa.int32(), "cost": pa.int64(), "n_turns": pa.int64(), "n_out": pa.int64(), "roles": pa.list_(pa.string()), "text": pa.string()}
 
     def repair(batches):
         for g in batches_by_key(batches, "group"):
-            first = {k: g.column(k)[0].as_py() for k in ("conv_id", "part", "parts", "cost", "start", "stop")}
-            turns_, goes_on = repaired([role_of(r) for r in g.column("role").to_pylist()], g.column("text").to_pylist(), first["start"], first["stop"], first["part"] == first["parts"] - 1)
-            text = rendered(turns_, goes_on) + ("\n<|end|>\n" if first["part"] == first["parts"] - 1 else "")
-            if first["part"] and not goes_on:
-                text = "\n<|end|>\n" + text
-            row = (first["conv_id"], first["part"], first["parts"], first["cost"], g.num_rows, len(turns_) - goes_on, [r for r, _ in turns_][goes_on:], text)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=["conv_id", "part", "parts", "cost", "n_turns", "n_out", "roles", "text"])
-
-    return rows.join(known, "group").repartition(partitions(spark), "group").sortWithinPartitions(*order).mapInArrow(tidy(repair), "conv_id long, part int, parts int, cost long, n_turns long, n_out long, roles array<string>, text string")
+            conv, part, parts, cost, start, stop = (g.column(k)[0].as_py() for k in ("conv_id", "part", "parts", "cost", "start", "stop"))
+            last = part == parts - 1
+            turns_, goes_on = repaired([role_of(r) for r in g.column("role").to_pylist()], g.column("text").to_pylist(), start, stop, last)
+            text = rendered(turns_, goes_on) + "\n<|end|>\n" * last
+            text = "\n<|end|>\n" + text if part and not goes_on else text
+            yield _rows([(conv, part, parts, cost, g.num_rows, len(turns_) - goes_on, [r for r, _ in turns_][goes_on:], text)], result)
+
+    long = blocks.join(met, "group").repartition(partitions(spark), "group").sortWithinPartitions("group", "turn").mapInArrow(tidy(repair), "conv_id long, part int, parts int, cost long, n_turns long, n_out long, roles array<string>, text string")
+    return done.unionByName(long)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
