@@ -286,6 +286,53 @@ def test_quality(spark):
     assert quality.weighed(documents(spark, EDGE).limit(0), lab).count() == 0
 
 
+def test_quality_weight_is_the_sum_of_log_ratios(spark):
+    r = random.Random(13)
+    rows = [(k, " ".join(r.choices(WORDS[:60], k=r.randint(0, 30))) + r.choice(["", "!!", " a, a a"]), "en", "s") for k in range(60)]
+    lab = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    got = {x["doc_id"]: x["log_weight"] for x in quality.weighed(documents(spark, rows), lab).collect()}
+
+    def grams(text):
+        w = re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+|[^0-9A-Za-z_\s\x80-\U0010ffff]+", text)
+        one = [int(quality.ngram_buckets([x.encode()])[0][0]) for x in w]
+        two = [int(quality.REPEAT) & (quality.BUCKETS - 1) if a == b else int(quality.ngram_buckets([f"{a} {b}".encode()])[0][2]) for a, b in zip(w, w[1:], strict=False)]
+        return one + two
+
+    raw = Counter(g for _, t, *_ in rows for g in grams(t))
+    target = Counter(g for k, t, *_ in rows if k % 2 and t and zlib.crc32(str(k).encode()) % 5 for g in grams(t))
+    n, m = sum(target.values()), sum(raw.values())
+    scale = n / m
+    total = m * scale + quality.BUCKETS
+
+    def weight(text):
+        return sum(math.log((target[g] + 1) / (n + quality.BUCKETS)) - math.log((raw[g] * scale + 1) / total) for g in grams(text))
+
+    assert all(math.isclose(got[k], weight(t), rel_tol=1e-9, abs_tol=1e-9) for k, t, *_ in rows)
+
+
+def test_gumbel_top_k_follows_the_weights(spark):
+    from pyspark.sql import Window
+
+    n, k, seeds = 12, 4, 3000
+    weights = [0.25 * i for i in range(n)]
+    df = spark.range(n).crossJoin(spark.range(seeds).withColumnRenamed("id", "seed")).withColumnRenamed("id", "doc_id").withColumn("log_weight", F.col("doc_id") * 0.25)
+    key, tie = quality._key(F.col("doc_id"), 1.0, F.col("seed"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key"), F.desc("tie")))
+    kept = df.withColumns({"key": key, "tie": tie}).withColumn("rank", rank).where(F.col("rank") <= k)
+    got = {r["doc_id"]: r["n"] / seeds for r in kept.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    rng = np.random.default_rng(0)  # sampling without replacement, one after another by weight
+    want = np.zeros(n)
+    p = np.exp(weights) / np.exp(weights).sum()
+    for _ in range(seeds):
+        want[rng.choice(n, k, replace=False, p=p)] += 1 / seeds
+    assert all(abs(got[i] - want[i]) < 0.05 for i in range(n))
+    rows = [(i, "a" * (i % 7), "en", "s") for i in range(300)]
+    lab = spark.createDataFrame([(i, int(i % 7 > 3)) for i in range(300)], "doc_id long, quality int")
+    got = quality.weighed(documents(spark, rows), lab, k=100).collect()
+    assert sum(r["kept"] for r in got) == 100 and min(r["log_weight"] for r in got if r["kept"]) < max(r["log_weight"] for r in got if not r["kept"])
+    assert quality.weighed(documents(spark, rows), lab, k=0).where("kept").count() == 0 and quality.weighed(documents(spark, rows), lab, k=999).where("kept").count() == 300
+
+
 def test_kth_key(spark):
     r = random.Random(2)
     rows = [(r.choice([0.5, r.random()]), k * 7919 % 1000003) for k in range(3000)]
@@ -324,28 +371,53 @@ def brute_chat(roles):
     return min(best.get((len(roles), s), 1 << 40) for s in chat.FINAL)
 
 
-@pytest.mark.parametrize("turns", [3, 1 << 16])
+def cost_of(roles, text):
+    """What a rendering says was done: (cost, numbers of the turns in order, roles)."""
+    cost, read, out = 0, [], []
+    for role, body in re.findall(r"<\|(system|user|assistant)\|>\n(.*?)\n<\|end\|>", text, re.S):
+        own = [int(x) for x in re.findall(r"t(\d+)", body)]
+        cost += (len(own) - 1) * chat.MERGE if own else chat.INSERT
+        cost += sum(chat.RELABEL for i in own if roles[i] != role)
+        read += own
+        out.append(role)
+    return cost, read, out
+
+
+@pytest.mark.parametrize("turns", [3, 1 << 12])
 def test_chat_repair(spark, turns):
     r = random.Random(4)
     convs = {k: [r.choice(["user", "assistant", "system", "Human", None, "tool"]) for _ in range(r.randint(1, 9))] for k in range(60)}
-    rows = [(k, i, role, f"t{i}") for k, roles in convs.items() for i, role in enumerate(roles)] + [(500, 0, "user", None), (None, None, "user", "x")]
+    convs[77] = [r.choice(["user", "assistant", None]) for _ in range(300)]
+    number = lambda k, i: None if k == 9 and i == 0 else i * (70_000 if k % 2 else 1)
+    rows = [(k, number(k, i), role, f"t{i}") for k, roles in convs.items() for i, role in enumerate(roles)] + [(500, 0, "user", None), (None, None, "user", "x")]
     df = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, cost int")
     got = {}
     for x in sorted(chat.formatted(df, turns).collect(), key=lambda x: x["part"]):
         got.setdefault(x["conv_id"], []).append(x)
     for k, roles in convs.items():
-        assert got[k][0]["cost"] == brute_chat([chat.role_of(x) for x in roles])
+        known = [chat.role_of(x) for x in roles]
+        assert got[k][0]["cost"] == brute_chat(known) and len(got[k]) == got[k][0]["parts"] == -(-len(roles) // turns)
         text = "".join(p["text"] for p in got[k])
-        out = re.findall(r"<\|(system|user|assistant)\|>", text)
+        cost, read, out = cost_of(known, text)
         state = 0
         for role in out:
             assert role in chat.NEXT[state]
             state = chat.ROLES.index(role) + 1
-        assert state in chat.FINAL and re.findall(r"t\d+", text) == [f"t{i}" for i in range(len(roles))]
+        assert state in chat.FINAL and read == list(range(len(roles))) and cost == got[k][0]["cost"]
+        assert [x for p in got[k] for x in p["roles"]] == out and sum(p["n_turns"] for p in got[k]) == len(roles)
     assert None in got and got[500][0]["n_out"] == 2
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_edges(spark):
+    long = "x" * 3_000_000 + "<|user|>"
+    rows = [(1, 1, "user", long), (1, 1, "user", long), (1, 2, "assistant", ""), (2, None, "user", "b"), (2, None, "user", "a"), (None, 3, None, "n"), (None, 3, None, "n")]
+    df = spark.createDataFrame([(*x, "t") for x in rows], "conv_id long, turn long, role string, text string, part string")
+    got = {r["conv_id"]: r for r in chat.formatted(df).collect()}
+    assert len(got) == 3 and got[1]["cost"] == chat.MERGE and got[1]["text"].count("x") == 6_000_000 and "<|user|>" not in got[1]["text"][10:]
+    assert got[2]["text"].index("a\nb") and got[None]["n_turns"] == 2 and got[None]["cost"] == brute_chat([None, None])
+
+
 def test_bpe_equals_library(spark, corpus):
     from tokenizers import Tokenizer
 
