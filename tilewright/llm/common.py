@@ -59,9 +59,17 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def partitions(spark: SparkSession, rows_mb: float = 0) -> int:
-    """How many partitions a keyed exchange gets: the session's own setting, more if megabytes ask for it."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(rows_mb // 64))
+#: Bytes of an input's files, as the planner knows them, for each partition of an exchange of whole rows.
+PART_BYTES = 32 << 20
+
+
+def partitions(spark: SparkSession, rows: DataFrame | None = None) -> int:
+    """How many partitions a keyed exchange gets: the session's own setting, or more where the files below rows ask for
+    it, so that a task's share stays level as the input grows. rows: a table as it is read, before any join."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if rows is None:
+        return own
+    return max(own, -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES))
 
 
 def batches_by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

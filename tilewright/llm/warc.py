@@ -4,9 +4,10 @@ Archives are gzip members, one a record, gathered into blocks that start and end
 files but through Spark, so an archive is rows (archive, block, data) of a table; the concatenation of its blocks in
 order is a valid .warc.gz file (export_archive writes it).
 
-The index sorts captures by reversed-host key, range-partitioned; each LINES of them make one compressed block, and a
-part's directory holds the first key of each of its blocks. A look-up bisects directories, then the lines of the one or
-few blocks, and only then reads the ranges of records.
+The index sorts captures by reversed-host key, range-partitioned; each LINES of them make one compressed block, and the
+directory, a table of its own, holds the first and last key of each block. A look-up of any number of keys bisects the
+bounds of the parts (as many as partitions), then the directory of each part, then the lines of each block found, and
+only then reads the ranges of records. Keys move to parts and blocks; the directory is never gathered as a whole.
 """
 
 from __future__ import annotations
@@ -86,11 +87,13 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     own = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.encode(F.coalesce(pages["html"].cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    own = own.withColumn("digest", F.sha1("payload"))
+    own = own.withColumn("digest", F.sha1("payload")).withColumn("known", F.coalesce("page_id", F.monotonically_increasing_id()))
     light = stored(own.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest").where("page_id IS NOT NULL"))
     firsts = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
     revisits = light.join(firsts, "digest").where("page_id <> first").distinct()
-    ready = own.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "first")
+    # rows without page_id have keys of their own here: they meet nothing and spread over tasks
+    met = revisits.select(F.col("page_id").alias("known"), "digest", "first", F.lit(False).alias("none"))
+    ready = own.withColumn("none", F.col("page_id").isNull()).join(met, ["known", "digest", "none"], "left").select("page_id", "url", "payload", "digest", "first")
 
     def run(batches):
         archive, number, parts, size, captures = f"capture-{TaskContext.get().partitionId():06d}", 0, [], 0, []
@@ -127,7 +130,7 @@ def build_index(archives: DataFrame) -> DataFrame:
     """
     spark = archives.sparkSession
     captures = archives.where("key IS NOT NULL").select("key", "page_id", "archive", "block", "at", "length")
-    ordered = captures.repartitionByRange(partitions(spark), "key", "page_id", "archive", "block", "at").sortWithinPartitions("key", "page_id", "archive", "block", "at")
+    ordered = captures.repartitionByRange(partitions(spark, captures), "key", "page_id", "archive", "block", "at").sortWithinPartitions("key", "page_id", "archive", "block", "at")
 
     def run(batches):
         part, number, lines = TaskContext.get().partitionId(), 0, []
@@ -149,26 +152,80 @@ def build_index(archives: DataFrame) -> DataFrame:
     return stored(ordered.mapInArrow(tidy(run), "part int, block int, first_key string, last_key string, lines binary"))
 
 
-def _captures(blocks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """(archive, block, at, length) of the lines of index blocks, of these keys only if given."""
-    keys = sorted(set(wanted)) if wanted is not None else None
+def directory_of(index: DataFrame) -> DataFrame:
+    """The sparse directory: (part, block, first_key, last_key) of each index block, a table of its own."""
+    return stored(index.select("part", "block", "first_key", "last_key"))
+
+
+def keys_of(urls: DataFrame) -> DataFrame:
+    """(key), each once, of a table's column url; null gives the key of none."""
 
     def run(batches):
         for batch in batches:
-            for first, packed in zip(batch.column("first_key").to_pylist(), batch.column("lines").to_pylist(), strict=True):
-                lines = zlib.decompress(packed).decode().split("\n")
-                if keys is None:
-                    found = lines
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
+
+    return urls.select(F.col("url").cast("string")).mapInArrow(tidy(run), "key string").distinct()
+
+
+def _by_key(batches, names: list[str]):
+    """(values of the leading columns, rows of the others) of batches sorted by names; a group is read as it comes."""
+    held, last = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[: len(names)] != last:
+                yield last, held
+                held = []
+            last = row[: len(names)]
+            held.append(row[len(names) :])
+    if held:
+        yield last, held
+
+
+def captures_of(index: DataFrame, directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """(archive, block, at, length) of the captures of keys (key), each once. Only blocks that the directory names for a
+    key are unpacked; the rows of one part's directory, and the keys of one block, are held by a task at a time."""
+    spark = index.sparkSession
+    bounds = sorted((r["part"], r["low"], r["high"]) for r in directory.groupBy("part").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).collect())
+    parts, lows, highs = ([b[k] for b in bounds] for k in range(3))
+
+    def to_part(batches):
+        for batch in batches:
+            out = [(parts[i], k) for k in batch.column(0).to_pylist() for i in range(bisect.bisect_left(highs, k), bisect.bisect_right(lows, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string())], names=["part", "first_key"])
+
+    none = F.lit(None)
+    asked = keys.mapInArrow(tidy(to_part), "part int, first_key string").select("part", F.lit(1).alias("kind"), "first_key", none.cast("string").alias("last_key"), none.cast("int").alias("block"))
+    met = directory.select("part", F.lit(0).alias("kind"), "first_key", "last_key", "block").unionByName(asked)
+
+    def to_block(batches):
+        firsts, lasts, blocks, at = [], [], [], None
+        for batch in batches:
+            out = []
+            for part, kind, first, last, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    firsts, lasts, blocks, at = [], [], [], part
+                if kind == 0:
+                    firsts.append(first), lasts.append(last), blocks.append(block)
                 else:
-                    own, found = [x.split(" ", 1)[0] for x in lines], []
-                    for k in keys[bisect.bisect_left(keys, first) :]:
-                        if k > own[-1]:
-                            break
-                        found += lines[bisect.bisect_left(own, k) : bisect.bisect_right(own, k)]
-                got = [x.split(" ")[1:5] for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), *(pa.array([int(g[k]) for g in got], pa.int32()) for k in (1, 2, 3))], names=["archive", "block", "at", "length"])
+                    out += [(part, blocks[i], first) for i in range(bisect.bisect_left(lasts, first), bisect.bisect_right(firsts, first))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))], names=["part", "block", "key"])
+
+    found = met.repartition(partitions(spark), "part").sortWithinPartitions("part", "kind", "first_key", "block").mapInArrow(tidy(to_block), "part int, block int, key string")
+    both = index.select("part", "block", F.lit(None).cast("string").alias("key"), "lines").unionByName(found.select("part", "block", "key", F.lit(None).cast("binary").alias("lines")))
 
-    return blocks.select("first_key", "lines").mapInArrow(tidy(run), "archive string, block int, at int, length int")
+    def to_lines(batches):
+        for _, rows in _by_key(batches, ["part", "block"]):
+            wanted = [key for key, lines in rows if lines is None]
+            if not wanted or rows[0][1] is None:
+                continue
+            lines = zlib.decompress(rows[0][1]).decode().split("\n")
+            own, got = [x.split(" ", 1)[0] for x in lines], []
+            for k in wanted:
+                got += [x.split(" ")[1:5] for x in lines[bisect.bisect_left(own, k) : bisect.bisect_right(own, k)]]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), *(pa.array([int(g[k]) for g in got], pa.int32()) for k in (1, 2, 3))], names=["archive", "block", "at", "length"])
+
+    dealt = both.repartition(partitions(spark, index), "part", "block").sortWithinPartitions("part", "block", F.col("lines").isNull(), "key")
+    return dealt.mapInArrow(tidy(to_lines), "archive string, block int, at int, length int")
 
 
 def read_records(archives: DataFrame, captures: DataFrame, keep_payload: bool = False) -> DataFrame:
@@ -189,22 +246,10 @@ def read_records(archives: DataFrame, captures: DataFrame, keep_payload: bool =
     return joined.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload)
 
 
-def look_up(archives: DataFrame, index: DataFrame, urls: list[str], keep_payload: bool = True) -> DataFrame:
-    """The records of these URLs. Each part's directory is bisected for the keys, then the blocks found, then ranges read."""
-    keys = sorted({url_key(u) for u in urls})
-    directory = index.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("first_key", "last_key", "block"))).alias("blocks"))
-
-    def find(batches):
-        for batch in batches:
-            out = set()
-            for part, blocks in zip(batch.column("part").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-                firsts, lasts = [b["first_key"] for b in blocks], [b["last_key"] for b in blocks]
-                for k in keys:
-                    out.update((part, blocks[i]["block"]) for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(out)], pa.int32()) for k in (0, 1)], names=["part", "block"])
-
-    blocks = index.join(directory.mapInArrow(tidy(find), "part int, block int"), ["part", "block"])
-    return read_records(archives, _captures(blocks, keys), keep_payload)
+def look_up(archives: DataFrame, index: DataFrame, directory: DataFrame, urls: list[str], keep_payload: bool = True) -> DataFrame:
+    """The records of these URLs."""
+    keys = keys_of(archives.sparkSession.createDataFrame([(u,) for u in urls], "url string"))
+    return read_records(archives, captures_of(index, directory, keys), keep_payload)
 
 
 def export_archive(archives: DataFrame, archive: str):
@@ -214,8 +259,11 @@ def export_archive(archives: DataFrame, archive: str):
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_archives(table(spark, sf_dir, "pages"))
-    return read_records(archives, _captures(build_index(archives)))
+    """Every page's record, looked up by the key of its URL."""
+    pages = table(spark, sf_dir, "pages")
+    archives = write_archives(pages)
+    index = build_index(archives)
+    return read_records(archives, captures_of(index, directory_of(index), keys_of(pages)))
 
 
 OP10_SQL = r"""
