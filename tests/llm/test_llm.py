@@ -459,24 +459,40 @@ def test_text_media(spark):
     assert [r["feature"] is None for r in media.media_features(images).collect()] == [False, True, True]
 
 
+def records(archives, index, df):
+    return warc.read_records(archives, warc.captures_of(index, warc.directory_of(index), warc.keys_of(df)))
+
+
 def test_warc(spark):
-    pages = [(1, "http://user@www.Example.com:80/a?b=1#c", "<p>x</p>"), (2, "https://b.org", "<p>x</p>"), (5, None, None), (4, "http://b.org/ü x", ""), (3, "https://b.org", "only"), (None, "http://n.org", "only")]
+    pages = [(1, "http://user@www.Example.com:80/a?b=1#c", "<p>x</p>"), (2, "https://b.org", "<p>x</p>"), (5, None, None), (4, "http://b.org/ü x", ""), (3, "https://b.org", "only"), (None, "http://n.org", "only"), (None, "http://n.org", "only"), (None, None, "only")]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, digest int")
     archives = warc.write_archives(df)
     index = warc.build_index(archives)
-    got = {r["page_id"]: r for r in warc.read_records(archives, warc._captures(index)).collect()}
+    rows = records(archives, index, df).collect()
+    got = {r["page_id"]: r for r in rows}
     assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {1: ("response", None), 2: ("revisit", 1), 4: ("response", None), 5: ("revisit", 4), 3: ("response", None), None: ("response", None)}
+    assert len(rows) == len(pages)
     assert got[2]["payload_bytes"] == 8 and got[2]["payload_digest"] == got[1]["payload_digest"]
     assert warc.url_key("http://user@www.Example.com:80/a?b=1#c") == "com,example,www)/a?b=1"
-    found = warc.look_up(archives, index, ["http://b.org/", "http://nowhere.net"]).collect()
+    found = warc.look_up(archives, index, warc.directory_of(index), ["http://b.org/", "http://nowhere.net", "http://b.org"]).collect()
     assert sorted(r["page_id"] for r in found) == [2, 3]
     assert {bytes(r["payload"]) for r in found if r["payload"] is not None} == {b"only"}
     name = archives.where("data IS NOT NULL").first()["archive"]
     assert zlib.decompress(b"".join(warc.export_archive(archives, name)), 31).startswith(b"WARC/1.0")
     large = warc.write_archives(df, min_bytes=9)
-    assert {r["record_type"] for r in warc.read_records(large, warc._captures(warc.build_index(large))).collect()} == {"response"}
+    assert {r["record_type"] for r in records(large, warc.build_index(large), df).collect()} == {"response"}
     empty = warc.write_archives(df.limit(0))
-    assert warc.read_records(empty, warc._captures(warc.build_index(empty))).count() == 0
+    assert records(empty, warc.build_index(empty), df.limit(0)).count() == 0
+
+
+def test_warc_repeats_and_long_pages(spark):
+    long = "<p>" + "ü" * 3_000_000
+    pages = [(7, "http://a.org", long), (7, "http://a.org", long), (8, "http://a.org", long), (9, "http://b.org", "x"), (9, "http://b.org", "y")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    archives = warc.write_archives(df)
+    rows = sorted(tuple(r)[:2] + (r["record_type"], r["refers_to"]) for r in records(archives, warc.build_index(archives), df).collect())
+    n = len(long.encode())
+    assert rows == [(7, n, "response", None), (7, n, "response", None), (8, n, "revisit", 7), (9, 1, "response", None), (9, 1, "response", None)]
 
 
 def test_index_blocks(spark, monkeypatch):
@@ -484,9 +500,16 @@ def test_index_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"http://h{k % 4}.org/{k % 5}", f"p{k}") for k in range(60)], "page_id long, url string, html string")
     archives = warc.write_archives(df)
     index = warc.build_index(archives)
+    directory = warc.directory_of(index)
+    assert directory.count() >= 20
     for u in ("http://h1.org/1", "http://h3.org/0", "http://h9.org/"):
         want = sorted(k for k in range(60) if f"http://h{k % 4}.org/{k % 5}" == u)
-        assert sorted(r["page_id"] for r in warc.look_up(archives, index, [u]).collect()) == want
+        assert sorted(r["page_id"] for r in warc.look_up(archives, index, directory, [u]).collect()) == want
+    one = directory.first()
+    gone = ~((F.col("part") == one["part"]) & (F.col("block") == one["block"]))
+    keys = warc.keys_of(df)
+    assert warc.captures_of(index, directory, keys).count() == 60
+    assert warc.captures_of(index.where(gone), directory, keys).count() == warc.captures_of(index, directory.where(gone), keys).count() == 57
 
 
 def test_shingles_match_python(corpus):
