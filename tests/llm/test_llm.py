@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -434,29 +435,72 @@ def test_bpe_equals_library(spark, corpus):
     assert bpe.encoded(documents(spark, EDGE).limit(0)).count() == 0
 
 
-def test_images_round_trip():
+def slow_resize(x, height, width):
+    """Area means by loops over samples."""
+    h, w = x.shape
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            y0, y1, x0, x1 = i * h / height, (i + 1) * h / height, j * w / width, (j + 1) * w / width
+            for y in range(h):
+                for k in range(w):
+                    out[i, j] += x[y, k] * max(0.0, min(y + 1, y1) - max(y, y0)) * max(0.0, min(k + 1, x1) - max(k, x0))
+            out[i, j] /= (y1 - y0) * (x1 - x0)
+    return out
+
+
+def slow_features(x, top=255):
+    """(difference hash, tile samples) by loops."""
+    small = np.rint(slow_resize(x, 8, 9) * 256)
+    bits = "".join(str(int(small[i, j + 1] > small[i, j])) for i in range(8) for j in range(8))
+    return f"{int(bits, 2):016x}", np.clip(np.rint(slow_resize(x, 32, 32) * 255 / top), 0, 255)
+
+
+def test_images_round_trip(monkeypatch):
     r = np.random.default_rng(1)
     x = r.integers(0, 256, (13, 21), dtype=np.uint8)
     assert (media.decode_image(media.encode_pgm(x)) == x).all() and (media.decode_image(media.encode_bmp(x)) == x).all()
     assert media.decode_image(b"P3\n# c\n2 1\n255\n1 2 3  4 5 6\n").tolist() == [[[1, 2, 3], [4, 5, 6]]]
     assert media.decode_image(b"P1\n3 1\n1 0 1").tolist() == [[0, 255, 0]] and media.decode_image(b"P4\n3 1\n\xa0").tolist() == [[0, 255, 0]]
-    with pytest.raises(ValueError):
-        media.decode_image(b"P5\n9 9\n255\nxx")
+    for bad in (b"P5\n9 9\n255\nxx", b"P5 0 0 255\n", b"P5\n1 1\n0\n\0", b"P2 1 1 15 16", b"P5 1 1 70000\n00", b"P1 0 3\n", b"BM" + b"\0" * 60, b"", b"P5"):
+        with pytest.raises((ValueError, IndexError)):
+            media.decode_image(bad)
     big = np.kron(x, np.ones((4, 6)))
-    assert np.allclose(media.area_resize(big.astype(np.uint8), 13, 21), x)
-    small = media.area_resize(x, 5, 4)
-    assert math.isclose(small.mean(), x.mean())
+    for strip in (1, 100, 1 << 19):
+        monkeypatch.setattr(media, "STRIP", strip)
+        assert np.allclose(media.area_resize(big.astype(np.uint8), 13, 21), x)
+        for size in ((5, 4), (8, 9), (32, 32), (1, 1)):
+            assert np.allclose(media.area_resize(x, *size), slow_resize(x, *size))
+        code, tile = media.features_of(x)
+        want = slow_features(x)
+        assert code == want[0] and (np.load(io.BytesIO(tile)) == want[1]).all()
+
+
+def test_levels_of_images(spark):
+    white, ramp = b"P2 2 2 15\n" + b"15 " * 4, b"P5 64 1 65535\n" + (np.arange(64) * 1040).astype(">u2").tobytes()
+    images = spark.createDataFrame([(1, bytearray(media.encode_pgm(np.zeros((9, 9), dtype=np.uint8)))), (2, None), (3, bytearray(b"junk")), (4, bytearray(white)), (5, bytearray(ramp)), (6, bytearray(b"P5 0 0 255\n"))], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in media.media_features(images).collect()}
+    assert [got[k]["feature"] is None for k in range(1, 7)] == [False, True, True, False, False, True]
+    assert (np.load(io.BytesIO(got[4]["tile"])) == 255).all()
+    line = np.load(io.BytesIO(got[5]["tile"]))[0].astype(int)
+    assert line[0] == 2 and line[-1] == 253 and (np.diff(line) > 0).all()
 
 
 def test_text_media(spark):
-    rows = [*EDGE, (9, "é" * 64, "en", "a"), (10, "a" * 65, "en", "a")]
-    for bmp in (False, True):
-        for r, (_, t, *_) in zip(media.text_media(documents(spark, rows).coalesce(1), bmp).collect(), rows, strict=True):
+    rows = [*EDGE, (9, "é" * 64, "en", "a"), (10, "a" * 65, "en", "a"), (11, "long " * 700_000, "en", "a")]
+    for form in (None, "pgm", "bmp"):
+        for r, (_, t, *_) in zip(media.text_media(documents(spark, rows).coalesce(1), form).collect(), rows, strict=True):
             raw = (t or "").encode()
             padded = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-    images = spark.createDataFrame([(1, bytearray(media.encode_pgm(np.zeros((9, 9), dtype=np.uint8)))), (2, None), (3, bytearray(b"junk"))], "doc_id long, media binary")
-    assert [r["feature"] is None for r in media.media_features(images).collect()] == [False, True, True]
+            image = media.stored_form(padded, form)
+            assert (r["media_bytes"], r["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
+            if len(padded) < 4000:
+                want = slow_features(np.frombuffer(padded, dtype=np.uint8).reshape(-1, 64))
+                assert r["feature"] == want[0] and (np.load(io.BytesIO(r["tile"])) == want[1]).all()
+    forms = {media.stored_form(media.payload_of(t.encode()))[:2] for t in "abcdefgh"}
+    assert forms == {b"P5", b"BM"}
+    assert media.text_media(documents(spark, EDGE).limit(0)).count() == 0
 
 
 def records(archives, index, df):
