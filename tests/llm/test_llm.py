@@ -219,10 +219,60 @@ def test_license_labels(spark):
     assert got[3]["labels"] == "" and got[3]["score"] < 1 and got[10]["n_words"] == 0 and got[10]["first_word"] is None
 
 
+def pattern_of(template):
+    """The template as a regular expression over words that each end with a blank."""
+    out = ""
+    for item in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[0-9a-z]+", template):
+        out += "(?:" if item == "[[" else ")?" if item == "]]" else rf"(?:\S+ ){{0,{item[2:-2]}}}" if item[0] == "{" else item + " "
+    return re.compile(out)
+
+
+def slow_matches(words, templates):
+    """(label, first word, end) by trying every end of every start, longest first."""
+    out = set()
+    for label, t in templates.items():
+        p = pattern_of(t)
+        for a in range(len(words)):
+            if p.match("".join(w + " " for w in words[a:])):
+                out.add((label, a, next(b for b in range(len(words), a, -1) if p.fullmatch("".join(w + " " for w in words[a:b])))))
+    return out
+
+
 def test_template_automaton():
-    a = license.Automaton("a b [[c d]] e {{2}} f")
-    for words, ok in (("a b e f", True), ("a b c d e f", True), ("a b c e f", False), ("a b e x f", True), ("a b e x y f", True), ("a b e x y z f", False), ("a b e", False)):
-        assert a.match([w.encode() for w in words.split()], 0)[0] == ok, words
+    a = license.Automaton("a b [[c d]] e {{2}} f [[g]]")
+    for words, end in (("a b e f", 4), ("a b c d e f g", 7), ("a b c e f", None), ("a b e x f f", 6), ("a b e x y f z", 6), ("a b e x y z f", None), ("a b e", None)):
+        assert a.match([w.encode() for w in words.split()], 0)[0] == end, words
+    r = random.Random(3)
+    short = {"one": "a b [[c [[d]] e]] {{2}} f [[{{1}} g]]", "two": "b [[a]] [[a b]] c", "three": "f"}
+    automata = [(k, license.Automaton(t)) for k, t in short.items()]
+    starts = {}
+    for k, (_, x) in enumerate(automata):
+        for w in x.first:
+            starts.setdefault(w, []).append(k)
+    for _ in range(400):
+        words = r.choices("abcdefg", k=r.randint(0, 14))
+        assert set(license.scan(" ".join(words).encode(), [], automata, starts)[2]) == slow_matches(words, short), words
+
+
+def test_license_texts(spark):
+    r = random.Random(8)
+    rows, want = [], []
+    for label, t in license.TEMPLATES.items():
+        plain = re.sub(r"\{\{\d+\}\}", "some one", re.sub(r"\[\[|\]\]", " ", t)).split()
+        for change in (False, True):
+            words = list(plain)
+            if change:
+                words[r.randrange(1, 4)] = "otherwise"
+            rows.append((len(rows), "Preface. " + " ".join(words).capitalize() + " rest", "en", "s"))
+            want.append({x[0] for x in slow_matches(re.findall("[0-9a-z]+", rows[-1][1].lower()), license.TEMPLATES)})
+            assert change or label in want[-1]
+    assert sum(not w for w in want) > 6
+    rows += [(100, "x " * 500_000 + "under the MIT license", "en", "s"), (100, "x " * 500_000 + "under the MIT license", "en", "s")]
+    got = license.license_labels(documents(spark, rows)).collect()
+    by = {x["doc_id"]: x for x in got}
+    assert all({m["label"] for m in by[k]["matches"]} == w for k, w in enumerate(want)) and len(got) == len(rows)
+    assert by[100]["first_word"] == 500_000 and by[100]["n_base"] == 1
+    assert license.license_labels(documents(spark, EDGE).limit(0)).count() == 0
 
 
 def brute_mix(rows):
