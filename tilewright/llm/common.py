@@ -67,9 +67,9 @@ def partitions(spark: SparkSession, rows: DataFrame | None = None) -> int:
     """How many partitions a keyed exchange gets: the session's own setting, or more where the files below rows ask for
     it, so that a task's share stays level as the input grows. rows: a table as it is read, before any join."""
     own = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if rows is None:
-        return own
-    return max(own, -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES))
+    size = 0 if rows is None else int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # rows that aren't files have no size; the planner then says that they are immense
+    return own if size >= 1 << 56 else max(own, -(-size // PART_BYTES))
 
 
 def batches_by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

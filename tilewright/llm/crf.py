@@ -2,14 +2,15 @@
 
 Tokens are words; each is inside a toxic span (state 1) or not (state 0). Documents carry labels, tokens don't: a word or
 a word's beginning is taken as a mark of toxicity where training documents with it are toxic far more often than others,
-and the tokens of toxic training documents are labelled by these marks. The field has weights for the word, its first
-letters, whether either neighbour is a mark, and the transitions; it is fitted on labelled stretches of tokens by
-gradient ascent on the exact conditional likelihood (forward-backward).
+and the tokens of toxic training documents are labelled by these marks. The field has weights for the word and its first
+letters, and for the transitions; it is fitted on all stretches of tokens around marks by gradient ascent on the exact
+conditional likelihood (forward-backward).
 
 A text is scored whole. Tokens without any weighted feature share one emission, so stretches of them are powers of one
-two-by-two matrix: forward and backward passes visit the informative tokens only and stay exact. Marginals give the
-offending offsets, and the probability that some token is toxic, the largest marginal and the expected number of toxic
-tokens give the document's score through a logistic function fitted on the training documents.
+two-by-two matrix: forward and backward passes visit the informative tokens and their neighbours only and stay exact.
+Marginals give the offending spans, neighbouring tokens joined; the probability that some token is toxic, the largest
+marginal and the expected number of toxic tokens give the document's score through a logistic function. That function is
+fitted on training documents under fields that were fitted without them, part by part.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ from tilewright.llm.common import beside, keyed_texts, table, trim
 SAMPLE, CLEAN_EACH, SAMPLE_CHARS = 1200, 3, 20_000
 #: Lengths of word beginnings that are features.
 STEMS = (4, 5, 6)
-#: Tokens around a mark that make a training stretch; stretches at most.
-AROUND, STRETCHES = 8, 6000
+#: Tokens around a mark that make a training stretch, and tokens after which a longer stretch is cut in two.
+AROUND, STRETCH = 8, 32
+#: Parts of the training sample for the logistic function.
+FOLDS = 2
+#: Word groups of a document's sketch, the least by hash, by which near copies are told in training.
+SKETCH = 24
 _WORDS = re.compile(r"\w+")
 
 
@@ -104,34 +109,65 @@ class Tagger:
         log_none = (n - 1) * float(np.log(move[0, 0])) - log_all
         return p, min(0.0, log_none), float(p.sum())
 
-    def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """(score of the document, (start, end, marginal) of its informative tokens in code points of the lower-cased text)."""
-        words = _WORDS.findall(text.lower())
+    def emissions(self, words: list[str]) -> dict[int, float]:
+        """Weights of state 1 at informative tokens and, by the bias alone, at their neighbours."""
         own, stems, out = self.words, self.stems, {}
-        found = [i for i, w in enumerate(words) if w in own or w[:4] in stems or w[:5] in stems or w[:6] in stems]
-        for i in found:
-            if (e := self.emission(words[i])) is not None:
+        for i, w in enumerate(words):
+            if (w in own or w[:4] in stems or w[:5] in stems or w[:6] in stems) and (e := self.emission(w)) is not None:
                 out[i] = e
-        if not out:
-            return self.score(0.0, 0.0, 0.0), []
-        p, log_none, expected = self.marginals(out, len(words))
-        spans = [m.span() for i, m in enumerate(_WORDS.finditer(text.lower())) if i in out]
-        return self.score(float(-np.expm1(log_none)), float(p.max()), expected), [(a, b, float(x)) for (a, b), x in zip(spans, p, strict=True)]
+        for i in list(out):
+            for k in (i - 1, i + 1):
+                if 0 <= k < len(words):
+                    out.setdefault(k, self.bias)
+        return out
 
-    def inputs(self, text: str) -> tuple[float, float, float]:
-        words = _WORDS.findall(text.lower())
-        out = {i: e for i, w in enumerate(words) if (e := self.emission(w)) is not None}
+    def inputs(self, words: list[str]) -> tuple[dict[int, float], tuple[float, float, float]]:
+        """(marginals of state 1 by token, inputs of the score)."""
+        out = self.emissions(words)
         if not out:
-            return 0.0, 0.0, 0.0
+            return {}, (0.0, 0.0, 0.0)
         p, log_none, expected = self.marginals(out, len(words))
-        return float(-np.expm1(log_none)), float(p.max()), expected
+        return dict(zip(sorted(out), p.tolist(), strict=True)), (float(-np.expm1(log_none)), float(p.max()), expected)
+
+    def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """(score of the document, (start, end, largest marginal) of its toxic spans in code points of the lower-cased
+        text: neighbouring tokens that are toxic at least as likely as not)."""
+        low = text.lower()
+        p, inputs = self.inputs(_WORDS.findall(low))
+        toxic = {i for i, x in p.items() if x >= 0.5}
+        spans: list[list] = []
+        if toxic:
+            for i, m in enumerate(_WORDS.finditer(low)):
+                if i in toxic:
+                    if i - 1 in toxic:
+                        spans[-1][1:] = [m.end(), max(spans[-1][2], p[i])]
+                    else:
+                        spans.append([m.start(), m.end(), p[i]])
+        return self.score(*inputs), [tuple(x) for x in spans]
 
     def score(self, some: float, most: float, expected: float) -> float:
         c, a, b, d = self.document
         return float(1 / (1 + np.exp(-(c + a * some + b * most + d * np.log1p(expected)))))
 
 
-def _marks(toxic: list[list[str]], clean: list[list[str]]) -> tuple[set[str], set[str]]:
+@dataclass
+class _Example:
+    """A training document: its words, label, words and beginnings of words that it has, and sketch."""
+
+    words: list[str]
+    label: int
+    own: set[str] = field(init=False)
+    stems: set[str] = field(init=False)
+    sketch: list[int] = field(init=False)
+
+    def __post_init__(self):
+        d = self.words
+        self.own = set(d)
+        self.stems = {w[:n] for w in self.own for n in STEMS if len(w) > n}
+        self.sketch = sorted({crc32(" ".join(d[i : i + 4]).encode()) for i in range(max(1, len(d) - 3))})[:SKETCH]
+
+
+def _marks(toxic: list[_Example], clean: list[_Example]) -> tuple[set[str], set[str]]:
     """Words, and beginnings of words, that mark toxicity: seen in enough toxic documents, and there far more often."""
 
     def pick(of):
@@ -152,51 +188,85 @@ def _marks(toxic: list[list[str]], clean: list[list[str]]) -> tuple[set[str], se
                 out[k] = n
         return out
 
-    words = pick(set)
-    stems = pick(lambda d: {w[:n] for w in set(d) for n in STEMS if len(w) > n})
+    words, stems = pick(lambda d: d.own), pick(lambda d: d.stems)
     return set(words), {s for s, n in stems.items() if n >= 2 * max([words.get(s, 0), 1])}
 
 
-def _unlike(docs: list[list[str]]) -> list[list[str]]:
+def _unlike(docs: list[_Example]) -> list[_Example]:
     """The documents without those that share many word groups with one before: copies would make any word a mark."""
     seen: set[int] = set()
     out = []
     for d in docs:
-        own = sorted({crc32(" ".join(d[i : i + 4]).encode()) for i in range(max(1, len(d) - 3))})[:24]
-        if 4 * sum(h in seen for h in own) < len(own):
+        if 4 * sum(h in seen for h in d.sketch) < len(d.sketch):
             out.append(d)
-        seen.update(own)
+        seen.update(d.sketch)
     return out
 
 
-def _sequences(docs: list[list[str]], toxic: bool, marks: tuple[set[str], set[str]]) -> list[tuple[list[str], list[int]]]:
+def _sequences(docs: list[_Example], toxic: bool, marks: tuple[set[str], set[str]]) -> list[tuple[list[str], list[int]]]:
+    """Stretches around all marks of the documents, joined where they meet, in pieces of STRETCH tokens; the middle of a
+    document without marks."""
     words, stems = marks
-    out = []
+    out, memo = [], {}
     for d in docs:
-        is_mark = [w in words or any(w[:n] in stems for n in STEMS) for w in d]
-        centres = [i for i, m in enumerate(is_mark) if m][:6] or [len(d) // 2]
-        for i in centres if d else ():
-            a, b = max(0, i - AROUND), min(len(d), i + AROUND + 1)
-            out.append((d[a:b], [int(toxic and m) for m in is_mark[a:b]]))
+        for w in d.own:
+            if w not in memo:
+                memo[w] = w in words or any(w[:n] in stems for n in STEMS)
+        known = {w for w in d.own if memo[w]}
+        stretches: list[list[int]] = []
+        n = len(d.words)
+        for i in [i for i, w in enumerate(d.words) if w in known] if known else [n // 2] * bool(n):
+            a, b = max(0, i - AROUND), min(n, i + AROUND + 1)
+            if stretches and a <= stretches[-1][1]:
+                stretches[-1][1] = b
+            else:
+                stretches.append([a, b])
+        for a, b in stretches:
+            for k in range(a, b, STRETCH):
+                piece = d.words[k : min(b, k + STRETCH)]
+                out.append((piece, [int(toxic and w in known) for w in piece]))
     return out
 
 
 def fit(rows: list[tuple[str, int]], rounds: int = 60) -> Tagger:
     """The field for (text, label) rows. No rows, or rows of one label, give a tagger that scores all alike."""
-    seen, toxic, clean = set(), [], []
-    for text, label in rows:
-        if text not in seen:
-            seen.add(text)
-            (toxic if label else clean).append(list(map(intern, _WORDS.findall(text.lower()))))
+    docs = [_Example(list(map(intern, _WORDS.findall(text.lower()))), label) for text, label in dict(rows).items()]
+    tagger = _field(docs, rounds)
+    labels = [d.label for d in docs]
+    if len(set(labels)) < 2:
+        return tagger
+    # parts by hash, so that the order of rows doesn't matter
+    part = [crc32(" ".join(d.words).encode()) % FOLDS for d in docs]
+    inputs = [(0.0, 0.0, 0.0)] * len(docs)
+    for k in range(FOLDS):
+        other = _field([x for x, f in zip(docs, part, strict=True) if f != k], rounds)
+        for i, d in enumerate(docs):
+            if part[i] == k:
+                inputs[i] = other.inputs(d.words)[1]
+    x = np.array([[1.0, s, m, np.log1p(e)] for s, m, e in inputs])
+    y = np.array(labels, dtype=np.float64)
+    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    theta = np.zeros(4)
+    for _ in range(25):  # Newton steps of a logistic regression with a small penalty
+        p = 1 / (1 + np.exp(-x @ theta))
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(4)
+        theta = theta + np.linalg.solve(h, x.T @ (share * (y - p)) - 0.5 * theta)
+    tagger.document = tuple(float(t) for t in theta)
+    return tagger
+
+
+def _field(docs: list[_Example], rounds: int) -> Tagger:
+    """The field without its logistic function."""
+    toxic, clean = [d for d in docs if d.label], [d for d in docs if not d.label]
     tagger = Tagger()
     if not toxic or not clean:
         tagger.document = (-3.0 if not toxic else 3.0, 0.0, 0.0, 0.0)
         return tagger
     toxic, clean = _unlike(toxic), _unlike(clean)
     marks = _marks(toxic, clean)
-    sequences = (_sequences(toxic, True, marks) + _sequences(clean, False, marks))[: 4 * STRETCHES]
-    if len(sequences) > STRETCHES:
-        sequences = sequences[:: -(-len(sequences) // STRETCHES)]
+    sequences = _sequences(toxic, True, marks) + _sequences(clean, False, marks)
+    if not sequences:
+        return tagger
     names = {("w", w): k for k, w in enumerate(sorted(marks[0]))}
     names.update({("s", s): len(names) + k for k, s in enumerate(sorted(marks[1]))})
     length = max(len(s) for s, _ in sequences)
@@ -205,42 +275,45 @@ def fit(rows: list[tuple[str, int]], rounds: int = 60) -> Tagger:
     ids = np.full((len(sequences), length, width), none)
     gold = np.zeros((len(sequences), length), dtype=np.int64)
     there = np.zeros((len(sequences), length), dtype=bool)
+    found: dict[str, list[int]] = {}
     for r, (words, labels) in enumerate(sequences):
-        for i, w in enumerate(words):
-            ids[r, i, 0] = names.get(("w", w), none)
-            for k, n in enumerate(STEMS):
-                if len(w) >= n:
-                    ids[r, i, 1 + k] = names.get(("s", w[:n]), none)
+        for w in words:
+            if w not in found:
+                found[w] = [names.get(("w", w), none), *(names.get(("s", w[:n]), none) if len(w) >= n else none for n in STEMS)]
+        ids[r, : len(words)] = [found[w] for w in words]
         gold[r, : len(labels)] = labels
         there[r, : len(words)] = True
     weights, bias, moves = np.zeros(none + 1), -2.0, np.zeros((2, 2))
     moment = [np.zeros_like(weights), 0.0, np.zeros_like(moves)]
-    size = np.arange(len(sequences))
-    last = there.sum(axis=1) - 1
+    # time first, so that a step of the recursions is over contiguous columns; few tokens have a feature at all
+    ids, gold, there = ids.transpose(1, 0, 2), np.ascontiguousarray(gold.T), np.ascontiguousarray(there.T)
+    informative = np.flatnonzero((ids != none).any(axis=2))
+    ids = ids.reshape(-1, width)[informative]
+    pairs = [[int(((gold[:-1] == a) & (gold[1:] == b) & there[1:]).sum()) for b in (0, 1)] for a in (0, 1)]
     for _ in range(rounds):
-        emit = np.zeros((len(sequences), length, 2))
-        emit[..., 1] = weights[ids].sum(axis=2) + bias
-        # forward and backward in log space over all stretches side by side
-        fwd = np.empty_like(emit)
-        fwd[:, 0] = emit[:, 0]
+        emit = np.full(there.size, bias)
+        emit[informative] += weights[ids].sum(axis=1)
+        up = np.exp(emit).reshape(there.shape)  # of state 1; of state 0 it is 1
+        step = np.exp(moves)
+        # forward and backward over all stretches side by side, each vector scaled to a sum of 1
+        fwd, back = np.empty((2, *there.shape)), np.full((2, *there.shape), 0.5)
+        fwd[0, 0], fwd[1, 0] = 1 / (1 + up[0]), up[0] / (1 + up[0])
         for i in range(1, length):
-            fwd[:, i] = np.logaddexp(fwd[:, i - 1, 0, None] + moves[0], fwd[:, i - 1, 1, None] + moves[1]) + emit[:, i]
-        back = np.zeros_like(emit)
+            x = step[0, 0] * fwd[0, i - 1] + step[1, 0] * fwd[1, i - 1]
+            y = (step[0, 1] * fwd[0, i - 1] + step[1, 1] * fwd[1, i - 1]) * up[i]
+            fwd[0, i], fwd[1, i] = x / (x + y), y / (x + y)
         for i in range(length - 2, -1, -1):
-            x = emit[:, i + 1] + back[:, i + 1]
-            new = np.logaddexp(moves[None, :, 0] + x[:, 0, None], moves[None, :, 1] + x[:, 1, None])
-            back[:, i] = np.where((i + 1 <= last)[:, None], new, 0.0)
-        whole = np.logaddexp(fwd[size, last, 0], fwd[size, last, 1])
-        p = np.exp(fwd[..., 1] + back[..., 1] - whole[:, None]) * there
-        miss = (gold - p) * there
-        g_w = np.bincount(ids.ravel(), weights=np.repeat(miss.ravel(), width), minlength=none + 1)
+            y = up[i + 1] * back[1, i + 1]
+            x0, x1 = step[0, 0] * back[0, i + 1] + step[0, 1] * y, step[1, 0] * back[0, i + 1] + step[1, 1] * y
+            on = there[i + 1]
+            back[0, i], back[1, i] = np.where(on, x0 / (x0 + x1), 0.5), np.where(on, x1 / (x0 + x1), 0.5)
+        both = fwd * back
+        miss = (gold - both[1] / both.sum(axis=0)) * there
+        g_w = np.bincount(ids.ravel(), weights=np.repeat(miss.ravel()[informative], width), minlength=none + 1)
         g_w[none] = 0
-        g_m = np.zeros((2, 2))
-        pair = there[:, 1:]
-        for a in (0, 1):
-            for b in (0, 1):
-                q = np.exp(fwd[:, :-1, a] + moves[a, b] + emit[:, 1:, b] + back[:, 1:, b] - whole[:, None])
-                g_m[a, b] = (((gold[:, :-1] == a) & (gold[:, 1:] == b) & pair).sum() - (q * pair).sum())
+        q = [[fwd[a, :-1] * step[a, b] * (up[1:] if b else 1.0) * back[b, 1:] for b in (0, 1)] for a in (0, 1)]
+        whole = q[0][0] + q[0][1] + q[1][0] + q[1][1]
+        g_m = np.array([[pairs[a][b] - (q[a][b] / whole)[there[1:]].sum() for b in (0, 1)] for a in (0, 1)])
         grads = (g_w - 0.05 * weights, miss.sum() - 0.05 * bias, g_m - 0.5 * moves)
         steps = []
         for k, g in enumerate(grads):
@@ -251,15 +324,6 @@ def fit(rows: list[tuple[str, int]], rounds: int = 60) -> Tagger:
     tagger.words = {k: float(weights[i]) for (kind, k), i in names.items() if kind == "w" and abs(weights[i]) > 1e-3}
     tagger.stems = {k: float(weights[i]) for (kind, k), i in names.items() if kind == "s" and abs(weights[i]) > 1e-3}
     tagger.bias, tagger.moves = float(bias), tuple(float(x) for x in moves.ravel())
-    x = np.array([[1.0, s, m, np.log1p(e)] for text, _ in rows for s, m, e in [tagger.inputs(text)]])
-    y = np.array([label for _, label in rows], dtype=np.float64)
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    theta = np.zeros(4)
-    for _ in range(25):  # Newton steps of a logistic regression with a small penalty
-        p = 1 / (1 + np.exp(-x @ theta))
-        h = (x * (share * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(4)
-        theta = theta + np.linalg.solve(h, x.T @ (share * (y - p)) - 0.5 * theta)
-    tagger.document = tuple(float(t) for t in theta)
     return tagger
 
 
@@ -270,11 +334,13 @@ def held_out(key: str = "doc_id"):
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """A bounded sample of labelled documents that aren't held out: at most sample of label 1 and
-    CLEAN_EACH times as many of label 0, the first by a hash of the id, of at most chars characters each. Labels are picked before texts are read."""
+    CLEAN_EACH times as many of label 0, the first by a hash of the id, of at most chars characters each. A document with both labels has label 1.
+    Labels are picked before texts are read."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out())
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = None
     for value in (1, 0):
-        part = known.where(F.col("label") == value).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample if value else CLEAN_EACH * sample)
+        part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample if value else CLEAN_EACH * sample)
         picked = part if picked is None else picked.unionByName(part)
     # at most four times sample rows of a number each
     texts = keyed_texts(documents).where(F.length("text") <= chars).join(F.broadcast(picked), "doc_id")
@@ -283,7 +349,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic",
 
 def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) of every row, and with keep row, the whole row as a struct. spans:
-    (start, end, marginal) of tokens more likely toxic than not, in code points of the lower-cased text.
+    (start, end, marginal) of neighbouring tokens at least as likely toxic as not, in code points of the lower-cased text.
 
     A null text is empty and scores as a text without toxic words. Null ids count as not held out and are never
     trained on; repeated rows keep their number; other columns are ignored. Without labels all score alike.
@@ -293,7 +359,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep
 
     def tag(texts):
         out = [tagger.tag(t) for t in texts]
-        return [s for s, _ in out], [[{"start": a, "end": b, "marginal": p} for a, b, p in x if p >= 0.5] for _, x in out]
+        return [s for s, _ in out], [[{"start": a, "end": b, "marginal": p} for a, b, p in x] for _, x in out]
 
     scored = beside(documents, "score double, spans array<struct<start:int,end:int,marginal:double>>", tag)
     scored = scored.withColumn("doc_id", F.col("row")[documents.select(documents["doc_id"]).columns[0]].cast("long"))

@@ -197,35 +197,85 @@ def compare(a: str, b: str) -> float:
     return likeness(*(np.frombuffer(base64.b64decode(x), dtype=np.uint8).reshape(-1, BITS // 8) for x in (a, b)))
 
 
+def _cuts(ids: DataFrame, parts: int, fine: int = 8) -> list[tuple[int, int]]:
+    """Bounds (k, h) that cut rows (k, h, n) into ranges of about equal sums of n, fewer than parts; a row is in the range
+    after the bounds that are below it.
+
+    Quantiles of k cut the rows fine times as often; a k that spans several of those is cut by h, which is uniform. Their
+    sums come to the driver, and neighbours are joined.
+    """
+    wanted = parts * fine
+    marks = ids.agg(F.percentile_approx("k", [i / wanted for i in range(1, wanted)], 100 * wanted)).first()[0] or []
+    heavy = {k for k, j in zip(marks, marks[1:], strict=False) if k == j}
+    bounds = []
+    for k in sorted(set(marks)):
+        step = (1 << 64) // max(1, marks.count(k))
+        bounds += [(k - 1, (1 << 63) - 1), *((k, -(1 << 63) + i * step) for i in range(1, marks.count(k)))] if k in heavy and k > -(1 << 63) else []
+        bounds.append((k, (1 << 63) - 1))
+    sums = dict(ids.groupBy(_lot_of(bounds).alias("lot")).agg(F.sum("n")).collect())
+    target, held, cuts = max(1, sum(sums.values())) / parts, 0, []
+    for at, bound in enumerate(bounds):
+        held += sums.get(at, 0)
+        if held >= target and len(cuts) < parts - 1:
+            cuts.append(bound)
+            held = 0
+    return cuts
+
+
+def _lot_of(cuts: list[tuple[int, int]]):
+    """How many cuts are below (k, h), by two steps of about the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    long = lambda rows: "array(" + ", ".join(f"struct({k}L AS k, {h}L AS h)" if h > -(1 << 63) and k > -(1 << 63) else f"struct(CAST('{k}' AS LONG) AS k, CAST('{h}' AS LONG) AS h)" for k, h in rows) + ")"
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    coarse = f"size(filter({long([g[-1] for g in groups])}, c -> c < struct(k, h)))"
+    inner = f"array({', '.join(map(long, groups))})"
+    return F.expr(f"least({coarse} * {step} + coalesce(size(filter(get({inner}, {coarse}), c -> c < struct(k, h))), 0), {len(cuts)})").cast("int")
+
+
+def _tasks(spark: SparkSession, parts: int, lots: int) -> list[int]:
+    """For each lot a number that hash partitioning deals to a partition of its own."""
+    found: dict[int, int] = {}
+    for i, at in spark.range(parts * 24).select(F.col("id").cast("int"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))).collect():
+        found.setdefault(at, i)
+    free = list(found.values())
+    return [free[k % len(free)] for k in range(lots)]
+
+
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text: the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
-    document's, by descending doc_id; after the last comes the first. Rows of one doc_id follow each other by text; a
-    null id comes last; a table of one row is its own next. A null text is empty. Other columns are ignored.
+    document's, by descending doc_id; after the last comes the first. Rows of one doc_id follow each other by a hash of
+    the text; a null id comes last; a table of one row is its own next. A null text is empty. Other columns are ignored.
 
-    Texts move once: rows are dealt into ranges of doc_id cut at quantiles, and the first row of each range goes to the
-    range before it as well. Only the cuts, and each range's first id, come to the driver: as many as partitions.
+    Texts move once: rows are dealt into ranges of (doc_id, hash) of about equal bytes, each a task's own, and the first
+    row of each range goes to the range before it as well. Many rows of one id, or without id, are several ranges. Only
+    the cuts, and each range's first id, come to the driver: as many as partitions.
     """
     spark = documents.sparkSession
     small_batches(spark)
     docs = keyed_texts(documents)
     ranks = ranks_of(class_counts(docs))
-    parts = partitions(spark)
+    parts = partitions(spark, documents)
     # lowest ids last: order by the negated id, so that ranges ascend
-    ids = stored(docs.select(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).alias("k")))
-    cuts = sorted(set((ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10000)).first()[0] or []) if parts > 1 else []))
-    lot = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < F.col("k")))
-    rows = docs.withColumn("k", F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1))).withColumn("lot", lot)
-    firsts = sorted((r["lot"], r["k"]) for r in ids.withColumn("lot", lot).groupBy("lot").agg(F.min("k").alias("k")).collect())
+    place = {"k": F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)), "h": F.xxhash64("text")}
+    ids = stored(docs.select(*(v.alias(c) for c, v in place.items()), F.octet_length("text").cast("long").alias("n")))
+    cuts = _cuts(ids, parts)
+    lot = _lot_of(cuts)
+    firsts = {r["lot"]: (r["f"]["k"], r["f"]["h"]) for r in ids.groupBy(lot.alias("lot")).agg(F.min(F.struct("k", "h")).alias("f")).collect()}
+    used = sorted(firsts)
     # the lot that each lot's first row also goes to: the one before, from the first lot to the last
-    goes = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    also = F.array()
-    if goes:
-        also = F.coalesce(F.create_map(*(F.lit(x) for pair in goes.items() for x in pair))[F.col("k")], F.lit(-1))
-        also = F.when(also >= 0, F.array(F.struct(also.alias("lot"), F.lit(1).alias("extra")))).otherwise(F.array().cast("array<struct<lot:int,extra:int>>"))
-    dealt = rows.withColumn("to", F.explode(F.concat(F.array(F.struct(F.col("lot"), F.lit(0).alias("extra"))), also))).select(F.col("to.lot").alias("lot"), F.col("to.extra").alias("extra"), "k", "doc_id", "text")
-    dealt = dealt.repartition(parts, "lot").sortWithinPartitions("lot", "extra", "k", "text")
+    before = {at: used[i - 1] for i, at in enumerate(used)}
+    first = F.array(*(F.struct(*(F.lit(x).cast("long").alias(c) for c, x in zip("kh", firsts.get(at, (None, None)), strict=True))) for at in range(len(cuts) + 1)))
+    goes = F.array(*(F.lit(before.get(at, at)) for at in range(len(cuts) + 1)))
+    rows = docs.withColumns(place).withColumn("lot", lot)
+    copy = F.struct(F.get(goes, F.col("lot")).alias("lot"), F.lit(1).alias("extra"))
+    own = F.struct(F.col("lot"), F.lit(0).alias("extra"))
+    to = F.when(F.get(first, F.col("lot")) == F.struct("k", "h"), F.array(own, copy)).otherwise(F.array(own))
+    dealt = rows.withColumn("to", F.explode(to)).select(F.col("to.lot").alias("lot"), F.col("to.extra").alias("extra"), "k", "h", "doc_id", "text")
+    dealt = dealt.withColumn("task", F.get(F.array(*map(F.lit, _tasks(spark, parts, len(cuts) + 1))), F.col("lot"))).repartition(parts, "task").drop("task").sortWithinPartitions("lot", "extra", "k", "h", "text")
 
     def pairs(batches) -> Iterator[list[tuple[int | None, str, str]]]:
         """(doc_id, text, next text), a few megabytes at a time."""
@@ -264,3 +314,15 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def fingerprint_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_fingerprint that SQL can make too."""
+    return op2_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+FINGERPRINT_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nxt FROM d)
+SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(nxt, 1, length(t) // 3)) AS edited_sha256 FROM n
+"""

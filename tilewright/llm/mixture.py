@@ -65,12 +65,12 @@ def mixed(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHED
     whole original row as a struct (which keeps clashing names apart).
 
     A null text has size 0, as an empty one; rows of size 0 are taken 0 words of and have no position (they come last).
-    A null source is a source of its own, last in the order. Rows with equal ids share a place in the order and keep
-    their rows; a null id counts as an empty one there. An empty table gives an empty result. Reruns agree.
+    A null source is a source of its own, last in the order. Rows with equal ids keep their rows and follow each other by
+    size and a hash of the text; a null id counts as an empty one there. An empty table gives an empty result. Reruns agree.
     """
     text, source, key = documents["text"], documents["source"], documents["doc_id"]
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
-    sized = documents.select(key.cast("long").alias("doc_id"), source.isNull().alias("no_source"), F.coalesce(source.cast("string"), F.lit("")).alias("source_key"), word_count(text).alias("size"), digest.alias("digest"), *([F.struct(*(documents[c] for c in documents.columns)).alias("row")] if keep else []))
+    sized = documents.select(key.cast("long").alias("doc_id"), source.isNull().alias("no_source"), F.coalesce(source.cast("string"), F.lit("")).alias("source_key"), word_count(text).alias("size"), digest.alias("digest"), F.xxhash64(text.cast("string")).alias("tie"), *([F.struct(*(documents[c] for c in documents.columns)).alias("row")] if keep else []))
     sized = sized.withColumn("bucket", F.substring("digest", 1, HEX))
     # sizes alone are kept: counting words again beside whole rows is cheaper than writing these
     sizes = stored(sized.drop("row"))
@@ -79,7 +79,7 @@ def mixed(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHED
     sums = sizes.groupBy("no_source", "source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("no_source", "source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(goals, ["no_source", "source_key"]).drop("bucket_size")
-    inner = Window.partitionBy("no_source", "source_key", "bucket").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("no_source", "source_key", "bucket").orderBy("digest", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.join(sums, ["no_source", "source_key", "bucket"]).withColumn("before", F.col("bucket_before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     wanted = F.floor(F.col("target") + 0.5)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))

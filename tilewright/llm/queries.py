@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tilewright.llm.bpe import op8_bpe
 from tilewright.llm.crf import op1_toxicity
-from tilewright.llm.fingerprint import op2_fingerprint
+from tilewright.llm.fingerprint import FINGERPRINT_SQL, fingerprint_base, op2_fingerprint
 from tilewright.llm.jaccard import op3_jaccard, op3_links
 from tilewright.llm.license import LICENSE_SQL, license_base, op4_license
 from tilewright.llm.media import MEDIA_SQL, media_base, op9_media
@@ -39,5 +39,5 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, class_id, component_id F
 OP3_LINKS_SQL = f"""{OP3_SQL[: OP3_SQL.index("reach AS (")]}n AS (SELECT x, count(*) AS n FROM both_ways GROUP BY x)
 SELECT r.doc_id, n_shingles, class_id, component_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links FROM ({OP3_SQL}) r LEFT JOIN n ON n.x = r.doc_id"""
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_fingerprint": op2_fingerprint, "op3_jaccard": op3_jaccard, "op3_links": op3_links, "op4_license": op4_license, "op5_mixture": op5_mixture, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc, "license_base": license_base, "media_base": media_base}
-SQL = {"op3_jaccard": OP3_SQL, "op3_links": OP3_LINKS_SQL, "op5_mixture": OP5_SQL, "op10_warc": OP10_SQL, "license_base": LICENSE_SQL, "media_base": MEDIA_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_fingerprint": op2_fingerprint, "op3_jaccard": op3_jaccard, "op3_links": op3_links, "op4_license": op4_license, "op5_mixture": op5_mixture, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc, "fingerprint_base": fingerprint_base, "license_base": license_base, "media_base": media_base}
+SQL = {"op3_jaccard": OP3_SQL, "op3_links": OP3_LINKS_SQL, "op5_mixture": OP5_SQL, "op10_warc": OP10_SQL, "fingerprint_base": FINGERPRINT_SQL, "license_base": LICENSE_SQL, "media_base": MEDIA_SQL}
