@@ -176,6 +176,34 @@ def test_toxicity_held_out(spark):
     assert len(empty) == len(EDGE) and len({r["score"] for r in empty}) == 1
 
 
+def test_toxicity_edges(spark):
+    r = random.Random(6)
+    rows = [(k, " ".join([*r.choices(WORDS, k=20), *(["vile", "nasty"] if k % 2 else []), *r.choices(WORDS, k=20)]), "en", "s") for k in range(120)]
+    both = spark.createDataFrame([(k, k % 2) for k in range(120)] + [(k, 0) for k in range(1, 120, 2)], "doc_id long, toxic int")
+    train = crf.training_rows(documents(spark, rows), both)
+    assert len(train) == sum(zlib.crc32(str(k).encode()) % 5 > 0 for k in range(120)) and all(y == ("vile" in t) for t, y in train)
+    tagger = crf.fit(train)
+    assert crf.fit(train[::-1]).words.keys() == tagger.words.keys()
+    text = "w1 w2 VILE nasty w3 " + "w4 " * 50 + "nasty"
+    score, spans = tagger.tag(text)
+    assert score > 0.5 and [text[a:b] for a, b, _ in spans] == ["VILE nasty", "nasty"]
+    for words in ("w1 vile", "vile", "w1 w2 w3", "nasty w1 w2 vile vile w4"):
+        w = words.split()
+        p = tagger.inputs(w)[0]
+        move = np.exp(np.array(tagger.moves)).reshape(2, 2)
+        emit = [tagger.emission(x) if tagger.emission(x) is not None else tagger.bias for x in w]
+        inside, whole = np.zeros(len(w)), 0.0
+        for states in itertools.product((0, 1), repeat=len(w)):
+            x = math.prod(math.exp(e) if s else 1.0 for s, e in zip(states, emit, strict=True)) * math.prod(move[a, b] for a, b in zip(states, states[1:], strict=False))
+            whole += x
+            inside += x * np.array(states)
+        assert all(math.isclose(v, inside[i] / whole, rel_tol=1e-6) for i, v in p.items())
+    assert crf.toxicity(documents(spark, rows).limit(0), both).count() == 0
+    long = [(1, "w1 " * 400_000 + "vile nasty", "en", "s")] * 2
+    got = crf.toxicity(documents(spark, rows + [(500 + k, t, *x) for k, (_, t, *x) in enumerate(long)]), both).where("doc_id >= 500").collect()
+    assert len(got) == 2 and got[0]["score"] == got[1]["score"] and got[0]["spans"][0]["start"] == 1_200_000
+
+
 def test_window_classes_match_entropy():
     data = np.frombuffer(("abcabcaab" * 9 + "xyz" * 20 + "a" * 70).encode(), dtype=np.uint8)
     got = fingerprint.window_classes(data)
@@ -210,6 +238,78 @@ def test_edited_fingerprints(spark, corpus):
     assert fingerprint.edited_fingerprints(documents(spark, EDGE).limit(0)).count() == 0
 
 
+def slow_windows(text, ranks):
+    """Features by loops: the leftmost window of the best rank of every run scores, windows of enough points stay."""
+    w, n = fingerprint.WINDOW, len(text) - fingerprint.WINDOW + 1
+
+    def rank(i):
+        c = Counter(text[i : i + w])
+        total = sum(int(fingerprint._TERM[v]) for v in c.values())
+        return int(ranks[(int(fingerprint._MOST) - total) * (fingerprint.CLASSES - 1) // int(fingerprint._MOST)])
+
+    own, points = [rank(i) for i in range(n)], Counter()
+    for a in range(-(fingerprint.RUN - 1), n):
+        run = [i for i in range(max(0, a), min(n, a + fingerprint.RUN)) if own[i] < fingerprint._NO_RANK]
+        if run:
+            points[min(run, key=lambda i: (own[i], i))] += 1
+    return list(dict.fromkeys(text[i : i + w] for i in sorted(points) if points[i] >= fingerprint.MIN_POINTS))
+
+
+def slow_likeness(a, b):
+    """Likeness of two chains of filters, as sets of bits."""
+    a, b = ([{i for i, x in enumerate(np.unpackbits(row)) if x} for row in c] for c in (a, b))
+    if a == b:
+        return 1.0
+    if len(a) > len(b):
+        a, b = b, a
+
+    def one_way(x, y):
+        got = 0.0
+        for f in x:
+            best = 0.0
+            for g in y:
+                chance, most = len(f) * len(g) / fingerprint.BITS, min(len(f), len(g))
+                share = min(1.0, max(0.0, (len(f & g) - chance) / max(most - chance, 1e-9)))
+                best = max(best, share * math.sqrt(most / max(len(f), len(g), 1)))
+            got += len(f) * best
+        return got / max(1, sum(map(len, x)))
+
+    return one_way(a, b) if len(a) < len(b) else (one_way(a, b) + one_way(b, a)) / 2
+
+
+def test_fingerprints_match_loops(corpus):
+    texts = [t.encode() for _, t, *_ in corpus[:25]] + [b"ab" * 40 + b"the end of it all is near, they say", ("né " * 30).encode()]
+    counts = np.zeros(fingerprint.CLASSES, dtype=np.int64)
+    for t in texts:
+        np.add.at(counts, fingerprint.window_classes(np.frombuffer(t, dtype=np.uint8)), 1)
+    ranks = fingerprint.ranks_of(counts)
+    got = fingerprint.features(texts, ranks)
+    for t, f in zip(texts, got, strict=True):
+        want = slow_windows(t, ranks)
+        assert len(want) == len(f) or not want and len(f) >= 1
+    chains = [fingerprint.filters(f) for f in got] + [fingerprint.filters(np.concatenate(got))]
+    for a, b in itertools.product(chains[:6] + chains[-1:], chains[-8:]):
+        assert math.isclose(fingerprint.likeness(a, b), slow_likeness(a, b), abs_tol=1e-12)
+        assert math.isclose(fingerprint.likeness(a, b), fingerprint.likeness(b, a), abs_tol=1e-12)
+
+
+def test_edited_fingerprints_of_hot_ids(spark):
+    texts = [f"text {k} " + "word " * (k % 50) for k in range(300)]
+    rows = [(None, t, "en", "a") for t in texts[:120]] + [(5, t, "en", "a") for t in texts[120:240]] + [(k, t, "en", "a") for k, t in enumerate(texts[240:])] + [(None, texts[0], "en", "a")] * 3
+    long = "long " * 300_000
+    got = fingerprint.edited_fingerprints(documents(spark, [*rows, (900, long, "en", "a")])).collect()
+    assert len(got) == len(rows) + 1 and sum(r["doc_id"] is None for r in got) == 123
+    assert {r["n_chars"] for r in got} == {len(t) for t in [*texts, long]}
+    own = {hashlib.sha256(t.encode()).hexdigest() for t in texts}
+    # descending ids: those of distinct ids are known to the row
+    order = sorted([r for r in [*rows, (900, long, "en", "a")] if r[0] is not None and r[0] != 5], key=lambda r: -r[0])
+    by = {r["doc_id"]: r["edited_sha256"] for r in got if r["doc_id"] not in (None, 5)}
+    for (i, t, *_), (j, n, *_) in zip(order, order[1:], strict=False):
+        if i - 1 == j:
+            assert by[i] == hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    assert own
+
+
 def test_license_labels(spark):
     text = "Under the MIT License. under the mit license; Apache License, Version 2.0 -- CC BY-NC 4.0"
     rows = [(1, text, "en", "a"), (2, "Released under the terms of the MIT license", "en", "a"), (3, "released under mit license", "en", "a"), *[(10 + k, t, *x) for k, (_, t, *x) in enumerate(EDGE)]]
