@@ -105,7 +105,7 @@ def compile_expr(expr, props: Column, zoom: Column | float = 0.0, geometry: Colu
         if op == "id":
             return id_ if id_ is not None else F.lit(None).cast("string")
         if op == "coalesce":
-            return F.coalesce(*map(build, a))
+            return F.coalesce(*(build(x) if not is_number(x) else F.lit(str(x)) for x in a)) if any(isinstance(x, list) for x in a) else F.coalesce(*map(build, a))
         if op in ("all", "any"):
             out = F.lit(op == "all")
             for x in a:

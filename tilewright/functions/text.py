@@ -83,11 +83,123 @@ def language_key(name: Column) -> Column:
     return F.when(name.startswith("name_"), F.concat(F.lit("name:"), F.replace(F.substr(name, F.lit(6)), F.lit("_"), F.lit("-")))).otherwise(name)
 
 
+# fixed values: family prefix, then (pattern, upright face, italic face) in order of precedence
+FONT_RULES = [
+    ("DIN Pro", [("(?i)Bold", "Open Sans Semibold", "Open Sans Semibold Italic"), ("(?i)Medium|Semibold", "Open Sans Regular", "Open Sans Italic"), ("", "Open Sans Regular", "Open Sans Italic")]),
+    ("Arial Unicode MS", [("(?i)Bold", "Open Sans Semibold", "Open Sans Semibold Italic"), ("", "Open Sans Regular", "Open Sans Italic")]),
+    ("Noto Sans", [("(?i)Bold|Semibold", "Open Sans Semibold", "Open Sans Semibold Italic"), ("", "Open Sans Regular", "Open Sans Italic")]),
+]
+# fixed values: exact names of the first and of the second conversion
+FONT_MAP = {"DIN Pro Regular": "Open Sans Regular", "DIN Pro Medium": "Open Sans Semibold", "DIN Pro Bold": "Open Sans Bold", "DIN Pro Italic": "Open Sans Italic", "Arial Unicode MS Regular": "Open Sans Regular"}
+FONT_MAP_RESTORED = {"DIN Pro Regular": "Open Sans Regular", "DIN Pro Medium": "Open Sans Regular", "DIN Pro Bold": "Open Sans Semibold", "DIN Pro Italic": "Open Sans Italic", "Arial Unicode MS Regular": "Noto Sans Regular", "Arial Unicode MS Bold": "Noto Sans Semibold"}
+
+
 def font_family(name: Column) -> Column:
-    """A family by the words of a font's name: the first rule that matches wins."""
-    low = F.lower(name)
-    weight = F.when(low.rlike("bold|black|heavy"), "Bold").when(low.rlike("medium|semi"), "Medium").otherwise("Regular")
-    return F.concat(F.lit("Sans "), weight, F.when(low.rlike("italic|oblique"), F.lit(" Italic")).otherwise(F.lit("")))
+    """The open face of a font's name, by its family's prefix and the words for weight and slant; others stay."""
+    italic = name.rlike("(?i)Italic")
+    out = None
+    for prefix, rules in FONT_RULES:
+        for pattern, upright, slanted in rules:
+            test = name.startswith(prefix) & name.rlike(pattern) if pattern else name.startswith(prefix)
+            face = F.when(italic, slanted).otherwise(upright)
+            out = F.when(test, face) if out is None else out.when(test, face)
+    return out.otherwise(name)
+
+
+def looked_up(value: Column, table: dict[str, str]) -> Column:
+    """The table's entry, else the value itself."""
+    out = None
+    for k, v in table.items():
+        out = F.when(value == k, v) if out is None else out.when(value == k, v)
+    return value if out is None else out.otherwise(value)
+
+
+def asset_valid(name: Column, prefix: str, ending: str = "pmtiles") -> Column:
+    """Whether a name is prefix-, then lower-case letters, digits and hyphens, and the ending."""
+    return F.coalesce(name.rlike(f"^\\Q{prefix}\\E-[a-z0-9-]+\\.\\Q{ending}\\E$"), F.lit(False))
+
+
+def asset_names(slug: Column, prefix: str) -> Column:
+    """struct(asset_name, metadata_name) of a region's slug."""
+    return F.struct(F.concat(F.lit(f"{prefix}-"), slug, F.lit(".pmtiles")).alias("asset_name"), F.concat(F.lit(f"{prefix}-"), slug, F.lit(".json")).alias("metadata_name"))
+
+
+def request_id(value: Column, made: Column) -> Column:
+    """A request's id if it has 1 to 128 letters, digits and ._:- after trimming, else the one made."""
+    own = F.trim(F.coalesce(value, F.lit("")))
+    return F.when(own.rlike("^[A-Za-z0-9._:-]{1,128}$"), own).otherwise(made)
+
+
+def database_url(value: Column) -> Column:
+    """The trimmed address of a PostgreSQL database with user, host and name; else null."""
+    own = F.trim(value)
+    return F.when(own.rlike("(?i)^postgres(ql)?://[^/?#@:]+(:[^/?#@]*)?@[^/?#@]+/[^?#]+"), own)
+
+
+def sql_endpoint(url: Column) -> Column:
+    """The HTTPS endpoint beside a database's host: its first label becomes api; null if it has one label only."""
+    host = F.lower(F.regexp_extract(url, "^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(host.rlike(r"^[^.]+\."), F.concat(F.lit("https://"), F.regexp_replace(host, r"^[^.]+\.", "api."), F.lit("/sql")))
+
+
+def encoded_parameter(value: Column, kind: str) -> Column:
+    """A query's parameter as text by kind: bytes in hex after a backslash and x, whole numbers in digits, times in ISO 8601 (UTC)."""
+    if kind == "binary":
+        return hex_parameter(value)
+    return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if kind == "timestamp" else value.cast("string")
+
+
+def path_status(path: Column) -> Column:
+    """200 for a path inside the root, 400 for a broken escape or a NUL, 403 for one that climbs out of the root."""
+    broken = F.coalesce(path.rlike("%(?![0-9A-Fa-f]{2})"), F.lit(False))
+    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    depth = F.aggregate(
+        F.split(plain, "/"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")),
+        lambda d, part: F.struct((d["at"] + F.when(part == "..", -1).when(part.isin("", "."), 0).otherwise(1)).alias("at"), F.least(d["low"], d["at"] + F.when(part == "..", -1).otherwise(0)).alias("low")),
+    )
+    return F.when(broken | plain.isNull() | F.contains(plain, F.lit("\0")), 400).when(depth["low"] < 0, 403).otherwise(200)
+
+
+def error_status(kind: Column, status: Column, code: Column, own: str) -> Column:
+    """An error's HTTP status: overloads 503, ranges 404, then its own status, 503 for codes of the service, else 500."""
+    return F.when(kind == "overloaded", 503).when(kind == "range", 404).when(status.isNotNull(), status).when(code.startswith(own), 503).otherwise(500)
+
+
+def cacheable(z: Column, most: int = 6) -> Column:
+    return F.coalesce(z.between(0, most), F.lit(False))
+
+
+def expected_failure(url: Column, error: Column) -> Column:
+    """Whether a failure is one that may happen: an icon that browsers ask for, or an aborted request."""
+    return F.coalesce(url, F.lit("")).rlike(r"(?i)/favicon\.ico(?:$|\?)") | F.coalesce(error, F.lit("")).rlike("(?i)ERR_ABORTED")
+
+
+def remote_size(content_range: Column, content_length: Column) -> Column:
+    """The size that headers tell: what follows the slash of a range, else a length above 1; else null."""
+    length = content_length.try_cast("long")
+    return F.coalesce(F.regexp_extract(content_range, r"/(\d+)$", 1).try_cast("long"), F.when(length > 1, length))
+
+
+# fixed values: what a layer's key is about, water before parks before roads
+WATER, PARK, ROAD, BOUNDARY = (
+    "water|ocean|lake|river|marine|bay", "park|grass|wood|forest|landcover|landuse|nature|green|garden|golf|pitch|cemetery",
+    "road|street|transport|motorway|trunk|primary|secondary|tertiary|minor|path|bridge|tunnel|rail", "boundary|admin|border",
+)
+
+
+def text_class(kind: Column, layer_id: Column, source_layer: Column) -> Column:
+    """What a layer shows, by the words of its id and source layer; the order of tests depends on its kind of geometry."""
+    key = F.lower(F.concat(F.coalesce(layer_id, F.lit("")), F.lit(" "), F.coalesce(source_layer, F.lit(""))))
+    fill = F.when(key.rlike(WATER), "water").when(key.rlike(PARK), F.when(key.rlike("wood|forest"), "park-dark").otherwise("park")).when(key.rlike("building"), "building")
+    fill = fill.when(key.rlike("residential|suburb|neighbourhood|industrial|commercial"), "land-soft").otherwise("land")
+    line = F.when(key.rlike(BOUNDARY), "boundary").when(key.rlike(WATER), "water-deep").when(key.rlike(ROAD), F.when(key.rlike("case|casing|outline"), "road-casing").otherwise("road"))
+    symbol = F.when(key.rlike(WATER), "water-text").when(key.rlike(PARK), "park-text").otherwise("text")
+    return F.when(kind == "background", "land").when(kind == "fill", fill).when(kind == "line", line).when(kind == "symbol", symbol)
+
+
+def shows_water(keys: Column) -> Column:
+    """Whether any of the keys names water."""
+    return F.exists(keys, lambda k: F.coalesce(F.lower(k).rlike(WATER), F.lit(False)))
 
 
 def content_type(path: Column) -> Column:
@@ -130,21 +242,34 @@ def normalize_hex(color: Column) -> Column:
     return F.upper(F.when(color.rlike("^#[0-9A-Fa-f]{3,4}$"), F.concat(F.lit("#"), F.regexp_replace(F.substring(color, 2, 8), "(.)", "$1$1"))).otherwise(color))
 
 
+# fixed values
+NAMED_COLORS = {"transparent": "#00000000", "black": "#000000", "white": "#FFFFFF"}
+
+
 def color_to_hex(color: Column) -> Column:
-    """Hex, rgb(), rgba(), hsl() and hsla() as hex; eight digits where alpha is below 1; anything else as it is."""
-    number = r"([0-9.]+%?)"
-    pattern = rf"(?i)^(rgb|hsl)a?\(\s*{number}\s*,\s*{number}\s*,\s*{number}\s*(?:,\s*{number}\s*)?\)$"
-    read = F.struct(*(F.regexp_extract(color, pattern, k).alias(f"p{k}") for k in range(1, 6)))
-
-    def parsed(t):
-        plain = lambda k: F.regexp_replace(t[k], "%", "").try_cast("double")
-        scaled = lambda k, unit, most: plain(k) * F.when(t[k].endswith("%"), most / 100).otherwise(unit)
-        rgb = F.lower(t["p1"]) == "rgb"
-        body = F.when(rgb, F.concat(F.lit("#"), *(byte_hex(scaled(k, 1.0, 255.0)) for k in ("p2", "p3", "p4")))).otherwise(hsl_to_hex(plain("p2"), scaled("p3", 1.0, 1.0), scaled("p4", 1.0, 1.0)))
-        alpha = F.when(t["p5"] == "", F.lit(1.0)).otherwise(scaled("p5", 1.0, 1.0))
-        return F.concat(body, F.when(alpha < 1, byte_hex(alpha * 255)).otherwise(F.lit("")))
-
-    return F.when(color.rlike(pattern), let(read, parsed)).when(color.rlike("^#[0-9A-Fa-f]{3,8}$"), normalize_hex(color)).otherwise(color)
+    """Hex, rgb(), rgba(), hsl(), hsla() and three names as hex, without blanks around; eight digits where alpha is below
+    1; channels are clamped. Anything else stays as it is."""
+    own = F.trim(color)
+    number = r"([+-]?[0-9.]+%?)"
+    alpha_ = rf"(?:\s*,\s*{number})?"
+    rgb = rf"(?i)^rgba?\(\s*{number}\s*,\s*{number}\s*,\s*{number}{alpha_}\s*\)$"
+    hsl = rf"(?i)^hsla?\(\s*([+-]?[0-9.]+)\s*,\s*([+-]?[0-9.]+)%\s*,\s*([+-]?[0-9.]+)%{alpha_}\s*\)$"
+    clamped = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+
+    def parsed(pattern, body):
+        def made(t):
+            plain = lambda k: F.regexp_replace(t[k], "%", "").try_cast("double")
+            scaled = lambda k, most: F.when(t[k].endswith("%"), plain(k) / 100 * most).otherwise(plain(k))
+            alpha = F.when(t["p4"] == "", F.lit(1.0)).otherwise(clamped(scaled("p4", 1.0)))
+            return F.concat(body(plain, scaled), F.when(alpha < 1, byte_hex(alpha * 255)).otherwise(F.lit("")))
+
+        return let(F.struct(*(F.regexp_extract(own, pattern, k).alias(f"p{k}") for k in range(1, 5))), made)
+
+    as_rgb = parsed(rgb, lambda plain, scaled: F.concat(F.lit("#"), *(byte_hex(scaled(k, 255.0)) for k in ("p1", "p2", "p3"))))
+    as_hsl = parsed(hsl, lambda plain, scaled: hsl_to_hex(plain("p1"), clamped(plain("p2") / 100), clamped(plain("p3") / 100)))
+    named = looked_up(F.lower(own), NAMED_COLORS)
+    out = F.when(own.rlike("^#[0-9A-Fa-f]{3,8}$"), normalize_hex(own)).when(own.rlike(rgb), as_rgb).when(own.rlike(hsl), as_hsl)
+    return out.when(F.lower(own).isin([*NAMED_COLORS]), named).otherwise(color)
 
 
 def choose(value: Column, rules: list[tuple[list[str], str]], default: Column) -> Column:

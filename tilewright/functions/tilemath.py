@@ -127,3 +127,12 @@ def bounded_integer(text: Column, fallback: int, low: int, high: int) -> Column:
 def backoff_ms(attempt: Column, base: int, most: int, noise: Column) -> Column:
     """Delay before retry number attempt (from 1): doubles, stops at most, times 0.75 to 1.25."""
     return round_half_up(F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1)) * (F.lit(0.75) + F.lit(0.5) * noise)).cast("long")
+
+
+# fixed values: kinds of layers that a flat map doesn't draw
+UNDRAWN = ["sky", "hillshade", "model", "fill-extrusion"]
+
+
+def entered_by(minzoom: Column, zoom: int) -> Column:
+    """A layer's least zoom, brought down to zoom if it is later; 24 stands for none."""
+    return F.least(F.coalesce(minzoom, F.lit(24)), F.lit(zoom))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.text import base64url, let
@@ -12,13 +12,13 @@ GEOMETRY = "array<array<struct<x:double,y:double>>>"
 
 def stable_properties(props: Column) -> Column:
     """Entries of a map, sorted by key, as JSON."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(props))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(props))))
 
 
 def signature(gtype: Column, props: Column, geom: Column) -> Column:
-    """Digest of type, sorted properties and every point in order, with the parts told apart."""
-    points = F.transform(geom, lambda part: F.concat(F.lit("["), F.concat_ws(";", F.transform(part, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string")))), F.lit("]")))
-    return base64url(F.unhex(F.sha1(F.concat_ws("|", gtype.cast("string"), stable_properties(props), F.concat_ws("", points)))))
+    """Digest of type, sorted properties and every point in order, with the parts told apart. The text of an array of
+    numbers is definite, and casts are compiled where functions of lambdas aren't."""
+    return base64url(F.unhex(F.sha1(F.concat_ws("|", gtype.cast("string"), F.to_json(F.sort_array(F.map_entries(props))), geom.cast("string")))))
 
 
 def feature_key(gtype: Column, fid: Column, props: Column, geom: Column) -> Column:
@@ -33,25 +33,31 @@ def contains_run(part: Column, piece: Column) -> Column:
     return F.exists(starts, lambda i: (F.slice(part, i, m) == piece) | (F.slice(part, i, m) == F.reverse(piece)))
 
 
-def union_parts(parts: Column) -> Column:
-    """Parts of a line in order of arrival: one within an earlier is skipped; ones within it go."""
+def union_parts(first: Column, parts: Column) -> Column:
+    """first, the parts of a line as they are, and further ones in order of arrival: one within an earlier is skipped;
+    ones within it go."""
     def add(have, new):
         without = F.filter(have, lambda p: ~contains_run(new, p))
         return F.when(F.exists(have, lambda p: contains_run(p, new)), have).otherwise(F.array_append(without, new))
 
-    return F.aggregate(parts, F.array().cast(GEOMETRY), add)
+    return F.aggregate(parts, first, add)
 
 
 def merge(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One feature for each key of tile and layer: the first by order, lines with the parts of all.
 
-    The first row is found by a reduction; only lines gather parts, as many as payloads hold of one feature.
+    The first row is found by a reduction. Only lines gather parts, as many as payloads hold of one feature; a line that
+    occurs once stays as it is.
     """
     rest = [c for c in features.columns if c not in keys]
-    parts = F.when(F.col("gtype") == 2, F.struct(F.struct(*order).alias("at"), F.col("geom").alias("geom")))
-    merged = features.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"), F.sort_array(F.collect_set(parts)).alias("_p"))
-    geom = F.when(F.col("_f.gtype") == 2, union_parts(F.flatten(F.transform("_p", lambda p: p["geom"])))).otherwise(F.col("_f.geom"))
-    return merged.select(*keys, *(geom.alias("geom") if c == "geom" else F.col(f"_f.{c}").alias(c) for c in rest))
+    names = lambda src: [F.col(f"{src}.{c}").alias(c) for c in rest]
+    others = features.where("gtype <> 2 OR gtype IS NULL").groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f")).select(*keys, *names("_f"))
+    at = F.struct(F.struct(*order).alias("at"), F.col("geom").alias("geom"))
+    lines = features.where("gtype = 2").groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"), F.collect_list(at).alias("_p"))
+    # rows of one place in the order are told apart by geometry
+    parts = F.sort_array("_p")
+    geom = F.when(F.size("_p") == 1, F.col("_f.geom")).otherwise(union_parts(F.get(parts, 0)["geom"], F.flatten(F.transform(F.slice(parts, 2, F.size("_p")), lambda p: p["geom"]))))
+    return others.unionByName(lines.select(*keys, *(geom.alias("geom") if c == "geom" else x for c, x in zip(rest, names("_f"), strict=True))))
 
 
 def layer_copy(features: DataFrame, source: str, target: str, overrides: dict[str, str]) -> DataFrame:
@@ -127,7 +133,3 @@ def clip_ring(ring: Column, extent: int) -> Column:
 
     opened = F.when(F.size(ring) < 3, none).when(F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))).otherwise(ring)
     return let(opened, lambda r: cut(r, 0))
-
-
-def first_of(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return features.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")

@@ -9,37 +9,41 @@ from tilewright.functions import tilemath as T
 from tilewright.plans.storage import durable
 
 
-def ancestors_root(nodes: DataFrame, id_: str = "id", parent: str = "parent", stop: Column | None = None, rounds: int = 40) -> DataFrame:
-    """(id, root, depth): the topmost ancestor, or the nearest ancestor-or-self where stop holds.
+def ancestors_root(nodes: DataFrame, id_: str = "id", parent: str = "parent", stop: Column | None = None) -> DataFrame:
+    """(id, root, depth): the topmost ancestor, or the nearest ancestor-or-self where stop holds; null root and depth for
+    nodes whose ancestors form a cycle.
 
-    Pointers double each round, so a chain of n nodes takes log2(n) equi-joins instead of n.
+    Pointers double each round, so a chain of n nodes takes log2(n) equi-joins instead of n. Each round is written to the
+    shared folder, so that a plan doesn't hold the rounds before it. Rounds go on until all have arrived or depths are
+    beyond the number of nodes, which only a cycle reaches.
     """
     halt = F.col("parent").isNull() if stop is None else (stop | F.col("parent").isNull())
     p = nodes.select(F.col(id_).alias("id"), F.col(parent).alias("parent"), *([] if stop is None else [c for c in nodes.columns if c not in (id_, parent)]))
-    p = p.select("id", F.when(halt, F.col("id")).otherwise(F.col("parent")).alias("up"), F.when(halt, 0).otherwise(1).cast("long").alias("depth"))
-    known = p.select("id")
-    # a parent that isn't in the table ends the chain
-    p = p.join(known.select(F.col("id").alias("up"), F.lit(True).alias("there")), "up", "left").select("id", F.when(F.col("there"), F.col("up")).otherwise(F.col("id")).alias("up"), F.when(F.col("there"), F.col("depth")).otherwise(0).cast("long").alias("depth"))
-    for _ in range(rounds):
-        step = p.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        n = p.join(step, "up").select("id", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
-        moved = p.join(step, "up").where("further <> up").limit(1).count()
-        p = n
-        if not moved:
-            break
-    return p.select("id", F.col("up").alias("root"), "depth")
-
-
-def leaves(nodes: DataFrame, wanted: Column, rounds: int = 40) -> DataFrame:
-    """(id) of wanted nodes of (id, parent, ...) without a wanted descendant at any depth; pointers double each round."""
+    p = p.select("id", F.when(halt, F.col("id")).otherwise(F.col("parent")).alias("up"), F.when(halt, 0).otherwise(1).cast("long").alias("depth"), F.coalesce(halt, F.lit(False)).alias("done"))
+    known = p.select(F.col("id").alias("up"), F.col("done").alias("ends"))
+    # a parent that isn't in the table ends the chain; done: the pointer has arrived
+    p = durable(p.join(known, "up", "left").select("id", F.when(F.col("ends").isNotNull(), F.col("up")).otherwise(F.col("id")).alias("up"), F.when(F.col("ends").isNotNull(), F.col("depth")).otherwise(0).cast("long").alias("depth"), (F.col("done") | F.coalesce(F.col("ends"), F.lit(True))).alias("done")))
+    left, reach = p.agg(F.count("*"), F.count_if(~F.col("done"))).first(), 1
+    while left[1] and reach < left[0]:
+        step = p.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.col("done").alias("arrived"))
+        moving = p.where("NOT done").join(step, "up").select("id", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("arrived").alias("done"))
+        p = durable(p.where("done").unionByName(moving))
+        left, reach = p.agg(F.count("*"), F.count_if(~F.col("done"))).first(), reach * 2
+    return p.select("id", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+
+
+def leaves(nodes: DataFrame, wanted: Column) -> DataFrame:
+    """(id) of wanted nodes of (id, parent, ...) without a wanted descendant at any depth, themselves aside in a cycle.
+    Each round marks what is as far above again as the rounds before; it is written, and ends when nothing is new."""
     up = nodes.select("id", F.col("parent").alias("up")).where("up IS NOT NULL")
-    above = nodes.where(wanted).join(up, "id").select(F.col("up").alias("id")).distinct()
-    for _ in range(rounds):
-        more = above.join(up, "id").select(F.col("up").alias("id"))
-        grown = above.unionByName(more).distinct()
-        up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("further")), "up").select("id", F.col("further").alias("up"))
-        above = grown
-        if up.limit(1).count() == 0:
+    above = durable(nodes.where(wanted).join(up, "id").select(F.col("up").alias("id")).distinct())
+    n = above.count()
+    while True:
+        # pointers of 1, 2, 4 ... steps: all ancestors within the sum of them are marked
+        grown = durable(above.unionByName(above.join(up, "id").select(F.col("up").alias("id"))).distinct())
+        up = durable(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("further")), "up").select("id", F.col("further").alias("up")))
+        before, n, above = n, grown.count(), grown
+        if n == before:
             break
     return nodes.where(wanted).select("id").join(above, "id", "left_anti")
 

@@ -30,11 +30,28 @@ def match_recode(read):
     return _words(read).select("p_partkey", *(X.choose(w, rules, w).alias(n) for n, rules in (("place", K.PLACE), ("landcover", K.LANDCOVER), ("landuse", K.LANDUSE), ("overlay", K.OVERLAY))))
 
 
-@query(f"WITH t AS (SELECT p_partkey, p_size, {_PICK} AS w FROM part) SELECT p_partkey, CASE WHEN p_size % 3 = 1 AND w IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary') THEN w || '_link' ELSE {_case('w', K.ROAD, repr('street'))} END AS road FROM t")
+_ROADS = "motorway trunk primary secondary tertiary minor service track path pedestrian steps raceway rail transit ferry cable_car gondola residential unclassified living_street busway bus_guideway motorway_junction motorway_construction minor_construction path_construction raceway_construction other".split()
+_ROAD_ROWS = f"t AS (SELECT p_partkey, [{', '.join(repr(w) for w in _ROADS)}][p_partkey % {len(_ROADS)} + 1] AS c, p_size % 3 = 1 AS ramp, p_size % 5 = 0 AS ferry, CASE WHEN p_size % 2 = 0 THEN 'sub' || p_size % 4 END AS sub FROM part)"
+
+
+def _roads(read):
+    tags = ", ".join(f"'{w}'" for w in _ROADS)
+    main = f"'class', element_at(array({tags}), CAST(p_partkey % {len(_ROADS)} + 1 AS INT)), 'ramp', CAST(CAST(p_size % 3 = 1 AS INT) AS STRING), 'brunnel', CASE WHEN p_size % 5 = 0 THEN 'ferry' ELSE 'none' END"
+    return read("part").selectExpr("p_partkey", f"CASE WHEN p_size % 2 = 0 THEN map({main}, 'subclass', 'sub' || p_size % 4) ELSE map({main}) END AS props")
+
+
+@query(f"""WITH {_ROAD_ROWS} SELECT p_partkey, CASE WHEN ferry THEN 'ferry' WHEN c = 'motorway' AND ramp THEN 'motorway_link' WHEN c IN ('trunk', 'primary', 'secondary', 'tertiary') AND ramp THEN 'link'
+  WHEN c IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'service', 'track', 'path', 'transit', 'ferry') THEN c WHEN c IN ('pedestrian', 'steps') THEN 'path' WHEN c = 'rail' THEN 'major_rail' WHEN c IN ('cable_car', 'gondola') THEN 'aerialway' ELSE 'street' END AS road FROM t""")
 def road_class(read):
-    road = ["case", ["all", ["==", ["get", "ramp"], "1"], ["match", ["get", "class"], K.RAMPS, True, False]], ["concat", ["get", "class"], "_link"], ["match", ["get", "class"], *(x for names, to in K.ROAD for x in (names, to)), "street"]]
-    props = F.create_map(F.lit("class"), F.col("w"), F.lit("ramp"), F.when(F.col("p_size") % 3 == 1, "1").otherwise("0"))
-    return _words(read).withColumn("props", props).select("p_partkey", E.compile_expr(road, F.col("props")).alias("road"))
+    return _roads(read).select("p_partkey", E.compile_expr(K.ROAD_CLASS, F.col("props")).alias("road"))
+
+
+@query(f"""WITH {_ROAD_ROWS} SELECT p_partkey, CASE WHEN c LIKE '%\\_construction' ESCAPE '\\' THEN 'construction' WHEN ramp AND c IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary') THEN c || '_link'
+  WHEN c IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'service', 'track', 'path', 'transit', 'ferry', 'motorway_junction') THEN c WHEN c = 'living_street' THEN 'street_limited'
+  WHEN c IN ('busway', 'bus_guideway') THEN 'primary' WHEN c = 'rail' THEN 'major_rail' ELSE 'street' END AS road,
+  CASE WHEN c IN ('minor_construction', 'raceway_construction') THEN 'street' WHEN c IN ('path', 'path_construction') THEN coalesce(sub, 'path') WHEN c IN ('rail', 'transit') THEN coalesce(sub, c) ELSE replace(c, '_construction', '') END AS type FROM t""")
+def road_class_v2(read):
+    return _roads(read).select("p_partkey", E.compile_expr(K.ROAD_CLASS_RESTORED, F.col("props")).alias("road"), E.compile_expr(K.ROAD_TYPE, F.col("props")).alias("type"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 15 < 6 THEN user_id % 12 <= 3 WHEN event_id % 15 < 10 THEN user_id % 12 <= 7 ELSE true END AS shown FROM events")
@@ -44,14 +61,20 @@ def zoom_step_filter(read):
     return e.select("event_id", E.compile_filter(gate, F.col("props"), zoom=(F.col("event_id") % 15).cast("double")).alias("shown"))
 
 
-_RULES = [("water|ocean|lake|river", "water"), ("park|forest|wood", "park"), ("road|street|motorway", "road"), ("boundary|admin", "boundary")]
+_LAYER_WORDS = "waterway-river landuse-park wood-fill building-3d residential-area country-border road-casing tunnel-street bay-label cemetery grass-suburb plain Marine-Admin industrial-zone bridge-rail-outline garden".split()
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(k, 'water|ocean|lake|river') THEN 'water' WHEN regexp_matches(k, 'park|forest|wood') THEN 'park' WHEN regexp_matches(k, 'road|street|motorway') THEN 'road' WHEN regexp_matches(k, 'boundary|admin') THEN 'boundary' ELSE 'other' END AS class FROM (SELECT page_id, lower(url) || ' ' || (CASE page_id % 6 WHEN 0 THEN 'riverpark' WHEN 1 THEN 'parkroad' WHEN 2 THEN 'street' WHEN 3 THEN 'admin' ELSE 'x' END) AS k FROM pages)")
+@query(f"""WITH t AS (SELECT p_partkey, ['background', 'fill', 'line', 'symbol', 'raster'][p_size % 5 + 1] AS kind, lower([{', '.join(repr(w) for w in _LAYER_WORDS)}][p_partkey % {len(_LAYER_WORDS)} + 1] || ' ' || p_brand) AS k FROM part),
+m AS (SELECT *, regexp_matches(k, 'water|ocean|lake|river|marine|bay') AS water, regexp_matches(k, 'park|grass|wood|forest|landcover|landuse|nature|green|garden|golf|pitch|cemetery') AS park FROM t)
+SELECT p_partkey, CASE kind WHEN 'background' THEN 'land'
+  WHEN 'fill' THEN CASE WHEN water THEN 'water' WHEN park AND regexp_matches(k, 'wood|forest') THEN 'park-dark' WHEN park THEN 'park' WHEN contains(k, 'building') THEN 'building' WHEN regexp_matches(k, 'residential|suburb|neighbourhood|industrial|commercial') THEN 'land-soft' ELSE 'land' END
+  WHEN 'line' THEN CASE WHEN regexp_matches(k, 'boundary|admin|border') THEN 'boundary' WHEN water THEN 'water-deep'
+    WHEN regexp_matches(k, 'road|street|transport|motorway|trunk|primary|secondary|tertiary|minor|path|bridge|tunnel|rail') THEN CASE WHEN regexp_matches(k, 'case|casing|outline') THEN 'road-casing' ELSE 'road' END END
+  WHEN 'symbol' THEN CASE WHEN water THEN 'water-text' WHEN park THEN 'park-text' ELSE 'text' END END AS class, water FROM m""")
 def regex_priority_class(read):
-    i = F.col("page_id") % 6
-    k = F.concat(F.lower("url"), F.lit(" "), F.when(i == 0, "riverpark").when(i == 1, "parkroad").when(i == 2, "street").when(i == 3, "admin").otherwise("x"))
-    return read("pages").select("page_id", X.first_match(k, _RULES, "other").alias("class"))
+    words = ", ".join(f"'{w}'" for w in _LAYER_WORDS)
+    p = read("part").selectExpr("p_partkey", "element_at(array('background', 'fill', 'line', 'symbol', 'raster'), p_size % 5 + 1) AS kind", f"element_at(array({words}), CAST(p_partkey % {len(_LAYER_WORDS)} + 1 AS INT)) AS id", "p_brand")
+    return p.select("p_partkey", X.text_class(F.col("kind"), F.col("id"), F.col("p_brand")).alias("class"), X.shows_water(F.array("id", "p_brand")).alias("water"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '2' WHEN 1 THEN '4' WHEN 2 THEN '6' ELSE '3' END AS admin_level, p_size % 4 = 1 AS hit FROM part")
@@ -65,10 +88,22 @@ def domain_recode(read):
     return p.select("p_partkey", F.col("props")["admin_level"].alias("admin_level"), E.compile_filter(old, F.col("props")).alias("hit"))
 
 
-@query("SELECT p_partkey, 'Sans ' || CASE WHEN regexp_matches(lower(p_type), 'bold|black|heavy|steel') THEN 'Bold' WHEN regexp_matches(lower(p_type), 'medium|semi') THEN 'Medium' ELSE 'Regular' END || CASE WHEN regexp_matches(lower(p_type), 'italic|oblique|brass') THEN ' Italic' ELSE '' END AS font FROM part")
+_FONTS = ["DIN Pro Bold", "DIN Pro Bold Italic", "DIN Pro Medium", "DIN Pro Semibold Italic", "DIN Pro Italic", "DIN Pro Regular", "Arial Unicode MS Bold", "Arial Unicode MS Italic", "Arial Unicode MS Regular", "Noto Sans Semibold", "Noto Sans semibold italic", "Noto Sans CJK", "Roboto Bold"]
+_FONT_ROWS = f"f AS (SELECT p_partkey, [{', '.join(repr(w) for w in _FONTS)}][p_partkey % {len(_FONTS)} + 1] || CASE WHEN p_size % 4 = 0 THEN ' ' || p_type ELSE '' END AS name FROM part)"
+
+
+def _fonts(read):
+    words = ", ".join(f"'{w}'" for w in _FONTS)
+    return read("part").selectExpr("p_partkey", f"element_at(array({words}), CAST(p_partkey % {len(_FONTS)} + 1 AS INT)) || CASE WHEN p_size % 4 = 0 THEN ' ' || p_type ELSE '' END AS name")
+
+
+@query(f"""WITH {_FONT_ROWS}, b AS (SELECT *, name ILIKE '%bold%' AS bold, name ILIKE '%italic%' AS italic, starts_with(name, 'DIN Pro') OR starts_with(name, 'Arial Unicode MS') OR starts_with(name, 'Noto Sans') AS known FROM f)
+SELECT p_partkey, CASE WHEN NOT known THEN name WHEN bold AND italic THEN 'Open Sans Semibold Italic' WHEN bold THEN 'Open Sans Semibold' WHEN italic THEN 'Open Sans Italic' ELSE 'Open Sans Regular' END AS font,
+  CASE name WHEN 'DIN Pro Regular' THEN 'Open Sans Regular' WHEN 'DIN Pro Medium' THEN 'Open Sans Semibold' WHEN 'DIN Pro Bold' THEN 'Open Sans Bold' WHEN 'DIN Pro Italic' THEN 'Open Sans Italic' WHEN 'Arial Unicode MS Regular' THEN 'Open Sans Regular' ELSE name END AS exact,
+  CASE name WHEN 'DIN Pro Regular' THEN 'Open Sans Regular' WHEN 'DIN Pro Medium' THEN 'Open Sans Regular' WHEN 'DIN Pro Bold' THEN 'Open Sans Semibold' WHEN 'DIN Pro Italic' THEN 'Open Sans Italic' WHEN 'Arial Unicode MS Regular' THEN 'Noto Sans Regular' WHEN 'Arial Unicode MS Bold' THEN 'Noto Sans Semibold' ELSE name END AS restored FROM b""")
 def case_regex_map(read):
-    kind = F.regexp_replace(F.regexp_replace(F.lower("p_type"), "steel", "bold"), "brass", "italic")
-    return read("part").select("p_partkey", X.font_family(kind).alias("font"))
+    name = F.col("name")
+    return _fonts(read).select("p_partkey", X.font_family(name).alias("font"), X.looked_up(name, X.FONT_MAP).alias("exact"), X.looked_up(name, X.FONT_MAP_RESTORED).alias("restored"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '(?i)licen[cs]e|password|token') AS leaks, len(regexp_extract_all(text, '(?i)licen[cs]e|password|token')) AS n FROM documents")
@@ -87,11 +122,17 @@ def hsl_to_hex(read):
     return read("part").select("p_partkey", X.hsl_to_hex((F.col("p_partkey") % 360).cast("double"), F.col("p_size") % 11 / 10.0, F.col("p_partkey") % 101 / 100.0).alias("color"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '#AABBCC' WHEN 1 THEN '#0A141E' WHEN 2 THEN '#FF000080' WHEN 3 THEN 'navy' ELSE '#12345678' END AS color FROM part")
+# colours in eleven notations, with channels of the part's size and key
+@query("""WITH c AS (SELECT p_partkey, p_partkey % 11 AS k, p_size * 7 - 60 AS n, p_size AS s, p_partkey % 256 AS b FROM part),
+h AS (SELECT *, printf('%02X', CAST(least(greatest(n, 0), 255) AS INT)) AS red, printf('%02X', CAST(b AS INT)) AS blue, printf('%02X', CAST(floor(least(s * 2, 100) / 100.0 * 255 + 0.5) AS INT)) AS a FROM c)
+SELECT p_partkey, CASE k WHEN 0 THEN '#' || repeat(substr(blue, 1, 1), 2) || 'BBCC' WHEN 1 THEN '#' || red || '14' || blue WHEN 2 THEN '#' || red || '14' || blue || CASE WHEN s < 50 THEN a ELSE '' END
+  WHEN 3 THEN '#00000000' WHEN 4 THEN '#FFFFFF' WHEN 5 THEN '#000000' WHEN 6 THEN 'navy' WHEN 7 THEN '#' || repeat(substr(blue, 2, 1), 2) || '112233' WHEN 8 THEN '#' || printf('%02X', CAST(floor(b % 101 / 100.0 * 255 + 0.5) AS INT)) || 'FF00'
+  WHEN 9 THEN '#' || repeat(printf('%02X', CAST(floor(least(s * 3, 100) / 100.0 * 255 + 0.5) AS INT)), 3) ELSE 'rgb(a, b, c)' END AS color FROM h""")
 def color_dispatch(read):
-    i = F.col("p_partkey") % 5
-    c = F.when(i == 0, "#abc").when(i == 1, "rgb(10, 20, 30)").when(i == 2, "hsla(0, 100%, 50%, 0.5)").when(i == 3, "navy").otherwise("#12345678")
-    return read("part").select("p_partkey", X.color_to_hex(c).alias("color"))
+    text = """CASE p_partkey % 11 WHEN 0 THEN lower('#' || substr(lpad(hex(p_partkey % 256), 2, '0'), 1, 1) || 'bc') WHEN 1 THEN 'rgb(' || (p_size * 7 - 60) || ', 20,' || p_partkey % 256 || ')'
+      WHEN 2 THEN ' RGBA( ' || (p_size * 7 - 60) || ' , 20 , ' || p_partkey % 256 || ', ' || p_size * 2 || '% ) ' WHEN 3 THEN 'Transparent' WHEN 4 THEN ' white ' WHEN 5 THEN 'BLACK' WHEN 6 THEN 'navy'
+      WHEN 7 THEN '#' || substr(lpad(hex(p_partkey % 256), 2, '0'), 2, 1) || '123' WHEN 8 THEN 'rgb(' || p_partkey % 256 % 101 || '%, 300%, -5)' WHEN 9 THEN 'hsl(' || (p_partkey % 1000 - 400) || ', 0%, ' || p_size * 3 || '%)' ELSE 'rgb(a, b, c)' END"""
+    return read("part").select("p_partkey", X.color_to_hex(F.expr(text)).alias("color"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 5 WHEN event_id % 7 = 1 THEN 5 WHEN event_id % 100 BETWEEN 1 AND 64 THEN event_id % 100 ELSE 5 END AS v FROM events")
@@ -247,3 +288,41 @@ def expr_rewrite(read):
     props = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("housenumber"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")))).otherwise(F.create_map(F.lit("x"), F.lit("y")))
     p = read("part").withColumn("props", props)
     return p.select("p_partkey", E.compile_expr(renamed, F.col("props")).alias("v"), E.compile_filter(["has", "housenumber"], F.col("props")).alias("has"))
+
+
+# small functions of names, requests and failures
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tiles-' || lower(replace(p_brand, '#', '-')) || '.pmtiles' WHEN 1 THEN 'tiles-' || p_brand || '.pmtiles' WHEN 2 THEN 'tiles-.pmtiles' ELSE 'other-a.pmtiles' END AS name, p_brand, p_size FROM part)
+SELECT p_partkey, regexp_matches(name, '^tiles-[a-z0-9-]+\\.pmtiles$') AS valid, 'tiles-' || p_size || '.pmtiles' AS asset_name, 'tiles-' || p_size || '.json' AS metadata_name, CASE WHEN p_partkey % 3 = 0 THEN 'made' ELSE 'r:' || p_size END AS request, p_size % 9 <= 6 AS cached FROM t""")
+def asset_names(read):
+    name = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'tiles-' || lower(replace(p_brand, '#', '-')) || '.pmtiles' WHEN 1 THEN 'tiles-' || p_brand || '.pmtiles' WHEN 2 THEN 'tiles-.pmtiles' ELSE 'other-a.pmtiles' END")
+    own = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'r ' || p_size WHEN 1 THEN ' r:' || p_size || ' ' ELSE 'r:' || p_size END")
+    made = X.asset_names(F.col("p_size").cast("string"), "tiles")
+    return read("part").select("p_partkey", X.asset_valid(name, "tiles").alias("valid"), made["asset_name"].alias("asset_name"), made["metadata_name"].alias("metadata_name"), X.request_id(own, F.lit("made")).alias("request"), X.cacheable(F.col("p_size") % 9).alias("cached"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'postgres://u:p@db' || c_nationkey || '.host.org/name' WHEN 1 THEN 'postgresql://u@h:5432/x' END AS url,
+CASE c_custkey % 5 WHEN 0 THEN 'https://api.host.org/sql' WHEN 3 THEN 'https://api.b/sql' END AS endpoint FROM customer""")
+def database_urls(read):
+    raw = F.expr("CASE c_custkey % 5 WHEN 0 THEN ' postgres://u:p@db' || c_nationkey || '.host.org/name' WHEN 1 THEN 'postgresql://u@h:5432/x' WHEN 2 THEN 'postgres://h/x' WHEN 3 THEN 'mysql://u@a.b/x' ELSE 'postgres://u@h/' END")
+    return read("customer").select("c_custkey", X.database_url(raw).alias("url"), X.sql_endpoint(F.trim(raw)).alias("endpoint"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 403 WHEN 2 THEN 200 WHEN 3 THEN 400 WHEN 4 THEN 400 ELSE 403 END AS status, CASE event_type WHEN 'click' THEN 503 WHEN 'view' THEN 404 WHEN 'error' THEN CAST(400 + user_id % 100 AS INT) WHEN 'signup' THEN 503 ELSE 500 END AS error,
+event_id % 3 = 0 OR event_id % 5 = 0 AS expected, CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN CASE WHEN user_id > 1 THEN user_id END END AS size, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(floor(epoch_us(ts) / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || 'Z' AS at FROM events""")
+def request_functions(read):
+    path = F.expr("CASE event_id % 6 WHEN 0 THEN '/a/' || user_id WHEN 1 THEN '/../etc' WHEN 2 THEN '/a/../b%20c' WHEN 3 THEN '/a%00b' WHEN 4 THEN '/a%zz' ELSE '/a/%2e%2e/../x' END")
+    kind = F.expr("CASE event_type WHEN 'click' THEN 'overloaded' WHEN 'view' THEN 'range' ELSE 'other' END")
+    error = X.error_status(kind, F.expr("CASE WHEN event_type = 'error' THEN CAST(400 + user_id % 100 AS INT) END"), F.expr("CASE WHEN event_type = 'signup' THEN 'TILES_X' ELSE 'E' END"), "TILES_")
+    expected = X.expected_failure(F.expr("CASE WHEN event_id % 3 = 0 THEN 'http://h/FAVICON.ico?x' ELSE 'http://h/favicon.icon' END"), F.expr("CASE WHEN event_id % 5 = 0 THEN 'net::ERR_ABORTED' END"))
+    size = X.remote_size(F.expr("CASE WHEN event_id % 3 = 0 THEN 'bytes 0-0/' || event_id END"), F.expr("CASE WHEN event_id % 3 = 1 THEN CAST(user_id AS STRING) ELSE 'x' END"))
+    return read("events").select("event_id", X.path_status(path).alias("status"), error.alias("error"), expected.alias("expected"), size.alias("size"), X.encoded_parameter(F.col("ts").cast("timestamp"), "timestamp").alias("at"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN least(o_custkey % 24, 5) ELSE 5 END AS minzoom, sqrt(pow(o_orderkey % 7, 2) + pow(o_custkey % 5, 2)) AS miss, 'https://h.org/' || o_orderkey || '/{z}' AS template, o_orderstatus <> 'P' AS shown FROM orders")
+def layer_functions(read):
+    z, k, c = F.expr("CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 24 END"), F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.expr("CASE o_orderstatus WHEN 'P' THEN 'sky' WHEN 'F' THEN 'fill' ELSE 'line' END")
+    template = F.concat(F.lit("__ORIGIN__/"), k.cast("string"), F.lit("/{z}"))
+    return read("orders").select("o_orderkey", T.entered_by(z, 5).alias("minzoom"), F.hypot((k % 7).cast("double"), (c % 5).cast("double")).alias("miss"), F.replace(template, F.lit("__ORIGIN__"), F.lit("https://h.org")).alias("template"), (~kind.isin(T.UNDRAWN)).alias("shown"))

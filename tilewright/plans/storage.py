@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written below spark.checkpoint.dir and read again; a temporary folder only where that is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which every executor sees. Only a local session may leave it unset: it
+    gets a temporary folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tilewright/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tilewright/{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,0 +1,58 @@
+"""Queries on styles: layers derived from parts and orders, one a row."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tilewright.functions import style as S
+from tilewright.plans.registry import query
+
+_SOURCES = [*S.TARGETS, "landuse_overlay", "natural_label", "contour", "hillshade", "unknown"]
+_LIST = ", ".join(f"'{s}'" for s in _SOURCES)
+# a third of the layers are symbols; every eleventh has no source
+_ROWS = f"""l AS (SELECT p_partkey, [{_LIST}][p_partkey % {len(_SOURCES)} + 1] AS s, p_size % 3 = 0 AS symbol, p_partkey % 11 = 0 AS own, ['river-x', 'peak', 'Park', 'plain'][p_size % 4 + 1] AS id FROM part)"""
+
+
+def _layers(read):
+    kind = "CASE WHEN p_size % 3 = 0 THEN 'symbol' WHEN p_size % 3 = 1 THEN 'fill' ELSE 'line' END"
+    layer = f"element_at(array({_LIST}), CAST(p_partkey % {len(_SOURCES)} + 1 AS INT))"
+    texts = """CASE p_size % 3 WHEN 0 THEN '["==", ["get", "class"], "x"]' WHEN 1 THEN '["has", "name_zh_Hans"]' ELSE '["all", ["==", ["get", "admin_level"], 1], ["==", ["get", "maritime"], "true"]]' END"""
+    return read("part").selectExpr("p_brand AS style", "CAST(p_partkey AS INT) AS place", "element_at(array('river-x', 'peak', 'Park', 'plain'), p_size % 4 + 1) AS id", f"{kind} AS type", "CASE WHEN p_partkey % 11 <> 0 THEN 'old' END AS source", f"{layer} AS source_layer",
+                                   "CAST(NULL AS DOUBLE) AS minzoom", "CAST(NULL AS DOUBLE) AS maxzoom", f"{texts} AS filter", """'{"text-field": ["get", "house_num"], "size": ["get", "reflen"]}' AS layout""",
+                                   """'{"fill-color": ["case", ["has", "extrude"], "rgb(' || p_size || ', 0, 255)", " white "], "x": "navy"}' AS paint""")
+
+
+_TARGET_SQL = """CASE WHEN own OR s IN ('contour', 'hillshade', 'unknown') THEN NULL WHEN s = 'landuse_overlay' THEN CASE WHEN id = 'Park' THEN 'park' ELSE 'landuse' END
+  WHEN s = 'natural_label' THEN CASE id WHEN 'river-x' THEN 'water_name' WHEN 'peak' THEN 'mountain_peak' ELSE 'place' END
+  WHEN s IN ('waterway', 'water') AND symbol THEN 'water_name' WHEN s IN ('structure', 'road') THEN CASE WHEN symbol THEN 'transportation_name' ELSE 'transportation' END WHEN s = 'motorway_junction' THEN 'transportation_name'
+  WHEN s = 'aeroway' AND symbol OR s = 'airport_label' THEN 'aerodrome_label' WHEN s = 'admin' THEN 'boundary' WHEN s = 'housenum_label' THEN 'housenumber' WHEN s = 'place_label' THEN 'place' WHEN s IN ('poi_label', 'transit_stop_label') THEN 'poi' ELSE s END"""
+_REASON_SQL = "CASE WHEN own OR target IS NOT NULL THEN NULL WHEN s = 'hillshade' THEN 'replaced by open raster DEM hillshade' WHEN s = 'contour' THEN 'no equivalent contour layer in the public vector schema' ELSE 'unmapped source-layer: ' || s END"
+
+
+@query(f"""WITH {_ROWS}, t AS (SELECT *, {_TARGET_SQL} AS target FROM l), p AS (SELECT p.p_partkey, p.p_size, p.p_brand, t.* EXCLUDE (p_partkey) FROM t JOIN part p USING (p_partkey))
+SELECT CAST(p_partkey AS INT) AS place, target, {_REASON_SQL} AS reason,
+  CASE p_size % 3 WHEN 0 THEN CASE WHEN own THEN 'plain' WHEN s IN ('road', 'structure', 'motorway_junction') THEN 'case road' WHEN s = 'landcover' THEN 'case match' ELSE 'case get' END
+    WHEN 1 THEN CASE WHEN own THEN 'plain' ELSE 'any' END ELSE CASE WHEN own THEN 'plain' WHEN s = 'admin' THEN 'case coded' ELSE 'case all' END END AS filter,
+  CASE WHEN own THEN 'house_num' ELSE 'housenumber' END AS field, CASE WHEN own THEN 'extrude' ELSE 'render_height' END AS has,
+  '#' || printf('%02X', CAST(p_size AS INT)) || '00FF' AS color FROM p""")
+def style_convert(read):
+    """Targets and reasons of every layer, and what became of its filter, layout and paint."""
+    c = S.normalized_colors(S.convert(_layers(read)))
+    f = F.col("filter")
+    third = F.col("place").isNotNull()
+    sort = F.when(S.names_literal(f, F.lit('"motorway_link"')), "case road").when(S.names_literal(f, F.lit('"match"')), "case match").when(f.rlike(r'^\["case", \["==", \["get", "class"\]'), "case get")
+    sort = sort.when(f == '["case", ["any", ["has", "name:zh-Hans"], ["has", "name"]], true, false]', "any").when(f == '["case", ["all", ["==", ["get", "admin_level"], 4], ["==", ["get", "maritime"], 1]], true, false]', "case coded").when(f.startswith('["case", ["all"'), "case all").otherwise("plain")
+    return c.where(third).select("place", "target", "reason", sort.alias("filter"), F.get_json_object("layout", "$['text-field'][1]").alias("field"), F.get_json_object("paint", "$['fill-color'][1][1]").alias("has"), F.get_json_object("paint", "$['fill-color'][2]").alias("color"))
+
+
+@query(f"""WITH {_ROWS}, t AS (SELECT l.*, p_brand AS style, {_TARGET_SQL} AS target FROM l JOIN part USING (p_partkey)), r AS (SELECT *, {_REASON_SQL} AS reason FROM t),
+m AS (SELECT style, s, list_sort(list(DISTINCT target)) AS targets FROM r WHERE target IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT style, '{{' || string_agg('"' || s || '":["' || array_to_string(targets, '","') || '"]', ',' ORDER BY s) || '}}' AS mappings FROM m GROUP BY 1)
+SELECT style, count(*) AS layers, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS skipped, coalesce(any_value(mappings), '{{}}') AS mappings FROM r LEFT JOIN j USING (style) GROUP BY style""")
+def style_report(read):
+    return S.compatibility_report(S.convert(_layers(read)))
+
+
+@query("SELECT CAST(p_partkey AS INT) AS place FROM part WHERE p_size % 3 <> 1")
+def style_drawn(read):
+    return S.drawn(_layers(read), "old", ["fill"]).select("place")

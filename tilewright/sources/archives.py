@@ -26,8 +26,9 @@ def read_tile_tree(spark: SparkSession, path: str, ending: str = "pbf") -> DataF
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
-    """A table of tiles by zoom; empty ones are not written. Readers of one zoom skip the others' folders."""
-    tiles.where(F.octet_length("tile") > 0).repartition("z").sortWithinPartitions("z", "x", "y").write.partitionBy("z").parquet(path)
+    """A table of tiles by zoom; empty ones are not written. Readers of one zoom skip the others' folders. Ranges of
+    addresses are tasks, as the deepest zoom has most tiles."""
+    tiles.where(F.octet_length("tile") > 0).repartitionByRange("z", "x", "y").sortWithinPartitions("z", "x", "y").write.partitionBy("z").parquet(path)
 
 
 def read_tile(spark: SparkSession, path: str, z: int, x: int, y: int, most: int = 16 << 20) -> DataFrame:
@@ -125,11 +126,12 @@ def unpack_sqlite(archives: DataFrame, column: str = "content") -> DataFrame:
 
 
 def read_collection(spark: SparkSession, path: str, geometry: str = "string") -> DataFrame:
-    """(file, properties, geometry) of the features of FeatureCollections; features without geometry are left out, other
-    documents give an error row nowhere: their type is checked before they are exploded."""
+    """(file, properties, geometry) of the features of FeatureCollections; features without geometry are left out. A
+    document of another type stops the scan."""
     schema = f"type string, features array<struct<type:string,properties:map<string,string>,geometry:{geometry}>>"
     docs = spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.input_file_name())
-    return docs.where("type = 'FeatureCollection'").select("file", F.explode("features").alias("f")).select("file", "f.properties", "f.geometry").where("geometry IS NOT NULL")
+    found = F.when(F.col("type").eqNullSafe("FeatureCollection"), F.col("features")).otherwise(F.raise_error(F.concat(F.lit("not a FeatureCollection: "), F.col("file"))))
+    return docs.select("file", F.explode(found).alias("f")).select("file", "f.properties", "f.geometry").where("geometry IS NOT NULL")
 
 
 def write_collection(features: DataFrame, path: str) -> None:
@@ -157,3 +159,37 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def depth_of(path):
     """The depth in a file's name: its last number."""
     return F.regexp_extract(path, r"_(\d+)\.[A-Za-z]+$", 1).try_cast("int")
+
+
+def read_depths(spark: SparkSession, path: str, expected: int = 12) -> DataFrame:
+    """(file, depth, properties, geometry) of collections whose depth stands in their names; another number of files than
+    expected stops the scan."""
+    files = spark.read.format("binaryFile").load(path).select("path").count()
+    if files != expected:
+        raise ValueError(f"{files} files, {expected} expected")
+    c = read_collection(spark, path)
+    return c.select("file", depth_of(F.col("file")).alias("depth"), "properties", "geometry")
+
+
+def read_icons(spark: SparkSession, path: str) -> DataFrame:
+    """(name, path, content) of the *.svg files below path; name: the file's without ending."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.svg").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.svg$", 1).alias("name"), "path", "content")
+
+
+def read_build_log(spark: SparkSession, path: str) -> DataFrame:
+    """(file, stage, wall, cpu) of the timing lines of build logs: "stage<tab or blanks>wall cpu:time" after a clock."""
+    line = r"\s([A-Za-z_0-9]+)\s+((?:\d+h)?(?:\d+m)?\d+s)\s+cpu:((?:\d+h)?(?:\d+m)?\d+s)"
+    raw = spark.read.text(path).select("value", F.input_file_name().alias("file")).where(F.col("value").rlike(line))
+    seconds = lambda k: sum((F.coalesce(F.regexp_extract(F.regexp_extract("value", line, k), rf"(\d+){u}", 1).try_cast("long"), F.lit(0)) * n for u, n in (("h", 3600), ("m", 60), ("s", 1))), F.lit(0))
+    return raw.select("file", F.regexp_extract("value", line, 1).alias("stage"), seconds(2).alias("wall"), seconds(3).alias("cpu"))
+
+
+def named_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(row) of query responses {"fields": [{"name"}], "rows": [[...]]}: a map from name to value for each row; a field
+    without a name is column_ and its place."""
+    schema = "fields array<struct<name:string>>, rows array<array<string>>"
+    docs = spark.read.schema(schema).json(path, multiLine=True)
+    row = F.col("row")
+    names = F.transform(row, lambda _, i: F.coalesce(F.get(F.col("fields"), i)["name"], F.concat(F.lit("column_"), i.cast("string"))))
+    return docs.select("fields", F.explode("rows").alias("row")).select(F.map_from_arrays(names, row).alias("row"))
