@@ -9,6 +9,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright.functions import classes, style
 from tilewright.functions import expressions as E
 from tilewright.functions import text as X
 from tilewright.functions import tilemath as T
@@ -33,6 +34,86 @@ def test_lines_merge_by_id(spark):
     assert [len(p) for p in back[0]["geom"]] == [3, 2]
 
 
+def test_a_lone_line_keeps_its_parts(spark):
+    parts = [[(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)], [(0.0, 0.0), (1.0, 0.0)]]
+    assert [[len(p) for p in r["geom"]] for r in merged(spark, [(1, 0, "t", 1, 2, {}, parts)])] == [[3, 2]]
+    assert [[len(p) for p in r["geom"]] for r in merged(spark, [(1, 0, "t", 1, 2, {}, parts), (2, 0, "t", 1, 2, {}, parts)])] == [[3, 2]]
+    assert [[len(p) for p in r["geom"]] for r in merged(spark, [(1, 0, "t", 1, 2, {}, parts[1:]), (2, 0, "t", 1, 2, {}, parts)])] == [[3]]
+
+
+def test_hierarchies(spark):
+    rows = [(k, k - 1 if k else None) for k in range(200)] + [(300, 301), (301, 302), (302, 300), (303, 300), (400, 999), (500, 500)]
+    df = spark.createDataFrame(rows, "id long, parent long")
+    got = {r["id"]: (r["root"], r["depth"]) for r in planning.ancestors_root(df).collect()}
+    assert all(got[k] == (0, k) for k in range(200)) and got[400] == (400, 0)
+    assert all(got[k] == (None, None) for k in (300, 301, 302, 303, 500))
+    stop = {r["id"]: r["root"] for r in planning.ancestors_root(df, stop=F.col("id").isin(50, 120)).collect()}
+    assert (stop[49], stop[50], stop[119], stop[120], stop[199]) == (0, 50, 50, 120, 120)
+    assert sorted(r["id"] for r in planning.leaves(df.where("id < 300"), F.col("id") % 3 == 0).collect()) == [198]
+    assert planning.ancestors_root(df.limit(0)).count() == 0
+
+
+def test_region_index(spark, tmp_path):
+    box = lambda *p: {"type": "MultiPolygon", "coordinates": [[[list(x) for x in p]]]}
+    feature = lambda g, **p: {"type": "Feature", "properties": p, "geometry": g}
+    index = {"type": "FeatureCollection", "features": [
+        feature(None, id="europe", name="Europe"), feature(box((1, 2), (3, 4.5), (-1e0, 3)), id="a/b", parent="europe", urls={"pbf": "http://x"}),
+        feature(box((170, 0), (-170, 1)), id="c", parent="a/b", urls={"pbf": "http://y"}), feature(box((0, 0), (1, 1)), name="no id"), feature(box((5, 5), (6, 6)), id="d", parent="zz", name="D", urls={"pbf": "http://z"}),
+    ]}
+    (tmp_path / "index.json").write_text(json.dumps(index))
+    read = planning.read_index(spark, str(tmp_path / "index.json"))
+    bounds = {r["id"]: r["bounds"] and tuple(r["bounds"]) for r in read.collect()}
+    assert bounds == {"europe": None, "a/b": (-1.0, 2.0, 3.0, 4.5), "c": (170.0, 0.0, -170.0, 1.0), "d": (5.0, 5.0, 6.0, 6.0)}
+    plan = planning.base_plan(read, ["europe"], "tiles")
+    assert [(r["id"], r["slug"], r["name"], r["continent"], r["asset_name"]) for r in plan.collect()] == [("c", "c", "c", "europe", "tiles-c.pmtiles"), ("d", "d", "D", "d", "tiles-d.pmtiles")]
+    assert [r["id"] for r in planning.base_plan(read, ["europe"], "tiles", scope="europe").collect()] == ["c"]
+    planning.plan_json(plan, f"{tmp_path}/plan")
+    assert [r["id"] for r in spark.read.json(f"{tmp_path}/plan").orderBy("id").collect()] == ["c", "d"]
+    (tmp_path / "other.json").write_text('{"type": "Feature"}')
+    for scan in (archives.read_collection, archives.read_features):
+        with pytest.raises(Exception, match="not a FeatureCollection"):
+            scan(spark, str(tmp_path / "other.json")).collect()
+
+
+def test_styles(spark, tmp_path):
+    layers = [{"id": "bg", "type": "background", "paint": {"background-color": "rgb(1, 2, 3)"}}, {"id": "r", "type": "line", "source": "s", "source-layer": "road", "minzoom": 3, "filter": ["==", ["get", "class"], "x"], "paint": {"line-width": ["get", "sizerank"]}}, {"id": "h", "type": "fill", "source": "s", "source-layer": "hillshade"}, {"id": "q", "type": "fill", "source": "s", "source-layer": "zz"}]
+    (tmp_path / "style.json").write_text(json.dumps({"version": 8, "layers": layers}))
+    (tmp_path / "empty.json").write_text("{}")
+    read = style.read_layers(spark, str(tmp_path))
+    got = {r["id"]: r for r in style.normalized_colors(style.convert(read)).collect()}
+    assert got["bg"]["paint"] == '{"background-color": "#010203"}' and got["bg"]["reason"] is None and got["r"]["minzoom"] == 3.0
+    assert json.loads(got["r"]["filter"]) == ["case", ["==", classes.ROAD_CLASS, "x"], True, False] and json.loads(got["r"]["paint"]) == {"line-width": ["get", "rank"]}
+    assert got["h"]["reason"].startswith("replaced") and got["q"]["reason"] == "unmapped source-layer: zz"
+    report = style.compatibility_report(style.convert(read)).first()
+    assert (report["layers"], report["kept"], report["skipped"], json.loads(report["mappings"])) == (4, 2, 2, {"road": ["transportation"]})
+    assert style.class_replaced({"a": ["x", ["get", "class"], ["get", "class", 1]]}, 7) == {"a": ["x", 7, ["get", "class", 1]]}
+    assert style.boundary_recoded(["all", ["==", 0, "true"], ["!=", ["get", "admin_level"], 2]]) == ["all", ["==", ["get", "disputed"], 1], ["!=", ["get", "admin_level"], 6]]
+
+
+def test_more_sources(spark, tmp_path):
+    for k in (0, 200):
+        (tmp_path / f"ne_bathymetry_{k}.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"n": 1}, "geometry": {"type": "Point"}}]}))
+    assert sorted(r["depth"] for r in archives.read_depths(spark, f"{tmp_path}/ne*.json", 2).collect()) == [0, 200]
+    with pytest.raises(ValueError):
+        archives.read_depths(spark, f"{tmp_path}/ne*.json")
+    (tmp_path / "icons" / "a").mkdir(parents=True)
+    (tmp_path / "icons" / "a" / "bar.svg").write_text("<svg/>")
+    assert [r["name"] for r in archives.read_icons(spark, f"{tmp_path}/icons").collect()] == ["bar"]
+    (tmp_path / "build.log").write_text("0:24:22 INF - overall   24m22s cpu:1h30m23s gc:1m avg:3.7\n0:24 INF other\n0:24:22 INF - osm_pass1  37s cpu:2m\n")
+    assert sorted(tuple(r)[1:] for r in archives.read_build_log(spark, f"{tmp_path}/build.log").collect()) == [("osm_pass1", 37, 120), ("overall", 1462, 5423)]
+    (tmp_path / "rows.json").write_text(json.dumps({"fields": [{"name": "a"}, {}], "rows": [["1", "2"], ["3", None]]}))
+    assert [r["row"] for r in archives.named_rows(spark, f"{tmp_path}/rows.json").collect()] == [{"a": "1", "column_1": "2"}, {"a": "3", "column_1": None}]
+    (tmp_path / "p1.json").write_text('{"assets": [{"name": "a", "state": "uploaded", "size": 3}]}')
+    (tmp_path / "p2.json").write_text('[{"name": "b", "state": "new", "size": 0}]')
+    assert sorted(tuple(r) for r in archives.read_pages(spark, f"{tmp_path}/p*.json").collect()) == [("a", "uploaded", 3), ("b", "new", 0)]
+    hints = spark.createDataFrame([({"k": "v"}, '{"type":"Point","coordinates":[1,2]}', 3, 9)], "properties map<string,string>, geometry string, minzoom int, maxzoom int")
+    archives.write_collection(hints, f"{tmp_path}/out")
+    assert json.loads(spark.read.text(f"{tmp_path}/out").first()[0])["tippecanoe"] == {"minzoom": 3, "maxzoom": 9}
+    files = spark.createDataFrame([(bytearray(b"PMTiles" + b"x" * 200), 207), (bytearray(b"PMTilex" + b"x" * 200), 207), (bytearray(b"PMTiles"), 7)], "content binary, length long")
+    assert [r["valid"] for r in archives.valid_archive(files).collect()] == [True, False, False]
+    assert spark.range(1).select(X.safe_label(F.lit("a\nb" + "c" * 300))).first()[0] == "a b" + "c" * 197
+
+
 def square(a, b):
     return [[(a, a), (b, a), (b, b), (a, b), (a, a)]]
 

@@ -34,3 +34,42 @@ def lru_survivors(accesses: DataFrame, key: str, at: list[str], size: str, budge
     w = Window.orderBy(F.desc("last")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = newest.withColumn("running", F.sum("bytes").over(w)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("last"))))
     return ranked.where((F.col("running") <= budget) | (F.col("rank") == 1)).select(key, "bytes", "rank")
+
+
+def manifest_refresh(reads: DataFrame, key: str, fresh: int, stale: int) -> DataFrame:
+    """reads (key, at, seq, ok) with what each gets: fresh within fresh of the last load; else it loads, and is loaded if
+    that succeeds, stale if not but within stale of the last load, and else failed.
+
+    A read's state depends on all loads before it, so a key's reads are folded in order; keys are dealt over tasks, and a
+    key's reads pass as a sorted stream.
+    """
+    schema = reads.select(key, "at", "seq", "ok").schema
+    rows = reads.select(key, "at", "seq", "ok").repartition(key).sortWithinPartitions(key, "at", "seq")
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, loaded = None, None
+        for batch in batches:
+            states = []
+            for k, at, ok in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                if k != last:
+                    last, loaded = k, None
+                if loaded is not None and at <= loaded + fresh:
+                    states.append("fresh")
+                elif ok:
+                    loaded = at
+                    states.append("loaded")
+                else:
+                    states.append("stale" if loaded is not None and at <= loaded + stale else "failed")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.string())], names=[*batch.schema.names, "state"])
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    return rows.mapInArrow(run, StructType([*schema.fields, StructField("state", StringType())]))
+
+
+def prune_points(writes: DataFrame, shard: str, order: list[str], every: int) -> DataFrame:
+    """writes with nth, their number within the shard, and prunes: whether this write is followed by a prune."""
+    w = Window.partitionBy(shard).orderBy(*order)
+    return writes.withColumn("nth", F.row_number().over(w)).withColumn("prunes", F.col("nth") % every == 0)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions import text as X
 from tilewright.functions import tilemath as T
 from tilewright.plans.storage import durable
 
@@ -95,6 +96,72 @@ def grid_split(plan: DataFrame) -> DataFrame:
     return p.select(F.col("piece.id").alias("id"), F.col("id").alias("parent_id"), F.round("piece.west", 6).alias("west"), F.round("s", 6).alias("south"), F.round("piece.east", 6).alias("east"), F.round("n", 6).alias("north"))
 
 
+def pinned_split(plan: DataFrame, splits: DataFrame) -> DataFrame:
+    """plan (id, slug, name, west, south, east, north) with the regions that splits (id, rows, columns, generation,
+    antimeridian) names replaced by their cells: ids get the generation, row and column, and -s1 or -s2 for the halves of a
+    cell across the antimeridian. parent is the region that was split, null for others.
+
+    splits is a short list that is written by hand.
+    """
+    cols = ["id", "slug", "name", "west", "south", "east", "north"]
+    p = plan.select(*cols).join(splits.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    kept = p.where("_id IS NULL").select(*cols, F.lit(None).cast(plan.schema["id"].dataType).alias("parent"))
+    t = p.where("_id IS NOT NULL").withColumn("right", F.when(F.col("antimeridian") & (F.col("east") < F.col("west")), F.col("east") + 360.0).otherwise(F.col("east")))
+    t = t.withColumn("r", F.explode(F.sequence(F.lit(1), F.col("rows")))).withColumn("c", F.explode(F.sequence(F.lit(1), F.col("columns"))))
+    at = lambda low, high, k, n: low + (high - low) / n * k
+    t = t.withColumn("w", at(F.col("west"), F.col("right"), F.col("c") - 1, F.col("columns"))).withColumn("e", F.when(F.col("c") == F.col("columns"), F.col("right")).otherwise(at(F.col("west"), F.col("right"), F.col("c"), F.col("columns"))))
+    t = t.withColumn("s", at(F.col("south"), F.col("north"), F.col("r") - 1, F.col("rows"))).withColumn("n", F.when(F.col("r") == F.col("rows"), F.col("north")).otherwise(at(F.col("south"), F.col("north"), F.col("r"), F.col("rows"))))
+    piece = lambda suffix, a, b: F.struct(F.lit(suffix).alias("suffix"), a.alias("west"), b.alias("east"))
+    back = lambda x: x - 360.0
+    halves = F.array(piece("-s1", F.col("w"), F.lit(180.0)), piece("-s2", F.lit(-180.0), back(F.col("e"))))
+    pieces = F.when(F.col("antimeridian") & (F.col("w") < 180.0) & (F.col("e") > 180.0), halves).when(F.col("antimeridian") & (F.col("w") >= 180.0), F.array(piece("", back(F.col("w")), back(F.col("e"))))).otherwise(F.array(piece("", F.col("w"), F.col("e"))))
+    t = t.withColumn("p", F.explode(pieces))
+    end = F.concat(F.lit("--"), F.col("generation"), F.lit("-r"), F.col("r").cast("string"), F.lit("-c"), F.col("c").cast("string"), F.col("p.suffix"))
+    name = F.concat(F.col("name"), F.lit(" split "), F.col("r").cast("string"), F.lit("."), F.col("c").cast("string"), F.col("p.suffix"))
+    cells = t.select(F.concat("id", end).alias("id"), F.concat("slug", end).alias("slug"), name.alias("name"), F.round("p.west", 6).alias("west"), F.round("s", 6).alias("south"), F.round("p.east", 6).alias("east"), F.round("n", 6).alias("north"), F.col("id").alias("parent"))
+    return kept.unionByName(cells)
+
+
+def base_plan(index: DataFrame, roots: list[str], prefix: str, scope: str = "all") -> DataFrame:
+    """(id, slug, name, continent, pbf_url, west, south, east, north, asset_name, metadata_name), by id: the regions of an
+    index (id, parent, name, pbf_url, bounds) that have an extract and bounds and no extract at any depth below them.
+
+    continent: the nearest of roots above, or the region itself; scope: all, or one continent or region.
+    """
+    found = ancestors_root(index.select("id", "parent"), stop=F.col("id").isin(roots)).select("id", F.when(F.col("root").isin(roots), F.col("root")).otherwise(F.col("id")).alias("continent"))
+    free = leaves(index.select("id", "parent", "pbf_url"), F.col("pbf_url").isNotNull())
+    plan = index.where("pbf_url IS NOT NULL AND bounds IS NOT NULL").join(free, "id", "left_semi").join(found, "id")
+    if scope != "all":
+        plan = plan.where((F.col("continent") == scope) | (F.col("id") == scope))
+    plan = plan.withColumn("slug", X.slugify(F.col("id"))).withColumn("_a", X.asset_names(F.col("slug"), prefix))
+    return plan.select("id", "slug", F.coalesce("name", "id").alias("name"), "continent", "pbf_url", *(F.col(f"bounds.{c}").alias(c) for c in ("west", "south", "east", "north")), "_a.asset_name", "_a.metadata_name").orderBy("id")
+
+
+def plan_json(plan: DataFrame, path: str) -> None:
+    """A plan as lines of JSON, an entry a line, in order of id."""
+    plan.orderBy("id").write.json(path)
+
+
+def coordinates(geometry: Column) -> Column:
+    """The (lon, lat) pairs of a geometry's JSON, whatever their depth: the innermost arrays of two or three numbers."""
+    number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
+    inner = F.regexp_extract_all(geometry, F.lit(rf"\[\s*{number}\s*,\s*{number}\s*(?:,\s*{number}\s*)?\]"), F.lit(0))
+    part = lambda p, k: F.regexp_extract(p, rf"\[\s*{number}\s*,\s*{number}", k).try_cast("double")
+    return F.transform(inner, lambda p: F.struct(part(p, 1).alias("lon"), part(p, 2).alias("lat")))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(id, parent, name, pbf_url, bounds) of a region index, a FeatureCollection: bounds is the narrowest box around a
+    geometry's points, across the antimeridian if need be; null without a geometry."""
+    from tilewright.sources.archives import read_features
+
+    f = read_features(spark, path).select(F.get_json_object("properties", "$.id").alias("id"), F.get_json_object("properties", "$.parent").alias("parent"), F.get_json_object("properties", "$.name").alias("name"), F.get_json_object("properties", "$.urls.pbf").alias("pbf_url"), "geometry")
+    f = f.where("id IS NOT NULL")
+    points = f.select("id", F.explode(coordinates(F.get_json_object("geometry", "$.coordinates"))).alias("p")).select("id", "p.lon", "p.lat")
+    boxes = covering_bounds(points, "id").select("id", F.struct("west", "south", "east", "north").alias("bounds"))
+    return f.drop("geometry").join(boxes, "id", "left")
+
+
 def buckets(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """rows with bucket: round robin over the order.
 

@@ -146,6 +146,23 @@ def ttl_classify(read):
     return e.withColumn("age", age).select("event_id", C.ttl_state(F.col("age"), 3_600_000_000, 86_400_000_000).alias("state"))
 
 
+# loads fail at errors and at every third event
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type <> 'error' AND event_id % 3 > 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, CASE WHEN ok THEN t END AS loaded, CASE WHEN ok THEN 'loaded' ELSE 'failed' END AS state FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN (f.loaded IS NULL OR e.t > f.loaded + 36000000000) AND e.ok THEN e.t ELSE f.loaded END,
+    CASE WHEN f.loaded IS NOT NULL AND e.t <= f.loaded + 36000000000 THEN 'fresh' WHEN e.ok THEN 'loaded' WHEN f.loaded IS NOT NULL AND e.t <= f.loaded + 86400000000 THEN 'stale' ELSE 'failed' END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, event_id, state FROM f""")
+def manifest_refresh(read):
+    e = read("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), ((F.col("event_type") != "error") & (F.col("event_id") % 3 > 0)).alias("ok"))
+    return C.manifest_refresh(e, "user_id", 36_000_000_000, 86_400_000_000).select("user_id", F.col("seq").alias("event_id"), "state")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) % 16 = 0 AS prunes FROM events")
+def prune_points(read):
+    return C.prune_points(read("events").select("user_id", "event_id"), "user_id", ["event_id"], 16).select("event_id", "prunes")
+
+
 @query("""WITH l AS (SELECT user_id, max((epoch_us(ts), event_id)) AS last, arg_max(CAST(round(value * 100) AS BIGINT), (epoch_us(ts), event_id)) AS bytes FROM events GROUP BY 1),
 r AS (SELECT user_id, bytes, sum(bytes) OVER (ORDER BY last DESC ROWS UNBOUNDED PRECEDING) AS running, row_number() OVER (ORDER BY last DESC) AS rank FROM l WHERE bytes BETWEEN 1 AND 100000) SELECT user_id, bytes, CAST(rank AS INT) AS rank FROM r WHERE rank <= 64 AND (running <= 100000 OR rank = 1)""")
 def lru_survivors(read):

@@ -240,3 +240,29 @@ def point_in_rect(read):
 def piecewise_fade(read):
     v = F.col("value") / 100
     return read("events").select("event_id", T.piecewise(v, [(2.85, 1.0), (4.25, 0.0)]).alias("fade"), T.globe_radius((F.col("event_id") % 8).cast("double")).alias("radius"), T.pixel_ratio(v).alias("ratio"))
+
+
+# regions of a binary hierarchy: two of three have an extract, every tenth has no bounds
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS k, p_partkey % 3 <> 0 AS url, p_partkey % 10 <> 0 AS box FROM part),
+up AS (SELECT k, k AS a, 0 AS d FROM n UNION ALL SELECT up.k, a // 2, d + 1 FROM up WHERE a > 1),
+root AS (SELECT k, arg_min(a, d) AS root FROM up WHERE a BETWEEN 4 AND 7 GROUP BY k), above AS (SELECT DISTINCT a AS k FROM up JOIN n USING (k) WHERE d > 0 AND url)
+SELECT 'r/' || k AS id, 'r--' || k AS slug, 'r/' || coalesce(root, k) AS continent, CAST(k % 300 - 170 AS DOUBLE) AS west, 'tiles-r--' || k || '.pmtiles' AS asset_name, 'tiles-r--' || k || '.json' AS metadata_name
+FROM n LEFT JOIN root USING (k) WHERE url AND box AND k NOT IN (SELECT k FROM above)""")
+def region_plan(read):
+    k = "p_partkey"
+    index = read("part").selectExpr(f"'r/' || {k} AS id", f"CASE WHEN {k} > 1 THEN 'r/' || {k} DIV 2 END AS parent", "CAST(NULL AS STRING) AS name", f"CASE WHEN {k} % 3 <> 0 THEN 'http://h/' || {k} END AS pbf_url",
+                                    f"CASE WHEN {k} % 10 <> 0 THEN struct(CAST({k} % 300 - 170 AS DOUBLE) AS west, -1.0D AS south, 180.0D AS east, 1.0D AS north) END AS bounds")
+    return planning.base_plan(index, ["r/4", "r/5", "r/6", "r/7"], "tiles").select("id", "slug", "continent", "west", "asset_name", "metadata_name")
+
+
+@query(f"""WITH {REGIONS}, t AS (SELECT *, CAST(substr(asset, 2) AS INT) % 4 = 0 AS split, CASE WHEN west > east THEN east + 360 ELSE east END AS rgt FROM regions),
+c AS (SELECT t.*, r.r, k.c, west + (rgt - west) / 4 * (k.c - 1) AS w, CASE WHEN k.c = 4 THEN rgt ELSE west + (rgt - west) / 4 * k.c END AS e, south + (north - south) / 2 * (r.r - 1) AS s, CASE WHEN r.r = 2 THEN north ELSE south + (north - south) / 2 * r.r END AS n
+  FROM t, (SELECT unnest([1, 2]) AS r) r, (SELECT unnest([1, 2, 3, 4]) AS c) k WHERE split),
+p AS (SELECT *, '' AS half, CASE WHEN w >= 180 THEN w - 360 ELSE w END AS pw, CASE WHEN w >= 180 THEN e - 360 ELSE e END AS pe FROM c WHERE NOT (w < 180 AND e > 180)
+  UNION ALL SELECT *, '-s1', w, 180 FROM c WHERE w < 180 AND e > 180 UNION ALL SELECT *, '-s2', -180, e - 360 FROM c WHERE w < 180 AND e > 180)
+SELECT asset AS id, asset AS name, west, south, east, north, CAST(NULL AS VARCHAR) AS parent FROM t WHERE NOT split
+UNION ALL SELECT asset || '--s2-r' || r || '-c' || c || half, asset || ' split ' || r || '.' || c || half, round(pw, 6), round(s, 6), round(pe, 6), round(n, 6), asset FROM p""")
+def pinned_split(read):
+    plan = regions(read).select(F.col("asset").alias("id"), F.col("asset").alias("slug"), F.col("asset").alias("name"), "west", "south", "east", "north")
+    splits = plan.where("CAST(substr(id, 2) AS INT) % 4 = 0").select("id", F.lit(2).alias("rows"), F.lit(4).alias("columns"), F.lit("s2").alias("generation"), F.lit(True).alias("antimeridian"))
+    return planning.pinned_split(plan, splits).drop("slug")

@@ -134,6 +134,14 @@ def read_collection(spark: SparkSession, path: str, geometry: str = "string") ->
     return docs.select("file", F.explode(found).alias("f")).select("file", "f.properties", "f.geometry").where("geometry IS NOT NULL")
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """(properties, geometry) of the features of a FeatureCollection, both as JSON text; a feature without geometry has null."""
+    raw = spark.read.text(path, wholetext=True)
+    checked = F.when(F.get_json_object("value", "$.type").eqNullSafe("FeatureCollection"), F.get_json_object("value", "$.features")).otherwise(F.raise_error(F.lit("not a FeatureCollection")))
+    f = raw.select(F.explode(F.from_json(checked, "array<string>")).alias("f"))
+    return f.select(F.get_json_object("f", "$.properties").alias("properties"), F.get_json_object("f", "$.geometry").alias("geometry"))
+
+
 def write_collection(features: DataFrame, path: str) -> None:
     """Features (properties, geometry as JSON, minzoom, maxzoom) as lines of GeoJSON with zoom hints."""
     hints = F.concat(F.lit('"tippecanoe":{"minzoom":'), F.col("minzoom").cast("string"), F.lit(',"maxzoom":'), F.col("maxzoom").cast("string"), F.lit("}"))
@@ -179,7 +187,7 @@ def read_icons(spark: SparkSession, path: str) -> DataFrame:
 
 def read_build_log(spark: SparkSession, path: str) -> DataFrame:
     """(file, stage, wall, cpu) of the timing lines of build logs: "stage<tab or blanks>wall cpu:time" after a clock."""
-    line = r"\s([A-Za-z_0-9]+)\s+((?:\d+h)?(?:\d+m)?\d+s)\s+cpu:((?:\d+h)?(?:\d+m)?\d+s)"
+    line = r"\s([A-Za-z_0-9]+)\s+((?:\d+[hms])+)\s+cpu:((?:\d+[hms])+)"
     raw = spark.read.text(path).select("value", F.input_file_name().alias("file")).where(F.col("value").rlike(line))
     seconds = lambda k: sum((F.coalesce(F.regexp_extract(F.regexp_extract("value", line, k), rf"(\d+){u}", 1).try_cast("long"), F.lit(0)) * n for u, n in (("h", 3600), ("m", 60), ("s", 1))), F.lit(0))
     return raw.select("file", F.regexp_extract("value", line, 1).alias("stage"), seconds(2).alias("wall"), seconds(3).alias("cpu"))
