@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which every executor sees. Only a local session may leave it unset: it
+    gets a temporary folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tilewright/{uuid.uuid4().hex}"
@@ -93,16 +96,17 @@ def batches_by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.T
         yield pa.concat_tables(held)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the smallest node that links reach.
 
     Alternates the large-star and small-star steps of public map-reduce literature. Each step is one exchange of
-    pairs; a node's neighbours are reduced by min() before they move, and no neighbourhood is held in one task.
-    Every round is written to the shared folder. The rounds needed grow with the logarithm of the longest path.
+    pairs; a node's neighbours are reduced by min() before they move. Rows of a hub meet its minimum in a join, whose
+    partitions AQE splits where they are skewed. Every round is written to the shared folder; rounds go on until nothing
+    changes, and grow with the logarithm of the longest path.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: each larger neighbour goes to the smallest one
@@ -115,8 +119,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
