@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import gzip
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +134,42 @@ def test_clip_and_overscale(spark):
     assert got[2] is None and got[3] is None and [(p["x"], p["y"]) for p in got[4]][:1] and min(p["x"] for p in got[4]) == 0
 
 
+def test_clip_without_result(spark):
+    rings = [(1, None), (2, []), (3, [(float("nan"), 1.0), (0.0, 0.0), (1.0, 1.0)]), (4, [None, (0.0, 0.0), (5.0, 9.0)]), (5, [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0)]), (6, [(0.2, 0.2), (0.3, 0.1), (0.1, 0.4)])]
+    df = spark.createDataFrame(rings, "id int, ring array<struct<x:double,y:double>>").coalesce(1)
+    got = {r["id"]: r["c"] for r in df.withColumn("c", features.clip_ring(F.col("ring"), 100)).collect()}
+    assert [k for k, v in got.items() if v is not None] == [5] and [tuple(p) for p in got[5]] == [(0, 0), (9, 0), (9, 9), (0, 0)]
+    assert df.limit(0).select(features.clip_ring(F.col("ring"), 100)).collect() == []
+
+
+def test_clip_against_loops(spark):
+    def one(ring, extent):
+        if len(ring) < 3:
+            return None
+        ring = ring[:-1] if ring[0] == ring[-1] else ring
+        for axis, bound, sign in ((0, 0, 1), (0, extent, -1), (1, 0, 1), (1, extent, -1)):
+            out = []
+            for a, b in zip(ring[-1:] + ring[:-1], ring, strict=True):
+                ins = [(p[axis] - bound) * sign >= 0 for p in (a, b)]
+                if ins[0] != ins[1]:
+                    other = a[1 - axis] + (b[1 - axis] - a[1 - axis]) * (bound - a[axis]) / (b[axis] - a[axis])
+                    out.append((bound, other) if axis == 0 else (other, bound))
+                if ins[1]:
+                    out.append(b)
+            ring = out
+        ring = [tuple(math.floor(v + 0.5) for v in p) for p in ring]
+        ring = [p for i, p in enumerate(ring) if i == 0 or p != ring[i - 1]]
+        ring = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+        return ring + ring[:1] if len(ring) >= 3 else None
+
+    r = random.Random(7)
+    at = lambda: float(r.choice([0, 50, 100, r.randint(-60, 160), r.uniform(-60, 160)]))
+    rings = {i: [(at(), at()) for _ in range(r.randint(0, 9))] for i in range(600)}
+    df = spark.createDataFrame([*rings.items()], "id int, ring array<struct<x:double,y:double>>")
+    got = {row["id"]: row["c"] and [tuple(p) for p in row["c"]] for row in df.select("id", features.clip_ring(F.col("ring"), 100).alias("c")).collect()}
+    assert got == {k: one(v, 100) for k, v in rings.items()}
+
+
 def test_routing(spark):
     regions = spark.createDataFrame([("west", -10.0, -10.0, 1.0, 10.0), ("east", 0.0, -10.0, 10.0, 10.0), ("antimeridian", 170.0, -20.0, -170.0, 20.0)], "asset string, west double, south double, east double, north double")
     tiles = spark.createDataFrame([(6, 32, 31), (6, 63, 31), (6, 0, 31), (6, 64, 0), (17, 0, 0), (0, 0, 0)], "z int, x long, y long")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.text import base64url, let
+from tilewright.functions.text import base64url
 
 GEOMETRY = "array<array<struct<x:double,y:double>>>"
 
@@ -47,13 +50,14 @@ def merge(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One feature for each key of tile and layer: the first by order, lines with the parts of all.
 
     The first row is found by a reduction. Only lines gather parts, as many as payloads hold of one feature; a line that
-    occurs once stays as it is.
+    occurs once stays as it is. Rows are grouped by sorting, which a hash of the keys in front makes a matter of numbers.
     """
+    by = [F.xxhash64(*keys).alias("_h"), *keys]
     rest = [c for c in features.columns if c not in keys]
     names = lambda src: [F.col(f"{src}.{c}").alias(c) for c in rest]
-    others = features.where("gtype <> 2 OR gtype IS NULL").groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f")).select(*keys, *names("_f"))
+    others = features.where("gtype <> 2 OR gtype IS NULL").groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f")).select(*keys, *names("_f"))
     at = F.struct(F.struct(*order).alias("at"), F.col("geom").alias("geom"))
-    lines = features.where("gtype = 2").groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"), F.collect_list(at).alias("_p"))
+    lines = features.where("gtype = 2").groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"), F.collect_list(at).alias("_p"))
     # rows of one place in the order are told apart by geometry
     parts = F.sort_array("_p")
     geom = F.when(F.size("_p") == 1, F.col("_f.geom")).otherwise(union_parts(F.get(parts, 0)["geom"], F.flatten(F.transform(F.slice(parts, 2, F.size("_p")), lambda p: p["geom"]))))
@@ -99,37 +103,74 @@ def overscale(geom: Column, scale: Column, offset_x: Column, offset_y: Column) -
     return F.transform(geom, lambda part: F.transform(part, lambda p: F.struct((p["x"] * scale - offset_x).alias("x"), (p["y"] * scale - offset_y).alias("y"))))
 
 
-def _clip_side(ring: Column, axis: str, bound: Column, keep_greater: bool) -> Column:
-    """A ring cut by one side of the box; points on the side are inside. Each edge adds its crossing and its end."""
-    other = "y" if axis == "x" else "x"
-    inside = lambda p: (p[axis] >= bound) if keep_greater else (p[axis] <= bound)
-
-    def crossing(a, b):
-        along = F.when(a[axis] == b[axis], a[other]).otherwise(a[other] + (b[other] - a[other]) * (bound - a[axis]) / (b[axis] - a[axis]))
-        return F.struct(*((bound.cast("double") if c == axis else along).alias(c) for c in "xy"))
-
-    def edge(p, i):
-        before = F.when(i == 0, F.get(ring, F.size(ring) - 1)).otherwise(F.get(ring, i - 1))
-        none = F.array().cast("array<struct<x:double,y:double>>")
-        return F.when(inside(p) & inside(before), F.array(p)).when(inside(p), F.array(crossing(before, p), p)).when(inside(before), F.array(crossing(before, p))).otherwise(none)
-
-    return F.flatten(F.transform(ring, edge))
+def _clip_side(offsets, points, axis: int, bound: float, keep_greater: bool):
+    """Rings cut by one side of the box; points on the side are inside. Each edge adds its crossing and its end."""
+    v = points[axis]
+    inside = v >= bound if keep_greater else v <= bound
+    before = np.arange(-1, len(v) - 1)
+    filled = offsets[:-1] < offsets[1:]
+    before[offsets[:-1][filled]] = offsets[1:][filled] - 1
+    crosses = inside != inside[before]
+    ends = np.concatenate([[0], np.cumsum(crosses.astype(np.int64) + inside)])
+    cut = [np.empty(ends[-1]), np.empty(ends[-1])]
+    edge, start = np.flatnonzero(crosses), before[crosses]
+    for k in (0, 1):
+        cut[k][ends[1:][inside] - 1] = points[k][inside]
+        # crossing edges have different ends on this axis
+        at = bound if k == axis else points[k][start] + (points[k][edge] - points[k][start]) * (bound - v[start]) / (v[edge] - v[start])
+        cut[k][ends[edge]] = at
+    return ends[offsets], cut
+
+
+def _kept(offsets, points, keep):
+    """Points that stay, and where their rings begin and end."""
+    return np.concatenate([[0], np.cumsum(keep)])[offsets], [v[keep] for v in points]
+
+
+def clip_arrays(offsets, points, extent: int):
+    """Rings as flat arrays, clipped to 0..extent, rounded half up, repeats dropped and closed. A ring that vanishes has no
+    points. Rings of fewer than three points, or with a point that isn't finite, vanish."""
+    lo, n = offsets[:-1], np.diff(offsets)
+    bad = np.concatenate([[0], np.cumsum(~(np.isfinite(points[0]) & np.isfinite(points[1])))])
+    n = np.where((n < 3) | (bad[offsets[1:]] > bad[lo]), 0, n)
+    last = np.maximum(lo + n - 1, 0)
+    if len(points[0]):
+        first = np.minimum(lo, len(points[0]) - 1)
+        n = n - ((n > 0) & (points[0][first] == points[0][last]) & (points[1][first] == points[1][last]))
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    take = np.repeat(lo - offsets[:-1], n) + np.arange(offsets[-1])
+    points = [v[take] for v in points]
+    for axis, bound, greater in ((0, 0.0, True), (0, float(extent), False), (1, 0.0, True), (1, float(extent), False)):
+        offsets, points = _clip_side(offsets, points, axis, bound, greater)
+    points = [np.floor(v + 0.5) + 0.0 for v in points]
+    new = np.ones(len(points[0]), dtype=bool)
+    new[1:] = (np.diff(points[0]) != 0) | (np.diff(points[1]) != 0)
+    new[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    offsets, points = _kept(offsets, points, new)
+    n = np.diff(offsets)
+    some = np.flatnonzero(n > 1)
+    lo, last = offsets[some], offsets[some + 1] - 1
+    open_end = np.ones(len(points[0]), dtype=bool)
+    open_end[last[(points[0][lo] == points[0][last]) & (points[1][lo] == points[1][last])]] = False
+    offsets, points = _kept(offsets, points, open_end)
+    n, lo = np.diff(offsets), offsets[:-1]
+    closed = np.where(n >= 3, n + 1, 0)
+    out = np.concatenate([[0], np.cumsum(closed)])
+    place = np.arange(out[-1]) - np.repeat(out[:-1], closed)
+    take = np.repeat(lo, closed) + place % np.repeat(np.maximum(n, 1), closed)
+    return out, [v[take] for v in points]
 
 
 def clip_ring(ring: Column, extent: int) -> Column:
-    """The ring clipped to 0..extent, rounded half up, repeats dropped and closed; null if it vanishes."""
-    none = F.array().cast("array<struct<x:double,y:double>>")
-    sides = [("x", 0, True), ("x", extent, False), ("y", 0, True), ("y", extent, False)]
-
-    def rounded(r):
-        whole = F.transform(r, lambda p: F.struct(F.floor(p["x"] + 0.5).cast("double").alias("x"), F.floor(p["y"] + 0.5).cast("double").alias("y")))
-        return let(whole, lambda w: let(dedupe_points(w), lambda d: let(F.when((F.size(d) > 1) & (F.get(d, F.lit(0)) == F.get(d, F.size(d) - 1)), F.slice(d, 1, F.greatest(F.size(d) - 1, F.lit(0)))).otherwise(d), lambda o: F.when(F.size(o) >= 3, F.array_append(o, F.get(o, F.lit(0)))))))
-
-    def cut(r, k):
-        if k == len(sides):
-            return rounded(r)
-        axis, bound, greater = sides[k]
-        return let(F.when(F.size(r) > 0, _clip_side(r, axis, F.lit(float(bound)), greater)).otherwise(r), lambda n: cut(n, k + 1))
-
-    opened = F.when(F.size(ring) < 3, none).when(F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))).otherwise(ring)
-    return let(opened, lambda r: cut(r, 0))
+    """The ring clipped to 0..extent, rounded half up, repeats dropped and closed; null if it vanishes. A null ring, one of
+    fewer than three points and one with a null or infinite coordinate give null. A batch of rings is clipped at once."""
+
+    @F.arrow_udf("array<struct<x:double,y:double>>")
+    def clip(rings: pa.Array) -> pa.Array:
+        flat, counts = pc.list_flatten(rings), pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)
+        points = [pc.struct_field(flat, c).cast("float64").to_numpy(zero_copy_only=False) for c in "xy"]
+        offsets, (x, y) = clip_arrays(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), points, extent)
+        values = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=pa.array(np.diff(offsets) == 0))
+
+    return clip(ring)

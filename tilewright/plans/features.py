@@ -48,7 +48,8 @@ def feature_merge(read):
 @query(f"WITH {_F} SELECT layer, CAST(min(fid) AS BIGINT) AS fid, CAST(line AS VARCHAR) AS line, status, count(*) AS copies FROM f WHERE gtype = 3 GROUP BY layer, x, y, line, status")
 def polygon_dedupe(read):
     f = _features(read).where("gtype = 3").withColumn("sig", G.signature(F.col("gtype"), F.col("props"), F.col("geom")))
-    one = f.groupBy("layer", "sig").agg(F.min("fid").alias("fid"), F.min(F.col("props")["line"]).alias("line"), F.min(F.col("props")["status"]).alias("status"), F.count("*").alias("copies"))
+    # the signature holds the properties: as keys beside it they leave numbers alone to reduce, by hashing
+    one = f.groupBy("layer", "sig", F.col("props")["line"].alias("line"), F.col("props")["status"].alias("status")).agg(F.min("fid").alias("fid"), F.count("*").alias("copies"))
     return one.drop("sig")
 
 
