@@ -13,6 +13,7 @@ from tilewright.llm.mixture import OP5_SQL, op5_mixture
 from tilewright.llm.phrases import OP11_SQL, op11_decontamination
 from tilewright.llm.quality import op6_quality
 from tilewright.llm.chat import op7_chat
+from tilewright.llm.spelling import OP13_SQL, op13_spelling
 from tilewright.llm.warc import OP10_SQL, op10_warc
 
 OP3_SQL = r"""
@@ -41,5 +42,5 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, class_id, component_id F
 OP3_LINKS_SQL = f"""{OP3_SQL[: OP3_SQL.index("reach AS (")]}n AS (SELECT x, count(*) AS n FROM both_ways GROUP BY x)
 SELECT r.doc_id, n_shingles, class_id, component_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links FROM ({OP3_SQL}) r LEFT JOIN n ON n.x = r.doc_id"""
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_fingerprint": op2_fingerprint, "op3_jaccard": op3_jaccard, "op3_links": op3_links, "op4_license": op4_license, "op5_mixture": op5_mixture, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc, "op11_decontamination": op11_decontamination, "op12_manifest": op12_manifest, "fingerprint_base": fingerprint_base, "license_base": license_base, "media_base": media_base}
-SQL = {"op3_jaccard": OP3_SQL, "op3_links": OP3_LINKS_SQL, "op5_mixture": OP5_SQL, "op10_warc": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_manifest": OP12_SQL, "fingerprint_base": FINGERPRINT_SQL, "license_base": LICENSE_SQL, "media_base": MEDIA_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_fingerprint": op2_fingerprint, "op3_jaccard": op3_jaccard, "op3_links": op3_links, "op4_license": op4_license, "op5_mixture": op5_mixture, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_bpe": op8_bpe, "op9_media": op9_media, "op10_warc": op10_warc, "op11_decontamination": op11_decontamination, "op12_manifest": op12_manifest, "op13_spelling": op13_spelling, "fingerprint_base": fingerprint_base, "license_base": license_base, "media_base": media_base}
+SQL = {"op3_jaccard": OP3_SQL, "op3_links": OP3_LINKS_SQL, "op5_mixture": OP5_SQL, "op10_warc": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_manifest": OP12_SQL, "op13_spelling": OP13_SQL, "fingerprint_base": FINGERPRINT_SQL, "license_base": LICENSE_SQL, "media_base": MEDIA_SQL}
