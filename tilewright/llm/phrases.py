@@ -32,6 +32,8 @@ BIN = 16
 BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text that isn't in lower case yet.
+WORD_RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 DOC = ["doc", "digest"]
 
 
@@ -151,7 +153,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     listed = named(runs).groupBy(DOC).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
     close = named(met).groupBy(DOC).agg(F.count("*").alias("n_near"))
     found = close.join(listed, DOC, "left").join(hit, DOC, "left")
-    light = docs.select("doc_id", *DOC, F.regexp_count(F.translate("text", UPPER, LOWER), F.lit(WORD)).cast("long").alias("n_words"))
+    light = docs.select("doc_id", *DOC, F.regexp_count("text", F.lit(WORD_RAW)).cast("long").alias("n_words"))
     whole = light.join(found, DOC, "left")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return whole.select("doc_id", "n_words", number("n_hit"), number("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), number("n_near"))
