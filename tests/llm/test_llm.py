@@ -60,6 +60,32 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+
+
+def test_ids_at_both_ends(spark):
+    """Ids near the ends of 64 bits, as hashes are, for op2, op3 and op10."""
+    same = " ".join(WORDS[:40])
+    ids = [LOW, LOW + 1, LOW + 2, -1, 0, HIGH - 2, HIGH - 1, HIGH]
+    rows = [(i, same + " " * k + f" w{k}", "en", "s") for k, i in enumerate(ids)] + [(None, "one", "en", "s"), (None, "two", "en", "s")]
+    docs = documents(spark, rows)
+    for links in (False, True):
+        got = {r["doc_id"]: r for r in jaccard.jaccard_components(docs, links=links).collect()}
+        assert {got[i]["component_id"] for i in ids} == {LOW} and (not links or {got[i]["n_links"] for i in ids} == {7})
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edited_fingerprints(docs).collect() if r["doc_id"] is not None}
+    down = sorted(((i, t) for i, t, *_ in rows if i is not None), reverse=True)
+    for (i, t), (_, n) in zip(down, down[1:], strict=False):
+        assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "p" * (i % 3)) for i in ids], "page_id long, url string, html string")
+    archives = warc.write_archives(pages)
+    index = warc.build_index(archives)
+    found = {r["page_id"]: r for r in warc.read_records(archives, warc.captures_of(index, warc.directory_of(index), warc.keys_of(pages))).collect()}
+    assert sorted(found) == ids
+    for i in ids:
+        first = min(j for j in ids if j % 3 == i % 3)
+        assert found[i]["refers_to"] == (None if i == first else first)
+
+
 @pytest.mark.parametrize("frequent", [2, 64])
 def test_jaccard_brute_force(spark, corpus, monkeypatch, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
@@ -147,11 +173,51 @@ def test_crf_marginals_are_exact():
             whole += w
             none += w if not any(states) else 0
             inside += w * np.array(states)
-        p, log_none, _ = t.marginals(given, n)
+        p, log_none, expected = t.marginals(given, n)
         assert np.allclose(p, [inside[i] / whole for i in sorted(given)])
+        assert math.isclose(expected, inside.sum() / whole, rel_tol=1e-9)
         assert math.isclose(log_none, math.log(none / whole), rel_tol=1e-9)
 
 
+def test_crf_marginals_of_every_token():
+    """All tokens of random chains, strong and alternating moves included, against enumeration."""
+    r = random.Random(11)
+    for k in range(60):
+        n = r.randint(1, 11)
+        t = crf.Tagger(words={"m": r.uniform(-3, 6)}, bias=r.uniform(-4, 1), moves=(0.0, *(r.uniform(-4, 4) for _ in range(3))))
+        words = r.choices(["m", "x"], weights=[1, 3], k=n)
+        given = t.emissions(words)
+        states = np.array(list(itertools.product((0, 1), repeat=n)))
+        emit = np.array([given.get(i, t.bias) for i in range(n)])
+        log = states @ emit
+        for i in range(1, n):
+            log = log + np.array(t.moves)[2 * states[:, i - 1] + states[:, i]]
+        w = np.exp(log - log.max())
+        want = (w @ states) / w.sum()
+        p, _, expected, gaps = t.passes(given, n)
+        assert np.allclose(p, want[sorted(given)]) and math.isclose(expected, want.sum(), rel_tol=1e-8)
+        for g in gaps:
+            own = want[g.first : g.first + g.length]
+            assert np.allclose(g.marginals(), own) and g.bound() >= own.max() - 1e-9 and np.allclose(g.edges(), (own[0], own[-1]))
+        _, spans = t.tag(" ".join(words))
+        near = np.abs(want - 0.5) < 1e-9
+        got = np.zeros(n, dtype=bool)
+        for a, b, _ in spans:
+            got[a // 2 : b // 2 + 1] = True
+        if given and not near.any():
+            assert (got == (want >= 0.5)).all()
+
+
+def test_crf_spans_widen_over_plain_tokens():
+    t = crf.Tagger(words={"vile": 9.0}, bias=-3.5, moves=(0.0, 0.0, 0.0, 4.0))
+    score, spans = t.tag("a b c d e f vile g h i j k")
+    p, _, expected, _ = t.passes({6: 5.5}, 12)
+    assert len(spans) == 1 and spans[0][1] - spans[0][0] > len("f vile g") and expected > 8
+    assert t.tag("\u0130\u0130\u0130\u0130 vile x")[1][0][0] <= 5 and "vile" in "\u0130\u0130\u0130\u0130 vile x"[slice(*t.tag("\u0130\u0130\u0130\u0130 vile x")[1][0][:2])]
+    alone = crf.Tagger(words={"vile": 9.0}, bias=-6.0)
+    assert alone.tag("\u0130\u0130\u0130\u0130 vile x")[1][0][:2] == (5, 9)
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(5)
     bad = ["vile", "nasty", "grim"]
@@ -437,6 +503,21 @@ def test_quality(spark):
     assert quality.weighed(documents(spark, EDGE).limit(0), lab).count() == 0
 
 
+def test_quality_weights_dont_depend_on_batches(spark):
+    r = random.Random(3)
+    ratios = np.random.default_rng(1).normal(0, 2, quality.BUCKETS)
+    text = " ".join(r.choices(WORDS, k=90)).encode()
+    others = [" ".join(r.choices(WORDS, k=r.randint(0, 400))).encode() for _ in range(50)]
+    alone = quality.log_weights([text], ratios)[0]
+    assert quality.log_weights([*others, text, b""], ratios)[-2:].tolist() == [alone, 0.0] and quality.log_weights([text, *others, text], ratios)[[0, -1]].tolist() == [alone] * 2
+    rows = [(k, " ".join(r.choices(WORDS, k=r.randint(1, 60))), "en", "s") for k in range(300)]
+    docs = documents(spark, rows + [(1000 + k, t, *x) for k, t, *x in rows])
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 300, 3)], "doc_id long, quality int")
+    for k in (1, 77, 300):
+        a, b = (quality.weighed(docs.repartition(n), labels, keep=keep, k=k).where("kept").select("doc_id").collect() for n, keep in ((1, True), (7, False)))
+        assert len(a) == k and sorted(a) == sorted(b)
+
+
 def test_quality_weight_is_the_sum_of_log_ratios(spark):
     r = random.Random(13)
     rows = [(k, " ".join(r.choices(WORDS[:60], k=r.randint(0, 30))) + r.choice(["", "!!", " a, a a"]), "en", "s") for k in range(60)]
@@ -703,7 +784,9 @@ def test_index_blocks(spark, monkeypatch):
     gone = ~((F.col("part") == one["part"]) & (F.col("block") == one["block"]))
     keys = warc.keys_of(df)
     assert warc.captures_of(index, directory, keys).count() == 60
-    assert warc.captures_of(index.where(gone), directory, keys).count() == warc.captures_of(index, directory.where(gone), keys).count() == 57
+    assert warc.captures_of(index, directory.where(gone), keys).count() == 57
+    with pytest.raises(Exception, match="lacks a block"):
+        warc.captures_of(index.where(gone), directory, keys).count()
 
 
 def test_shingles_match_python(corpus):

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.plans.storage import durable
+
 #: Rows that one Arrow batch holds at most; long texts make batches large before rows make them many.
 BATCH_ROWS = 1000
 #: Bytes after which a batch is sent; a longer text is a batch of its own.
@@ -22,24 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees. Only a local session may leave it unset: it
-    gets a temporary folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tilewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tilewright/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: cuts lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The rows written to the shared folder and read again: cuts lineage, survives the loss of executors.
+stored = durable
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -57,6 +41,11 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Whether the label of a document may not be learned from: crc32 of its id as text leaves 0 by 5."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes, without decoding; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
@@ -115,7 +104,8 @@ def components(edges: DataFrame) -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = stored(small)
-        now = e.agg(F.count("*"), F.sum("u"), F.sum("v"), F.sum(F.hash("u", "v").cast("long"))).first()
+        # rows are distinct; ids may be of any size, so they are told by exclusive or, which can't overflow
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
         if now == before:
             break
         before = now

@@ -7,10 +7,12 @@ letters, and for the transitions; it is fitted on all stretches of tokens around
 conditional likelihood (forward-backward).
 
 A text is scored whole. Tokens without any weighted feature share one emission, so stretches of them are powers of one
-two-by-two matrix: forward and backward passes visit the informative tokens and their neighbours only and stay exact.
-Marginals give the offending spans, neighbouring tokens joined; the probability that some token is toxic, the largest
-marginal and the expected number of toxic tokens give the document's score through a logistic function. That function is
-fitted on training documents under fields that were fitted without them, part by part.
+two-by-two matrix: forward and backward passes visit the informative tokens only and stay exact. Within a stretch the
+marginals are sums of powers of that matrix's eigenvalues: their total is a geometric series, and they are evaluated one
+by one only where a bound says that some may reach one half. Marginals give the offending spans, neighbouring tokens
+joined; the probability that some token is toxic, the largest marginal and the expected number of toxic tokens beyond that
+of plain text of the same length give the document's score through a logistic function. That function is fitted on
+training documents under fields that were fitted without them, part by part.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import beside, keyed_texts, table, trim
+from tilewright.llm.common import beside, held_out, keyed_texts, table, trim
 
 #: Bounds of the training sample: toxic documents, clean ones for each, and characters of a document that may be in it.
 SAMPLE, CLEAN_EACH, SAMPLE_CHARS = 1200, 3, 20_000
@@ -40,6 +42,50 @@ SKETCH = 24
 _WORDS = re.compile(r"\w+")
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, code point by code point: those whose lower case is longer stay, so places are the text's."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+@dataclass
+class _Gap:
+    """A stretch of plain tokens. The marginal of its t-th is a + b * small ** t + c * small ** (length - 1 - t) + d."""
+
+    first: int
+    length: int
+    a: float
+    b: float
+    c: float
+    d: float
+    small: float
+
+    @classmethod
+    def between(cls, first: int, length: int, start: np.ndarray, end: np.ndarray, vectors: np.ndarray, inverse: np.ndarray, small: float) -> _Gap:
+        """start: forward weights of the first token; end: backward weights of the last."""
+        left, right = start @ vectors, inverse @ end
+        far = small ** (length - 1)
+        whole = left[0] * right[0] + left[1] * right[1] * far
+        x, y = left * inverse[:, 1] / whole, right * vectors[1]
+        return cls(first, length, float(x[0] * y[0]), float(x[1] * y[0]), float(x[0] * y[1]), float(x[1] * y[1] * far), small)
+
+    def expected(self) -> float:
+        """Sum of the marginals, by geometric series."""
+        return self.length * (self.a + self.d) + (self.b + self.c) * (1 - self.small**self.length) / (1 - self.small)
+
+    def bound(self) -> float:
+        """No marginal is above it."""
+        return abs(self.a) + abs(self.b) + abs(self.c) + abs(self.d)
+
+    def edges(self) -> tuple[float, float]:
+        far = self.small ** (self.length - 1)
+        return self.a + self.b + self.c * far + self.d, self.a + self.b * far + self.c + self.d
+
+    def marginals(self) -> np.ndarray:
+        up = np.float64(self.small) ** np.arange(self.length)
+        return self.a + self.b * up + self.c * up[::-1] + self.d
+
+
 @dataclass
 class Tagger:
     """The fitted field: weights of state 1 by feature, transitions, and the document's logistic function."""
@@ -58,81 +104,84 @@ class Tagger:
             return None
         return self.bias + (w or 0.0) + sum(hits)
 
-    def marginals(self, emissions: dict[int, float], n: int) -> tuple[np.ndarray, float, float]:
-        """(marginal of state 1 at each key of emissions in order, log P(no toxic token), expected toxic tokens)."""
+    def passes(self, emissions: dict[int, float], n: int) -> tuple[np.ndarray, float, float, list[_Gap]]:
+        """(marginal of state 1 at each key of emissions in order, log P(no toxic token), expected toxic tokens, gaps) of a
+        text of n tokens; gaps are the stretches of tokens without emissions of their own, whose weight is the bias."""
         move = np.exp(np.array(self.moves)).reshape(2, 2)
         plain = move * np.array([1.0, np.exp(self.bias)])
-        at = sorted(emissions)
-        # between informative tokens stand powers of plain; each is scaled by its largest entry
+        # a gap is a power of plain, scaled by its largest eigenvalue: gap(g) = vectors @ diag(1, small ** g) @ inverse
         values, vectors = np.linalg.eig(plain)
-        inverse = np.linalg.inv(vectors)
-
-        def power(k: int) -> tuple[np.ndarray, float]:
-            top = np.abs(values).max()
-            return (vectors * (values / top) ** k @ inverse).real, k * float(np.log(top))
-
-        steps, position = [], -1
-        for i in at:
-            steps.append((power(i - position - 1) if position >= 0 or i > 0 else (np.eye(2), 0.0), emissions[i], position < 0))
-            position = i
-        forward, scale, log_none = [], 0.0, 0.0
-        state = None
-        for (gap, log_gap), e, first in steps:
-            k = np.array([1.0, np.exp(e)])
-            if first:
-                lead = at[0]
-                if lead == 0:
-                    state = k.copy()
-                else:
-                    start = np.array([1.0, np.exp(self.bias)])
-                    gap, log_gap = power(lead - 1)
-                    state = (start @ gap @ move) * k
-                    scale += log_gap
-            else:
-                state = (state @ gap @ move) * k
-                scale += log_gap
-            total = state.sum()
-            scale += float(np.log(total))
-            state = state / total
-            forward.append(state)
-        tail = n - 1 - at[-1]
-        gap, log_gap = power(tail)
-        back = gap @ np.ones(2)
-        log_all = scale + log_gap + float(np.log(forward[-1] @ back))
-        backward = [back / back.sum()]
-        for (gap, _), e, first in reversed(steps[1:]):
-            back = gap @ move @ (np.array([1.0, np.exp(e)]) * backward[-1])
+        order = np.argsort(-np.abs(values))
+        values, vectors = values[order], vectors[:, order]
+        inverse, log_top, small = np.linalg.inv(vectors), float(np.log(values[0])), values[1] / values[0]
+
+        def power(g: int) -> np.ndarray:
+            return vectors * np.array([1.0, small**g]) @ inverse
+
+        at = sorted(emissions)
+        own = [np.array([1.0, np.exp(emissions[i])]) for i in at]
+        lengths = (np.diff([-1, *at, n]) - 1).tolist()
+        starts, forward, scale, state = [], [], 0.0, None
+        for j, g in enumerate(lengths):
+            starts.append(None)
+            if g:
+                starts[j] = np.array([1.0, np.exp(self.bias)]) if state is None else state @ plain
+                state = starts[j] @ power(g - 1)
+                scale += (g - 1) * log_top
+            if j < len(at):
+                state = own[j] if state is None else (state @ move) * own[j]
+                total = state.sum()
+                scale += float(np.log(total))
+                state = state / total
+                forward.append(state)
+        log_all = scale + float(np.log(state.sum()))
+        ends, backward = [np.ones(2)], []
+        for j in range(len(at) - 1, -1, -1):
+            back = power(lengths[j + 1]) @ ends[-1]
             backward.append(back / back.sum())
-        backward.reverse()
-        both = np.array(forward) * np.array(backward)
+            ends.append(move @ (own[j] * backward[-1]))
+        ends.reverse(), backward.reverse()
+        gaps = [_Gap.between(0 if j == 0 else at[j - 1] + 1, g, starts[j], ends[j], vectors, inverse, float(small)) for j, g in enumerate(lengths) if g]
+        both = np.array(forward).reshape(-1, 2) * np.array(backward).reshape(-1, 2)
         p = both[:, 1] / both.sum(axis=1)
         log_none = (n - 1) * float(np.log(move[0, 0])) - log_all
-        return p, min(0.0, log_none), float(p.sum())
+        return p, min(0.0, log_none), float(p.sum()) + sum(g.expected() for g in gaps), gaps
+
+    def marginals(self, emissions: dict[int, float], n: int) -> tuple[np.ndarray, float, float]:
+        """(marginal of state 1 at each key of emissions in order, log P(no toxic token), expected toxic tokens)."""
+        return self.passes(emissions, n)[:3]
 
     def emissions(self, words: list[str]) -> dict[int, float]:
-        """Weights of state 1 at informative tokens and, by the bias alone, at their neighbours."""
+        """Weights of state 1 at informative tokens."""
         own, stems, out = self.words, self.stems, {}
         for i, w in enumerate(words):
             if (w in own or w[:4] in stems or w[:5] in stems or w[:6] in stems) and (e := self.emission(w)) is not None:
                 out[i] = e
-        for i in list(out):
-            for k in (i - 1, i + 1):
-                if 0 <= k < len(words):
-                    out.setdefault(k, self.bias)
         return out
 
     def inputs(self, words: list[str]) -> tuple[dict[int, float], tuple[float, float, float]]:
-        """(marginals of state 1 by token, inputs of the score)."""
-        out = self.emissions(words)
-        if not out:
+        """(marginals of state 1 by token, of all tokens that may reach one half, inputs of the score): the probability
+        of a toxic token, the largest marginal at and beside informative tokens, and the expected toxic tokens beyond what
+        the same number of plain ones has, so that length alone doesn't count."""
+        found = self.emissions(words)
+        if not found:
             return {}, (0.0, 0.0, 0.0)
-        p, log_none, expected = self.marginals(out, len(words))
-        return dict(zip(sorted(out), p.tolist(), strict=True)), (float(-np.expm1(log_none)), float(p.max()), expected)
+        p, log_none, expected, gaps = self.passes(found, len(words))
+        out, most = dict(zip(sorted(found), p.tolist(), strict=True)), float(p.max())
+        for gap in gaps:
+            if gap.bound() >= 0.5:
+                own = gap.marginals()
+                out.update(zip(range(gap.first, gap.first + gap.length), own.tolist(), strict=True))
+                most = max(most, float(own.max()))
+            else:
+                most = max(most, *gap.edges())
+        plain = self.passes({}, len(words))[2]
+        return out, (float(-np.expm1(log_none)), most, max(0.0, expected - plain))
 
     def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """(score of the document, (start, end, largest marginal) of its toxic spans in code points of the lower-cased
-        text: neighbouring tokens that are toxic at least as likely as not)."""
-        low = text.lower()
+        """(score of the document, (start, end, largest marginal) of its toxic spans in code points of the text:
+        neighbouring tokens that are toxic at least as likely as not)."""
+        low = lowered(text)
         p, inputs = self.inputs(_WORDS.findall(low))
         toxic = {i for i, x in p.items() if x >= 0.5}
         spans: list[list] = []
@@ -230,7 +279,7 @@ def _sequences(docs: list[_Example], toxic: bool, marks: tuple[set[str], set[str
 
 def fit(rows: list[tuple[str, int]], rounds: int = 60) -> Tagger:
     """The field for (text, label) rows. No rows, or rows of one label, give a tagger that scores all alike."""
-    docs = [_Example(list(map(intern, _WORDS.findall(text.lower()))), label) for text, label in dict(rows).items()]
+    docs = [_Example(list(map(intern, _WORDS.findall(lowered(text)))), label) for text, label in dict(rows).items()]
     tagger = _field(docs, rounds)
     labels = [d.label for d in docs]
     if len(set(labels)) < 2:
@@ -327,11 +376,6 @@ def _field(docs: list[_Example], rounds: int) -> Tagger:
     return tagger
 
 
-def held_out(key: str = "doc_id"):
-    """Whether the label of a document may not be learned from: crc32 of its id as text leaves 0 by 5."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """A bounded sample of labelled documents that aren't held out: at most sample of label 1 and
     CLEAN_EACH times as many of label 0, the first by a hash of the id, of at most chars characters each. A document with both labels has label 1.
@@ -349,7 +393,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic",
 
 def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) of every row, and with keep row, the whole row as a struct. spans:
-    (start, end, marginal) of neighbouring tokens at least as likely toxic as not, in code points of the lower-cased text.
+    (start, end, marginal) of neighbouring tokens at least as likely toxic as not, in code points of the text.
 
     A null text is empty and scores as a text without toxic words. Null ids count as not held out and are never
     trained on; repeated rows keep their number; other columns are ignored. Without labels all score alike.

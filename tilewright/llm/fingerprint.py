@@ -259,8 +259,10 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     docs = keyed_texts(documents)
     ranks = ranks_of(class_counts(docs))
     parts = partitions(spark, documents)
-    # lowest ids last: order by the negated id, so that ranges ascend
-    place = {"k": F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)), "h": F.xxhash64("text")}
+    # lowest ids last: order by the complement of the id, so that ranges ascend; the sign of h puts null after the lowest
+    top, hashed = (1 << 63) - 1, F.xxhash64("text")
+    own = F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(hashed, 1)).when(F.col("doc_id") == -top - 1, hashed.bitwiseOR(F.lit(-top - 1))).otherwise(hashed)
+    place = {"k": F.coalesce(F.bitwise_not("doc_id"), F.lit(top)), "h": own}
     ids = stored(docs.select(*(v.alias(c) for c, v in place.items()), F.octet_length("text").cast("long").alias("n")))
     cuts = _cuts(ids, parts)
     lot = _lot_of(cuts)

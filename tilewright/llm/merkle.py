@@ -237,13 +237,13 @@ def manifest(documents: DataFrame) -> DataFrame:
     def along(batches):
         for batch in batches:
             rows = []
-            for n, hashes, trees, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, n, hashes, trees, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 levels = raised(hashes, rounds_of(n))
-                rows += [(t, h, siblings(levels, i) + path) for i, (t, h) in enumerate(zip(trees, hashes, strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))], names=["tree", "subroot", "rest"])
+                rows += [(own, t, h, siblings(levels, i) + path) for i, (t, h) in enumerate(zip(trees, hashes, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))], names=["upper", "tree", "subroot", "rest"])
 
-    root = upper.roots().select("root", F.lit(0).alias("one"))
-    ways = upper.with_paths().select("n", "hashes", "source_tree", "path").mapInArrow(tidy(along), f"tree string, subroot string, rest {PATH}").withColumn("one", F.lit(0)).join(root, "one").drop("one")  # root is one row
+    root = upper.roots().select(F.col("tree").alias("upper"), "root")
+    ways = upper.with_paths().select("tree", "n", "hashes", "source_tree", "path").mapInArrow(tidy(along), f"upper string, tree string, subroot string, rest {PATH}").join(root, "upper").drop("upper")
 
     def run(batches):
         names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "depth"]

@@ -135,7 +135,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     as strings, sorted and joined by commas; n_near: items with a proximity match. A null or empty text has no words and
     no hit; a null item_id counts as an empty one; items that share an id are one item; an empty benchmark hits nothing,
     an empty table of documents gives no row. Rows that repeat whole, and rows of one id with different texts, each get
-    their own result. Other columns of the tables are never read.
+    their own result; the former count once in the lengths of lists. Other columns of the tables are never read.
     """
     docs = keyed(documents)
     passages, items = passages_of(benchmark)
@@ -174,7 +174,7 @@ places AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, lens WH
 hits AS (SELECT r, p, places.k, item_id FROM places JOIN wanted ON wanted.k = places.k AND words = array_to_string(w[p:p + places.k - 1], ' ')),
 n_hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hits) GROUP BY r),
 listed AS (SELECT r, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r),
-t AS (SELECT r, unnest(w) AS t, unnest(range(len(w))) AS p FROM d), f AS (SELECT t, count(*) AS n FROM t GROUP BY t),
+t AS (SELECT r, unnest(w) AS t, unnest(range(len(w))) AS p FROM d), f AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM (SELECT DISTINCT doc_id, w FROM d)) GROUP BY t),
 own AS (SELECT DISTINCT b, item_id, i, unnest(w[i:i + k - 1]) AS t FROM s),
 ranked AS (SELECT own.*, f.n, row_number() OVER (PARTITION BY b, i ORDER BY f.n, own.t) AS place, count(*) FILTER (f.n IS NULL) OVER (PARTITION BY b, i) AS absent FROM own LEFT JOIN f USING (t)),
 plan AS (SELECT DISTINCT item_id, max(CASE WHEN place = 1 THEN t END) AS t1, max(CASE WHEN place = 2 THEN t END) AS t2, max(CASE WHEN place = 3 THEN t END) AS t3 FROM ranked WHERE absent = 0 GROUP BY item_id, b, i),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import batches_by_key, beside, keyed_texts, small_batches, stored, table, tidy, trim, utf8
+from tilewright.llm.common import batches_by_key, beside, held_out, keyed_texts, small_batches, stored, table, tidy, trim, utf8
 from tilewright.llm.shingles import _BYTE, _Powers, mix, slices
 
 BUCKETS, PARTS = 1 << 16, 16
@@ -96,13 +96,15 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def log_weights(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
-    """Sum of the log ratios of each text's n-grams; 0 without n-grams."""
+    """Sum of the log ratios of each text's n-grams; 0 without n-grams. Each text is summed by itself, so that its weight
+    is the same whatever else is in its batch."""
     out = []
     for a, b in slices([len(t) for t in texts]):
         buckets, counts = ngram_buckets(texts[a:b])
-        sums = np.concatenate([[0.0], np.cumsum(ratios[buckets])])
-        ends = np.cumsum(counts)
-        out.append(sums[ends] - sums[ends - counts])
+        sums, own = np.zeros(len(counts)), counts > 0
+        if own.any():
+            sums[own] = np.add.reduceat(ratios[buckets], (np.cumsum(counts) - counts)[own])
+        out.append(sums)
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -122,10 +124,6 @@ def fitted(sample: list[bytes], raw: np.ndarray) -> tuple[np.ndarray, float]:
     return log_ratios(whole, raw), float(np.quantile(crossed, MISSED))
 
 
-def held_out() -> Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def good_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[bytes]:
     """Texts of labelled good documents that aren't held out: at most sample, the first by a hash of the id, of at most
     SAMPLE_CHARS characters each."""

@@ -216,8 +216,10 @@ def captures_of(index: DataFrame, directory: DataFrame, keys: DataFrame) -> Data
     def to_lines(batches):
         for _, rows in _by_key(batches, ["part", "block"]):
             wanted = [key for key, lines in rows if lines is None]
-            if not wanted or rows[0][1] is None:
+            if not wanted:
                 continue
+            if rows[0][1] is None:
+                raise ValueError("the index lacks a block that its directory names")
             lines = zlib.decompress(rows[0][1]).decode().split("\n")
             own, got = [x.split(" ", 1)[0] for x in lines], []
             for k in wanted:
