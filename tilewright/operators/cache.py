@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.operators.asof import loads, nearest, with_load
+from tilewright.plans.storage import durable
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of both, one for each key, the last by order; max_by reduces before rows move."""
@@ -40,33 +43,44 @@ def manifest_refresh(reads: DataFrame, key: str, fresh: int, stale: int) -> Data
     """reads (key, at, seq, ok) with what each gets: fresh within fresh of the last load; else it loads, and is loaded if
     that succeeds, stale if not but within stale of the last load, and else failed.
 
-    A read's state depends on all loads before it, so a key's reads are folded in order; keys are dealt over tasks, and a
-    key's reads pass as a sorted stream.
+    Loads are found by pointer doubling (operators.asof), so that a key of very many reads isn't folded in one task.
+    """
+    rows = reads.select(key, "at", "seq", "ok")
+    found = loads(rows.withColumn("until", F.col("at") + fresh), key, max(1, fresh // 64))
+    met = with_load(rows, found, key, max(1, fresh // 64))
+    age, own = F.col("at") - F.col("load.at"), (F.col("at") == F.col("load.at")) & (F.col("seq") == F.col("load.seq"))
+    state = F.when(own, "loaded").when(age <= fresh, "fresh").when(age <= stale, "stale").otherwise("failed")
+    return met.select(key, "at", "seq", "ok", state.alias("state"))
+
+
+def ttl_reads(reads: DataFrame, key: str, fresh: int, stale: int, keep: int | None = None) -> DataFrame:
+    """reads (key, at, seq) with state: what a cache answers that sets an entry at a miss and at an expired read, and lets
+    it age from then on, whatever reads come between. fresh up to and with fresh of its set, stale up to and with stale,
+    expired up to keep beyond that (for ever if None), then forgotten, so that the read is a miss."""
+    rows = reads.select(key, "at", "seq")
+    found = durable(loads(rows.withColumns({"ok": F.lit(True), "until": F.col("at") + stale}), key, max(1, stale // 64)))
+    before = found.select(key, F.col("at").alias("set_at"), F.col("seq").alias("set_seq"), "at", (F.col("seq") - 1).alias("seq"))
+    last = nearest(before, found, key, max(1, stale // 64), after=False).select(F.col(key).alias("_k"), "set_at", "set_seq", F.col("found.at").alias("last_at"))
+    met = with_load(rows, found, key, max(1, stale // 64))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("load.at") == F.col("set_at")) & (F.col("load.seq") == F.col("set_seq"))
+    own, age = (F.col("at") == F.col("load.at")) & (F.col("seq") == F.col("load.seq")), F.col("at") - F.col("load.at")
+    gone = F.col("last_at").isNull() | (F.lit(False) if keep is None else F.col("at") - F.col("last_at") > stale + keep)
+    state = F.when(own, F.when(gone, "miss").otherwise("expired")).when(age <= fresh, "fresh").otherwise("stale")
+    return met.join(last, same, "left").select(key, "at", "seq", state.alias("state"))
+
+
+def single_flight(requests: DataFrame, key: str, width: int) -> DataFrame:
+    """requests (key, at, seq, takes) with leader, the seq of the request whose load answers each: its own if no load of
+    the key is in flight, that load's if one is (from its start up to and with at + takes), and done, when it ends.
+
+    A load lasts as long as its leader's takes; those who join it don't prolong it. Time is in whole ticks.
     """
-    schema = reads.select(key, "at", "seq", "ok").schema
-    rows = reads.select(key, "at", "seq", "ok").repartition(key).sortWithinPartitions(key, "at", "seq")
-
-    def run(batches):
-        import pyarrow as pa
-
-        last, loaded = None, None
-        for batch in batches:
-            states = []
-            for k, at, ok in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
-                if k != last:
-                    last, loaded = k, None
-                if loaded is not None and at <= loaded + fresh:
-                    states.append("fresh")
-                elif ok:
-                    loaded = at
-                    states.append("loaded")
-                else:
-                    states.append("stale" if loaded is not None and at <= loaded + stale else "failed")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.string())], names=[*batch.schema.names, "state"])
-
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    return rows.mapInArrow(run, StructType([*schema.fields, StructField("state", StringType())]))
+    rows = requests.select(key, "at", "seq", "takes")
+    found = loads(rows.withColumns({"ok": F.lit(True), "until": F.col("at") + F.col("takes")}), key, width)
+    met = with_load(rows, found, key, width)
+    lead = found.join(rows.select(F.col(key).alias("_k"), F.col("at").alias("_at"), F.col("seq").alias("_seq"), F.col("takes").alias("_takes")), F.col(key).eqNullSafe(F.col("_k")) & (F.col("at") == F.col("_at")) & (F.col("seq") == F.col("_seq"))).select("_k", "_at", "_seq", (F.col("_at") + F.col("_takes")).alias("done"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("load.at") == F.col("_at")) & (F.col("load.seq") == F.col("_seq"))
+    return met.join(lead, same).select(key, "at", "seq", "takes", F.col("load.seq").alias("leader"), "done")
 
 
 def prune_points(writes: DataFrame, shard: str, order: list[str], every: int) -> DataFrame:

@@ -1,0 +1,49 @@
+"""Queries that write archives into the shared folder and read them back by byte ranges."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from tilewright.plans.registry import query
+from tilewright.plans.storage import shared_path
+from tilewright.sources import ranged
+
+# a tile for each event, at zoom 20; equal tiles recur
+_TILES = "tiles AS (SELECT 20 AS z, CAST(event_id % 1024 AS INT) AS x, CAST(event_id // 1024 AS INT) AS y, event_type || ':' || (event_id % 977) AS tile FROM events)"
+
+
+def _tiles(read):
+    i = F.col("event_id")
+    return read("events").select(F.lit(20).alias("z"), (i % 1024).cast("int").alias("x"), F.floor(i / 1024).cast("int").alias("y"), F.encode(F.concat("event_type", F.lit(":"), (i % 977).cast("string")), "UTF-8").alias("tile"))
+
+
+def _archive(read):
+    tiles = _tiles(read)
+    path = os.path.join(shared_path(tiles.sparkSession), "events.pmtiles")
+    return tiles.sparkSession, path, ranged.write_tiles(tiles, path, {"name": "events"})
+
+
+@query(f"WITH {_TILES} SELECT z, x, y, tile FROM tiles WHERE x BETWEEN 100 AND 300")
+def archive_box(read):
+    """The tiles of all events as one archive, and those of a box read back by ranges."""
+    spark, path, _ = _archive(read)
+    return ranged.read_tiles(spark, [path], min_z=20, max_z=20, min_x=100, max_x=300).select("z", "x", "y", F.decode("tile", "UTF-8").alias("tile"))
+
+
+@query(f"WITH {_TILES}, c AS (SELECT DISTINCT tile FROM tiles) SELECT count(*) AS addressed, (SELECT count(*) FROM c) AS contents, (SELECT CAST(sum(strlen(tile)) AS BIGINT) FROM c) AS tile_bytes, min(z) AS min_zoom, max(z) AS max_zoom, 'events' AS name, true AS verified FROM tiles")
+def archive_publish(read):
+    """Header, metadata and digest of the published archive, as they are read back from the file."""
+    spark, path, _ = _archive(read)
+    reader = ranged.RangeReader(path)
+    h = ranged.header_of(reader)
+    row = (h["addressed"], h["contents"], h["tiles_bytes"], h["min_zoom"], h["max_zoom"], ranged.metadata_of(reader)["name"], ranged.verified(spark, path))
+    return spark.createDataFrame([row], "addressed long, contents long, tile_bytes long, min_zoom int, max_zoom int, name string, verified boolean")
+
+
+@query(f"WITH {_TILES} SELECT x, y, tile FROM tiles WHERE x = 77 AND y = 0")
+def archive_point(read):
+    """One address of the archive; the other directories aren't read."""
+    spark, path, _ = _archive(read)
+    return ranged.read_tile(spark, path, 20, 77, 0).select("x", "y", F.decode("tile", "UTF-8").alias("tile"))

@@ -136,15 +136,15 @@ def cache_prune(read):
     return C.prune(d, "shard", "lang", F.lit("en"), 200_000, [F.desc("doc_id")], "n_chars").select("doc_id", "shard", "running")
 
 
-@query("""WITH l AS (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS age FROM events)
-SELECT event_id, CASE WHEN age IS NULL THEN 'miss' WHEN age <= 3600000000 THEN 'fresh' WHEN age <= 86400000000 THEN 'stale' ELSE 'expired' END AS state FROM l""")
+# an entry ages from the read that set it, not from the one before
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, t AS entry, 'miss' AS state FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t > f.entry + 86400000000 THEN e.t ELSE f.entry END,
+    CASE WHEN e.t <= f.entry + 3600000000 THEN 'fresh' WHEN e.t <= f.entry + 86400000000 THEN 'stale' ELSE 'expired' END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT event_id, state FROM f""")
 def ttl_classify(read):
-    from pyspark.sql import Window
-
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = read("events").withColumn("at", at)
-    age = F.col("at") - F.lag("at").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
-    return e.withColumn("age", age).select("event_id", C.ttl_state(F.col("age"), 3_600_000_000, 86_400_000_000).alias("state"))
+    e = read("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
+    return C.ttl_reads(e, "user_id", 3_600_000_000, 86_400_000_000).select(F.col("seq").alias("event_id"), "state")
 
 
 # loads fail at errors and at every third event

@@ -89,6 +89,19 @@ def coalesced_requests(read):
     return _events(read).groupBy("user_id", F.floor(F.col("ms") / 60000).alias("minute")).agg(F.count("*").alias("requests"), (F.count("*") - 1).alias("coalesced"), F.min("event_id").alias("leader"))
 
 
+# a load takes a thousand times an event's value in milliseconds; who comes meanwhile joins it
+@query(f"""WITH RECURSIVE {_T}, r AS (SELECT user_id, event_id, ms, CAST(round(value * 1000) AS BIGINT) * 60 AS takes, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS n FROM e),
+f AS (SELECT user_id, event_id, n, event_id AS leader, ms + takes AS done FROM r WHERE n = 1
+  UNION ALL SELECT r.user_id, r.event_id, r.n, CASE WHEN r.ms <= f.done THEN f.leader ELSE r.event_id END, CASE WHEN r.ms <= f.done THEN f.done ELSE r.ms + r.takes END FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+SELECT user_id, event_id, leader, done, leader <> event_id AS joined FROM f""")
+def single_flight(read):
+    """Every request with the load that answers it."""
+    from tilewright.operators import cache as C
+
+    e = _events(read).select("user_id", F.col("ms").alias("at"), F.col("event_id").alias("seq"), (F.round(F.col("value") * 1000).cast("long") * 60).alias("takes"))
+    return C.single_flight(e, "user_id", 600_000).select("user_id", F.col("seq").alias("event_id"), "leader", "done", (F.col("leader") != F.col("seq")).alias("joined"))
+
+
 _MSG = "CASE event_id % 5 WHEN 0 THEN 'HTTP ' || (400 + event_id % 130) WHEN 1 THEN 'status: ' || (400 + event_id % 130) WHEN 2 THEN 'aborted' WHEN 3 THEN 'response was ' || (400 + event_id % 130) || ' here' ELSE NULL END"
 
 

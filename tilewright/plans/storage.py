@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -25,3 +26,26 @@ def durable(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an input's files, as the planner knows them, for each partition of an exchange of whole rows.
+PART_BYTES = 32 << 20
+
+
+def partitions(spark: SparkSession, rows: DataFrame | None = None) -> int:
+    """How many partitions a keyed exchange gets: the session's own setting, or more where the files below rows ask for
+    it, so that a task's share stays level as the input grows. rows: a table as it is read, before any join."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = 0 if rows is None else int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # rows that aren't files have no size; the planner then says that they are immense
+    return own if size >= 1 << 56 else max(own, -(-size // PART_BYTES))
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new folder of the shared folder, made and named as a plain path, for files that tasks write by themselves."""
+    path = shared_dir(spark)
+    path = path.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError("spark.checkpoint.dir must be a mounted folder for files that tasks write by themselves")
+    os.makedirs(path, exist_ok=True)
+    return path
