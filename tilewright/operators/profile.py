@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators.polygons import rule_geometry
+
 ANY = object()
 
 
@@ -167,7 +169,8 @@ def value_of(value) -> str:
 
 
 def apply_profile(elements: DataFrame, rules: list[tuple] | None = None, zoom: int | None = None) -> DataFrame:
-    """(osm_id, rule, layer, min_zoom, attrs) of elements (osm_id, geom_kind, tags); zoom: only what it shows.
+    """(osm_id, rule, layer, min_zoom, attrs) of elements (osm_id, geom_kind, tags); zoom: only what it shows. Elements with
+    geom (parts of points) give geom too, as the rule names it: a centroid, a point on the surface, or what they have.
 
     Tags that conditions read are looked up once an element. An attribute is one chain of cases over the rules that make
     it in the same way.
@@ -184,7 +187,8 @@ def apply_profile(elements: DataFrame, rules: list[tuple] | None = None, zoom: i
         groups.setdefault(_needed(r[3]), []).append(f"CASE WHEN geom_kind IN ({kinds(r[1])}) AND {condition(r[3], of)} THEN {k} END")
     # an element has few of the tags, so few groups of rules are tested
     numbers = ", ".join(f"CASE WHEN {f'{of(key)} IS NOT NULL' if key else 'true'} THEN array({', '.join(cases)}) END" for key, cases in groups.items())
-    hits = elements.select("osm_id", "geom_kind", "tags", looked.alias("_t")).select("osm_id", "tags", F.explode(F.expr(f"array_compact(flatten(array_compact(array({numbers or 'array(CAST(NULL AS INT))'}))))")).alias("rule"))
+    own = ["geom"] if "geom" in elements.columns else []
+    hits = elements.select("osm_id", "geom_kind", "tags", *own, looked.alias("_t")).select("osm_id", "geom_kind", "tags", *own, F.explode(F.expr(f"array_compact(flatten(array_compact(array({numbers or 'array(CAST(NULL AS INT))'}))))")).alias("rule"))
     made: dict[str, dict[str, list[int]]] = {}
     for k, r in shown:
         for name, value in r[4]:
@@ -195,7 +199,8 @@ def apply_profile(elements: DataFrame, rules: list[tuple] | None = None, zoom: i
         pairs.append(f"struct({_quoted(name)} AS key, CASE {chain} END AS value)")
     attrs = f"map_from_entries(filter(array({', '.join(pairs)}), p -> p.value IS NOT NULL))" if pairs else "CAST(map() AS MAP<STRING, STRING>)"
     table = lambda values: f"get(array({', '.join(values)}), rule - 1)"
-    return hits.select("osm_id", "rule", F.expr(table([_quoted(r[0]) for r in rules])).alias("layer"), F.expr(table([str(r[2]) for r in rules])).alias("min_zoom"), F.expr(attrs).alias("attrs"))
+    geoms = [rule_geometry(F.col("geom"), F.col("geom_kind"), F.expr(table([_quoted(r[1]) for r in rules]))).alias("geom")] if own else []
+    return hits.select("osm_id", "rule", *geoms, F.expr(table([_quoted(r[0]) for r in rules])).alias("layer"), F.expr(table([str(r[2]) for r in rules])).alias("min_zoom"), F.expr(attrs).alias("attrs"))
 
 
 def centroid(ring: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import tilemath as T
-from tilewright.operators import planning, routing
+from tilewright.operators import planning, polygons, routing
 from tilewright.plans.registry import POINTS, REGIONS, SEGMENTS, points, query, regions, sql_lat, sql_x, sql_y
 
 
@@ -266,3 +266,60 @@ def pinned_split(read):
     plan = regions(read).select(F.col("asset").alias("id"), F.col("asset").alias("slug"), F.col("asset").alias("name"), "west", "south", "east", "north")
     splits = plan.where("CAST(substr(id, 2) AS INT) % 4 = 0").select("id", F.lit(2).alias("rows"), F.lit(4).alias("columns"), F.lit("s2").alias("generation"), F.lit(True).alias("antimeridian"))
     return planning.pinned_split(plan, splits).drop("slug")
+
+
+# a star of eight corners and a hole in its middle for each part, some across the antimeridian
+_STAR = ((3, 0), (1, 1), (0, 3), (-1, 1), (-3, 0), (-1, -1), (0, -3), (1, -1))
+_HOLE = ((0.5, 0.0), (0.0, 0.5), (-0.5, 0.0), (0.0, -0.5))
+_SHAPES = f"""corners AS (SELECT unnest([{", ".join(map(str, range(len(_STAR))))}]) AS i, unnest([{", ".join(f"{x}.0" for x, _ in _STAR)}]) AS dx, unnest([{", ".join(f"{y}.0" for _, y in _STAR)}]) AS dy, 0 AS ring, {len(_STAR)} AS m
+  UNION ALL SELECT unnest([0, 1, 2, 3]), unnest([{", ".join(str(x) for x, _ in _HOLE)}]), unnest([{", ".join(str(y) for _, y in _HOLE)}]), 1, 4),
+centres AS (SELECT p_partkey AS part, CAST(p_partkey * 37 % 360 - 180 AS DOUBLE) AS cx, CAST(p_partkey * 13 % 140 - 70 AS DOUBLE) AS cy, (1 + p_size % 5) / 4.0 AS r FROM part),
+edges AS (SELECT part, cx + r * a.dx AS x1, cy + r * a.dy AS y1, cx + r * b.dx AS x2, cy + r * b.dy AS y2 FROM centres, corners a JOIN corners b ON a.ring = b.ring AND b.i = (a.i + 1) % a.m)"""
+
+
+def _stars(read):
+    k = F.col("p_partkey")
+    c = read("part").select(k.alias("part"), (k * 37 % 360 - 180).cast("double").alias("cx"), (k * 13 % 140 - 70).cast("double").alias("cy"), ((F.col("p_size") % 5 + 1) / 4.0).alias("r"))
+    wrap = lambda x: F.when(x > 180, x - 360.0).when(x < -180, x + 360.0).otherwise(x)
+    ring = lambda corners: F.array(*(F.struct(wrap(F.col("cx") + F.col("r") * F.lit(float(x))).alias("x"), (F.col("cy") + F.col("r") * F.lit(float(y))).alias("y")) for x, y in corners))
+    return c.select("part", F.array(ring(_STAR), ring(_HOLE)).alias("rings"))
+
+
+@query(f"""WITH {POINTS}, {_SHAPES}, boxes AS (SELECT part, cx, cy, 3 * r AS w FROM centres),
+p AS (SELECT event_id, lon, lat FROM points UNION ALL SELECT event_id, lon + 360, lat FROM points WHERE lon < 0 UNION ALL SELECT event_id, lon - 360, lat FROM points WHERE lon >= 0),
+near AS (SELECT event_id, part, lon, lat FROM p JOIN boxes ON lon BETWEEN cx - w AND cx + w AND lat BETWEEN cy - w AND cy + w)
+SELECT DISTINCT event_id, part FROM (SELECT event_id, n.part, lon, lat FROM near n JOIN edges e ON e.part = n.part AND (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)""")
+def point_in_polygon(read):
+    """All points in stars with holes; the same ring across the antimeridian is given with longitudes of both sides."""
+    p = points(read).select("event_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return polygons.points_in_polygons(p, _stars(read), "event_id", "part", cell=2.0)
+
+
+@query(f"""WITH {POINTS}, l AS (SELECT n_nationkey AS nation, CAST((n_nationkey * 37) % 340 - 170 AS DOUBLE) AS x1, CAST((n_nationkey * 13) % 120 - 60 AS DOUBLE) AS y1 FROM nation),
+s AS (SELECT nation, x1, y1, x1 + 6 AS x2, y1 + 2 AS y2 FROM l UNION ALL SELECT nation, x1 + 6, y1 + 2, x1 + 5, y1 + 9 FROM l),
+t AS (SELECT event_id, nation, lon, lat, x1, y1, x2, y2, least(1.0, greatest(0.0, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM points, s),
+d AS (SELECT event_id, nation, sqrt(pow(lon - x1 - t * (x2 - x1), 2) + pow(lat - y1 - t * (y2 - y1), 2)) AS d FROM t)
+SELECT event_id, nation, round(min(d), 9) AS distance FROM d WHERE d <= 1.5 GROUP BY 1, 2""")
+def points_near_lines(read):
+    """Points no further than a tolerance from lines, as a click on a map finds them."""
+    k = F.col("n_nationkey")
+    x, y = ((k * 37) % 340 - 170).cast("double"), ((k * 13) % 120 - 60).cast("double")
+    pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    lines = read("nation").select(k.alias("nation"), F.array(F.array(pt(x, y), pt(x + 6, y + 2), pt(x + 5, y + 9))).alias("geom"))
+    p = points(read).select("event_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return polygons.points_near_lines(p, lines, "event_id", "nation", 1.5).select("event_id", "nation", F.round("distance", 9).alias("distance"))
+
+
+# a rectangle with a step on top and a hole; areas, centres and the widest run of the row, by hand
+@query("""WITH p AS (SELECT p_partkey AS part, CAST(p_partkey * 7 % 500 AS DOUBLE) AS x, CAST(p_partkey * 3 % 400 AS DOUBLE) AS y, CAST(1 + p_size % 9 AS DOUBLE) * 4 AS s FROM part)
+SELECT part, round(x + s * (2 * 1.0 + 0.25 * 0.5 - 0.09375 * 0.5) / 2.15625, 6) AS cx, round(y + s * (2 * 0.5 + 0.25 * 1.125 - 0.09375 * 0.5625) / 2.15625, 6) AS cy, round(x + 1.3125 * s, 6) AS sx, round(y + 0.5625 * s, 6) AS sy FROM p""")
+def surface_points(read):
+    """Centres of area and points on the surface of concave polygons with a hole, by the rules that name them."""
+    k = F.col("p_partkey")
+    x, y, s = (k * 7 % 500).cast("double"), (k * 3 % 400).cast("double"), ((F.col("p_size") % 9 + 1) * 4).cast("double")
+    ring = lambda corners: F.array(*(F.struct((x + s * F.lit(a)).alias("x"), (y + s * F.lit(b)).alias("y")) for a, b in corners))
+    shape = F.array(ring(((0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (1.0, 1.0), (1.0, 1.25), (0.0, 1.25))), ring(((0.375, 0.375), (0.625, 0.375), (0.625, 0.75), (0.375, 0.75))))
+    shapes = read("part").select(k.alias("part"), shape.alias("rings"))
+    by = lambda rule: polygons.rule_geometry(F.col("rings"), F.lit("polygon"), F.lit(rule))[0][0]
+    c, on = by("polygon_centroid"), by("polygon_point_on_surface")
+    return shapes.select("part", F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"), F.round(on["x"], 6).alias("sx"), F.round(on["y"], 6).alias("sy"))
