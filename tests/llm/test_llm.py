@@ -95,6 +95,22 @@ def test_jaccard_brute_force(spark, corpus, monkeypatch, frequent):
     assert got == brute_components(corpus)
 
 
+def test_units_hold_every_pair_of_linked_sizes(spark, monkeypatch):
+    """A component whose sets have very different sizes, in blocks of a few documents or of a few tokens."""
+    r = random.Random(21)
+    base = r.choices([f"w{k}" for k in range(3000)], k=160)
+    rows = [(k, " ".join(base[: 12 + 2 * k]), "en", "s") for k in range(70)] + [(100 + k, " ".join(base[: 40 + k] + [f"u{k}"]), "en", "s") for k in range(12)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, *_ in rows}
+    want = {a: sum(a != b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    for block, tokens in ((5, 1 << 20), (1024, 300)):
+        monkeypatch.setattr(jaccard, "BLOCK_TOKENS", tokens)
+        verified = jaccard.verified_edges
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "verified_edges", lambda *a, verified=verified, block=block, **b: verified(*a, **b, block=block))
+            got = {x["doc_id"]: (x["n_links"], x["component_id"]) for x in jaccard.jaccard_components(documents(spark, rows), links=True).collect()}
+        assert got == {i: (want[i], 0) for i in want}
+
+
 def test_jaccard_edges(spark):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.jaccard_components(documents(spark, EDGE)).collect())
     assert got == sorted([("1", 0, "1"), ("2", 0, "2"), ("3", 1, "3"), ("3", 1, "3"), ("None", 1, "None"), ("5", 1, "5"), ("6", 0, "6")])
@@ -343,6 +359,18 @@ def slow_likeness(a, b):
     return one_way(a, b) if len(a) < len(b) else (one_way(a, b) + one_way(b, a)) / 2
 
 
+def test_plan_doesnt_grow_with_its_ranges(spark):
+    df = spark.range(10).select((F.col("id") * 7 - 30).alias("k"), F.col("id").alias("h"))
+    nodes, lots = [], []
+    for n in (10, 10_000):
+        cuts = [(k, (1 << 63) - 1) for k in range(-n // 2, n // 2)]
+        plan = df.select("k", fingerprint._lot_of(cuts).alias("lot"))
+        nodes.append(len(re.findall(r"lambda|struct|filter", plan._jdf.queryExecution().analyzed().toString())))
+        lots.append([r["lot"] for r in plan.collect()])
+        assert lots[-1] == [sum(c < (r["k"], r["h"]) for c in cuts) for r in df.collect()]
+    assert nodes[0] == nodes[1]
+
+
 def test_fingerprints_match_loops(corpus):
     texts = [t.encode() for _, t, *_ in corpus[:25]] + [b"ab" * 40 + b"the end of it all is near, they say", ("né " * 30).encode()]
     counts = np.zeros(fingerprint.CLASSES, dtype=np.int64)

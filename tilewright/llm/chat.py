@@ -160,7 +160,7 @@ def formatted(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
 
     A conversation of up to TURNS turns is one row, whatever their numbers. A longer one has a row for each TURNS turns:
     parts of them, whose texts, joined in order of part, are its rendering; cost is the whole conversation's. Turns
-    follow by number, then by role and text; null numbers come first. A null text is empty; a null or unknown role is
+    follow by number, then by role and by a hash of the text; null numbers come first. A null text is empty; a null or unknown role is
     relabelled. Rows without conv_id are one conversation of id null. Repeated rows are turns of their own. An empty
     table gives an empty result; other columns are ignored.
     """
@@ -168,9 +168,12 @@ def formatted(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
     small_batches(spark)
     c = conversations
     rows = c.select(c["conv_id"].cast("long").alias("conv_id"), c["turn"].cast("long").alias("turn"), c["role"].cast("string").alias("role"), F.coalesce(c["text"].cast("string"), F.lit("")).alias("text"))
-    order = ["conv_id", "turn", "role", "text"]
-    # equal turns of one conversation may be told apart in any way
-    ranged = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order, "tie").sortWithinPartitions(*order).drop("turn", "tie")
+    # turns of one number follow by role and by a hash of their text, then by the text within a task: bounds of ranges are
+    # numbers and roles, never texts; equal turns may be told apart in any way
+    order = ["conv_id", "turn", "role", "hashed"]
+    parts = partitions(spark, conversations)
+    tied = rows.withColumns({"hashed": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
+    ranged = tied.repartitionByRange(parts, *order, "tie").sortWithinPartitions(*order, "text").drop("turn", "tie", "hashed")
     kinds = {"conv_id": pa.int64(), "cost": pa.int64(), "n_turns": pa.int64(), "n_out": pa.int64(), "roles": pa.list_(pa.string()), "text": pa.string(), "place": pa.int32(), "at": pa.int64(), "role": pa.string()}
 
     def first(batches):
@@ -217,7 +220,7 @@ def formatted(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
             m = block_matrix([role_of(r) for r in g.column("role").to_pylist()])
             yield _rows([(g.column("conv_id")[0].as_py(), g.column("block")[0].as_py(), m.ravel().tolist())], {"conv_id": pa.int64(), "block": pa.int64(), "costs": pa.list_(pa.int64())})
 
-    costs = blocks.drop("text").repartition(partitions(spark), "group").sortWithinPartitions("group", "turn").mapInArrow(tidy(matrices), "conv_id long, block long, costs array<long>")
+    costs = blocks.drop("text").repartition(parts, "group").sortWithinPartitions("group", "turn").mapInArrow(tidy(matrices), "conv_id long, block long, costs array<long>")
     chains = costs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "costs"))).alias("chain"))
     border = {"group": pa.string(), "part": pa.int32(), "parts": pa.int32(), "cost": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
 
@@ -241,7 +244,7 @@ def formatted(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
             text = "\n<|end|>\n" + text if part and not goes_on else text
             yield _rows([(conv, part, parts, cost, g.num_rows, len(turns_) - goes_on, [r for r, _ in turns_][goes_on:], text)], result)
 
-    long = blocks.join(met, "group").repartition(partitions(spark), "group").sortWithinPartitions("group", "turn").mapInArrow(tidy(repair), "conv_id long, part int, parts int, cost long, n_turns long, n_out long, roles array<string>, text string")
+    long = blocks.join(met, "group").repartition(parts, "group").sortWithinPartitions("group", "turn").mapInArrow(tidy(repair), "conv_id long, part int, parts int, cost long, n_turns long, n_out long, roles array<string>, text string")
     return done.unionByName(long)
 
 

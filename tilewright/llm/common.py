@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.plans.storage import durable
+from tilewright.plans.storage import PART_BYTES, durable, partitions, shared_dir
+
+__all__ = ["PART_BYTES", "batches_by_key", "beside", "components", "held_out", "keyed_texts", "partitions", "shared_dir", "small_batches", "stored", "table", "tidy", "trim", "utf8", "worker_cache"]
 
 #: Rows that one Arrow batch holds at most; long texts make batches large before rows make them many.
 BATCH_ROWS = 1000
@@ -51,19 +53,6 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-#: Bytes of an input's files, as the planner knows them, for each partition of an exchange of whole rows.
-PART_BYTES = 32 << 20
-
-
-def partitions(spark: SparkSession, rows: DataFrame | None = None) -> int:
-    """How many partitions a keyed exchange gets: the session's own setting, or more where the files below rows ask for
-    it, so that a task's share stays level as the input grows. rows: a table as it is read, before any join."""
-    own = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    size = 0 if rows is None else int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # rows that aren't files have no size; the planner then says that they are immense
-    return own if size >= 1 << 56 else max(own, -(-size // PART_BYTES))
-
-
 def batches_by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Whole groups from batches that are sorted by key; one group is held at a time."""
     held: list[pa.Table] = []

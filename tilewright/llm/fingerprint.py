@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,11 +228,20 @@ def _lot_of(cuts: list[tuple[int, int]]):
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    long = lambda rows: "array(" + ", ".join(f"struct({k}L AS k, {h}L AS h)" if h > -(1 << 63) and k > -(1 << 63) else f"struct(CAST('{k}' AS LONG) AS k, CAST('{h}' AS LONG) AS h)" for k, h in rows) + ")"
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    coarse = f"size(filter({long([g[-1] for g in groups])}, c -> c < struct(k, h)))"
-    inner = f"array({', '.join(map(long, groups))})"
-    return F.expr(f"least({coarse} * {step} + coalesce(size(filter(get({inner}, {coarse}), c -> c < struct(k, h))), 0), {len(cuts)})").cast("int")
+    groups = [[{"k": k, "h": h} for k, h in cuts[i : i + step]] for i in range(0, len(cuts), step)]
+    here = F.struct(F.col("k"), F.col("h"))
+    below = lambda bounds: F.size(F.filter(bounds, lambda c: c < here))
+    coarse = below(_constant([g[-1] for g in groups], _PLACES))
+    fine = below(F.get(_constant(groups, f"array<{_PLACES}>"), coarse))
+    return F.least(coarse * step + F.when(coarse < len(groups), fine).otherwise(0), F.lit(len(cuts))).cast("int")
+
+
+_PLACES = "array<struct<k:bigint,h:bigint>>"
+
+
+def _constant(value: list, kind: str):
+    """A list as one constant of the plan: the plan has as many nodes for ten thousand bounds as for ten."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def _tasks(spark: SparkSession, parts: int, lots: int) -> list[int]:
@@ -252,7 +262,8 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
 
     Texts move once: rows are dealt into ranges of (doc_id, hash) of about equal bytes, each a task's own, and the first
     row of each range goes to the range before it as well. Many rows of one id, or without id, are several ranges. Only
-    the cuts, and each range's first id, come to the driver: as many as partitions.
+    the cuts, and each range's first id, come to the driver: as many as partitions, of which there are MAX_PARTS at most.
+    They go into the plan as constants of a few bytes a range, as the bounds of any range partitioning do.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -270,14 +281,14 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     used = sorted(firsts)
     # the lot that each lot's first row also goes to: the one before, from the first lot to the last
     before = {at: used[i - 1] for i, at in enumerate(used)}
-    first = F.array(*(F.struct(*(F.lit(x).cast("long").alias(c) for c, x in zip("kh", firsts.get(at, (None, None)), strict=True))) for at in range(len(cuts) + 1)))
-    goes = F.array(*(F.lit(before.get(at, at)) for at in range(len(cuts) + 1)))
+    first = _constant([dict(zip("kh", firsts.get(at, (None, None)), strict=True)) for at in range(len(cuts) + 1)], _PLACES)
+    goes = _constant([before.get(at, at) for at in range(len(cuts) + 1)], "array<int>")
     rows = docs.withColumns(place).withColumn("lot", lot)
     copy = F.struct(F.get(goes, F.col("lot")).alias("lot"), F.lit(1).alias("extra"))
     own = F.struct(F.col("lot"), F.lit(0).alias("extra"))
     to = F.when(F.get(first, F.col("lot")) == F.struct("k", "h"), F.array(own, copy)).otherwise(F.array(own))
     dealt = rows.withColumn("to", F.explode(to)).select(F.col("to.lot").alias("lot"), F.col("to.extra").alias("extra"), "k", "h", "doc_id", "text")
-    dealt = dealt.withColumn("task", F.get(F.array(*map(F.lit, _tasks(spark, parts, len(cuts) + 1))), F.col("lot"))).repartition(parts, "task").drop("task").sortWithinPartitions("lot", "extra", "k", "h", "text")
+    dealt = dealt.withColumn("task", F.get(_constant(_tasks(spark, parts, len(cuts) + 1), "array<int>"), F.col("lot"))).repartition(parts, "task").drop("task").sortWithinPartitions("lot", "extra", "k", "h", "text")
 
     def pairs(batches) -> Iterator[list[tuple[int | None, str, str]]]:
         """(doc_id, text, next text), a few megabytes at a time."""

@@ -45,8 +45,8 @@ WIDTH = 5
 FREQUENT, VERY = 64, 4096
 #: Parts of the filter on the way to the driver; salts that spread a frequent token's documents.
 PARTS, SALTS = 16, 4
-#: Documents of a block of the verification.
-BLOCK = 1024
+#: Documents of a block of the verification, and their tokens.
+BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 #: Bits of the filter that keeps documents without a candidate from moving; it never decides a link.
 FILTER_BITS = 1 << 26
 
@@ -154,7 +154,7 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
 def shared_tokens(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFrame:
     """(doc_id, n, hits): for each document and bucket the tokens of its prefix that others have too, with counts."""
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(spark, docs)
     names, kinds, schema = ["bucket", "salt", "kind", "value"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()], "bucket int, salt int, kind int, value binary"
 
     def held(batches):
@@ -249,7 +249,7 @@ def candidate_edges(docs: DataFrame, tokens: int, copies: DataFrame, width: int
     """Edges (a, b) of stars of documents that share a key; documents of copies (doc_id) have none, their like stands for
     them. tokens: the sum of all set sizes, for the number of buckets."""
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(spark, docs)
     buckets = 1 << max(6, int(np.ceil(np.log2(max(1, tokens / 2 / 2_000_000)))))
 
     def star(keys, ids):
@@ -422,14 +422,22 @@ def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, bloc
     copies: (doc_id, copies) of those that stand for more than themselves. With it every candidate pair is compared, and
     rows (a, null, n) tell with how many documents a links in a unit; else n is null.
 
-    A component of more than block documents is dealt by hash into blocks; every two of its blocks meet in a unit, so
-    its documents are copied once a block and no task holds more than two blocks.
+    members also have n_shingles, the size of the set. A component of more than block documents or BLOCK_TOKENS tokens is
+    dealt by ranges of sizes, and each range by hash into blocks of at most about that much. Sizes of linked sets differ by
+    4/3 at most, which is a range's width, so a block meets the blocks of its own and of the two neighbouring ranges:
+    pairs beyond that ratio never move, and no task holds more than two blocks.
     """
     spark = docs.sparkSession
-    sizes = members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / block).cast("int")
     members = members.withColumn("copies", F.lit(1).cast("long")) if copies is None else members.join(copies, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
-    dealt = stored(members.join(sizes, "root").select("doc_id", "root", "copies", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    whole = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("tokens")).where("size > 1")
+    klass = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(4 / 3)) + 1e-9).cast("int")
+    large = (F.col("size") > block) | (F.col("tokens") > BLOCK_TOKENS)
+    ranged = members.join(whole, "root").select("doc_id", "root", "copies", "n_shingles", large.alias("large"), F.when(large, klass).otherwise(0).alias("klass"))
+    of_range = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_TOKENS)).cast("int")
+    ranges = stored(ranged.groupBy("root", "klass", "large").agg(F.when(F.col("large"), of_range).otherwise(1).alias("blocks")))
+    at = lambda k: ranges.select("root", (F.col("klass") + k).alias("klass"), F.col("blocks").alias(f"blocks{k}"))
+    three = ranges.select("root", "klass", "blocks").join(at(1), ["root", "klass"], "left").join(at(-1), ["root", "klass"], "left").select("root", "klass", "blocks", F.coalesce("blocks1", F.lit(0)).alias("below"), F.coalesce("blocks-1", F.lit(0)).alias("above"))
+    dealt = stored(ranged.join(three, ["root", "klass"]).select("doc_id", "root", "copies", "klass", "blocks", "below", "above", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own")))
 
     def bits(batches):
         m = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
@@ -460,8 +468,12 @@ def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, bloc
             yield batch.filter(pa.array(keep.astype(bool)))
 
     texts = docs.mapInArrow(tidy(likely), "doc_id long, text string").join(dealt, "doc_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = texts.select("doc_id", "text", "root", "own", "copies", "blocks", other).select("doc_id", "text", "own", "copies", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), (F.col("blocks") == 1).alias("alone"), (F.least("own", "other") == F.greatest("own", "other")).alias("inner"))
+    # a unit is a pair of blocks: of one range, of it and the next, or of it and the one before
+    own, up = F.expr("transform(sequence(0, blocks - 1), b -> struct(klass AS k, least(own, b) AS a, 0 AS up, greatest(own, b) AS b, own AS side))"), lambda n, expr: f"transform(IF({n} > 0, sequence(0, {n} - 1), CAST(array() AS array<int>)), b -> {expr})"
+    after = F.expr(up("above", "struct(klass AS k, own AS a, 1 AS up, b AS b, 0 AS side)"))
+    before = F.expr(up("below", "struct(klass - 1 AS k, b AS a, 1 AS up, own AS b, 1 AS side)"))
+    meets = texts.select("doc_id", "text", "root", "copies", F.explode(F.concat(own, before, after)).alias("u"))
+    units = meets.select("doc_id", "text", F.col("u.side").alias("own"), "copies", F.xxhash64("root", "u.k", "u.a", "u.up", "u.b").alias("unit"), ((F.col("u.up") == 0) & (F.col("u.a") == F.col("u.b"))).alias("inner"))
 
     counted = copies is not None
 
@@ -491,7 +503,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, width: int = WIDTH, bloc
                 yield _batch(rows, ["a", "b", "n"], [pa.int64()] * 3)
 
     # sets of the largest units first would need a sort by size; a unit is bounded by two blocks instead
-    return units.select("unit", "doc_id", "own", "inner", "copies", "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(tidy(verify), "a long, b long, n long")
+    return units.select("unit", "doc_id", "own", "inner", "copies", "text").repartition(partitions(spark, docs), "unit").sortWithinPartitions("unit").mapInArrow(tidy(verify), "a long, b long, n long")
 
 
 def jaccard_components(documents: DataFrame, width: int = WIDTH, links: bool = False) -> DataFrame:
@@ -518,7 +530,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, links: bool = F
     tokens = digests.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     copies = classed.where("doc_id <> class_id").select("doc_id")
     candidates = components(candidate_edges(known, tokens, copies, width))
-    members = candidates.select(F.col("node").alias("doc_id"), "root")
+    members = candidates.select(F.col("node").alias("doc_id"), "root").join(full.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
     rest = digests.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     if not links:
         met = components(verified_edges(known, members, width))

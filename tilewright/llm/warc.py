@@ -210,7 +210,7 @@ def captures_of(index: DataFrame, directory: DataFrame, keys: DataFrame) -> Data
                     out += [(part, blocks[i], first) for i in range(bisect.bisect_left(lasts, first), bisect.bisect_right(firsts, first))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))], names=["part", "block", "key"])
 
-    found = met.repartition(partitions(spark), "part").sortWithinPartitions("part", "kind", "first_key", "block").mapInArrow(tidy(to_block), "part int, block int, key string")
+    found = met.repartition(partitions(spark, directory), "part").sortWithinPartitions("part", "kind", "first_key", "block").mapInArrow(tidy(to_block), "part int, block int, key string")
     both = index.select("part", "block", F.lit(None).cast("string").alias("key"), "lines").unionByName(found.select("part", "block", "key", F.lit(None).cast("binary").alias("lines")))
 
     def to_lines(batches):
@@ -236,7 +236,8 @@ def read_records(archives: DataFrame, captures: DataFrame, keep_payload: bool =
     A block's ranges meet the block once, by the same merge join at every size; they are no more than its records.
     """
     ranges = captures.groupBy("archive", "block").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("ranges"))
-    joined = archives.where("data IS NOT NULL").select("archive", "block", "data").join(ranges.hint("merge"), ["archive", "block"]).select("data", F.transform("ranges", lambda r: r["at"]).alias("at"), F.transform("ranges", lambda r: r["length"]).alias("length"))
+    blocks = archives.where("data IS NOT NULL").select("archive", "block", "data")
+    joined = blocks.repartition(partitions(archives.sparkSession, archives), "archive", "block").join(ranges.hint("merge"), ["archive", "block"]).select("data", F.transform("ranges", lambda r: r["at"]).alias("at"), F.transform("ranges", lambda r: r["length"]).alias("length"))
 
     def run(batches):
         for batch in batches:
