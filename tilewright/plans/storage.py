@@ -30,6 +30,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 #: Bytes of an input's files, as the planner knows them, for each partition of an exchange of whole rows.
 PART_BYTES = 32 << 20
+#: Partitions of an exchange at most: beyond it they grow, as an exchange's blocks are the product of both its sides.
+MAX_PARTS = 20_000
 
 
 def partitions(spark: SparkSession, rows: DataFrame | None = None) -> int:
@@ -38,7 +40,7 @@ def partitions(spark: SparkSession, rows: DataFrame | None = None) -> int:
     own = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     size = 0 if rows is None else int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # rows that aren't files have no size; the planner then says that they are immense
-    return own if size >= 1 << 56 else max(own, -(-size // PART_BYTES))
+    return own if size >= 1 << 56 else max(own, min(MAX_PARTS, -(-size // PART_BYTES)))
 
 
 def shared_path(spark: SparkSession) -> str:
