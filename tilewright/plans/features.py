@@ -247,3 +247,47 @@ def sqlite_roundtrip_all(read):
     t = read("events").select(F.floor(F.col("event_id") / 5000).alias("region"), (F.col("event_id") % 6).cast("int").alias("z"), F.col("event_id").cast("int").alias("x"), F.lit(0).alias("y"), F.encode("event_type", "UTF-8").alias("tile"))
     back = unpack_sqlite(pack_sqlite_by(t, "region", {"name": "events", "format": "pbf"}), "archive")
     return back.groupBy("z").agg(F.count("*").alias("tiles"), F.sum(F.octet_length("tile").cast("long")).alias("bytes"))
+
+
+# typed payloads: eight tiles of four payloads each; ids beyond 2 ** 63, whole numbers beyond 2 ** 53, fractions, flags
+_P = """p AS (SELECT *, CAST(l_orderkey % 8 AS INT) AS tx, CAST(l_suppkey % 4 AS INT) AS payload, CAST(l_linenumber % 3 + 1 AS INT) AS gtype, row_number() OVER (PARTITION BY l_orderkey % 8, l_suppkey % 4, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem)"""
+
+
+def _payloads(read):
+    from tilewright.sources.typed import encode_payloads
+
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    x, y = (k * 37 % 4000).cast("double"), (k * 91 % 4000).cast("double")
+    pt = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    gtype = (n % 3 + 1).cast("int")
+    geom = F.when(gtype == 1, F.array(F.array(pt(x, y)))).when(gtype == 2, F.array(F.array(pt(x, y), pt(x + 10, y), pt(x + 10, y + n)))).otherwise(F.array(F.array(pt(x, y), pt(x + n, y), pt(x + n, y + n), pt(x, y))))
+    text, number, flag = (lambda v=None, kind=kind: (F.lit(None) if v is None else v).cast(kind) for kind in ("string", "double", "boolean"))
+    value = lambda t=None, d=None, b=None: F.struct(text(t).alias("text"), number(d).alias("number"), flag(b).alias("flag"))
+    props = F.create_map(F.lit("status"), value(t=F.col("l_linestatus")), F.lit("line"), value(d=n), F.lit("half"), value(d=n + 0.5), F.lit("even"), value(b=n % 2 == 0), F.lit("below"), value(d=-n))
+    fid = k.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")
+    rows = read("lineitem").select(F.lit(3).alias("z"), (F.col("l_orderkey") % 8).cast("int").alias("x"), F.lit(0).alias("y"), (F.col("l_suppkey") % 4).cast("int").alias("payload"), F.lit(0).alias("layer_at"), F.col("l_returnflag").alias("layer"), F.lit(2).alias("version"), F.lit(4096).alias("extent"),
+                                  fid.cast("decimal(20,0)").alias("fid"), gtype.alias("gtype"), props.alias("props"), geom.alias("geom"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return encode_payloads(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["z", "x", "y", "payload"])
+
+
+@query(f"""WITH {_P}, k AS (SELECT *, CASE WHEN gtype = 3 THEN 'p:' || (l_partkey * 37 % 4000) || ':' || (l_partkey * 91 % 4000) || ':' || l_linenumber || ':' || l_linestatus ELSE gtype || ':' || l_partkey END AS fkey FROM p),
+m AS (SELECT tx, l_returnflag AS layer, fkey, gtype, arg_min({{'k': l_partkey, 'n': l_linenumber, 's': l_linestatus}}, (payload, pos)) AS f, count(DISTINCT l_linenumber) AS lines FROM k GROUP BY ALL)
+SELECT tx AS x, layer, gtype, count(*) AS features, CAST(sum(CAST(f.k + 9223372036854775808 AS HUGEINT)) AS VARCHAR) AS fids, CAST(sum(f.n) AS DOUBLE) AS line, CAST(sum(f.n + 0.5) AS DOUBLE) AS half, count(*) FILTER (f.n % 2 = 0) AS even, CAST(sum(-f.n) AS DOUBLE) AS below, count(*) FILTER (f.s = 'F') AS closed, CAST(sum(CASE WHEN gtype = 2 THEN lines ELSE 1 END) AS BIGINT) AS parts FROM m GROUP BY ALL""")
+def payload_merge(read):
+    """All line items as payloads on the wire, merged to a tile each, and what the merged bytes hold."""
+    from tilewright.sources.typed import decode_payloads, merge_payloads
+
+    merged = merge_payloads(_payloads(read))
+    back = decode_payloads(merged.withColumn("payload", F.lit(0)))
+    of = lambda k, kind: F.expr(f"props['{k}'].{kind}")
+    return back.groupBy("x", "layer", "gtype").agg(F.count("*").alias("features"), F.sum("fid").cast("string").alias("fids"), F.sum(of("line", "number")).alias("line"), F.sum(of("half", "number")).alias("half"), F.count_if(of("even", "flag")).alias("even"),
+                                                   F.sum(of("below", "number")).alias("below"), F.count_if(of("status", "text") == "F").alias("closed"), F.sum(F.size("geom").cast("long")).alias("parts"))
+
+
+@query(f"""WITH {_P}, c AS (SELECT tx, payload, count(*) AS n, count(DISTINCT l_returnflag) AS layers, CAST(sum(CASE gtype WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END) AS BIGINT) AS points FROM p GROUP BY 1, 2)
+SELECT tx AS x, payload, layers, n AS features, points, CAST(NULL AS VARCHAR) AS broken FROM c""")
+def payload_limits(read):
+    """What the limits count in each payload; all are within them."""
+    from tilewright.sources.typed import payload_totals
+
+    return payload_totals(_payloads(read), keys=["x", "payload"]).select("x", "payload", "layers", "features", "points", "broken")
