@@ -238,8 +238,9 @@ def hsl_to_hex(h: Column, s: Column, light: Column) -> Column:
 
 
 def normalize_hex(color: Column) -> Column:
-    """Short hex colours doubled, in upper case."""
-    return F.upper(F.when(color.rlike("^#[0-9A-Fa-f]{3,4}$"), F.concat(F.lit("#"), F.regexp_replace(F.substring(color, 2, 8), "(.)", "$1$1"))).otherwise(color))
+    """Short hex colours doubled, and those of six and eight digits, in upper case; others as they are."""
+    doubled = F.concat(F.lit("#"), F.regexp_replace(F.substring(color, 2, 8), "(.)", "$1$1"))
+    return F.when(color.rlike("^#[0-9A-Fa-f]{3,4}$"), F.upper(doubled)).when(color.rlike("^#([0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})$"), F.upper(color)).otherwise(color)
 
 
 # fixed values
@@ -286,3 +287,13 @@ def first_match(text: Column, rules: list[tuple[str, str]], default: str) -> Col
     for pattern, to in rules:
         out = F.when(text.rlike(pattern), to) if out is None else out.when(text.rlike(pattern), to)
     return out.otherwise(default)
+
+
+def by_locale(text: Column) -> Column:
+    """A text that sorts, groups and joins as readers expect: accents and case count last, not first."""
+    return F.collate(text, "UNICODE")
+
+
+def alike(text: Column) -> Column:
+    """A text that equals those that differ from it in case and accents alone."""
+    return F.collate(text, "UNICODE_CI_AI")

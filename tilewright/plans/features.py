@@ -291,3 +291,18 @@ def payload_limits(read):
     from tilewright.sources.typed import payload_totals
 
     return payload_totals(_payloads(read), keys=["x", "payload"]).select("x", "payload", "layers", "features", "points", "broken")
+
+
+@query("""WITH c AS (SELECT event_id % 900 AS k, event_id % 16 AS x, value, epoch_us(ts) AS t, event_id FROM events)
+SELECT k, x, arg_max(value, (t, event_id)) AS value, max(t) AS t FROM c GROUP BY k, x""")
+def stream_upsert(read):
+    """All events in four batches through the sink, the second sent twice; what the table holds in the end."""
+    from tilewright.plans.storage import shared_path
+    from tilewright.streaming.sink import UpsertTable
+
+    i = F.col("event_id")
+    e = read("events").select((i % 900).alias("k"), (i % 16).alias("x"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    table = UpsertTable(shared_path(e.sparkSession), ["k", "x"], ["t", "event_id"], shards=16)
+    for number, part in ((0, 0), (1, 1), (1, 1), (2, 2), (3, 3)):
+        table.write(e.where(i % 4 == part), number)
+    return table.read(e.sparkSession).select("k", "x", "value", "t")

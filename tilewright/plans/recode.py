@@ -326,3 +326,29 @@ def layer_functions(read):
     kind = F.expr("CASE o_orderstatus WHEN 'P' THEN 'sky' WHEN 'F' THEN 'fill' ELSE 'line' END")
     template = F.concat(F.lit("__ORIGIN__/"), k.cast("string"), F.lit("/{z}"))
     return read("orders").select("o_orderkey", T.entered_by(z, 5).alias("minzoom"), F.hypot((k % 7).cast("double"), (c % 5).cast("double")).alias("miss"), F.replace(template, F.lit("__ORIGIN__"), F.lit("https://h.org")).alias("template"), (~kind.isin(T.UNDRAWN)).alias("shown"))
+
+
+# types of parts with accents and capitals
+_ACCENTED = "names AS (SELECT p_partkey AS part, p_brand AS brand, CASE p_size % 3 WHEN 0 THEN translate(lower(p_type), 'aeo', 'áéö') WHEN 1 THEN lower(p_type) ELSE upper(p_type) END AS name FROM part)"
+
+
+def _accented(read):
+    low = F.lower("p_type")
+    return read("part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 3 == 0, F.translate(low, "aeo", "áéö")).when(F.col("p_size") % 3 == 1, low).otherwise(F.upper("p_type")).alias("name"))
+
+
+@query(f"WITH {_ACCENTED} SELECT part, brand, name, row_number() OVER (PARTITION BY brand ORDER BY name COLLATE de, part) AS place FROM names")
+def locale_order(read):
+    """Names in the order of a locale, in which accents and case come after letters."""
+    from pyspark.sql import Window
+
+    return _accented(read).withColumn("place", F.row_number().over(Window.partitionBy("brand").orderBy(X.by_locale(F.col("name")), "part")))
+
+
+@query(f"""WITH {_ACCENTED}, g AS (SELECT lower(strip_accents(name)) AS k, min(part) AS first, count(*) AS n FROM names GROUP BY 1)
+SELECT part, first, n FROM names JOIN g ON g.k = lower(strip_accents(name))""")
+def locale_groups(read):
+    """Names that differ in case and accents alone, grouped and joined under one collation."""
+    names = _accented(read).select("part", X.alike(F.col("name")).alias("name"))
+    groups = names.groupBy("name").agg(F.min("part").alias("first"), F.count("*").alias("n"))
+    return names.join(groups, "name").select("part", "first", "n")

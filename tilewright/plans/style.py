@@ -56,3 +56,32 @@ def style_report(read):
 @query("SELECT CAST(p_partkey AS INT) AS place FROM part WHERE p_size % 3 <> 1")
 def style_drawn(read):
     return S.drawn(_layers(read), "old", ["fill"]).select("place")
+
+
+_TREES = """trees AS (SELECT 'filter' AS field, CASE p_size % 3 WHEN 0 THEN '["==", ["get", "class"], "x"]' WHEN 1 THEN '["has", "name_zh_Hans"]' ELSE '["all", ["==", ["get", "admin_level"], 1], ["==", ["get", "maritime"], "true"]]' END AS tree FROM part
+  UNION ALL SELECT 'layout', '{"text-field": ["get", "house_num"], "size": ["get", "reflen"]}' FROM part
+  UNION ALL SELECT 'paint', '{"fill-color": ["case", ["has", "extrude"], "rgb(' || p_size || ', 0, 255)", " white "], "x": "navy"}' FROM part)"""
+
+
+def _literals(read):
+    from tilewright.operators import trees as W
+
+    whole = _layers(read).select("place", F.explode(F.create_map(*(x for c in ("filter", "layout", "paint") for x in (F.lit(c), F.col(c))))).alias("field", "tree"))
+    return W.expression_literals(W.leaves(whole, ["place", "field"], "tree"))
+
+
+# the oracle walks the texts with its own tree function; the first of an array names an operator
+@query(f"""WITH {_TREES}, j AS (SELECT field, type, atom ->> '$' AS value, path, fullkey FROM trees, json_tree(tree) WHERE type NOT IN ('ARRAY', 'OBJECT', 'NULL') AND NOT ends_with(fullkey, '[0]'))
+SELECT field, CASE type WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'flag' ELSE 'number' END AS kind, value, count(*) AS n FROM j GROUP BY ALL""")
+def style_literals(read):
+    """Literals of filters, layouts and paints of every layer, whatever their depth."""
+    return _literals(read).groupBy("field", "kind", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT '#' || printf('%02X', CAST(p_size AS INT)) || '00FF' AS color, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT '#FFFFFF', count(*) FROM part")
+def style_colors(read):
+    """Distinct colours of all paints, normalised, with how often they occur."""
+    from tilewright.functions.text import color_to_hex
+
+    color = color_to_hex(F.col("value"))
+    return _literals(read).where("field = 'paint' AND kind = 'text'").select(color.alias("color")).where(F.col("color").rlike("^#[0-9A-F]{6}([0-9A-F]{2})?$")).groupBy("color").agg(F.count("*").alias("n"))
