@@ -177,3 +177,28 @@ def normalized_colors(layers: DataFrame, column: str = "paint") -> DataFrame:
     pieces = F.regexp_extract_all(F.col(column), F.lit(r'("(?:[^"\\\\]|\\\\.)*"|[^"]+)'), 1)
     recoded = F.transform(pieces, lambda p: F.when(p.startswith('"') & ~F.contains(p, F.lit("\\")), F.concat(F.lit('"'), X.color_to_hex(F.substring(p, 2, 1 << 30).substr(F.lit(1), F.length(p) - 2)), F.lit('"'))).otherwise(p))
     return layers.withColumn(column, F.when(F.col(column).isNotNull(), F.array_join(recoded, "")))
+
+
+def enter_by(minzoom: Column, zoom: int) -> Column:
+    """The least zoom of a layer that must be there by a zoom: its own if that is lower; 24 stands for none."""
+    return F.least(F.coalesce(minzoom, F.lit(24.0)), F.lit(float(zoom)))
+
+
+def restored_ranges(layers: DataFrame, originals: DataFrame) -> DataFrame:
+    """layers with minzoom and maxzoom as the original layer of the same id has them: what the original lacks is deleted.
+    Layers without an original stay as they are."""
+    o = originals.select(F.col("id").alias("_id"), F.col("minzoom").alias("_min"), F.col("maxzoom").alias("_max"))
+    met = layers.join(o, F.col("id") == F.col("_id"), "left")
+    own = F.col("_id").isNotNull()
+    return met.withColumns({"minzoom": F.when(own, F.col("_min")).otherwise(F.col("minzoom")), "maxzoom": F.when(own, F.col("_max")).otherwise(F.col("maxzoom"))}).select(layers.columns)
+
+
+def with_class(expression: Column, replacement) -> Column:
+    """JSON of an expression with replacement, a tree, wherever the class is read. A batch of texts is rewritten at once;
+    a text that isn't JSON fails."""
+
+    @F.arrow_udf("string")
+    def rewrite(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else json.dumps(class_replaced(json.loads(t), replacement), ensure_ascii=False) for t in texts.to_pylist()], pa.string())
+
+    return rewrite(expression)

@@ -87,3 +87,15 @@ def manifest(regions: DataFrame, version: int = 2) -> DataFrame:
     """One row: the manifest of an inventory of regions as JSON, and how many they are. A region is an entry of one file."""
     ordered = F.sort_array(F.collect_list(F.struct("id", "asset"))).alias("regions")
     return regions.agg(F.to_json(F.struct(F.lit(version).alias("version"), ordered)).alias("manifest"), F.count("*").alias("available"))
+
+
+def build_status(plan: DataFrame, available: DataFrame, phase: str) -> DataFrame:
+    """One row (status): JSON of a build's state: regions of plan (id, continent) that are planned, by continent in order
+    of names, those whose id available has, and those that are missing, by id."""
+    have = available.select("id").distinct().withColumn("there", F.lit(True))
+    met = plan.select("id", "continent").join(have, "id", "left")
+    by = F.sort_array(F.collect_list(F.struct("continent", "n")))
+    continents = met.groupBy("continent").agg(F.count("*").alias("n"), F.count("there").alias("there"), F.collect_list(F.when(F.col("there").isNull(), F.col("id"))).alias("missing"))
+    whole = continents.agg(F.sum("n").alias("planned"), F.sum("there").alias("available"), by.alias("by"), F.sort_array(F.flatten(F.collect_list("missing"))).alias("missing"))
+    status = F.struct(F.lit(1).alias("version"), F.lit(phase).alias("phase"), F.col("planned").alias("plannedRegionCount"), F.map_from_entries("by").alias("plannedByContinent"), F.col("available").alias("availableRegionCount"), F.size("missing").alias("missingRegionCount"), F.col("missing").alias("missingRegions"), (F.size("missing") == 0).alias("complete"))
+    return whole.select(F.to_json(status).alias("status"))

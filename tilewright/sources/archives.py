@@ -201,3 +201,25 @@ def named_rows(spark: SparkSession, path: str) -> DataFrame:
     row = F.col("row")
     names = F.transform(row, lambda _, i: F.coalesce(F.get(F.col("fields"), i)["name"], F.concat(F.lit("column_"), i.cast("string"))))
     return docs.select("fields", F.explode("rows").alias("row")).select(F.map_from_arrays(names, row).alias("row"))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Rows (name, content as bytes or text) as files below a folder that all tasks share; names may have folders. Each is
+    written beside its place and renamed, so that a task that runs twice leaves one whole file."""
+    import os
+    import uuid
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                path = os.path.normpath(f"{folder}/{name}")
+                if not path.startswith(f"{os.path.normpath(folder)}/"):
+                    raise ValueError(f"{name} leaves the folder")
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, path)
+            yield pa.RecordBatch.from_arrays([batch.column("name")], names=["name"])
+
+    files.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
