@@ -133,3 +133,26 @@ def test_hex_colours_of_other_lengths_stay(spark):
     given = ["#abc", "#abcd", "#abcde", "#abcdef", "#abcdefa", "#abcdefab", "red"]
     df = spark.createDataFrame([(c,) for c in given], "c string")
     assert [r[0] for r in df.select(X.normalize_hex(F.col("c"))).collect()] == ["#AABBCC", "#AABBCCDD", "#abcde", "#ABCDEF", "#abcdefa", "#ABCDEFAB", "red"]
+
+
+def test_style_documents(spark):
+    from tilewright.functions import style as S
+
+    layer = {"id": "a", "type": "symbol", "source": "old", "source-layer": "road", "minzoom": 3, "layout": {"text-font": ["case", ["has", "x"], ["literal", ["DIN Pro Bold"]], ["literal", ["Mine"]]], "text-field": "DIN Pro Bold"}}
+    rows = [("s", 1, "b", "background", None, None, None, None, None, None, '{"background-color": "red"}'), ("s", 0, layer["id"], layer["type"], layer["source"], layer["source-layer"], 3.0, None, '["==", ["get", "class"], "x"]', json.dumps(layer["layout"]), None), ("s", 2, "gone", "line", "old", "hillshade", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, f"style string, place int, {S.LAYERS}")
+    got = S.style_documents(S.convert(df), "open", {"version": 8}, "made", {"DIN Pro Bold": "Other Bold"}).collect()
+    doc = json.loads(got[0]["document"])
+    assert len(got) == 1 and doc["version"] == 8 and [x["id"] for x in doc["layers"]] == ["a", "b"]
+    a, b = doc["layers"]
+    assert a["source"] == "open" and a["source-layer"] == "transportation_name" and a["minzoom"] == 3 and a["metadata"] == {"made:original-source-layer": "road", "made:open-source-layer": "transportation_name"}
+    assert a["layout"]["text-font"] == ["case", ["has", "x"], ["literal", ["Other Bold"]], ["literal", ["Mine"]]] and a["layout"]["text-field"] == "DIN Pro Bold" and a["filter"][0] == "case"
+    assert b == {"id": "b", "type": "background", "paint": {"background-color": "red"}}
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from tilewright.plans import storage
+
+    df = storage.durable(spark.range(5))
+    path = storage._made[-1]
+    assert df.count() == 5 and os.path.isdir(path) and storage.clear(spark) >= 1 and not os.path.exists(path) and storage.clear(spark) == 0

@@ -17,7 +17,7 @@ from tilewright.functions import classes as K
 from tilewright.functions import text as X
 
 LAYERS = "id string, type string, source string, source_layer string, minzoom double, maxzoom double, filter string, layout string, paint string"
-#: Roots of filters that renderers may read as legacy ones.
+# fixed values: roots of filters that renderers may read as legacy ones
 AMBIGUOUS = {"==", "!=", ">", ">=", "<", "<=", "in", "!in", "all", "any", "none", "has", "!has"}
 ROADS = {"road", "structure", "motorway_junction"}
 _get = lambda key: ["get", key]
@@ -51,6 +51,7 @@ def translated_get(key: str, source_layer: str | None):
         return ["match", _get("class"), "farmland", "crop", "ice", "snow", _get("class")]
     if key == "type":
         return ["coalesce", _get("subclass"), _get("class"), ""] if source_layer in ("poi_label", "transit_stop_label") else _get("class")
+    # fixed values
     fixed = {
         "name": ["coalesce", _get("name"), _get("name:latin"), _get("name:nonlatin"), ""], "reflen": ["length", ["to-string", ["coalesce", _get("ref"), ""]]],
         "maki": ["coalesce", _get("subclass"), _get("class"), "marker"], "maki_beta": ["coalesce", _get("subclass"), _get("class"), "marker"],
@@ -202,3 +203,44 @@ def with_class(expression: Column, replacement) -> Column:
         return pa.array([None if t is None else json.dumps(class_replaced(json.loads(t), replacement), ensure_ascii=False) for t in texts.to_pylist()], pa.string())
 
     return rewrite(expression)
+
+
+def mapped_fonts(layout: Column, fonts: dict[str, str]) -> Column:
+    """Layouts with the names of text-font replaced, wherever they stand in it; others, and other members, stay."""
+
+    def walk(value):
+        if isinstance(value, list):
+            return [walk(v) for v in value]
+        if isinstance(value, dict):
+            return {k: walk(v) for k, v in value.items()}
+        return fonts.get(value, value) if isinstance(value, str) else value
+
+    @F.arrow_udf("string")
+    def rewrite(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            if t is not None and '"text-font"' in t:
+                tree = json.loads(t)
+                t = json.dumps(tree | {"text-font": walk(tree["text-font"])} if "text-font" in tree else tree, ensure_ascii=False)
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return rewrite(layout)
+
+
+def style_documents(converted: DataFrame, source: str, head: dict, prefix: str, fonts: dict[str, str]) -> DataFrame:
+    """(style, document): the JSON of each converted style: head, then its kept layers in order of place.
+
+    Layers with a target read it from source, and say under prefix:original-source-layer and prefix:open-source-layer where
+    they come from; layers without a source stay. A style is a document of some hundred layers, so it is put together
+    where its rows meet.
+    """
+    own = F.col("target").isNotNull()
+    named = F.struct(F.col("source_layer").alias(f"{prefix}:original-source-layer"), F.col("target").alias(f"{prefix}:open-source-layer"))
+    plain = F.to_json(F.struct("id", "type", F.when(own, F.lit(source)).alias("source"), F.col("target").alias("source-layer"), F.when(own, named).alias("metadata"), "minzoom", "maxzoom"))
+    tree = lambda name, text: F.when(text.isNotNull(), F.concat(F.lit(f'"{name}":'), text))
+    members = F.array_compact(F.array(F.substring(plain, F.lit(2), F.length(plain) - 2), tree("filter", F.col("filter")), tree("layout", mapped_fonts(F.col("layout"), fonts)), tree("paint", F.col("paint"))))
+    layers = converted.where("reason IS NULL").select("style", F.struct("place", F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("layer")).alias("l"))
+    opening = json.dumps(head, ensure_ascii=False)[:-1]
+    together = F.concat(F.lit(opening + (", " if head else "") + '"layers": ['), F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["layer"]), ","), F.lit("]}"))
+    return layers.groupBy("style").agg(together.alias("document"))

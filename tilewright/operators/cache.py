@@ -18,9 +18,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
 
 def prune(rows: DataFrame, shard: str, version: str, current: Column, budget: int, order: list[Column], size: str) -> DataFrame:
     """Rows that stay: of the current version, newest first while the running total of bytes is within the budget of
-    their shard. The row that crosses it goes, and all older ones."""
-    w = Window.partitionBy(shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.where(F.col(version) == current).withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
+    their shard. The row that crosses it goes, and all older ones.
+
+    Rows are dealt by ranges of shard and order, so that a shard spreads over tasks; sums of ranges go through a window,
+    ranges that begin beyond the budget are dropped whole, and running totals are made within a range.
+    """
+    dealt = durable(rows.where(F.col(version) == current).repartitionByRange(F.col(shard), *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(shard, "_part").agg(F.sum(size).alias("_held")).select(F.col(shard).alias("_shard"), F.col("_part").alias("_of"), F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_start")).where(F.col("_start") <= budget)
+    within = Window.partitionBy(shard, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.join(starts, F.col(shard).eqNullSafe(F.col("_shard")) & (F.col("_part") == F.col("_of")))
+    return met.withColumn("running", F.col("_start") + F.sum(size).over(within)).where(F.col("running") <= budget).select(*rows.columns, "running")
 
 
 def ttl_state(age: Column, fresh: int, stale: int) -> Column:

@@ -46,12 +46,14 @@ def union_parts(first: Column, parts: Column) -> Column:
     return F.aggregate(parts, first, add)
 
 
-def merge(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One feature for each key of tile and layer: the first by order, lines with the parts of all.
+def merge(features: DataFrame, keys: list[str], order: list[str], extent: Column | None = None, scale: int = 64) -> DataFrame:
+    """One feature for each key of tile and layer: the first by order, lines with the parts of all. With extent, features
+    without points or beyond the extent times scale are left out first.
 
     The first row is found by a reduction. Only lines gather parts, as many as payloads hold of one feature; a line that
     occurs once stays as it is. Rows are grouped by sorting, which a hash of the keys in front makes a matter of numbers.
     """
+    features = features if extent is None else features.where(sane(F.col("geom"), extent, scale))
     by = [F.xxhash64(*keys).alias("_h"), *keys]
     rest = [c for c in features.columns if c not in keys]
     names = lambda src: [F.col(f"{src}.{c}").alias(c) for c in rest]
@@ -64,8 +66,10 @@ def merge(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return others.unionByName(lines.select(*keys, *(geom.alias("geom") if c == "geom" else x for c, x in zip(rest, names("_f"), strict=True))))
 
 
-def layer_copy(features: DataFrame, source: str, target: str, overrides: dict[str, str]) -> DataFrame:
-    """The source layer under a new name, its properties overridden; null overrides take a property away."""
+def layer_copy(features: DataFrame, source: str, target: str, overrides: dict[str, str], extent: Column | None = None, scale: int = 128) -> DataFrame:
+    """The source layer under a new name, its properties overridden; null overrides take a property away. With extent,
+    features without points or beyond the extent times scale are left out."""
+    features = features if extent is None else features.where(sane(F.col("geom"), extent, scale))
     drop = [k for k, v in overrides.items() if v is None]
     new = F.create_map(*(F.lit(x) for k, v in overrides.items() if v is not None for x in (k, v)))
     kept = F.map_filter("props", lambda k, v: ~k.isin([*overrides]))

@@ -41,7 +41,7 @@ def feature_merge(read):
     # every third order's line has its first two points once more, as a part within the other
     f = f.withColumn("geom", F.when((F.col("gtype") == 2) & (F.col("feature_idx") % 3 == 0), F.array(first, F.slice(first, 1, 2))).otherwise(F.col("geom")))
     f = f.withColumn("fkey", G.feature_key(F.col("gtype"), F.col("fid"), F.col("props"), F.col("geom"))).withColumn("line", F.col("props")["line"]).withColumn("status", F.col("props")["status"])
-    m = G.merge(f, ["layer", "fkey"], ["payload_idx", "feature_idx", "line", "status"])
+    m = G.merge(f, ["layer", "fkey"], ["payload_idx", "feature_idx", "line", "status"], F.lit(4096.0))
     return m.select("layer", "gtype", "fid", "payload_idx", "feature_idx", "line", "status", F.size("geom").alias("parts"))
 
 
@@ -65,7 +65,7 @@ def layer_filter(read):
 
 @query(f"WITH {_F} SELECT 'copy' AS layer, '{{\"class\":\"grass\",\"line\":\"' || line || '\"}}' AS props, count(*) AS n FROM f WHERE layer = 'A' GROUP BY 1, 2")
 def layer_copy(read):
-    c = G.layer_copy(_features(read), "A", "copy", {"class": "grass", "status": None})
+    c = G.layer_copy(_features(read), "A", "copy", {"class": "grass", "status": None}, F.lit(4096.0))
     return c.groupBy("layer", G.stable_properties(F.col("props")).alias("props")).agg(F.count("*").alias("n"))
 
 

@@ -18,7 +18,23 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tilewright/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tilewright/{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Folders that this process has named, for clear().
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the folders that queries of this process have written so far, once their results have been taken; returns
+    how many there were. Results that aren't read yet are lost with them."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -85,3 +85,21 @@ def style_colors(read):
 
     color = color_to_hex(F.col("value"))
     return _literals(read).where("field = 'paint' AND kind = 'text'").select(color.alias("color")).where(F.col("color").rlike("^#[0-9A-F]{6}([0-9A-F]{2})?$")).groupBy("color").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ROWS}, t AS (SELECT p_brand AS style, l.*, {_TARGET_SQL} AS target FROM l JOIN part USING (p_partkey)), k AS (SELECT * FROM t WHERE own OR target IS NOT NULL)
+SELECT style, target AS source_layer, CASE WHEN own THEN NULL ELSE 'open' END AS source, CASE WHEN symbol THEN '["Open Sans Bold","Open Sans Regular"]' END AS fonts, count(*) AS n FROM k GROUP BY ALL""")
+def style_document(read):
+    """Whole converted styles, written as documents and read back: sources, layers and fonts of what they hold."""
+    from tilewright.functions.text import FONT_MAP
+    from tilewright.plans.storage import shared_path
+    from tilewright.sources.archives import write_files
+
+    layout = F.when(F.col("type") == "symbol", '{"text-font": ["DIN Pro Bold", "Arial Unicode MS Regular"], "text-field": ["get", "name"]}').otherwise(F.col("layout"))
+    made = S.style_documents(S.convert(_layers(read).withColumn("layout", layout)), "open", {"version": 8, "name": "converted", "sources": {"open": {"type": "vector"}}}, "converted", FONT_MAP)
+    spark = made.sparkSession
+    folder = shared_path(spark)
+    write_files(made.select(F.concat("style", F.lit(".json")).alias("name"), F.col("document").alias("content")), folder)
+    back = S.read_layers(spark, folder)
+    name = F.url_decode(F.regexp_extract("style", r"([^/]+)\.json$", 1))
+    return back.groupBy(name.alias("style"), "source_layer", "source", F.get_json_object("layout", "$['text-font']").alias("fonts")).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -163,7 +164,7 @@ def decode_tile(data: bytes, limits: dict[str, int] | None = None) -> list[dict]
             fid, gtype, tags, commands = None, 0, [], []
             for k, v in _Reader(f).fields():
                 if k == 1:
-                    fid = v
+                    fid = v - (1 << 64) if v >> 63 else v  # as a signed number of the same 64 bits
                 elif k == 2:
                     tags = _packed(v)
                 elif k == 3:
@@ -205,7 +206,8 @@ def decode_tile(data: bytes, limits: dict[str, int] | None = None) -> list[dict]
 
 
 def decode_tiles(tiles: DataFrame) -> DataFrame:
-    """Features of tiles (z, x, y, tile); a broken tile fails its task with its address."""
+    """Features of tiles (z, x, y, tile); a broken tile fails its task with its address. Properties are text, ids signed
+    (those from 2 ** 63 up are negative, and encode to the same bits); sources.typed keeps kinds and unsigned ids."""
 
     def run(batches):
         for batch in batches:
@@ -228,9 +230,7 @@ def decode_tiles(tiles: DataFrame) -> DataFrame:
 
 def encode_tiles(features: DataFrame) -> DataFrame:
     """(z, x, y, tile) of features; layers and features in order of name and id. A tile is made where its features meet."""
-    import pandas as pd
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         layers: dict = {}
         for r in group.sort_values(["layer", "fid"], kind="stable").to_dict("records"):
             own = layers.setdefault(r["layer"], (int(r["version"]), int(r["extent"]), []))

@@ -11,6 +11,7 @@ import hashlib
 import json
 import struct
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -190,9 +191,7 @@ def pack_archives(tiles: DataFrame, name: str = "asset") -> DataFrame:
 
     Regions are split before they are packed (see operators.planning.grid_split), which bounds an archive.
     """
-    import pandas as pd
-
-    def run(key, group):
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["z", "x", "y"]).drop_duplicates(["z", "x", "y"])
         data = write_archive([(int(z), int(x), int(y), bytes(t)) for z, x, y, t in zip(rows["z"], rows["x"], rows["y"], rows["tile"], strict=True)], {"name": str(key[0])})
         return pd.DataFrame({name: [key[0]], "archive": [data]})
