@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import text as X
 from tilewright.operators import cache as C
 from tilewright.operators import features as G
-from tilewright.plans.registry import query
+from tilewright.plans.registry import also, query
 
 # a feature of each line item: its square, line or point lies by its keys; repeated rows are told apart by all columns
 
@@ -191,11 +191,6 @@ def git_blob_sha(read):
     return read("documents").select("doc_id", X.git_blob_sha(F.col("text")).alias("sha"))
 
 
-@query("SELECT doc_id, '\\x' || lower(hex(encode(substr(text, 1, 16)))) AS p FROM documents")
-def hex_parameter(read):
-    return read("documents").select("doc_id", X.hex_parameter(F.encode(F.substring("text", 1, 16), "UTF-8")).alias("p"))
-
-
 @query("SELECT doc_id, md5('\\x' || lower(hex(encode(text)))) AS digest FROM documents")
 def hex_parameter_all(read):
     """Parameters of whole texts, as digest."""
@@ -209,12 +204,6 @@ def geometry_sanity(read):
     return _boxes(read).select("id", G.sane(geom, F.lit(4096.0), 1).alias("sane"))
 
 
-@query(f"WITH {_F} SELECT payload_idx AS z, layer, gtype, count(*) AS features, CAST(sum(CASE gtype WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END) AS BIGINT) AS points, CAST(sum(fid) AS BIGINT) AS fids FROM f WHERE feature_idx % 50 = 0 GROUP BY ALL")
-def mvt_roundtrip(read):
-    """Features to tiles on the wire and back; a tile for each payload and block of orders."""
-    return _back(_features(read).where("feature_idx % 50 = 0"))
-
-
 @query(f"WITH {_F} SELECT payload_idx AS z, layer, gtype, count(*) AS features, CAST(sum(CASE gtype WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END) AS BIGINT) AS points, CAST(sum(fid) AS BIGINT) AS fids FROM f GROUP BY ALL")
 def mvt_roundtrip_all(read):
     """All features to tiles on the wire and back."""
@@ -229,16 +218,6 @@ def _back(f):
     return back.groupBy("z", "layer", "gtype").agg(F.count("*").alias("features"), F.sum(F.size(F.flatten("geom")).cast("long")).alias("points"), F.sum("fid").alias("fids"))
 
 
-@query("SELECT CAST(event_id % 6 AS INT) AS z, count(*) AS tiles, CAST(sum(strlen(event_type)) AS BIGINT) AS bytes FROM (SELECT * FROM events WHERE event_id < 500) GROUP BY 1")
-def sqlite_roundtrip(read):
-    """Tiles packed into one archive and unpacked: the 500 first events are its region."""
-    from tilewright.sources.archives import pack_sqlite, unpack_sqlite
-
-    t = read("events").where("event_id < 500").select((F.col("event_id") % 6).cast("int").alias("z"), F.col("event_id").cast("int").alias("x"), F.lit(0).alias("y"), F.encode("event_type", "UTF-8").alias("tile"))
-    back = unpack_sqlite(pack_sqlite(t, {"name": "events", "format": "pbf"}), "archive")
-    return back.groupBy("z").agg(F.count("*").alias("tiles"), F.sum(F.octet_length("tile").cast("long")).alias("bytes"))
-
-
 @query("SELECT CAST(event_id % 6 AS INT) AS z, count(*) AS tiles, CAST(sum(strlen(event_type)) AS BIGINT) AS bytes FROM events GROUP BY 1")
 def sqlite_roundtrip_all(read):
     """The tiles of all events packed and unpacked: an archive for each block of 5000 events."""
@@ -306,3 +285,8 @@ def stream_upsert(read):
     for number, part in ((0, 0), (1, 1), (1, 1), (2, 2), (3, 3)):
         table.write(e.where(i % 4 == part), number)
     return table.read(e.sparkSession).select("k", "x", "value", "t")
+
+
+also("hex_parameter", "hex_parameter_all")
+also("mvt_roundtrip", "mvt_roundtrip_all")
+also("sqlite_roundtrip", "sqlite_roundtrip_all")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.operators import metrics as M
-from tilewright.plans.registry import query
+from tilewright.plans.registry import also, query
 
 _T = "e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)"
 
@@ -49,12 +49,6 @@ def continuity_report(read):
     return M.continuity(_events(read), "user_id", ["ms", "event_id"], "ms", "value", F.col("event_type") == "error", F.col("value") < 1, 20)
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS etags, count(DISTINCT event_type) = 1 AS consistent FROM events WHERE event_id % 40 = user_id % 40 GROUP BY 1")
-def etag_consistency(read):
-    e = read("events").where("event_id % 40 = user_id % 40").groupBy("user_id").agg(F.count_distinct("event_type").alias("etags"))
-    return e.withColumn("consistent", F.col("etags") == 1)
-
-
 @query("SELECT user_id, count(DISTINCT event_type) AS etags, count(DISTINCT event_type) = 1 AS consistent FROM events GROUP BY 1")
 def etag_consistency_all(read):
     e = read("events").groupBy("user_id").agg(F.count_distinct("event_type").alias("etags"))
@@ -126,3 +120,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS k F
 def failure_categories(read):
     t = F.col("text")
     return M.categories(read("documents"), F.when(t.rlike("(?i)password"), "secret").when(t.rlike("[0-9]{4}"), "number").when(t.rlike("!!"), "noise").otherwise("other"), "doc_id", 6)
+
+
+also("etag_consistency", "etag_consistency_all")

@@ -9,7 +9,7 @@ from tilewright.functions import expressions as E
 from tilewright.functions import text as X
 from tilewright.functions import tilemath as T
 from tilewright.operators.profile import apply_profile
-from tilewright.plans.registry import query
+from tilewright.plans.registry import also, query
 
 
 def _case(value: str, rules, default: str) -> str:
@@ -142,11 +142,6 @@ def bounded_integer(read):
     return read("events").select("event_id", T.bounded_integer(raw, 5, 1, 64).alias("v"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(lower(substr(text, 1, 60)), '/', '--'), '[^a-z0-9-]+', '-', 'g'), '-{3,}', '--', 'g'), '^-|-$', '', 'g') AS slug FROM documents WHERE lang = 'en'")
-def slugify(read):
-    return read("documents").where("lang = 'en'").select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
-
-
 @query("WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(lower(text), '/', '--'), '[^a-z0-9-]+', '-', 'g'), '-{3,}', '--', 'g'), '^-|-$', '', 'g') AS slug FROM documents) SELECT doc_id, length(slug) AS n, md5(slug) AS digest FROM s")
 def slugify_all(read):
     """Slugs of whole texts, as length and digest."""
@@ -352,3 +347,6 @@ def locale_groups(read):
     names = _accented(read).select("part", X.alike(F.col("name")).alias("name"))
     groups = names.groupBy("name").agg(F.min("part").alias("first"), F.count("*").alias("n"))
     return names.join(groups, "name").select("part", "first", "n")
+
+
+also("slugify", "slugify_all")

@@ -24,6 +24,12 @@ def query(sql: str | None):
     return add
 
 
+def also(name: str, whole: str) -> None:
+    """The query `whole` under an earlier name, which took a part of its table."""
+    QUERIES[name] = QUERIES[whole]
+    SQL[name] = SQL[whole]
+
+
 # derived inputs, the same formula in both engines
 
 

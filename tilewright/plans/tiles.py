@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import tilemath as T
 from tilewright.operators import planning, polygons, routing
-from tilewright.plans.registry import POINTS, REGIONS, SEGMENTS, points, query, regions, sql_lat, sql_x, sql_y
+from tilewright.plans.registry import POINTS, REGIONS, SEGMENTS, also, points, query, regions, sql_lat, sql_x, sql_y
 
 
 def _tiles(read, zoom: int = 10):
@@ -92,19 +92,12 @@ def tile_region_nlj(read):
     return routing.route_overview(_tiles(read, 4), regions(read))
 
 
-@query("SELECT CAST(z AS INT) AS z, x, y FROM (SELECT unnest(range(0, 6)) AS z), LATERAL (SELECT unnest(range(0, CAST(pow(2, z) AS BIGINT))) AS x), LATERAL (SELECT unnest(range(0, CAST(pow(2, z) AS BIGINT))) AS y)")
+@query(f"WITH {POINTS}, {_TILES(8)}, up AS (SELECT DISTINCT x, y, unnest(range(0, 9)) AS z FROM tiles) SELECT CAST(z AS INT) AS z, x >> CAST(8 - z AS INT) AS x, y >> CAST(8 - z AS INT) AS y, count(*) AS tiles FROM up GROUP BY 1, 2, 3")
 def tile_pyramid(read):
-    spark = read("region").sparkSession
-    n = spark.range(6).select(F.col("id").cast("int").alias("z"))
-    side = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("z")) - 1)
-    return n.withColumn("x", F.explode(side)).withColumn("y", F.explode(side))
-
-
-@query(f"WITH {POINTS}, c AS (SELECT * FROM points WHERE event_id < 9), t AS (SELECT DISTINCT z, {sql_x('lon', 'z')} AS x, {sql_y('lat', 'z')} AS y FROM c, (SELECT unnest(range(0, 11)) AS z)) SELECT CAST(z AS INT) AS z, x, y FROM t")
-def distinct_tiles(read):
-    # nine centres over eleven zooms, a fixed set
-    c = points(read).where("event_id < 9").withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(10))))
-    return c.select("z", T.tile_x(F.col("lon"), F.col("z")).alias("x"), T.tile_y(F.col("lat"), F.col("z")).alias("y")).distinct()
+    """All tiles above those of zoom 8 that points have, with how many of them each covers."""
+    base = _tiles(read, 8).select("x", "y").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    up = lambda c: F.expr(f"shiftright({c}, 8 - z)")
+    return base.groupBy("z", up("x").alias("x"), up("y").alias("y")).agg(F.count("*").alias("tiles"))
 
 
 @query(f"WITH {POINTS}, t AS (SELECT DISTINCT z, {sql_x('lon', 'z')} AS x, {sql_y('lat', 'z')} AS y FROM points, (SELECT unnest(range(0, 11)) AS z)) SELECT CAST(z AS INT) AS z, x, y FROM t")
@@ -323,3 +316,6 @@ def surface_points(read):
     by = lambda rule: polygons.rule_geometry(F.col("rings"), F.lit("polygon"), F.lit(rule))[0][0]
     c, on = by("polygon_centroid"), by("polygon_point_on_surface")
     return shapes.select("part", F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"), F.round(on["x"], 6).alias("sx"), F.round(on["y"], 6).alias("sy"))
+
+
+also("distinct_tiles", "distinct_tiles_all")
