@@ -141,3 +141,16 @@ def test_extents_that_differ_stop(spark):
     tiles = [payload({"a": (4096, [(1, 1, {}, POINT)])}), payload({"a": (512, [(2, 1, {}, POINT)])})]
     with pytest.raises(Exception, match="has extents 512 and 4096"):
         typed.merge_payloads(rows(spark, tiles)).collect()
+
+
+def test_merge_and_copy_leave_insane_features_out(spark):
+    from tilewright.operators import features as G
+
+    far = float(4096 * 64 + 1)
+    geoms = [[[(1.0, 2.0)]], [[(far, 0.0)]], [[]], [[(float("nan"), 0.0)]], [[(0.0, None)]], [[(-far, 0.0)]], [[(far - 1, 1 - far)]], None]
+    rows = [("a", k, 1, {"k": "v"}, None if g is None else [[{"x": x, "y": y} for x, y in p] for p in g]) for k, g in enumerate(geoms)]
+    df = spark.createDataFrame(rows, f"layer string, fid long, gtype int, props map<string,string>, geom {G.GEOMETRY}")
+    shaped = G.with_shape(df)
+    assert sorted(r["fid"] for r in G.merge(shaped, ["layer", *G.SHAPE], ["fid"], F.lit(4096.0)).collect()) == [0, 6]
+    assert sorted(r["fid"] for r in G.layer_copy(df, "a", "b", {"k": "w"}, F.lit(4096.0), 64).collect()) == [0, 6]
+    assert G.merge(shaped, ["layer", *G.SHAPE], ["fid"]).count() == 8

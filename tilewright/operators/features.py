@@ -29,6 +29,26 @@ def feature_key(gtype: Column, fid: Column, props: Column, geom: Column) -> Colu
     return F.when((gtype == 3) | fid.isNull(), signature(gtype, props, geom)).otherwise(F.concat_ws(":", gtype.cast("string"), fid.cast("string")))
 
 
+#: What with_shape() adds: equal features have equal values of all of them.
+SHAPE = ["key_type", "key_id", "key_a", "key_b"]
+
+
+def with_shape(features: DataFrame) -> DataFrame:
+    """features with the columns of SHAPE, a key as feature_key() is one, in numbers alone: a digest of 128 bits of the typed
+    values stands for properties and points, so that nothing is written as text first and keys are short to compare."""
+    whole = (F.col("gtype") == 3) | F.col("fid").isNull()
+    entries = F.sort_array(F.map_entries("props"))
+    return features.withColumns({"key_type": F.col("gtype"), "key_id": F.when(~whole, F.col("fid")), "key_a": F.when(whole, F.xxhash64("geom", entries)), "key_b": F.when(whole, F.xxhash64(F.lit(1), entries, "geom"))})
+
+
+def distinct_polygons(features: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, props, geom, fid, copies) of polygons that are equal in every point and property: the least id and how many
+    there are. Only numbers are reduced, so rows are hashed and never sorted."""
+    shaped = features.select(*keys, F.sort_array(F.map_entries("props")).alias("_props"), "geom", "fid")
+    one = shaped.groupBy(*keys, "_props", "geom").agg(F.min("fid").alias("fid"), F.count("*").alias("copies"))
+    return one.select(*keys, F.map_from_entries("_props").alias("props"), "geom", "fid", "copies")
+
+
 def contains_run(part: Column, piece: Column) -> Column:
     """Whether piece is a run of part's points, forward or backward."""
     n, m = F.size(part), F.size(piece)
@@ -93,9 +113,11 @@ def budget_violations(features: DataFrame, keys: list[str], layers: int, count:
 
 
 def sane(geom: Column, extent: Column, scale: int = 64) -> Column:
-    """Not empty, finite, and within the extent times scale."""
-    fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= extent * scale)
-    return F.coalesce((F.size(F.flatten(geom)) > 0) & F.forall(F.flatten(geom), lambda p: fine(p["x"]) & fine(p["y"])), F.lit(False))
+    """Not empty, finite, and within the extent times scale. Made of whole-array functions, which are compiled where functions
+    of lambdas aren't: NaN counts as the largest number, and a search in an array with a null that finds nothing is null."""
+    points, far = F.flatten(geom), extent * scale
+    fine = lambda v: (F.array_max(v) <= far) & (F.array_min(v) >= -far) & F.array_contains(v, F.lit(1.7e308)).isNotNull()
+    return F.coalesce((F.size(points) > 0) & fine(points["x"]) & fine(points["y"]), F.lit(False))
 
 
 def dedupe_points(part: Column) -> Column:

@@ -42,12 +42,14 @@ def _hit(z: Column, x: Column, y: Column) -> Column:
     return T.overlaps(T.tile_bounds(z, x, y), {c: F.col(f"seg_{c}") for c in ("west", "south", "east", "north")})
 
 
-def route(tiles: DataFrame, regions: DataFrame, zoom: int = ROUTING_ZOOM, max_zoom: int = 16) -> DataFrame:
-    """(z, x, y, asset) of distinct tiles of the routing zoom or deeper; tiles out of range route nowhere."""
+def route(tiles: DataFrame, regions: DataFrame, zoom: int = ROUTING_ZOOM, max_zoom: int = 16, keep: list[str] | None = None) -> DataFrame:
+    """(z, x, y, asset) of distinct tiles of the routing zoom or deeper; tiles out of range route nowhere. keep: columns of
+    tiles that are distinct already, which come along."""
     z, x, y = F.col("z"), F.col("x"), F.col("y")
-    own = tiles.select("z", "x", "y").where(T.tile_valid(z, x, y, max_zoom) & (z >= zoom)).distinct()
+    own = tiles.select("z", "x", "y", *(keep or ())).where(T.tile_valid(z, x, y, max_zoom) & (z >= zoom))
+    own = own if keep is not None else own.distinct()
     own = own.withColumn("cell_x", F.expr(f"shiftright(x, z - {zoom})")).withColumn("cell_y", F.expr(f"shiftright(y, z - {zoom})"))
-    return own.join(region_cells(regions, zoom), ["cell_x", "cell_y"]).where(_hit(z, x, y)).select("z", "x", "y", "asset").distinct()
+    return own.join(region_cells(regions, zoom), ["cell_x", "cell_y"]).where(_hit(z, x, y)).select("z", "x", "y", *(keep or ()), "asset").distinct()
 
 
 def route_overview(tiles: DataFrame, regions: DataFrame, zoom: int = ROUTING_ZOOM) -> DataFrame:

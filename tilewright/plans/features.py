@@ -40,17 +40,15 @@ def feature_merge(read):
     first = F.get(F.col("geom"), 0)
     # every third order's line has its first two points once more, as a part within the other
     f = f.withColumn("geom", F.when((F.col("gtype") == 2) & (F.col("feature_idx") % 3 == 0), F.array(first, F.slice(first, 1, 2))).otherwise(F.col("geom")))
-    f = f.withColumn("fkey", G.feature_key(F.col("gtype"), F.col("fid"), F.col("props"), F.col("geom"))).withColumn("line", F.col("props")["line"]).withColumn("status", F.col("props")["status"])
-    m = G.merge(f, ["layer", "fkey"], ["payload_idx", "feature_idx", "line", "status"], F.lit(4096.0))
+    f = G.with_shape(f).withColumns({"line": F.col("props")["line"], "status": F.col("props")["status"]})
+    m = G.merge(f, ["layer", *G.SHAPE], ["payload_idx", "feature_idx", "line", "status"])
     return m.select("layer", "gtype", "fid", "payload_idx", "feature_idx", "line", "status", F.size("geom").alias("parts"))
 
 
 @query(f"WITH {_F} SELECT layer, CAST(min(fid) AS BIGINT) AS fid, CAST(line AS VARCHAR) AS line, status, count(*) AS copies FROM f WHERE gtype = 3 GROUP BY layer, x, y, line, status")
 def polygon_dedupe(read):
-    f = _features(read).where("gtype = 3").withColumn("sig", G.signature(F.col("gtype"), F.col("props"), F.col("geom")))
-    # the signature holds the properties: as keys beside it they leave numbers alone to reduce, by hashing
-    one = f.groupBy("layer", "sig", F.col("props")["line"].alias("line"), F.col("props")["status"].alias("status")).agg(F.min("fid").alias("fid"), F.count("*").alias("copies"))
-    return one.drop("sig")
+    one = G.distinct_polygons(_features(read).where("gtype = 3"), ["layer"])
+    return one.select("layer", F.col("props")["line"].alias("line"), F.col("props")["status"].alias("status"), "fid", "copies")
 
 
 @query("SELECT DISTINCT '{\"line\":\"' || l_linenumber || '\",\"status\":\"' || l_linestatus || '\"}' AS props FROM lineitem")

@@ -83,7 +83,7 @@ def cell_fanout(read):
 def tile_region_join(read):
     tiles = _tiles(read)
     counted = tiles.groupBy("z", "x", "y").agg(F.count("*").alias("events"))
-    routed = routing.route(counted, regions(read)).join(counted, ["z", "x", "y"])
+    routed = routing.route(counted, regions(read), keep=["events"])
     return routed.groupBy("asset").agg(F.count("*").alias("tiles"), F.sum("events").alias("events"))
 
 
