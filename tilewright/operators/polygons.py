@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.text import let
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
@@ -88,37 +90,61 @@ def _total(of: Column, pick) -> Column:
 def centroid(rings: Column) -> Column:
     """struct(x, y): the centre of the first ring's area less that of all further rings, which are holes whichever way they
     turn; the mean of the first ring's points where no area is left; null without points."""
-    # (twice the area, its moments) of each ring, all with the sign that makes areas positive
+
     def sums(ring: Column) -> Column:
-        c = _cross(ring)
-        turn = F.when(_total(c, lambda p: p["c"]) < 0, -1.0).otherwise(1.0)
-        return F.struct((turn * _total(c, lambda p: p["c"])).alias("a"), (turn * _total(c, lambda p: p["c"] * p["x"])).alias("x"), (turn * _total(c, lambda p: p["c"] * p["y"])).alias("y"))
+        """Twice the area of a ring and its moments, with the sign that makes areas positive."""
+
+        def signed(v):
+            turn = F.when(v["a"] < 0, -1.0).otherwise(1.0)
+            return F.struct((turn * v["a"]).alias("a"), (turn * v["x"]).alias("x"), (turn * v["y"]).alias("y"))
 
-    each = F.transform(rings, sums)
-    signed = lambda c: F.aggregate(F.transform(each, lambda s, i: F.when(i == 0, s[c]).otherwise(-s[c])), F.lit(0.0), lambda a, b: a + b)
-    ring = F.get(rings, F.lit(0))
-    axis = lambda c: F.when(signed("a") > 0, signed(c) / (3.0 * signed("a"))).otherwise(F.try_divide(_total(ring, lambda p: p[c]), F.size(ring).cast("double")))
-    return F.when(F.size(F.flatten(rings)) > 0, F.struct(axis("x").alias("x"), axis("y").alias("y")))
+        whole = lambda v: F.struct(_total(v["c"], lambda p: p["c"]).alias("a"), _total(v["c"], lambda p: p["c"] * p["x"]).alias("x"), _total(v["c"], lambda p: p["c"] * p["y"]).alias("y"))
+        return let(let(F.struct(_cross(ring).alias("c")), whole), signed)
+
+    def middle(v):
+        ring = F.get(v["rings"], F.lit(0))
+        axis = lambda c: F.when(v["a"] > 0, v[c] / (3.0 * v["a"])).otherwise(F.try_divide(_total(ring, lambda p: p[c]), F.size(ring).cast("double")))
+        return F.when(F.size(F.flatten(v["rings"])) > 0, F.struct(axis("x").alias("x"), axis("y").alias("y")))
+
+    less = lambda each, c: F.aggregate(F.transform(each, lambda s, i: F.when(i == 0, s[c]).otherwise(-s[c])), F.lit(0.0), lambda x, y: x + y)
+    together = lambda v: F.struct(v["rings"].alias("rings"), *(less(v["each"], c).alias(c) for c in "axy"))
+    # each step is bound once, as what a lambda reads from outside is made anew for every element
+    return let(let(F.struct(rings.alias("rings"), F.transform(rings, sums).alias("each")), together), middle)
 
 
 def point_on_surface(rings: Column) -> Column:
     """struct(x, y): a point inside the polygon: the middle of the widest run of the row that lies halfway between the
     points next to the middle of its box. The first point where the polygon has no area; null without points."""
-    ys = _axis(rings, "y")
-    middle = (F.array_min(ys) + F.array_max(ys)) / 2.0
-    row = (F.array_max(F.filter(ys, lambda y: y <= middle)) + F.array_min(F.filter(ys, lambda y: y > middle))) / 2.0
-
-    def crossings(ring: Column) -> Column:
-        pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
-        cut = F.filter(pairs, lambda e: (e["y1"] > row) != (e["y2"] > row))
-        return F.transform(cut, lambda e: (e["x2"] - e["x1"]) * (row - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-
-    xs = F.sort_array(F.flatten(F.transform(rings, crossings)))
-    runs = F.transform(F.filter(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["i"] % 2 == 1), lambda p: F.struct((p["x"] - F.get(xs, p["i"] - 1)).alias("w"), (-p["i"]).alias("i"), ((p["x"] + F.get(xs, p["i"] - 1)) / 2.0).alias("x")))
-    widest = F.array_max(runs)  # the first of equally wide ones
-    first = F.get(F.flatten(rings), F.lit(0))
-    inside = F.struct(widest["x"].alias("x"), row.alias("y"))
-    return F.when(F.size(F.flatten(rings)) > 0, F.when(widest["w"] > 0, inside).otherwise(F.struct(first["x"].alias("x"), first["y"].alias("y"))))
+
+    def halfway(v):
+        return F.struct(v["rings"].alias("rings"), v["ys"].alias("ys"), ((F.array_min(v["ys"]) + F.array_max(v["ys"])) / 2.0).alias("middle"))
+
+    def row_of(v):
+        below, above = F.filter(v["ys"], lambda y: y <= v["middle"]), F.filter(v["ys"], lambda y: y > v["middle"])
+        return F.struct(v["rings"].alias("rings"), ((F.array_max(below) + F.array_min(above)) / 2.0).alias("row"))
+
+    def crossed(v):
+        def crossings(ring: Column) -> Column:
+            pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+            cut = F.filter(pairs, lambda e: (e["y1"] > v["row"]) != (e["y2"] > v["row"]))
+            return F.transform(cut, lambda e: (e["x2"] - e["x1"]) * (v["row"] - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+
+        return F.struct(F.get(F.flatten(v["rings"]), F.lit(0)).alias("first"), v["row"].alias("row"), F.sort_array(F.flatten(F.transform(v["rings"], crossings))).alias("xs"))
+
+    def widest_of(v):
+        ends = F.filter(F.transform(v["xs"], lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["i"] % 2 == 1)
+        # the first of equally wide runs
+        runs = F.transform(ends, lambda p: F.struct((p["x"] - F.get(v["xs"], p["i"] - 1)).alias("w"), (-p["i"]).alias("i"), ((p["x"] + F.get(v["xs"], p["i"] - 1)) / 2.0).alias("x")))
+        return F.struct(v["first"].alias("first"), v["row"].alias("row"), F.array_max(runs).alias("widest"))
+
+    def chosen(v):
+        inside, first = F.struct(v["widest"]["x"].alias("x"), v["row"].alias("y")), F.struct(v["first"]["x"].alias("x"), v["first"]["y"].alias("y"))
+        return F.when(v["first"].isNotNull(), F.when(v["widest"]["w"] > 0, inside).otherwise(first))
+
+    out = F.struct(rings.alias("rings"), _axis(rings, "y").alias("ys"))
+    for step in (halfway, row_of, crossed, widest_of, chosen):
+        out = let(out, step)
+    return out
 
 
 def rule_geometry(geom: Column, kind: Column, rule: Column) -> Column:
