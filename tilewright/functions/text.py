@@ -53,11 +53,14 @@ def safe_origin(url: Column) -> Column:
 
 
 def byte_range(header: Column, size: Column) -> Column:
-    """struct(start, stop) of a single byte range: prefix, open or suffix; null if it can't be met."""
-    first, last = F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 1), F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 2)
-    a, b = first.try_cast("long"), last.try_cast("long")
-    start = F.when(a.isNotNull(), a).when(b > 0, F.greatest(size - b, F.lit(0)))
-    stop = F.when(a.isNotNull() & b.isNotNull(), F.least(b, size - 1)).when(a.isNotNull() | b.isNotNull(), size - 1)
+    """struct(start, stop) of a single byte range: prefix, open or suffix, with blanks around it; null if it can't be met.
+    A number from 2^53 on can't be."""
+    pattern, trimmed = r"^bytes=(\d*)-(\d*)$", F.regexp_replace(header, r"^\s+|\s+$", "")
+    first, last = F.regexp_extract(trimmed, pattern, 1), F.regexp_extract(trimmed, pattern, 2)
+    number = lambda digits: F.when(digits.try_cast("long") < 1 << 53, digits.try_cast("long"))
+    a, b = number(first), number(last)
+    start = F.when(first != "", a).when(b > 0, F.greatest(size - b, F.lit(0)))
+    stop = F.when((first == "") | (last == ""), size - 1).when(b.isNotNull(), F.least(b, size - 1))
     return F.when((start < size) & (start <= stop), F.struct(start.alias("start"), stop.alias("stop")))
 
 

@@ -143,9 +143,9 @@ def plan_json(plan: DataFrame, path: str) -> None:
 
 
 def coordinates(geometry: Column) -> Column:
-    """The (lon, lat) pairs of a geometry's JSON, whatever their depth: the innermost arrays of two or three numbers."""
+    """The (lon, lat) pairs of a geometry's JSON, whatever their depth: the innermost arrays that begin with two numbers."""
     number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
-    inner = F.regexp_extract_all(geometry, F.lit(rf"\[\s*{number}\s*,\s*{number}\s*(?:,\s*{number}\s*)?\]"), F.lit(0))
+    inner = F.regexp_extract_all(geometry, F.lit(rf"\[\s*{number}\s*,\s*{number}\s*(?:,[^\[\]]*)?\]"), F.lit(0))
     part = lambda p, k: F.regexp_extract(p, rf"\[\s*{number}\s*,\s*{number}", k).try_cast("double")
     return F.transform(inner, lambda p: F.struct(part(p, 1).alias("lon"), part(p, 2).alias("lat")))
 

@@ -157,9 +157,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(found).alias("a")).select("a.*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(version_hash, version, regions) of manifests, each with the digest of its text."""
-    raw = spark.read.text(path, wholetext=True)
+def read_manifest(spark: SparkSession, path: str, most: int = 4 << 20) -> DataFrame:
+    """(version_hash, version, regions) of manifests, each with the digest of its text. A file of more than most bytes
+    stops the scan before any is read; text that isn't JSON stops it too."""
+    large = spark.read.format("binaryFile").load(path).where(F.col("length") > most).select("path").first()
+    if large:
+        raise ValueError(f"{large[0]} has more than {most} bytes")
+    checked = F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.lit("a manifest is not valid JSON")))
+    raw = spark.read.text(path, wholetext=True).select(checked.alias("value"))
     parsed = F.from_json("value", "struct<version:int,regions:array<struct<id:string,asset:string,bounds:array<double>>>>")
     return raw.select(F.substring(F.sha2("value", 256), 1, 32).alias("version_hash"), parsed.alias("m")).select("version_hash", "m.version", "m.regions")
 
