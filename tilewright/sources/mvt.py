@@ -8,16 +8,26 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tilewright.plans.storage import partitions
 
 FEATURES = "z int, x int, y int, layer string, version int, extent int, fid long, gtype int, props map<string,string>, geom array<array<struct<x:double,y:double>>>"
 #: Limits of one tile: bytes, layers, features, points of a feature and of the tile.
 LIMITS = {"bytes": 24 << 20, "layers": 256, "features": 500_000, "feature_points": 250_000, "points": 4_000_000}
 
 
+#: Numbers of one byte.
+_ONE = [bytes([n]) for n in range(128)]
+
+
 def _varint(n: int) -> bytes:
+    if 0 <= n < 128:
+        return _ONE[n]
     out = bytearray()
     n &= (1 << 64) - 1
     while n > 127:
@@ -126,6 +136,8 @@ def _value(data: bytes) -> str | None:
 
 
 def _packed(data: bytes) -> list[int]:
+    if data.isascii():  # every number has one byte
+        return list(data)
     r, out = _Reader(data), []
     while r.at < len(data):
         out.append(r.varint())
@@ -205,6 +217,15 @@ def decode_tile(data: bytes, limits: dict[str, int] | None = None) -> list[dict]
     return out
 
 
+def nested(geometries: list[list[list[tuple]]]) -> pa.ListArray:
+    """Geometries as one array, over flat arrays of their points."""
+    parts = [p for g in geometries for p in g]
+    xy = np.array([v for p in parts for v in p], np.float64).reshape(-1, 2)
+    ends = lambda of: pa.array(np.concatenate([[0], np.cumsum([len(v) for v in of], dtype=np.int64)]).astype(np.int32))
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in range(2)], names=["x", "y"])
+    return pa.ListArray.from_arrays(ends(geometries), pa.ListArray.from_arrays(ends(parts), points))
+
+
 def decode_tiles(tiles: DataFrame) -> DataFrame:
     """Features of tiles (z, x, y, tile); a broken tile fails its task with its address. Properties are text, ids signed
     (those from 2 ** 63 up are negative, and encode to the same bits); sources.typed keeps kinds and unsigned ids."""
@@ -217,25 +238,134 @@ def decode_tiles(tiles: DataFrame) -> DataFrame:
                     rows += [(z, x, y, f) for f in decode_tile(tile or b"")]
                 except ValueError as e:
                     raise ValueError(f"tile {z}/{x}/{y}: {e}") from e
-            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array([r[k] for r in rows], pa.int32()) for k in range(3)), pa.array([r[3]["layer"] for r in rows], pa.string()), *(pa.array([r[3][c] for r in rows], pa.int32()) for c in ("version", "extent")),
                  pa.array([r[3]["fid"] for r in rows], pa.int64()), pa.array([r[3]["gtype"] for r in rows], pa.int32()), pa.array([list(r[3]["props"].items()) for r in rows], pa.map_(pa.string(), pa.string())),
-                 pa.array([[[{"x": a, "y": b} for a, b in p] for p in r[3]["geom"]] for r in rows], pa.list_(pa.list_(point)))],
+                 nested([r[3]["geom"] for r in rows])],
                 names=["z", "x", "y", "layer", "version", "extent", "fid", "gtype", "props", "geom"],
             )
 
     return tiles.select("z", "x", "y", "tile").mapInArrow(run, FEATURES)
 
 
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of numbers (unsigned, 64 bits) as varints, and where each begins; one place more than numbers."""
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += values >= np.uint64(1 << 7 * k)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(starts[-1], np.uint8)
+    for k in range(int(size.max(initial=0))):
+        own = size > k
+        low = (values[own] >> np.uint64(7 * k)).astype(np.uint8) & 127
+        out[starts[:-1][own] + k] = low | np.where(size[own] > k + 1, 128, 0).astype(np.uint8)
+    return out, starts
+
+
+def flat_geometries(gtype: np.ndarray, geom: pa.ListArray) -> list[bytes]:
+    """The command streams of a batch of geometries, over flat arrays of all their points. Parts without points are left
+    out; a point that isn't a number is refused."""
+    parts = geom.flatten()
+    of_part = np.repeat(np.arange(len(geom)), pc.fill_null(pc.list_value_length(geom), 0).to_numpy(zero_copy_only=False))
+    lengths = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+    points = parts.flatten()
+    xy = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")]) if len(points) else np.zeros((2, 0))
+    if not np.isfinite(xy).all():
+        raise ValueError("a coordinate is not a number")
+    xy = xy.astype(np.int64)
+    part = np.repeat(np.arange(len(parts)), lengths)
+    feature = of_part[part]
+    ends = np.cumsum(lengths)
+    # a ring's last point goes where it repeats the first
+    rings = np.flatnonzero((gtype[of_part] == 3) & (lengths > 1))
+    closed = rings[(xy[:, ends[rings] - lengths[rings]] == xy[:, ends[rings] - 1]).all(axis=0)]
+    keep = np.ones(len(part), bool)
+    keep[ends[closed] - 1] = False
+    xy, part, feature = xy[:, keep], part[keep], feature[keep]
+    kind = gtype[feature]
+    new = np.ones(len(part), bool)
+    new[1:] = feature[1:] != feature[:-1]
+    step = np.diff(xy, axis=1, prepend=0)
+    step[:, new] = xy[:, new]
+    # all points of a multipoint are under one command
+    run = new.copy()
+    run[1:] |= (part[1:] != part[:-1]) & (kind[1:] != 1)
+    first = np.flatnonzero(run)
+    held = np.diff(np.append(first, len(part)))
+    at = np.arange(len(part)) - np.repeat(first, held)
+    held = np.repeat(held, held)
+    command = np.where(at == 0, np.where(kind == 1, held, 1) << 3 | 1, np.where((at == 1) & (kind != 1), (held - 1) << 3 | 2, 0))
+    shut = (at == held - 1) & (kind == 3)
+    count = 2 + (command > 0) + shut
+    begin = np.concatenate([[0], np.cumsum(count)])
+    stream = np.zeros(begin[-1], np.int64)
+    led = command > 0
+    stream[begin[:-1][led]] = command[led]
+    for k in range(2):
+        stream[begin[:-1] + led + k] = step[k] << 1 ^ step[k] >> 63
+    stream[begin[1:][shut] - 1] = 1 << 3 | 7
+    data, starts = varints(stream.view(np.uint64))
+    bounds = starts[begin[np.searchsorted(feature, np.arange(len(geom) + 1))]]
+    data = data.tobytes()
+    return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+class _Tile:
+    """A tile that grows feature by feature, layer by layer."""
+
+    def __init__(self) -> None:
+        self.out: list[bytes] = []
+        self.head: tuple | None = None
+
+    def start(self, head: tuple) -> None:
+        self.end()
+        self.head, self.keys, self.values, self.body = head, {}, {}, []
+
+    def add(self, fid: int | None, gtype: int, props: list[tuple], geometry: bytes) -> None:
+        keys, values = self.keys, self.values
+        tags = b"".join([_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault(v, len(values))) for k, v in props if v is not None])
+        own = b"".join((b"" if fid is None else b"\x08" + _varint(fid), _field(2, tags), b"\x18", _varint(gtype), _field(4, geometry)))
+        self.body.append(_field(2, own))
+
+    def end(self) -> bytes:
+        if self.head:
+            name, version, extent = self.head
+            layer = _field(1, name.encode()) + b"".join(self.body) + b"".join(_field(3, k.encode()) for k in self.keys) + b"".join(_field(4, _field(1, v.encode())) for v in self.values)
+            self.out.append(_field(3, layer + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(version)))
+            self.head = None
+        return b"".join(self.out)
+
+
 def encode_tiles(features: DataFrame) -> DataFrame:
-    """(z, x, y, tile) of features; layers and features in order of name and id. A tile is made where its features meet."""
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        layers: dict = {}
-        for r in group.sort_values(["layer", "fid"], kind="stable").to_dict("records"):
-            own = layers.setdefault(r["layer"], (int(r["version"]), int(r["extent"]), []))
-            props = r["props"] if isinstance(r["props"], dict) else dict(r["props"] if r["props"] is not None else [])
-            own[2].append({"fid": None if pd.isna(r["fid"]) else int(r["fid"]), "gtype": int(r["gtype"]), "props": props, "geom": [[(p["x"], p["y"]) for p in part] for part in r["geom"]]})
-        return pd.DataFrame({"z": [key[0]], "x": [key[1]], "y": [key[2]], "tile": [encode_tile(layers)]})
-
-    return features.groupBy("z", "x", "y").applyInPandas(run, "z int, x int, y int, tile binary")
+    """(z, x, y, tile) of features; layers and features in order of name and id, those without an id last. A layer has the
+    version and extent of its first feature.
+
+    Features are dealt by address and sorted; a task streams them and holds one tile's bytes at a time. Geometries of a
+    batch are encoded over flat arrays.
+    """
+    order = ["z", "x", "y", "layer", F.col("fid").asc_nulls_last()]
+    rows = features.repartition(partitions(features.sparkSession, features), "z", "x", "y").sortWithinPartitions(*order)
+    names = ["z", "x", "y", "layer", "version", "extent", "fid", "gtype", "props", "geom"]
+
+    def run(batches):
+        address, tile = None, _Tile()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in address), pa.array([tile.end()], pa.binary())], names=["z", "x", "y", "tile"])
+
+        for batch in batches:
+            gtype = batch.column("gtype").to_numpy(zero_copy_only=False)
+            streams = flat_geometries(gtype, batch.column("geom"))
+            z, x, y, layer, version, extent, fid, gtypes, props = (batch.column(c).to_pylist() for c in names[:-1])
+            for k, stream in enumerate(streams):
+                if (z[k], x[k], y[k]) != address:
+                    if address is not None:
+                        yield made()
+                    address, tile = (z[k], x[k], y[k]), _Tile()
+                if tile.head is None or tile.head[0] != layer[k]:
+                    tile.start((layer[k], version[k], extent[k]))
+                tile.add(fid[k], gtypes[k], props[k] or [], stream)
+        if address is not None:
+            yield made()
+
+    return rows.select(*names).mapInArrow(run, "z int, x int, y int, tile binary")
