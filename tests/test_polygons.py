@@ -117,3 +117,14 @@ def test_profile_gives_the_geometry_of_its_rule(spark):
     df = spark.createDataFrame(rows, "osm_id long, geom_kind string, tags map<string,string>, geom array<array<struct<x:double,y:double>>>")
     got = {(r["osm_id"], r["layer"]): r["geom"] for r in apply_profile(df).collect()}
     assert [tuple(p) for p in got[(1, "housenumber")][0]] == [(2.0, 1.0)] and [tuple(p) for p in got[(2, "housenumber")][0]] == [(9.0, 9.0)] and len(got[(3, "building")][0]) == 4
+
+
+def test_equal_polygons_are_tested_once_and_never_broadcast(spark):
+    r = random.Random(5)
+    own = shapes(8, 12)
+    copies = [(k + 1000 * c, rings) for c in range(5) for k, rings in own]
+    points = [(k, x + r.gauss(0, 1), y + r.gauss(0, 1)) for k, (x, y) in enumerate(rings[0][0] for _ in range(20) for _, rings in own[:12])]
+    got = polygons.points_in_polygons(spark.createDataFrame(points, "id long, x double, y double"), frame(spark, copies), "id", "pid", cell=2.0, wraps=False)
+    want = sorted((i, k) for i, x, y in points for k, rings in copies if inside(rings, x, y))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 30
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

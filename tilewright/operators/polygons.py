@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.text import let
+from tilewright.plans.storage import durable, partitions
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -45,20 +46,29 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str, polyg
 
     A point on a lower or left edge is inside, on an upper or right one outside, as even-odd with half-open edges has it.
     wraps: x are longitudes; polygons across the antimeridian hold points of both sides. Points without coordinates and
-    polygons without rings are in nothing. cell: about the width of a middling polygon.
+    polygons without rings are in nothing. cell: about the width of a middling polygon. An id has one polygon.
+
+    Polygons of equal rings are tested once, under the least of their ids, and meet what is in them at the end. Files say
+    little about the rows that cells and edges become, so none of these joins may broadcast.
     """
-    shapes = polygons.select(polygon, (unwrapped(F.col(rings)) if wraps else F.col(rings)).alias("rings")).where(F.size(F.flatten("rings")) > 0)
+    first = "_first"
+    own = polygons.select(polygon, (unwrapped(F.col(rings)) if wraps else F.col(rings)).alias("rings")).where(F.size(F.flatten("rings")) > 0)
+    own = own.select(polygon, F.xxhash64("rings").alias("_a"), F.xxhash64(F.lit(1), "rings").alias("_b"), "rings")
+    own = durable(own.repartition(partitions(own.sparkSession, own), "_a", "_b"))
+    shapes = durable(own.groupBy("_a", "_b", "rings").agg(F.min(polygon).alias(first)))
+    members = own.join(shapes.withColumnRenamed("rings", "_r").hint("shuffle_hash"), ["_a", "_b"]).where(F.col("rings") == F.col("_r")).select(first, polygon).distinct()
     xs, ys = _axis(F.col("rings"), "x"), _axis(F.col("rings"), "y")
-    boxes = shapes.select(polygon, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    boxes = shapes.select(first, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     covered = boxes.withColumn("cx", F.explode(_cells(F.col("x0"), F.col("x1"), cell))).withColumn("cy", F.explode(_cells(F.col("y0"), F.col("y1"), cell)))
     placed = points.select(point, "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
     if wraps:  # a western point is looked for east of 180 too
         placed = placed.unionByName(placed.where("x < 0").withColumn("x", F.col("x") + 360.0))
-    near = placed.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)}).join(covered, ["cx", "cy"])
-    near = near.where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1").select(point, polygon, "x", "y", "cy")
-    edges = edges_of(shapes, polygon, "rings").withColumn("cy", F.explode(_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), cell)))
-    crossed = near.join(edges, [polygon, "cy"]).where("(y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1")
-    return crossed.groupBy(point, polygon, "x", "y").count().where("count % 2 = 1").select(point, polygon).distinct()
+    near = placed.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)}).join(covered.hint("merge"), ["cx", "cy"])
+    near = near.where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1").select(point, first, "x", "y", "cy")
+    edges = edges_of(shapes, first, "rings").withColumn("cy", F.explode(_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), cell)))
+    crossed = near.join(edges.hint("merge"), [first, "cy"]).where("(y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1")
+    held = crossed.groupBy(point, first, "x", "y").count().where("count % 2 = 1").select(point, first).distinct()
+    return held.join(members.hint("merge"), first).select(point, polygon)
 
 
 def points_near_lines(points: DataFrame, lines: DataFrame, point: str, line: str, radius: float, geom: str = "geom") -> DataFrame:
