@@ -154,3 +154,20 @@ def test_merge_and_copy_leave_insane_features_out(spark):
     assert sorted(r["fid"] for r in G.merge(shaped, ["layer", *G.SHAPE], ["fid"], F.lit(4096.0)).collect()) == [0, 6]
     assert sorted(r["fid"] for r in G.layer_copy(df, "a", "b", {"k": "w"}, F.lit(4096.0), 64).collect()) == [0, 6]
     assert G.merge(shaped, ["layer", *G.SHAPE], ["fid"]).count() == 8
+
+
+def test_payloads_in_pieces_are_those_in_one(spark):
+    tiles = [payload({name: (4096, [(k, 1 + k % 3, {"k": (5, k % 4), "s": (1, f"v{k}")}, [[(k, 1), (k + 9, 2), (k, 5), (k, 1)]]) for k in range(n)]) for name in ("a", "b")}) for n in (40, 3)]
+    features = typed.decode_payloads(rows(spark, [*tiles, b""]))
+    keys = ["z", "x", "y", "payload"]
+    one = {r["payload"]: bytes(r["tile"]) for r in typed.encode_payloads(features, ["at"], keys).collect()}
+    pieces = typed.encode_payloads(features, ["at"], keys, piece=100)
+    held = {}
+    for r in pieces.orderBy("payload", "piece").collect():
+        assert len(r["tile"]) <= 100
+        held[r["payload"]] = held.get(r["payload"], b"") + bytes(r["tile"])
+    assert held == one and pieces.count() > 10
+    assert sorted(map(str, typed.decode_payloads(pieces.orderBy(F.rand(3))).collect())) == sorted(map(str, features.collect()))
+    assert sorted(typed.payload_totals(pieces, keys=keys).drop("z", "x", "y").collect()) == sorted(typed.payload_totals(rows(spark, tiles), keys=keys).drop("z", "x", "y").collect())
+    merged = {r["piece"]: bytes(r["tile"]) for r in typed.merge_payloads(pieces, piece=64).collect()}
+    assert b"".join(merged[k] for k in sorted(merged)) == bytes(typed.merge_payloads(rows(spark, tiles)).first()["tile"])

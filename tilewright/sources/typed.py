@@ -12,16 +12,19 @@ from __future__ import annotations
 
 import math
 import struct
+from array import array
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.features import feature_key, merge
+from tilewright.operators.features import SHAPE, merge, with_shape
 from tilewright.plans.storage import durable, partitions
-from tilewright.sources.mvt import _field, _geometry, _packed, _Reader, _varint
+from tilewright.sources.mvt import _field, _geometry, _packed, _Reader, _varint, flat_geometries, nested  # noqa: F401
 
 PROPS = "map<string,struct<text:string,number:double,flag:boolean>>"
 GEOM = "array<array<struct<x:double,y:double>>>"
@@ -83,13 +86,13 @@ def _value(data: bytes):
     return out
 
 
-def _encoded(value: dict) -> bytes:
-    """A value by its kind: fractions as doubles, whole numbers as unsigned or, below 0, as zigzag ones."""
-    if value["text"] is not None:
-        return _field(1, value["text"].encode())
-    if value["flag"] is not None:
-        return _varint(7 << 3) + _varint(int(value["flag"]))
-    v = value["number"]
+def _encoded(value: tuple) -> bytes:
+    """A value (text, number, flag) by its kind: fractions as doubles, whole numbers as unsigned or, below 0, as zigzag ones."""
+    text, v, flag = value
+    if text is not None:
+        return _field(1, text.encode())
+    if flag is not None:
+        return _varint(7 << 3) + _varint(int(flag))
     if not v.is_integer():
         return _varint(3 << 3 | 1) + struct.pack("<d", v)
     return _varint(5 << 3) + _varint(int(v)) if v >= 0 else _varint(6 << 3) + _varint(-int(v) * 2 - 1)
@@ -111,7 +114,7 @@ def read_payload(data: bytes, limits: dict[str, int] | None = None, totals: dict
     if len(data) > most["bytes"]:
         raise Broken("bytes", f"{len(data)} bytes")
     try:
-        layers = [dict(_layer(body)) for number, body in _Reader(data).fields() if number == 3]
+        layers = [_layer(data, *span) for number, span in _spans(data, 0, len(data)) if number == 3]
     except (ValueError, UnicodeDecodeError, struct.error) as e:
         raise Broken("malformed", f"it can't be read: {e}") from e
     # of layers of one name the last stands, at the place of the first
@@ -124,12 +127,13 @@ def read_payload(data: bytes, limits: dict[str, int] | None = None, totals: dict
             raise Broken("name", "a layer's name is empty or too long")
         if not most["least_extent"] <= layer["extent"] <= most["most_extent"]:
             raise Broken("extent", f"extent {layer['extent']} of {name}")
-        seen["features"] += len(layer["raw"])
+        seen["features"] += len(layer["raw"]) // 2
         if seen["features"] > most["features"]:
             raise Broken("features", f"{seen['features']} features")
-        for at, raw in enumerate(layer["raw"]):
+        bounds = layer["raw"]
+        for at in range(len(bounds) // 2):
             try:
-                fid, gtype, props, geom = _feature(raw, layer)
+                fid, gtype, props, geom = _feature(data[bounds[2 * at] : bounds[2 * at + 1]], layer)
             except (ValueError, IndexError) as e:
                 raise Broken("malformed", f"feature {name}/{at}: {e}") from e
             if gtype not in (1, 2, 3):
@@ -149,22 +153,43 @@ def read_payload(data: bytes, limits: dict[str, int] | None = None, totals: dict
             yield layer_at, name, layer["version"], layer["extent"], at, fid, gtype, {k: normal(v) for k, v in props.items() if v is not None}, geom
 
 
-def _layer(body: bytes) -> Iterator[tuple]:
-    out = {"name": "", "version": 1, "extent": 4096, "keys": [], "values": [], "raw": []}
-    for k, v in _Reader(body).fields():
-        if k == 1:
-            out["name"] = v.decode()
-        elif k == 2:
-            out["raw"].append(v)
+def _spans(data: bytes, at: int, end: int) -> Iterator[tuple]:
+    """(number, value) of the fields in at to end; a field of bytes as the places where it begins and ends."""
+    r = _Reader(data)
+    r.at = at
+    while r.at < end:
+        tag = r.varint()
+        kind = tag & 7
+        if kind == 0:
+            value = r.varint()
+        else:
+            size = r.varint() if kind == 2 else {1: 8, 5: 4}.get(kind)
+            if size is None or r.at + size > end:
+                raise ValueError("a field is cut off")
+            value = (r.at, r.at + size)
+            r.at += size
+        if r.at > end:
+            raise ValueError("a number is cut off")
+        yield tag >> 3, value
+
+
+def _layer(data: bytes, start: int, end: int) -> dict:
+    """A layer of a payload; raw: where each feature begins and ends, in turns, as numbers and not as objects."""
+    out = {"name": "", "version": 1, "extent": 4096, "keys": [], "values": [], "raw": array("Q")}
+    for k, v in _spans(data, start, end):
+        if k == 2:
+            out["raw"].extend(v)
+        elif k == 1:
+            out["name"] = data[slice(*v)].decode()
         elif k == 3:
-            out["keys"].append(v.decode())
+            out["keys"].append(data[slice(*v)].decode())
         elif k == 4:
-            out["values"].append(_value(v))
+            out["values"].append(_value(data[slice(*v)]))
         elif k == 5:
             out["extent"] = v
         elif k == 15:
             out["version"] = v
-    yield from out.items()
+    return out
 
 
 def _feature(raw: bytes, layer: dict) -> tuple:
@@ -201,78 +226,169 @@ def _feature(raw: bytes, layer: dict) -> tuple:
     return fid, gtype, {layer["keys"][a]: layer["values"][b] for a, b in zip(tags[::2], tags[1::2], strict=True)}, parts
 
 
-def write_payload(features: list[dict]) -> bytes:
-    """Bytes of features (layer, version, extent, fid, gtype, props, geom), which come layer by layer."""
-    out, at = [], 0
-    while at < len(features):
-        head, body, keys, values = features[at], [], {}, {}
-        while at < len(features) and features[at]["layer"] == head["layer"]:
-            f = features[at]
-            tags = b"".join(_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault(_encoded(v), len(values))) for k, v in f["props"] or ())
-            own = _varint(1 << 3) + _varint(int(f["fid"])) if f["fid"] is not None else b""
-            own += _field(2, tags) + _varint(3 << 3) + _varint(f["gtype"]) + _field(4, _geometry(f["gtype"], [[(int(p["x"]), int(p["y"])) for p in part] for part in f["geom"]]))
-            body.append(_field(2, own))
-            at += 1
-        layer = _field(1, head["layer"].encode()) + b"".join(body) + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, v) for v in values)
-        out.append(_field(3, layer + _varint(5 << 3) + _varint(head["extent"]) + _varint(15 << 3) + _varint(head["version"])))
-    return b"".join(out)
+class _Payload:
+    """A payload that grows feature by feature, layer by layer; the bytes of one layer are held."""
+
+    def __init__(self) -> None:
+        self.head: tuple | None = None
+
+    def start(self, head: tuple) -> None:
+        self.head, self.keys, self.values, self.seen, self.body = head, {}, {}, {}, bytearray()
+
+    def _tags(self, props: list[tuple]) -> bytes:
+        keys, values, seen, out = self.keys, self.values, self.seen, b""
+        for k, v in props:
+            at = seen.get(v)
+            if at is None:
+                at = seen[v] = values.setdefault(_encoded(v), len(values))
+            out += _varint(keys.setdefault(k, len(keys))) + _varint(at)
+        return _field(2, out)
+
+    def add(self, fid: int | None, gtype: int, props: list[tuple], geometry: bytes) -> None:
+        own = (b"" if fid is None else b"\x08" + _varint(int(fid))) + self._tags(props) + b"\x18" + _varint(gtype) + _field(4, geometry)
+        self.body += _field(2, own)
+
+    def end(self) -> list[bytes]:
+        """The layer that was begun, in pieces that follow each other; none if none was."""
+        if self.head is None:
+            return []
+        name, version, extent = self.head
+        first, last = _field(1, name.encode()), b"".join(_field(3, k.encode()) for k in self.keys) + b"".join(_field(4, v) for v in self.values) + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(version)
+        out = [_varint(3 << 3 | 2) + _varint(len(first) + len(self.body) + len(last)) + first, self.body, last]
+        self.head = None
+        return out
+
+
+def in_order(payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """Payloads (keys, tile) as they are; those in pieces (keys, piece, tile) with a payload's pieces one after another."""
+    if "piece" not in payloads.columns:
+        return payloads.select(*keys, "tile")
+    return payloads.select(*keys, "piece", "tile").repartition(partitions(payloads.sparkSession, payloads), *keys).sortWithinPartitions(*keys, "piece")
+
+
+def whole(batches, keys: list[str]) -> Iterator[tuple[tuple, bytes]]:
+    """(key, bytes) of the payloads in batches of in_order(), one at a time."""
+    key, held = None, bytearray()
+    for batch in batches:
+        tiles = batch.column("tile")
+        pieces = batch.schema.get_field_index("piece") >= 0
+        for k, own in enumerate(zip(*(batch.column(c).to_pylist() for c in keys), strict=True)):
+            data = tiles[k].as_py() or b""
+            if not pieces:
+                yield own, data
+                continue
+            if own != key and key is not None:
+                yield key, bytes(held)
+                held = bytearray()
+            key = own
+            held += data
+    if key is not None:
+        yield key, bytes(held)
 
 
 def decode_payloads(payloads: DataFrame, limits: dict[str, int] | None = None, rows: int = 2000) -> DataFrame:
-    """Features of payloads (z, x, y, payload, tile) in their order; a null tile is empty. One beyond a limit fails its
-    task and names its address."""
+    """Features of payloads (z, x, y, payload, tile), whole or in pieces, in their order; a null tile is empty. One beyond
+    a limit fails its task and names its address."""
+    keys = ["z", "x", "y", "payload"]
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
-        point, value = pa.struct([("x", pa.float64()), ("y", pa.float64())]), pa.struct([("text", pa.string()), ("number", pa.float64()), ("flag", pa.bool_())])
-        kinds = [pa.int32()] * 5 + [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.decimal128(20, 0), pa.int32(), pa.map_(pa.string(), value), pa.list_(pa.list_(point))]
-        columns = [[r[k] for r in out] for k in range(13)]
+        value = pa.struct([("text", pa.string()), ("number", pa.float64()), ("flag", pa.bool_())])
+        kinds = [pa.int32()] * 5 + [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.decimal128(20, 0), pa.int32(), pa.map_(pa.string(), value)]
+        columns = [[r[k] for r in out] for k in range(12)]
         columns[9] = [None if v is None else Decimal(v) for v in columns[9]]
         columns[11] = [list(v.items()) for v in columns[11]]
-        columns[12] = [[[{"x": float(a), "y": float(b)} for a, b in part] for part in v] for v in columns[12]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["z", "x", "y", "payload", "layer_at", "layer", "version", "extent", "at", "fid", "gtype", "props", "geom"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), nested([r[12] for r in out])], names=["z", "x", "y", "payload", "layer_at", "layer", "version", "extent", "at", "fid", "gtype", "props", "geom"])
 
     def run(batches):
         out: list[tuple] = []
-        for b in batches:
-            for *address, payload, tile in zip(*(b.column(c).to_pylist() for c in ("z", "x", "y", "payload", "tile")), strict=True):
-                try:
-                    for f in read_payload(tile or b"", limits):
-                        out.append((*address, payload, *f))
-                        if len(out) == rows:
-                            yield batch(out)
-                            out = []
-                except Broken as e:
-                    raise ValueError(f"payload {payload} of tile {'/'.join(map(str, address))}: {e}") from e
+        for (*address, payload), tile in whole(batches, keys):
+            try:
+                for f in read_payload(tile, limits):
+                    out.append((*address, payload, *f))
+                    if len(out) == rows:
+                        yield batch(out)
+                        out = []
+            except Broken as e:
+                raise ValueError(f"payload {payload} of tile {'/'.join(map(str, address))}: {e}") from e
         if out:
             yield batch(out)
 
-    return payloads.select("z", "x", "y", F.col("payload").cast("int").alias("payload"), "tile").mapInArrow(run, FEATURES)
+    return in_order(payloads.withColumn("payload", F.col("payload").cast("int")), keys).mapInArrow(run, FEATURES)
 
 
-def encode_payloads(features: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """(z, x, y, tile, and further keys) of features: layers by layer_at and name, features by order."""
-    keys = keys or ["z", "x", "y"]
-    own = ["layer", "version", "extent", "fid", "gtype", "geom"]
-    # a map can't be sorted; its entries can
-    rows = features.select(*keys, F.struct("layer_at", "layer", *(F.col(c).alias(f"_{k}") for k, c in enumerate(order)), *own[1:], F.map_entries("props").alias("props")).alias("f"))
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("f")).alias("features"))
-    names = [*keys, "tile"]
+#: Bytes of a piece of a payload that goes from task to task in pieces.
+PIECE = 4 << 20
 
-    def run(batches):
-        for batch in batches:
-            tiles = []
-            for features_ in batch.column("features").to_pylist():
-                for f in features_:
-                    f["props"] = [(e["key"], e["value"]) for e in f["props"] or ()]
-                tiles.append(write_payload(features_))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(tiles, pa.binary())], names=names)
 
+def encode_payloads(features: DataFrame, order: list[str], keys: list[str] | None = None, piece: int | None = None) -> DataFrame:
+    """(z, x, y, tile, and further keys) of features: layers by layer_at and name, features by order. With piece, each
+    payload is rows of so many bytes at most: (keys, piece, tile), numbered in their order.
+
+    Features are dealt by keys and sorted; a task streams them and holds one payload's bytes, with piece one layer's.
+    """
+    keys = keys or ["z", "x", "y"]
+    own = ["layer_at", "layer", "version", "extent", "fid", "gtype", "geom"]
+    # a map can't be sorted; its entries can
+    rows = features.select(*keys, *(F.col(c).alias(f"_{k}") for k, c in enumerate(order)), *own, F.map_entries("props").alias("props"))
+    by = [*keys, "layer_at", "layer", *(f"_{k}" for k in range(len(order))), "version", "extent", "fid", "gtype", "geom", "props"]
+    rows = rows.repartition(partitions(features.sparkSession, features), *keys).sortWithinPartitions(*by)
     kinds = dict(features.dtypes)
-    return lists.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", tile binary")
+    out = f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, {'piece int, ' if piece else ''}tile binary"
 
+    def run(batches):
+        key, made, at, tile, types = None, bytearray(), 0, _Payload(), None
+
+        def row(data: bytes) -> pa.RecordBatch:
+            number = [pa.array([at], pa.int32())] if piece else []
+            return pa.RecordBatch.from_arrays([*(pa.array([v], kind) for v, kind in zip(key, types, strict=True)), *number, pa.array([data], pa.binary())], names=[*keys, *["piece"] * len(number), "tile"])
+
+        def full(last: bool):
+            """The payload's next rows; what is less than a piece waits until its last layer is there."""
+            nonlocal made, at
+            for part in tile.end():
+                for k in range(0, len(part), piece or len(part) or 1):
+                    made += part[k : k + piece] if piece else part
+                    if piece and len(made) >= piece:
+                        yield row(bytes(made[:piece]))
+                        made, at = made[piece:], at + 1
+            if last and (made or not at):
+                yield row(bytes(made))
+            if last:
+                made, at = bytearray(), 0
 
-def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, scale: int = 64, limits: dict[str, int] | None = None) -> DataFrame:
-    """(z, x, y, tile) of payloads (z, x, y, payload, tile), merged in order of payload: a feature of each key, the first
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            streams = flat_geometries(batch.column("gtype").to_numpy(zero_copy_only=False), batch.column("geom"))
+            addresses = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            entries = _entries(batch.column("props"))
+            place, name, version, extent, fid, gtype = (batch.column(c).to_pylist() for c in own[:-1])
+            for k, stream in enumerate(streams):
+                if addresses[k] != key:
+                    if key is not None:
+                        yield from full(True)
+                    key, layer = addresses[k], None
+                if name[k] != layer:
+                    yield from full(False)
+                    layer = name[k]
+                    tile.start((layer, version[k], extent[k]))
+                tile.add(fid[k], gtype[k], entries[k], stream)
+        if key is not None:
+            yield from full(True)
+
+    return rows.select(*keys, *own, "props").mapInArrow(run, out)
+
+
+def _entries(props: pa.Array) -> list[list[tuple]]:
+    """The entries (key, value) of each row's properties."""
+    flat = props.flatten()
+    value = flat.field("value")
+    pairs = list(zip(flat.field("key").to_pylist(), zip(*(value.field(c).to_pylist() for c in ("text", "number", "flag")), strict=True), strict=True))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(props), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [pairs[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, scale: int = 64, limits: dict[str, int] | None = None, piece: int | None = None) -> DataFrame:
+    """(z, x, y, tile; with piece in pieces) of payloads (z, x, y, payload, tile), merged in order of payload: a feature of each key, the first
     with its id, properties and, but for lines, its geometry; lines with the parts of all.
 
     Layers that aren't included, or are excluded, go, as do features beyond the extent times scale. Tiles of which
@@ -284,33 +400,45 @@ def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclud
     if exclude:
         features = features.where(~F.col("layer").isin(exclude))
     features = durable(features)
-    dealt = features.repartition(partitions(features.sparkSession, features), "z", "x", "y", "layer")
     tile = ["z", "x", "y", "layer"]
-    # the layer is the first payload's: its version and its place
-    layers = dealt.groupBy(*tile).agg(F.min("extent").alias("least"), F.max("extent").alias("most"), F.min(F.struct("payload", "layer_at", "version")).alias("head"))
+    # the layer is the first payload's: its version and its place; numbers alone are reduced before they move
+    layers = features.groupBy(*tile, "payload", "layer_at", "version").agg(F.min("extent").alias("least"), F.max("extent").alias("most"))
+    layers = layers.groupBy(*tile).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min(F.struct("payload", "layer_at", "version")).alias("head"))
     differ = F.concat(F.lit("layer "), "layer", F.lit(" of tile "), F.concat_ws("/", "z", "x", "y"), F.lit(" has extents "), F.col("least").cast("string"), F.lit(" and "), F.col("most").cast("string"))
-    layers = layers.select(*tile, F.when(F.col("least") < F.col("most"), F.raise_error(differ).cast("int")).otherwise(F.col("least")).alias("layer_extent"), F.struct(F.col("head.payload").alias("p"), F.col("head.layer_at").alias("a")).alias("layer_place"), F.col("head.version").alias("layer_version"))
+    layers = durable(layers.select(*tile, F.when(F.col("least") < F.col("most"), F.raise_error(differ).cast("int")).otherwise(F.col("least")).alias("layer_extent"), F.struct(F.col("head.payload").alias("p"), F.col("head.layer_at").alias("a")).alias("layer_place"), F.col("head.version").alias("layer_version")))
     far = lambda c: F.exists(F.flatten("geom"), lambda p: F.abs(p[c]) > F.col("extent") * scale)
-    sane = dealt.where(~far("x") & ~far("y")).withColumn("fkey", feature_key(F.col("gtype"), F.col("fid"), F.col("props"), F.col("geom")))
-    merged = merge(sane, [*tile, "fkey"], ["payload", "at"])
+    # features are dealt by their own key, as a tile may hold very many
+    sane = with_shape(features.where(~far("x") & ~far("y"))).repartition(partitions(features.sparkSession, features), *tile, *SHAPE)
+    merged = merge(sane, [*tile, *SHAPE], ["payload", "at"])
     placed = merged.join(layers, tile).drop("version", "extent", "layer_at").withColumnsRenamed({"layer_version": "version", "layer_extent": "extent", "layer_place": "layer_at"})
-    return checked(encode_payloads(placed, ["payload", "at"]), limits)
+    return checked(encode_payloads(durable(placed) if piece else placed, ["payload", "at"], piece=piece), limits)
 
 
 def checked(tiles: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """tiles (z, x, y, tile), all within the limits, or an error."""
+    """tiles (z, x, y, tile), whole or in pieces that stand one after another, all within the limits, or an error."""
+    keys = ["z", "x", "y"]
+    pieces = "piece" in tiles.columns
 
     def run(batches):
-        for batch in batches:
-            for *address, tile in zip(*(batch.column(c).to_pylist() for c in ("z", "x", "y", "tile")), strict=True):
-                try:
-                    for _ in read_payload(tile, limits):
-                        pass
-                except Broken as e:
-                    raise ValueError(f"merged tile {'/'.join(map(str, address))}: {e}") from e
-            yield batch
+        held: list[pa.RecordBatch] = []
 
-    return tiles.select("z", "x", "y", "tile").mapInArrow(run, "z int, x int, y int, tile binary")
+        def seen():
+            for batch in batches:
+                held.append(batch)
+                yield batch
+
+        for address, tile in whole(seen(), keys):
+            try:
+                for _ in read_payload(tile, limits):
+                    pass
+            except Broken as e:
+                raise ValueError(f"merged tile {'/'.join(map(str, address))}: {e}") from e
+            yield from held[:-1]
+            del held[:-1]
+        yield from held
+
+    names = [*keys, *["piece"] * pieces, "tile"]
+    return tiles.select(*names).mapInArrow(run, f"z int, x int, y int, {'piece int, ' if pieces else ''}tile binary")
 
 
 def payload_totals(payloads: DataFrame, limits: dict[str, int] | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -320,18 +448,33 @@ def payload_totals(payloads: DataFrame, limits: dict[str, int] | None = None, ke
     names = [*keys, "bytes", "layers", "features", "points", "broken"]
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for tile in batch.column("tile").to_pylist():
-                totals: dict[str, int] = {}
-                broken = None
-                try:
-                    for _ in read_payload(tile or b"", limits, totals):
-                        pass
-                except Broken as e:
-                    broken = e.kind
-                out.append((*(totals[c] for c in names[-5:-1]), broken))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([r[k] for r in out], pa.string() if k == 4 else pa.int64()) for k in range(5))], names=names)
+        types: list[pa.DataType] = []
+
+        def typed():
+            for batch in batches:
+                types[:] = [batch.schema.field(k).type for k in keys]
+                yield batch
+
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            kinds = [*types, *[pa.int64()] * 4, pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+        for key, tile in whole(typed(), keys):
+            totals: dict[str, int] = {}
+            broken = None
+            try:
+                for _ in read_payload(tile, limits, totals):
+                    pass
+            except Broken as e:
+                broken = e.kind
+            out.append((*key, *(totals[c] for c in names[-5:-1]), broken))
+            if len(out) == 1000:
+                yield made()
+                out.clear()
+        if out:
+            yield made()
 
     kinds = dict(payloads.dtypes)
-    return payloads.select(*keys, "tile").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {TOTALS}")
+    return in_order(payloads, keys).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {TOTALS}")
