@@ -372,3 +372,17 @@ def test_tiles_of_all_points(spark):
     tables = {"events": spark.createDataFrame([(k, 1) for k in range(2000)], "event_id long, user_id long")}
     got = [tuple(r) for r in tiles.distinct_tiles_all(tables.get).collect()]
     assert len(got) == len(set(got)) and [r for r in got if r[0] == 0] == [(0, 0, 0)] and len([r for r in got if r[0] == 10]) > 1000
+
+
+def test_collections_are_read_once_as_texts(spark, tmp_path):
+    from tilewright.sources import archives
+
+    for k in range(3):
+        features = ",".join('{"type":"Feature","properties":{"n":"%d","e":null},\n"geometry":%s}' % (i, "null" if i % 4 == 0 else '{"type":"Point","coordinates":[1,2]}') for i in range(400))
+        (tmp_path / f"c_{k}.json").write_text('{"type":"FeatureCollection",\n"features":[' + features + "]}")
+    (tmp_path / "empty.json").write_text("")
+    found = archives.read_collection(spark, str(tmp_path))
+    assert found.count() == 900 and found.select("geometry").distinct().collect() == [('{"type":"Point","coordinates":[1,2]}',)]
+    assert {r["properties"]["n"] for r in found.collect()} == {str(i) for i in range(400) if i % 4}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" in plan and "FileScan json" not in plan

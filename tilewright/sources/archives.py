@@ -113,23 +113,26 @@ def unpack_sqlite(archives: DataFrame, column: str = "content") -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            for data in batch.column(0):
                 db = sqlite3.connect(":memory:")
-                db.deserialize(data)
+                db.deserialize(data.as_py())
                 cursor = db.execute("SELECT zoom_level, tile_column, tile_row, tile_data FROM tiles")
                 while rows := cursor.fetchmany(1000):
                     z, x, y, tile = zip(*rows, strict=True)
                     plain = [gzip.GzipFile(fileobj=io.BytesIO(t)).read() if t[:2] == b"\x1f\x8b" else t for t in tile]
                     yield pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(x, pa.int32()), pa.array([(1 << a) - 1 - b for a, b in zip(z, y, strict=True)], pa.int32()), pa.array(plain, pa.binary())], names=["z", "x", "y", "tile"])
+                db.close()
 
     return archives.select(column).mapInArrow(unpack, "z int, x int, y int, tile binary")
 
 
 def read_collection(spark: SparkSession, path: str, geometry: str = "string") -> DataFrame:
     """(file, properties, geometry) of the features of FeatureCollections; features without geometry are left out. A
-    document of another type stops the scan."""
-    schema = f"type string, features array<struct<type:string,properties:map<string,string>,geometry:{geometry}>>"
-    docs = spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.input_file_name())
+    document of another type stops the scan. Each file is read once, as a text; a reader of JSON over several lines goes
+    through a large one many times."""
+    schema = f"struct<type:string,features:array<struct<type:string,properties:map<string,string>,geometry:{geometry}>>>"
+    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")).where(F.trim("value") != "")
+    docs = raw.select("file", F.from_json("value", schema).alias("d")).select("file", "d.type", "d.features")
     found = F.when(F.col("type").eqNullSafe("FeatureCollection"), F.col("features")).otherwise(F.raise_error(F.concat(F.lit("not a FeatureCollection: "), F.col("file"))))
     return docs.select("file", F.explode(found).alias("f")).select("file", "f.properties", "f.geometry").where("geometry IS NOT NULL")
 
