@@ -89,11 +89,17 @@ def merge(features: DataFrame, keys: list[str], order: list[str], extent: Column
 def layer_copy(features: DataFrame, source: str, target: str, overrides: dict[str, str], extent: Column | None = None, scale: int = 128) -> DataFrame:
     """The source layer under a new name, its properties overridden; null overrides take a property away. With extent,
     features without points or beyond the extent times scale are left out."""
+    # the layer is compared first, so that geometries of the others aren't looked at
+    features = features.where(F.col("layer") == source)
     features = features if extent is None else features.where(sane(F.col("geom"), extent, scale))
     drop = [k for k, v in overrides.items() if v is None]
     new = F.create_map(*(F.lit(x) for k, v in overrides.items() if v is not None for x in (k, v)))
-    kept = F.map_filter("props", lambda k, v: ~k.isin([*overrides]))
-    return features.where(F.col("layer") == source).withColumn("layer", F.lit(target)).withColumn("props", F.map_concat(kept, new) if len(drop) < len(overrides) else kept)
+    # entries are removed by value, as functions of lambdas aren't compiled
+    entries = F.map_entries("props")
+    for k in overrides:
+        entries = F.array_remove(entries, F.struct(F.lit(k).alias("key"), F.col("props")[k].alias("value")))
+    kept = F.map_from_entries(entries)
+    return features.withColumn("layer", F.lit(target)).withColumn("props", F.map_concat(kept, new) if len(drop) < len(overrides) else kept)
 
 
 def inspect_layers(features: DataFrame, keys: list[str]) -> DataFrame:
