@@ -386,3 +386,26 @@ def test_collections_are_read_once_as_texts(spark, tmp_path):
     assert {r["properties"]["n"] for r in found.collect()} == {str(i) for i in range(400) if i % 4}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FileScan text" in plan and "FileScan json" not in plan
+
+
+def test_layer_copy_compares_the_layer_first_and_is_compiled(spark):
+    from tilewright.operators import features as G
+
+    df = spark.createDataFrame([("a", 1, {"k": "v", "s": None, "t": "w"}, [[(1.0, 2.0)]]), ("b", 2, {"k": "v"}, [[(1.0, 2.0)]]), ("a", 3, {}, [[(1.0, 2.0)]]), ("a", 4, {"k": "v"}, [[(9e9, 2.0)]])], f"layer string, fid long, props map<string,string>, geom {G.GEOMETRY}")
+    got = G.layer_copy(df, "a", "c", {"k": "new", "s": None}, F.lit(4096.0))
+    assert sorted((r["layer"], r["fid"], r["props"]) for r in got.collect()) == [("c", 1, {"t": "w", "k": "new"}), ("c", 3, {"k": "new"})]
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_layers_of_a_style_are_taken_one_by_one():
+    import json
+
+    from tilewright.functions.style import members_of
+
+    for style in ({}, {"layers": None}, {"layers": []}, {"a": [1, {"layers": [2]}], "layers": [{"x": 1}, {"y": [1, 2]}], "b": "]"}, {"layers": [{"q": i} for i in range(50)]}):
+        for indent in (None, 2):
+            assert list(members_of(json.dumps(style, indent=indent), "layers")) == (style.get("layers") or [])
+    assert list(members_of('{"layers":[{"a":1}],"layers":[{"b":2},{"c":3}]} ', "layers")) == [{"b": 2}, {"c": 3}]
+    for bad in ("", "[]", '{"layers":[1,]}', '{"layers":[1}', '{"a":1,}', '{"a":1} x', '{"layers":{"a":1}}'):
+        with pytest.raises(ValueError):
+            list(members_of(bad, "layers"))

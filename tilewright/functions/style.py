@@ -110,6 +110,58 @@ def boundary_recoded(value):
     return [op, left, right, *args[2:]]
 
 
+def members_of(text: str, name: str):
+    """The elements of an array in a JSON object, one after another, none where it is absent or empty; the object is never
+    whole in memory. Of a name that repeats the last counts."""
+    decode, blanks = json.JSONDecoder().raw_decode, re.compile(r"[ \t\n\r]*")
+    skip = lambda at: blanks.match(text, at).end()
+
+    def expect(at: int, signs: str) -> int:
+        at = skip(at)
+        if text[at : at + 1] not in tuple(signs):
+            raise ValueError(f"one of {signs} expected at {at}")
+        return at
+
+    def elements(at: int):
+        """(place, element) of the array that begins here; at the end the place behind it and nothing."""
+        at = skip(at + 1)
+        while text[at : at + 1] != "]":
+            value, after = decode(text, at)
+            yield at, value
+            at = expect(after, ",]")
+            if text[at] == ",":
+                at = skip(at + 1)
+                if text[at : at + 1] == "]":
+                    raise ValueError(f"an element expected at {at}")
+        yield at + 1, None
+
+    at, found = skip(expect(0, "{") + 1), None
+    while text[at : at + 1] != "}":
+        key, at = decode(text, expect(at, '"'))
+        at = skip(expect(at, ":") + 1)
+        if key == name and text[at : at + 1] == "[":
+            found = at
+            for at, _ in elements(at):  # noqa: B007
+                pass
+        else:
+            value, at = decode(text, at)
+            if key == name:
+                if value:
+                    raise ValueError(f"{name} is not an array")
+                found = None
+        at = expect(at, ",}")
+        if text[at] == ",":
+            at = expect(at + 1, '"')
+    if skip(at + 1) != len(text):
+        raise ValueError("more text than one object")
+    if found is not None:
+        held = None
+        for own in elements(found):
+            if held is not None:
+                yield held[1]
+            held = own
+
+
 def read_layers(spark: SparkSession, path: str) -> DataFrame:
     """(style, place, id, type, source, source_layer, minzoom, maxzoom, filter, layout, paint) of the layers of styles,
     expressions as JSON text. A path without styles gives no rows; a style without layers gives none of its own."""
@@ -117,15 +169,23 @@ def read_layers(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         names = [c.split(" ")[0] for c in LAYERS.split(", ")]
+        kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.float64(), pa.float64(), *[pa.string()] * 3]
+        dump = lambda v: None if v is None else json.dumps(v, ensure_ascii=False)
+        number = lambda v: None if v is None else float(v)
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["style", "place", *names])
+
         for batch in batches:
-            rows = []
-            for style, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for place, x in enumerate(json.loads(text).get("layers") or []):
-                    dump = lambda v: None if v is None else json.dumps(v, ensure_ascii=False)
-                    number = lambda v: None if v is None else float(v)
-                    rows.append((style, place, x.get("id"), x.get("type"), x.get("source"), x.get("source-layer"), number(x.get("minzoom")), number(x.get("maxzoom")), *(dump(x.get(k)) for k in ("filter", "layout", "paint"))))
-            kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.float64(), pa.float64(), *[pa.string()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["style", "place", *names])
+            for style, text in zip(batch.column(0), batch.column(1), strict=True):
+                for place, x in enumerate(members_of(text.as_py(), "layers")):
+                    rows.append((style.as_py(), place, x.get("id"), x.get("type"), x.get("source"), x.get("source-layer"), number(x.get("minzoom")), number(x.get("maxzoom")), *(dump(x.get(k)) for k in ("filter", "layout", "paint"))))
+                    if len(rows) == 2000:
+                        yield made()
+                        rows.clear()
+        if rows:
+            yield made()
 
     return raw.mapInArrow(run, f"style string, place int, {LAYERS}")
 
