@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,15 @@ def test_payloads_in_pieces_are_those_in_one(spark):
     assert sorted(typed.payload_totals(pieces, keys=keys).drop("z", "x", "y").collect()) == sorted(typed.payload_totals(rows(spark, tiles), keys=keys).drop("z", "x", "y").collect())
     merged = {r["piece"]: bytes(r["tile"]) for r in typed.merge_payloads(pieces, piece=64).collect()}
     assert b"".join(merged[k] for k in sorted(merged)) == bytes(typed.merge_payloads(rows(spark, tiles)).first()["tile"])
+
+
+def test_a_payload_in_pieces_is_held_once():
+    import tracemalloc
+
+    piece = b"x" * (1 << 20)
+    batches = lambda: (pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int32()), pa.array([piece], pa.binary())], names=["z", "piece", "tile"]) for k in range(24))
+    tracemalloc.start()
+    sizes = [len(tile) for _, tile in typed.whole(batches(), ["z"])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [24 << 20] and peak < 36 << 20

@@ -267,7 +267,8 @@ def in_order(payloads: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def whole(batches, keys: list[str]) -> Iterator[tuple[tuple, bytes]]:
-    """(key, bytes) of the payloads in batches of in_order(), one at a time."""
+    """(key, bytes) of the payloads in batches of in_order(), one at a time and never copied: what grew out of pieces is
+    handed over as it is."""
     key, held = None, bytearray()
     for batch in batches:
         tiles = batch.column("tile")
@@ -278,12 +279,12 @@ def whole(batches, keys: list[str]) -> Iterator[tuple[tuple, bytes]]:
                 yield own, data
                 continue
             if own != key and key is not None:
-                yield key, bytes(held)
+                yield key, held
                 held = bytearray()
             key = own
             held += data
     if key is not None:
-        yield key, bytes(held)
+        yield key, held
 
 
 def decode_payloads(payloads: DataFrame, limits: dict[str, int] | None = None, rows: int = 2000) -> DataFrame:
@@ -411,34 +412,36 @@ def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclud
     sane = with_shape(features.where(~far("x") & ~far("y"))).repartition(partitions(features.sparkSession, features), *tile, *SHAPE)
     merged = merge(sane, [*tile, *SHAPE], ["payload", "at"])
     placed = merged.join(layers, tile).drop("version", "extent", "layer_at").withColumnsRenamed({"layer_version": "version", "layer_extent": "extent", "layer_place": "layer_at"})
-    return checked(encode_payloads(durable(placed) if piece else placed, ["payload", "at"], piece=piece), limits)
+    return checked(durable(encode_payloads(durable(placed), ["payload", "at"], piece=piece)) if piece else encode_payloads(placed, ["payload", "at"]), limits)
 
 
 def checked(tiles: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """tiles (z, x, y, tile), whole or in pieces that stand one after another, all within the limits, or an error."""
+    """tiles (z, x, y, tile), all within the limits, or an error. Those in pieces are a stored table, which is read once to
+    check them; so a task holds a tile, and not its rows beside it."""
     keys = ["z", "x", "y"]
-    pieces = "piece" in tiles.columns
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
+    def check(address: tuple, tile: bytes) -> None:
+        try:
+            for _ in read_payload(tile, limits):
+                pass
+        except Broken as e:
+            raise ValueError(f"merged tile {'/'.join(map(str, address))}: {e}") from e
 
-        def seen():
-            for batch in batches:
-                held.append(batch)
-                yield batch
-
-        for address, tile in whole(seen(), keys):
-            try:
-                for _ in read_payload(tile, limits):
-                    pass
-            except Broken as e:
-                raise ValueError(f"merged tile {'/'.join(map(str, address))}: {e}") from e
-            yield from held[:-1]
-            del held[:-1]
-        yield from held
-
-    names = [*keys, *["piece"] * pieces, "tile"]
-    return tiles.select(*names).mapInArrow(run, f"z int, x int, y int, {'piece int, ' if pieces else ''}tile binary")
+    def each(batches):
+        for batch in batches:
+            for address, tile in whole([batch], keys):
+                check(address, tile)
+            yield batch
+
+    def alone(batches):
+        for address, tile in whole(batches, keys):
+            check(address, tile)
+            yield pa.RecordBatch.from_arrays([pa.array([address[0]], pa.int32())], names=["z"])
+
+    if "piece" in tiles.columns:
+        in_order(tiles, keys).mapInArrow(alone, "z int").write.format("noop").mode("overwrite").save()
+        return tiles.select(*keys, "piece", "tile")
+    return tiles.select(*keys, "tile").mapInArrow(each, "z int, x int, y int, tile binary")
 
 
 def payload_totals(payloads: DataFrame, limits: dict[str, int] | None = None, keys: list[str] | None = None) -> DataFrame:
