@@ -63,11 +63,13 @@ _TREES = """trees AS (SELECT 'filter' AS field, CASE p_size % 3 WHEN 0 THEN '["=
   UNION ALL SELECT 'paint', '{"fill-color": ["case", ["has", "extrude"], "rgb(' || p_size || ', 0, 255)", " white "], "x": "navy"}' FROM part)"""
 
 
-def _literals(read):
+def _literals(read, *fields):
+    """(field, n, path, at, kind, value) of the literals in these fields of all layers; equal trees are walked once, and n
+    is how many there are."""
     from tilewright.operators import trees as W
 
-    whole = _layers(read).select("place", F.explode(F.create_map(*(x for c in ("filter", "layout", "paint") for x in (F.lit(c), F.col(c))))).alias("field", "tree"))
-    return W.expression_literals(W.leaves(whole, ["place", "field"], "tree"))
+    whole = _layers(read).select(F.explode(F.create_map(*(x for c in fields for x in (F.lit(c), F.col(c))))).alias("field", "tree"))
+    return W.expression_literals(W.leaves(whole.groupBy("field", "tree").agg(F.count("*").alias("n")), ["field", "n"], "tree"))
 
 
 # the oracle walks the texts with its own tree function; the first of an array names an operator
@@ -75,7 +77,7 @@ def _literals(read):
 SELECT field, CASE type WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'flag' ELSE 'number' END AS kind, value, count(*) AS n FROM j GROUP BY ALL""")
 def style_literals(read):
     """Literals of filters, layouts and paints of every layer, whatever their depth."""
-    return _literals(read).groupBy("field", "kind", "value").agg(F.count("*").alias("n"))
+    return _literals(read, "filter", "layout", "paint").groupBy("field", "kind", "value").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT '#' || printf('%02X', CAST(p_size AS INT)) || '00FF' AS color, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT '#FFFFFF', count(*) FROM part")
@@ -84,7 +86,7 @@ def style_colors(read):
     from tilewright.functions.text import color_to_hex
 
     color = color_to_hex(F.col("value"))
-    return _literals(read).where("field = 'paint' AND kind = 'text'").select(color.alias("color")).where(F.col("color").rlike("^#[0-9A-F]{6}([0-9A-F]{2})?$")).groupBy("color").agg(F.count("*").alias("n"))
+    return _literals(read, "paint").where("kind = 'text'").select(color.alias("color"), "n").where(F.col("color").rlike("^#[0-9A-F]{6}([0-9A-F]{2})?$")).groupBy("color").agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH {_ROWS}, t AS (SELECT p_brand AS style, l.*, {_TARGET_SQL} AS target FROM l JOIN part USING (p_partkey)), k AS (SELECT * FROM t WHERE own OR target IS NOT NULL)
