@@ -16,3 +16,36 @@ def test_equal_trees_are_walked_once(spark, monkeypatch):
     parts = spark.read.parquet(f"{SMALL}/part.parquet")
     assert walked[0].count() == parts.select("p_size").distinct().count() < parts.count()
     assert {r["color"]: r["n"] for r in colors.collect()}["#FFFFFF"] == parts.count()
+
+
+def test_addresses_as_arrays_equal_those_one_by_one():
+    import random
+
+    from tilewright.sources.pmtiles import tile_address, tile_addresses, tile_number, tile_numbers
+
+    r = random.Random(5)
+    tiles = [(z, r.randrange(1 << z), r.randrange(1 << z)) for z in (0, 1, 2, 3, 7, 20, 30) for _ in range(200)]
+    numbers = [tile_number(*t) for t in tiles]
+    assert tile_numbers(*zip(*tiles, strict=True)).tolist() == numbers
+    assert list(zip(*(v.tolist() for v in tile_addresses(numbers)), strict=True)) == tiles == [tile_address(n) for n in numbers]
+
+
+def test_a_small_tile_at_many_addresses_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from tilewright.sources import ranged
+
+    path = str(tmp_path / "a.pmtiles")
+    i = F.col("id")
+    tiles = spark.range(40000).select(F.lit(10).alias("z"), (i % 256).cast("int").alias("x"), F.floor(i / 256).cast("int").alias("y"), F.encode((i % 7).cast("string"), "UTF-8").alias("tile"))
+    ranged.write_tiles(tiles, path, {})
+    monkeypatch.setattr(ranged, "PART_TILES", 5000, raising=False)
+    options = {"paths": json.dumps([path]), "min_x": "100", "max_x": "130"}
+    reader = ranged.ArchiveReader(options)
+    parts = reader.partitions()
+    assert len(parts) > 2
+    got = [row for p in parts for b in reader.read(p) for row in b.to_pylist()]
+    want = tiles.where("x BETWEEN 100 AND 130").collect()
+    assert sorted((g["z"], g["x"], g["y"], g["tile"]) for g in got) == sorted((w["z"], w["x"], w["y"], bytes(w["tile"])) for w in want)

@@ -30,20 +30,25 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from tilewright.plans.storage import durable, partitions
-from tilewright.sources.pmtiles import HEADER, HEADER_BYTES, ROOT_BYTES, MAGIC, _directory, _entries, tile_address, tile_number
+from tilewright.sources.pmtiles import HEADER, HEADER_BYTES, ROOT_BYTES, MAGIC, _directory, _entries, tile_addresses, tile_number, tile_numbers
 
 #: Bytes of one range at most, of a partition's tiles about, and of a tile.
 MAX_RANGE, PART_BYTES, MAX_TILE = 16 << 20, 64 << 20, 16 << 20
+#: Bytes between two tiles that are read along with them at most, as another request costs more.
+GAP = 64 << 10
 #: Attempts, seconds of one, first and longest pause; failures in a row that open the circuit, and for how long.
 ATTEMPTS, TIMEOUT, PAUSE, LONGEST_PAUSE, FAILURES, COOLDOWN = 4, 10.0, 0.12, 1.5, 6, 15.0
 #: Runs of numbers that a box is cut into at most, for each zoom; beyond that squares are taken whole and rows filtered.
 RUNS = 256
+#: Numbers that a partition addresses, about: a tile of few bytes may stand at very many.
+PART_TILES = 200_000
 #: Entries of a leaf at least, and leaves of an archive at most.
 LEAF, LEAVES = 4096, 2000
 SCHEMA = "path string, z int, x int, y int, tile binary"
@@ -197,33 +202,64 @@ def entries_in(reader: RangeReader, header: dict[str, int], wanted: list[tuple[i
             todo += list(zip(below, ends, strict=True))[::-1]
 
 
-def tiles_in(reader: RangeReader, wanted: list[tuple[int, int]], most: int = MAX_TILE) -> Iterator[tuple[int, int, int, bytes]]:
+def tiles_in(reader: RangeReader, wanted: list[tuple[int, int]], most: int = MAX_TILE, box: dict[str, list[int]] | None = None) -> Iterator[tuple[int, int, int, bytes]]:
     """(z, x, y, tile) of the numbers in runs wanted. Neighbouring tiles are read as one range; a tile that several
-    numbers share is read once a range."""
+    numbers share is read once a range. With box, bounds (first, last) of z, x and y, tiles beyond it are left out, and no
+    range is read for them."""
     header, held, low, high = header_of(reader), [], 0, 0
+    starts, ends = (np.array([r[k] for r in wanted], dtype=np.int64) for k in (0, 1))
+
+    def placed():
+        """Entries that hold numbers wanted, with the addresses of those, some thousand entries at a time."""
+        some: list[tuple] = []
+
+        def found():
+            runs = np.array([e[:2] for e in some], dtype=np.int64).reshape(-1, 2)
+            entry = np.repeat(np.arange(len(some)), runs[:, 1])
+            numbers = np.arange(len(entry)) - np.repeat(np.cumsum(runs[:, 1]) - runs[:, 1], runs[:, 1]) + runs[entry, 0]
+            at = np.searchsorted(starts, numbers, side="right") - 1
+            keep = (at >= 0) & (numbers < ends[at])
+            entry, numbers = entry[keep], numbers[keep]
+            address = tile_addresses(numbers)
+            if box:
+                inside = np.logical_and.reduce([(v >= box[c][0]) & (v <= box[c][1]) for c, v in zip("zxy", address, strict=True)])
+                entry, address = entry[inside], [v[inside] for v in address]
+            firsts = np.flatnonzero(np.diff(entry, prepend=-1)).tolist()
+            z, x, y = (v.tolist() for v in address)
+            for a, b in zip(firsts, [*firsts[1:], len(z)], strict=False):
+                yield some[entry[a]], z[a:b], x[a:b], y[a:b]
+            some.clear()
+
+        count = 0
+        # a run is cut where it is very long
+        for number, run, offset, length in entries_in(reader, header, wanted):
+            if length > most:
+                raise ValueError(f"{reader.path}: a tile of {length} bytes is beyond {most}")
+            if offset + length > header["tiles_bytes"]:
+                raise ValueError(f"{reader.path}: an entry points beyond the tiles")
+            for k in range(number, number + run, 1 << 16):
+                some.append((k, min(1 << 16, number + run - k), offset, length))
+                count += some[-1][1]
+                if count >= 1 << 16:
+                    yield from found()
+                    count = 0
+        yield from found()
 
     def flush():
         if held:
             data = reader.read(header["tiles"] + low, high - low)
-            for number, run, offset, length in held:
+            for (_, _, offset, length), z, x, y in held:
                 tile = data[offset - low : offset - low + length]
-                for k in range(number, number + run):
-                    if _meet(wanted, k, k + 1):
-                        yield *tile_address(k), tile
+                yield from zip(z, x, y, [tile] * len(z), strict=True)
             held.clear()
 
-    for e in entries_in(reader, header, wanted):
-        offset, end = e[2], e[2] + e[3]
-        if e[3] > most:
-            raise ValueError(f"{reader.path}: a tile of {e[3]} bytes is beyond {most}")
-        if end > header["tiles_bytes"]:
-            raise ValueError(f"{reader.path}: an entry points beyond the tiles")
-        if held and (offset < low or offset > high or end - low > MAX_RANGE):
+    for e in placed():
+        offset, end = e[0][2], e[0][2] + e[0][3]
+        apart = held and (offset > high + GAP or offset + GAP < low or max(high, end) - min(low, offset) > MAX_RANGE)
+        if apart or len(held) >= 1 << 16:
             yield from flush()
-        if not held:
-            low, high = offset, end
+        low, high = (min(low, offset), max(high, end)) if held else (offset, end)
         held.append(e)
-        high = max(high, end)
     yield from flush()
 
 
@@ -260,13 +296,15 @@ class ArchiveReader(DataSourceReader):
             # the root alone: its entries, or leaves of about equal numbers of entries, share the bytes of the tiles
             root = _entries(reader.read(header["root"], header["root_bytes"]))
             entries = [e for e, end in zip(root, [*(e[0] for e in root[1:]), 1 << 62], strict=False) if _meet(wanted, e[0], e[0] + e[1] if e[1] else end)]
-            leaf_bytes = header["tiles_bytes"] / max(1, sum(e[3] for e in root if not e[1]))
-            cuts, held = [], 0.0
+            below = max(1, sum(e[3] for e in root if not e[1]))
+            leaf_bytes, leaf_tiles = header["tiles_bytes"] / below, header["addressed"] / below
+            cuts, held, stood = [], 0.0, 0.0
             for e in entries:
-                if held >= self.part_bytes:
+                if held >= self.part_bytes or stood >= PART_TILES:
                     cuts.append(e[0])
-                    held = 0.0
+                    held = stood = 0.0
                 held += e[3] if e[1] else e[3] * leaf_bytes
+                stood += e[1] or e[3] * leaf_tiles
             bounds = [0, *cuts, 1 << 62]
             out = []
             for a, b in zip(bounds, bounds[1:], strict=False) if entries else ():
@@ -288,7 +326,7 @@ class ArchiveReader(DataSourceReader):
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, names=["path", "z", "x", "y", "tile"])
 
-        for row in tiles_in(RangeReader(partition.path), partition.runs, self.most):
+        for row in tiles_in(RangeReader(partition.path), partition.runs, self.most, self.bounds):
             rows.append(row)
             size += len(row[3])
             if len(rows) == 1000 or size > MAX_RANGE:
@@ -395,8 +433,10 @@ def read_tile(spark: SparkSession, path: str, z: int, x: int, y: int, most: int
 
 def _numbers(batches):
     for batch in batches:
-        z, x, y = (batch.column(c).to_pylist() for c in ("z", "x", "y"))
-        yield pa.RecordBatch.from_arrays([pa.array([tile_number(*a) for a in zip(z, x, y, strict=True)], pa.int64()), batch.column("z"), batch.column("tile")], names=["number", "z", "tile"])
+        if any(batch.column(c).null_count for c in ("z", "x", "y")):
+            raise ValueError("a tile has no address")
+        z, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("z", "x", "y"))
+        yield pa.RecordBatch.from_arrays([pa.array(tile_numbers(z, x, y), pa.int64()), batch.column("z"), batch.column("tile")], names=["number", "z", "tile"])
 
 
 def _running(rows: DataFrame, sizes: str, order: str) -> DataFrame:
@@ -461,7 +501,8 @@ def write_tiles(tiles: DataFrame, path: str, metadata: dict) -> dict[str, int]:
         if held:
             yield leaf()
 
-    parts = max(1, min(LEAVES, n // step))
+    # a task makes several leaves, as one is little work beside its start
+    parts = max(1, min(LEAVES, n // (16 * step)))
     made = durable(entries.repartitionByRange(parts, "number").sortWithinPartitions("number").mapInArrow(leaves, "number long, entries long, data binary"))
     tops, ahead, counted = [], 0, 0
     for r in made.select("number", "entries", F.octet_length("data").alias("length")).orderBy("number").toLocalIterator():
@@ -481,9 +522,11 @@ def write_tiles(tiles: DataFrame, path: str, metadata: dict) -> dict[str, int]:
     start = first + len(about) + ahead
     header = struct.pack(HEADER, MAGIC, 3, HEADER_BYTES, len(root), first, len(about), first + len(about), ahead, start, size, n, counted, contents, 1, 2, 1, 1, low, high, -1_800_000_000, -850_511_287, 1_800_000_000, 850_511_287, low, 0, 0)
     head = spark.createDataFrame([(0, bytearray(header + root + about))], "at long, data binary")
-    # tiles move once, and are written wherever they meet their places
-    bodies = numbered.repartition(partitions(spark, numbered), "digest").groupBy("digest").agg(F.any_value("tile").alias("data"))
-    rows = placed.select("digest", (F.col("offset") + start).alias("at")).join(bodies, "digest").select("at", "data")
+    # a tile is written from the first number that it stands at, so copies of one tile don't meet; rows of one address may
+    # hold one tile twice
+    own = placed.select("number", F.col("digest").alias("own"), (F.col("offset") + start).alias("at"))
+    bodies = numbered.repartition(partitions(spark, numbered), "number").join(own, "number").where("digest = own")
+    rows = bodies.groupBy("number", "at").agg(F.any_value("tile").alias("data")).select("at", "data")
     if tops:
         offsets = spark.createDataFrame([(t[0], t[2] + first + len(about)) for t in tops], "number long, at long")
         head = head.unionByName(made.join(offsets, "number").select("at", "data"))
