@@ -15,7 +15,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from tilewright.sources.ranged import MAX_RANGE, Archive, RangeReader, _running
 #: fixed values of the format: what a header of data begins with, the most bytes of a header and of a blob
 MARK, MOST_HEADER, MOST_BLOB = b"\x0a\x07OSMData", 64 << 10, 32 << 20
 PART_BYTES, ELEMENTS = 64 << 20, 8000
+#: Tasks that read an extract at most; each takes neighbouring ranges where there are more.
+MOST_TASKS = 512
 SCHEMA = "path string, kind string, id long, tags map<string,string>, lon double, lat double, refs array<long>, members array<struct<kind:string,ref:long,role:string>>"
 KINDS = ("node", "way", "relation")
 
@@ -48,11 +50,33 @@ def packed(data: bytes, signed: bool = True) -> np.ndarray:
 
 
 def _pack(numbers, signed: bool = True) -> bytes:
-    return b"".join(_varint((n << 1 ^ n >> 63) if signed else n) for n in numbers)
+    v = np.array(numbers, dtype=np.int64)
+    v = (v << 1 ^ v >> 63).view(np.uint64) if signed else v.view(np.uint64)
+    if not len(v):
+        return b""
+    places = np.arange(10, dtype=np.uint64)
+    size = np.maximum(1, np.count_nonzero(v[:, None] >> (places * np.uint64(7)), axis=1))
+    out = (v[:, None] >> (places * np.uint64(7)) & np.uint64(127)).astype(np.uint8)
+    out |= np.where(places + np.uint64(1) < size[:, None].astype(np.uint64), np.uint8(128), np.uint8(0))
+    return out[places < size[:, None].astype(np.uint64)].tobytes()
+
+
+class _Dense(tuple):
+    """(ids, tags, lons, lats) of the dense nodes of a group, as arrays but for the tags."""
+
+
+def read_block(data: bytes, kinds: Sequence[str] = KINDS) -> Iterator[tuple]:
+    """(kind, id, tags, lon, lat, refs, members) of the elements of a block that are of these kinds."""
+    for e in _elements(data, kinds):
+        if isinstance(e, _Dense):
+            for i, tags, lon, lat in zip(e[0].tolist(), e[1], e[2].tolist(), e[3].tolist(), strict=True):
+                yield "node", i, tags, lon, lat, None, None
+        else:
+            yield e
 
 
-def read_block(data: bytes) -> Iterator[tuple]:
-    """(kind, id, tags, lon, lat, refs, members) of the elements of a block."""
+def _elements(data: bytes, wanted: Sequence[str]) -> Iterator[tuple]:
+    """The elements of a block, a group of dense nodes as one; what isn't of these kinds isn't decoded."""
     strings, groups, grain, lat0, lon0 = [], [], 100, 0, 0
     for k, v in _Reader(data).fields():
         if k == 1:
@@ -70,19 +94,24 @@ def read_block(data: bytes) -> Iterator[tuple]:
     tagged = lambda f: {strings[a]: strings[b] for a, b in zip(packed(f.get(2, b""), False).tolist(), packed(f.get(3, b""), False).tolist(), strict=True)}
     for group in groups:
         for kind, body in _Reader(group).fields():
+            if kind not in (1, 2, 3, 4) or KINDS[max(0, kind - 2)] not in wanted:
+                continue
             f = dict(_Reader(body).fields())
             if kind == 1:
                 yield "node", sign(f[1]), tagged(f), place(lon0, sign(f[9])), place(lat0, sign(f[8])), None, None
             elif kind == 2:
-                ids, lats, lons = (np.cumsum(packed(f.get(n, b""))).tolist() for n in (1, 8, 9))
-                pairs, at = packed(f.get(10, b""), False).tolist(), 0
-                for i, lat, lon in zip(ids, lats, lons, strict=True):
+                ids, lats, lons = (np.cumsum(packed(f.get(n, b""))) for n in (1, 8, 9))
+                if not len(ids) == len(lats) == len(lons):
+                    raise ValueError("dense nodes lack places")
+                pairs, at, every = packed(f.get(10, b""), False).tolist(), 0, []
+                for _ in range(len(ids)):
                     tags = {}
                     while at < len(pairs) and pairs[at]:
                         tags[strings[pairs[at]]] = strings[pairs[at + 1]]
                         at += 2
                     at += 1
-                    yield "node", i, tags, place(lon0, lon), place(lat0, lat), None, None
+                    every.append(tags)
+                yield _Dense((ids, every, place(lon0, lons), place(lat0, lats)))
             elif kind == 3:
                 yield "way", f[1], tagged(f), None, None, np.cumsum(packed(f.get(8, b""))).tolist(), None
             elif kind == 4:
@@ -93,14 +122,20 @@ def read_block(data: bytes) -> Iterator[tuple]:
 
 def write_block(elements: list[dict]) -> bytes:
     """A block of elements {kind, id, tags, lon, lat, refs, members}; nodes are dense."""
+    nodes = [e for e in elements if e["kind"] == "node"]
+    return _block([e["id"] for e in nodes], [e["tags"] for e in nodes], [e["lon"] for e in nodes], [e["lat"] for e in nodes], elements)
+
+
+def _block(ids, tags: list[dict], lons, lats, elements: list[dict]) -> bytes:
+    """A block of nodes by column, and of the ways and relations among elements."""
     strings = {"": 0}
     number = lambda s: strings.setdefault(s, len(strings))
-    delta = lambda v: [b - a for a, b in zip([0, *v], v, strict=False)]
+    delta = lambda v: np.diff(np.asarray(v, dtype=np.int64), prepend=0)
     groups = []
-    if nodes := [e for e in elements if e["kind"] == "node"]:
-        pairs = [x for e in nodes for x in (*(number(s) for kv in e["tags"].items() for s in kv), 0)]
-        at = lambda c: delta([round(e[c] * 1e7) for e in nodes])
-        groups.append(_field(2, _field(1, _pack(delta([e["id"] for e in nodes]))) + _field(8, _pack(at("lat"))) + _field(9, _pack(at("lon"))) + _field(10, _pack(pairs, False))))
+    if len(ids):
+        pairs = [x for own in tags for x in (*(number(s) for kv in own.items() for s in kv), 0)]
+        at = lambda v: delta(np.rint(np.asarray(v, dtype=np.float64) * 1e7).astype(np.int64))
+        groups.append(_field(2, _field(1, _pack(delta(ids))) + _field(8, _pack(at(lats))) + _field(9, _pack(at(lons))) + _field(10, _pack(pairs, False))))
     for kind, code in (("way", 3), ("relation", 4)):
         out = b""
         for e in (e for e in elements if e["kind"] == kind):
@@ -173,32 +208,49 @@ def blobs_in(reader: RangeReader, start: int, end: int, size: int) -> Iterator[b
 
 
 class _Bytes(InputPartition):
-    def __init__(self, path: str, start: int, end: int, size: int):
+    """Neighbouring ranges (start, end) of a file."""
+
+    def __init__(self, path: str, ranges: list[tuple[int, int]], size: int):
         super().__init__(None)
-        self.path, self.start, self.end, self.size = path, start, end, size
+        self.path, self.ranges, self.size = path, ranges, size
 
 
 class ExtractReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths, self.part = json.loads(options["paths"]), int(options.get("part_bytes", PART_BYTES))
+        self.kinds = json.loads(options.get("kinds", json.dumps(KINDS)))
 
     def partitions(self) -> Sequence[InputPartition]:
+        sizes = {path: os.path.getsize(path) for path in self.paths}
+        each = max(1, -(-sum(-(-size // self.part) for size in sizes.values()) // MOST_TASKS))
         out = []
-        for path in self.paths:
-            size = os.path.getsize(path)
-            out += [_Bytes(path, a, min(size, a + self.part), size) for a in range(0, size, self.part)]
-        return out or [_Bytes("", 0, 0, 0)]
+        for path, size in sizes.items():
+            ranges = [(a, min(size, a + self.part)) for a in range(0, size, self.part)]
+            out += [_Bytes(path, ranges[k : k + each], size) for k in range(0, len(ranges), each)]
+        return out or [_Bytes("", [], 0)]
 
     def read(self, partition: _Bytes) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
         member = pa.struct([("kind", pa.string()), ("ref", pa.int64()), ("role", pa.string())])
         kinds = [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(member)]
-        for data in blobs_in(RangeReader(partition.path), partition.start, partition.end, partition.size):
-            rows = list(read_block(data))
-            columns = [[r[k] for r in rows] for k in range(7)]
+        names = ["path", "kind", "id", "tags", "lon", "lat", "refs", "members"]
+
+        def batch(columns: list) -> pa.RecordBatch:
             columns[2] = [list(t.items()) for t in columns[2]]
-            yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["path", "kind", "id", "tags", "lon", "lat", "refs", "members"])
+            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([partition.path] * len(made[0]), pa.string()), *made], names=names)
+
+        reader = RangeReader(partition.path)
+        for start, end in partition.ranges:
+            for data in blobs_in(reader, start, end, partition.size):
+                rows = []
+                for e in _elements(data, self.kinds):
+                    if isinstance(e, _Dense):
+                        n = len(e[0])
+                        yield batch([["node"] * n, e[0], e[1], e[2], e[3], [None] * n, [None] * n])
+                    else:
+                        rows.append(e)
+                if rows:
+                    yield batch([[r[k] for r in rows] for k in range(7)])
 
 
 class Extract(DataSource):
@@ -215,10 +267,10 @@ class Extract(DataSource):
         return ExtractReader(self.options)
 
 
-def read_extract(spark: SparkSession, paths: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
-    """(path, kind, id, tags, lon, lat, refs, members) of the elements of extracts."""
+def read_extract(spark: SparkSession, paths: list[str], part_bytes: int = PART_BYTES, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(path, kind, id, tags, lon, lat, refs, members) of the elements of extracts that are of these kinds."""
     spark.dataSource.register(Extract)
-    return spark.read.format("tilewright_extract").option("paths", json.dumps(paths)).option("part_bytes", str(part_bytes)).load()
+    return spark.read.format("tilewright_extract").option("paths", json.dumps(paths)).option("part_bytes", str(part_bytes)).option("kinds", json.dumps(list(kinds))).load()
 
 
 def write_extract(elements: DataFrame, path: str, per_block: int = ELEMENTS) -> int:
@@ -229,18 +281,30 @@ def write_extract(elements: DataFrame, path: str, per_block: int = ELEMENTS) ->
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
 
     def blocks(batches):
-        held = []
+        held: list[pa.RecordBatch] = []
 
         def made():
-            out = pa.RecordBatch.from_arrays([pa.array([held[0]["rank"]], pa.int64()), pa.array([held[0]["id"]], pa.int64()), pa.array([blob("OSMData", write_block(held))], pa.binary())], names=["rank", "id", "data"])
+            own = pa.Table.from_batches(held)
+            place, kind = (own.column(c)[0].as_py() for c in ("id", "rank"))
+            if kind == 1:
+                data = _block(own.column("id").to_numpy(), [dict(t or ()) for t in own.column("tags").to_pylist()], own.column("lon").to_numpy(), own.column("lat").to_numpy(), [])
+            else:
+                data = write_block([row | {"tags": dict(row["tags"] or ())} for row in own.to_pylist()])
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([place], pa.int64()), pa.array([blob("OSMData", data)], pa.binary())], names=["rank", "id", "data"])
 
+        count = last = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and (len(held) == per_block or held[0]["rank"] != row["rank"]):
+            ranks, at = batch.column("rank").to_numpy(), 0
+            while at < len(ranks):
+                if held and (count == per_block or last != ranks[at]):
                     yield made()
-                held.append(row | {"tags": dict(row["tags"] or ())})
+                    count = 0
+                last = ranks[at]
+                # rows are sorted by rank
+                end = min(at + per_block - count, int(np.searchsorted(ranks, last, side="right")))
+                held.append(batch.slice(at, end - at))
+                count, at = count + end - at, end
         if held:
             yield made()
 
@@ -261,10 +325,21 @@ def write_extract(elements: DataFrame, path: str, per_block: int = ELEMENTS) ->
     return total
 
 
-def way_lines(elements: DataFrame) -> DataFrame:
-    """(id, tags, points, missing) of ways: their nodes' places in order, and how many of their nodes aren't there."""
-    nodes = elements.where("kind = 'node'").select(F.col("id").alias("ref"), F.struct("lon", "lat").alias("point"))
-    ways = elements.where("kind = 'way'").select("id", "tags", F.posexplode_outer("refs").alias("at", "ref"))
+#: Elements as rows, or a function that opens those of one kind, so that the others aren't decoded.
+Elements = DataFrame | Callable[[str], DataFrame]
+
+
+def _of(elements: Elements, kind: str) -> DataFrame:
+    return (elements(kind) if callable(elements) else elements).where(F.col("kind") == kind)
+
+
+def way_lines(elements: Elements, only: DataFrame | None = None) -> DataFrame:
+    """(id, tags, points, missing) of ways: their nodes' places in order, and how many of their nodes aren't there. With
+    only, rows of ids, just those ways."""
+    nodes = _of(elements, "node").select(F.col("id").alias("ref"), F.struct("lon", "lat").alias("point"))
+    ways = _of(elements, "way")
+    ways = ways if only is None else ways.join(only, "id", "left_semi")
+    ways = ways.select("id", "tags", F.posexplode_outer("refs").alias("at", "ref"))
     # a node that very many ways share is met by their references, which AQE splits
     met = ways.join(nodes, "ref", "left").groupBy("id").agg(F.any_value("tags").alias("tags"), F.sort_array(F.collect_list(F.when(F.col("point").isNotNull(), F.struct("at", "point")))).alias("p"), F.count_if(F.col("ref").isNotNull() & F.col("point").isNull()).alias("missing"))
     return met.select("id", "tags", F.transform("p", lambda x: x["point"]).alias("points"), "missing")
@@ -291,11 +366,11 @@ def joined_rings(ways: list[list[tuple]]) -> tuple[list[list[tuple]], int]:
     return rings, left
 
 
-def multipolygons(elements: DataFrame) -> DataFrame:
+def multipolygons(elements: Elements) -> DataFrame:
     """(id, tags, outer, inner, left) of relations of type multipolygon: closed rings of the ways of each role (no role is
     outer), and how many ways close no ring. A relation has the ways that its editor listed; they meet in one row."""
-    relations = elements.where("kind = 'relation' AND tags['type'] = 'multipolygon'").select("id", "tags", F.posexplode("members").alias("at", "m")).where("m.kind = 'way'").select("id", "tags", "at", F.col("m.ref").alias("way"), F.when(F.col("m.role") == "inner", "inner").otherwise("outer").alias("role"))
-    lines = way_lines(elements).select(F.col("id").alias("way"), "points")
+    relations = _of(elements, "relation").where("tags['type'] = 'multipolygon'").select("id", "tags", F.posexplode("members").alias("at", "m")).where("m.kind = 'way'").select("id", "tags", "at", F.col("m.ref").alias("way"), F.when(F.col("m.role") == "inner", "inner").otherwise("outer").alias("role"))
+    lines = way_lines(elements, relations.select(F.col("way").alias("id"))).select(F.col("id").alias("way"), "points")
     met = durable(relations.join(lines, "way").groupBy("id").agg(F.any_value("tags").alias("tags"), F.sort_array(F.collect_list(F.struct("at", "role", "points"))).alias("ways")))
     point = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
 
