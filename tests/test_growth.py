@@ -49,3 +49,18 @@ def test_a_small_tile_at_many_addresses_is_read_by_many_tasks(spark, tmp_path, m
     got = [row for p in parts for b in reader.read(p) for row in b.to_pylist()]
     want = tiles.where("x BETWEEN 100 AND 130").collect()
     assert sorted((g["z"], g["x"], g["y"], g["tile"]) for g in got) == sorted((w["z"], w["x"], w["y"], bytes(w["tile"])) for w in want)
+
+
+def test_elements_of_other_kinds_are_not_decoded(monkeypatch):
+    from tilewright.sources import extracts
+
+    way = {"kind": "way", "id": 7, "tags": {"a": "b"}, "refs": [5, 3], "lon": None, "lat": None, "members": None}
+    relations = [{"kind": "relation", "id": k, "tags": {}, "refs": None, "lon": None, "lat": None, "members": [{"kind": "way", "ref": 7, "role": ""}]} for k in (1, 2)]
+    nodes = [{"kind": "node", "id": k, "tags": {"n": "x"} if k == 3 else {}, "lon": k / 10, "lat": -k / 7, "refs": None, "members": None} for k in (3, 5)]
+    data = extracts.write_block([*nodes, way, *relations])
+    assert [e[0] for e in extracts.read_block(data)] == ["node", "node", "way", "relation", "relation"]
+    monkeypatch.setattr(extracts, "packed", lambda *_: 1 / 0)
+    assert list(extracts.read_block(data, [])) == []
+    monkeypatch.undo()
+    assert [e[:2] for e in extracts.read_block(data, ["relation"])] == [("relation", 1), ("relation", 2)]
+    assert [e[:2] for e in extracts.read_block(data, ["node"])] == [("node", 3), ("node", 5)]

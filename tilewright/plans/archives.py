@@ -72,7 +72,7 @@ def _extract(read):
     relations = parts.where("p_partkey % 10 = 0").select(F.lit("relation").alias("kind"), k.alias("id"), F.create_map(F.lit("type"), F.lit("multipolygon")).alias("tags"), none("double").alias("lon"), none("double").alias("lat"), none(refs).alias("refs"), F.array(*map(member, range(4))).alias("members"))
     path = os.path.join(shared_path(spark), "extract.osm.pbf")
     extracts.write_extract(nodes.unionByName(ways).unionByName(relations), path, 1000)
-    return extracts.read_extract(spark, [path], 1 << 16)
+    return lambda kind: extracts.read_extract(spark, [path], 1 << 16, [kind])
 
 
 @query(f"""WITH {_NODES}, w AS (SELECT p_partkey AS part, p_name AS name, unnest([0, 1, 2, 3]) AS j FROM part), r AS (SELECT part, name, j, n.lon, n.lat FROM w, m, n WHERE n.id = (part * 3 + j * 11) % events)
