@@ -64,3 +64,13 @@ def test_elements_of_other_kinds_are_not_decoded(monkeypatch):
     monkeypatch.undo()
     assert [e[:2] for e in extracts.read_block(data, ["relation"])] == [("relation", 1), ("relation", 2)]
     assert [e[:2] for e in extracts.read_block(data, ["node"])] == [("node", 3), ("node", 5)]
+
+
+def test_files_of_a_small_table_are_written_by_many_tasks(spark, monkeypatch):
+    from tilewright.sources import archives
+
+    seen, write = [], archives.write_files
+    monkeypatch.setattr(archives, "write_files", lambda files, folder: seen.append(files) or write(files, folder))
+    tiles = catalog.QUERIES["tile_tree_scan"](spark, SMALL)
+    assert seen[0].rdd.getNumPartitions() > 1
+    assert sum(r["tiles"] for r in tiles.collect()) == spark.read.parquet(f"{SMALL}/supplier.parquet").where("s_suppkey % 6 > 0").count()

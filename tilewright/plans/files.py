@@ -9,7 +9,7 @@ from tilewright.functions import text as X
 from tilewright.operators import inventory as I
 from tilewright.operators import planning
 from tilewright.plans.registry import query
-from tilewright.plans.storage import shared_path
+from tilewright.plans.storage import partitions, shared_path
 from tilewright.sources import archives as A
 
 
@@ -141,7 +141,9 @@ def tile_tree_scan(read):
     """A tree of files z/x/y.pbf, one for each supplier; files with other endings are no tiles."""
     k = F.col("s_suppkey")
     name = F.concat_ws("/", (k % 5).cast("string"), k.cast("string"), F.concat((k % 3).cast("string"), F.when(k % 6 > 0, ".pbf").otherwise(".txt")))
-    spark, folder = _folder(read("supplier").select(name.alias("name"), F.col("s_name").alias("content")))
+    files = read("supplier").select(name.alias("name"), F.col("s_name").alias("content"))
+    # a small table of very many names is one task's otherwise
+    spark, folder = _folder(files.repartition(partitions(files.sparkSession, files), "name"))
     return A.read_tile_tree(spark, folder).groupBy("z").agg(F.count("*").alias("tiles"), F.sum(F.octet_length("tile").cast("long")).alias("bytes"))
 
 
