@@ -184,3 +184,45 @@ def test_a_payload_in_pieces_is_held_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sizes == [24 << 20] and peak < 36 << 20
+
+
+def in_pieces(spark, tiles, piece):
+    from tilewright.plans.storage import durable
+
+    return durable(typed.encode_payloads(typed.decode_payloads(rows(spark, tiles)), ["at"], ["z", "x", "y", "payload"], piece=piece))
+
+
+def test_a_payload_in_pieces_is_nowhere_one(spark, monkeypatch):
+    def whole(*_):
+        raise AssertionError("a payload is held as one")
+
+    line = [[(k, k * k % 7) for k in range(40)]]
+    tile = payload({"a": (4096, [(2**64 - k if k else None, 1 + k % 2, {"k": (5, k % 4), "s": (1, f"v{k % 5}"), "h": (3, -k / 2)}, line if k % 2 else [[(k, 1)]]) for k in range(300)]), "b": (512, [(1, 3, {}, [[(0, 0), (9, 0), (0, 9), (0, 0)]])])})
+    want = [sorted(map(str, typed.decode_payloads(rows(spark, [tile])).collect())), typed.payload_totals(rows(spark, [tile])).collect()]
+    pieces = in_pieces(spark, [tile], 50)  # lines have more bytes, and are cut
+    assert pieces.where("cut").count() > 100 and max(len(r["tile"]) for r in pieces.collect()) <= 50
+    assert b"".join(bytes(r["tile"]) for r in pieces.orderBy("piece").collect()) == bytes(typed.encode_payloads(typed.decode_payloads(rows(spark, [tile])), ["at"]).first()["tile"])
+    assert pieces.select(F.shiftright("piece", 44)).distinct().count() > 1  # of more tasks than one
+    monkeypatch.setattr(typed, "whole", whole)
+    got = typed.payload_totals(pieces).collect()
+    assert [r[4:] for r in got] == [r[4:] for r in want[1]] and got[0]["bytes"] == sum(r["size"] for r in pieces.collect())
+    assert sorted(map(str, typed.decode_payloads(pieces).collect())) == want[0]
+
+
+def test_limits_of_payloads_in_pieces_are_those_of_whole_ones(spark):
+    shape = lambda n: [[(k, k * k) for k in range(n)]]
+    tiles = [payload({name: (4096, [(k, 2, {"k": (5, 1), "l": (5, k)}, shape(n)) for k in range(m)]) for name in names}) for names, m, n in (("a", 3, 2), ("ab", 4, 2), ("abc", 2, 9), ("a", 30, 3))]
+    whole = [bytes(r["tile"]) for r in typed.encode_payloads(typed.decode_payloads(rows(spark, tiles)), ["at"], ["z", "x", "y", "payload"]).orderBy("payload").collect()]
+    pieces = in_pieces(spark, tiles, 64)
+    for limits in ({}, {"bytes": 200}, {"layers": 2}, {"features": 7}, {"points": 20}, {"feature_points": 8}, {"properties": 1}, {"scale": 0}, {"least_extent": 5000}):
+        got = typed.payload_totals(pieces, limits, ["payload"]).orderBy("payload").collect()
+        assert got == typed.payload_totals(rows(spark, whole), limits, ["payload"]).orderBy("payload").collect()
+        assert bool(limits) == any(r["broken"] for r in got)
+    with pytest.raises(Exception, match="payload 2 of tile 0/0/0: 3 layers"):
+        typed.decode_payloads(pieces, {"layers": 2}).count()
+    with pytest.raises(Exception, match="payload 2 of tile 0/0/0: 9 points in [abc]/[01]"):
+        typed.decode_payloads(pieces, {"feature_points": 8}).count()
+    lies = pieces.withColumn("held", F.when(F.col("payload") == 0, F.col("held") + 1).otherwise(F.col("held")))
+    with pytest.raises(Exception, match="other features than its index says"):
+        typed.decode_payloads(lies).count()
+    assert typed.payload_totals(lies, keys=["payload"]).orderBy("payload").collect() == typed.payload_totals(rows(spark, whole), keys=["payload"]).orderBy("payload").collect()

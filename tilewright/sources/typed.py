@@ -6,25 +6,31 @@ unsigned numbers of 64 bits, kept whole as decimals.
 
 Payloads are decoded where they lie; features, not payloads, move to where their tile meets, and merging is the reduction
 of operators.features. A layer whose payloads disagree on its extent stops the job, with the tile's address.
+
+A payload in pieces is written and read by many tasks: each piece is whole features of one layer, or what stands around
+them, and columns beside its bytes (INDEX) say where it belongs. Readers hold those columns against the bytes.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.features import SHAPE, merge, with_shape
 from tilewright.plans.storage import durable, partitions
-from tilewright.sources.mvt import _field, _geometry, _packed, _Reader, _varint, flat_geometries, nested  # noqa: F401
+from tilewright.sources.flat import as_bytes, as_decimals, constant, ends_of, features_of, low_bits, ragged, woven
+from tilewright.sources.mvt import _field, _geometry, _packed, _Reader, _varint, flat_geometries, flat_streams, nested, varints  # noqa: F401
 
 PROPS = "map<string,struct<text:string,number:double,flag:boolean>>"
 GEOM = "array<array<struct<x:double,y:double>>>"
@@ -130,27 +136,34 @@ def read_payload(data: bytes, limits: dict[str, int] | None = None, totals: dict
         seen["features"] += len(layer["raw"]) // 2
         if seen["features"] > most["features"]:
             raise Broken("features", f"{seen['features']} features")
-        bounds = layer["raw"]
-        for at in range(len(bounds) // 2):
-            try:
-                fid, gtype, props, geom = _feature(data[bounds[2 * at] : bounds[2 * at + 1]], layer)
-            except (ValueError, IndexError) as e:
-                raise Broken("malformed", f"feature {name}/{at}: {e}") from e
-            if gtype not in (1, 2, 3):
-                raise Broken("type", f"type {gtype} in {name}/{at}")
-            if len(props) > most["properties"]:
-                raise Broken("properties", f"{len(props)} properties in {name}/{at}")
-            n, reach = sum(map(len, geom)), layer["extent"] * most["scale"]
-            if any(abs(x) > reach or abs(y) > reach for part in geom for x, y in part):
-                raise Broken("coordinates", f"coordinates of {name}/{at}")
-            seen["points"] += n
-            if n > most["feature_points"]:
-                raise Broken("feature_points", f"{n} points in {name}/{at}")
-            if seen["points"] > most["points"]:
-                raise Broken("points", f"{seen['points']} points")
-            if not n:
-                raise Broken("empty", f"no points in {name}/{at}")
-            yield layer_at, name, layer["version"], layer["extent"], at, fid, gtype, {k: normal(v) for k, v in props.items() if v is not None}, geom
+        for at, *feature in _features(data, layer, 0, most, seen):
+            yield layer_at, name, layer["version"], layer["extent"], at, *feature
+
+
+def _features(data: bytes, layer: dict, first: int, most: dict[str, int], seen: dict[str, int]) -> Iterator[tuple]:
+    """(at, fid, gtype, props, geom) of a layer's features in data, numbered from first."""
+    name, bounds = layer["name"], layer["raw"]
+    for at in range(len(bounds) // 2):
+        raw, at = data[bounds[2 * at] : bounds[2 * at + 1]], first + at
+        try:
+            fid, gtype, props, geom = _feature(raw, layer)
+        except (ValueError, IndexError) as e:
+            raise Broken("malformed", f"feature {name}/{at}: {e}") from e
+        if gtype not in (1, 2, 3):
+            raise Broken("type", f"type {gtype} in {name}/{at}")
+        if len(props) > most["properties"]:
+            raise Broken("properties", f"{len(props)} properties in {name}/{at}")
+        n, reach = sum(map(len, geom)), layer["extent"] * most["scale"]
+        if any(abs(x) > reach or abs(y) > reach for part in geom for x, y in part):
+            raise Broken("coordinates", f"coordinates of {name}/{at}")
+        seen["points"] += n
+        if n > most["feature_points"]:
+            raise Broken("feature_points", f"{n} points in {name}/{at}")
+        if seen["points"] > most["points"]:
+            raise Broken("points", f"{seen['points']} points")
+        if not n:
+            raise Broken("empty", f"no points in {name}/{at}")
+        yield at, fid, gtype, {k: normal(v) for k, v in props.items() if v is not None}, geom
 
 
 def _spans(data: bytes, at: int, end: int) -> Iterator[tuple]:
@@ -248,15 +261,19 @@ class _Payload:
         own = (b"" if fid is None else b"\x08" + _varint(int(fid))) + self._tags(props) + b"\x18" + _varint(gtype) + _field(4, geometry)
         self.body += _field(2, own)
 
-    def end(self) -> list[bytes]:
-        """The layer that was begun, in pieces that follow each other; none if none was."""
+    def end(self) -> bytes:
+        """The layer that was begun; nothing if none was."""
         if self.head is None:
-            return []
-        name, version, extent = self.head
-        first, last = _field(1, name.encode()), b"".join(_field(3, k.encode()) for k in self.keys) + b"".join(_field(4, v) for v in self.values) + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(version)
-        out = [_varint(3 << 3 | 2) + _varint(len(first) + len(self.body) + len(last)) + first, self.body, last]
+            return b""
+        first, last = _around(*self.head, self.keys, self.values, len(self.body))
         self.head = None
-        return out
+        return first + self.body + last
+
+
+def _around(name: str, version: int, extent: int, keys: Iterable[str], values: Iterable[bytes], held: int) -> tuple[bytes, bytes]:
+    """A layer's bytes before and after its features, which are held bytes."""
+    first, last = _field(1, name.encode()), b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, v) for v in values) + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(version)
+    return _varint(3 << 3 | 2) + _varint(len(first) + held + len(last)) + first, last
 
 
 def in_order(payloads: DataFrame, keys: list[str]) -> DataFrame:
@@ -287,14 +304,25 @@ def whole(batches, keys: list[str]) -> Iterator[tuple[tuple, bytes]]:
         yield key, held
 
 
+VALUE = pa.struct([("text", pa.string()), ("number", pa.float64()), ("flag", pa.bool_())])
+
+
 def decode_payloads(payloads: DataFrame, limits: dict[str, int] | None = None, rows: int = 2000) -> DataFrame:
     """Features of payloads (z, x, y, payload, tile), whole or in pieces, in their order; a null tile is empty. One beyond
-    a limit fails its task and names its address."""
+    a limit fails its task and names its address. Pieces with their INDEX are decoded side by side."""
     keys = ["z", "x", "y", "payload"]
+    payloads = payloads.withColumn("payload", F.col("payload").cast("int"))
+    if not indexed(payloads):
+        return _decoded(payloads, keys, limits, rows)
+    frames, odd = _frames(payloads, keys, limits)
+    if odd is None:
+        return _decoded_pieces(payloads, frames, limits)
+    return _decoded_pieces(_of(payloads, odd, keys, "left_anti"), frames, limits).unionByName(_decoded(_of(payloads, odd, keys), keys, limits, rows))
+
 
+def _decoded(payloads: DataFrame, keys: list[str], limits: dict[str, int] | None, rows: int) -> DataFrame:
     def batch(out: list[tuple]) -> pa.RecordBatch:
-        value = pa.struct([("text", pa.string()), ("number", pa.float64()), ("flag", pa.bool_())])
-        kinds = [pa.int32()] * 5 + [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.decimal128(20, 0), pa.int32(), pa.map_(pa.string(), value)]
+        kinds = [pa.int32()] * 5 + [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.decimal128(20, 0), pa.int32(), pa.map_(pa.string(), VALUE)]
         columns = [[r[k] for r in out] for k in range(12)]
         columns[9] = [None if v is None else Decimal(v) for v in columns[9]]
         columns[11] = [list(v.items()) for v in columns[11]]
@@ -314,48 +342,189 @@ def decode_payloads(payloads: DataFrame, limits: dict[str, int] | None = None, r
         if out:
             yield batch(out)
 
-    return in_order(payloads.withColumn("payload", F.col("payload").cast("int")), keys).mapInArrow(run, FEATURES)
+    return in_order(payloads, keys).mapInArrow(run, FEATURES)
+
+
+#: What stands beside each piece: its layer, that layer's number in the payload, the number of its first feature (null
+#: for a piece of what stands around the features), its features, points and bytes, and whether it is cut from one feature.
+INDEX = "layer_id long, layer_at int, at long, held int, points long, size long, cut boolean"
+_INDEX = [c.split()[0] for c in INDEX.split(", ")]
+
+
+def indexed(payloads: DataFrame) -> bool:
+    return {"piece", *_INDEX} <= set(payloads.columns)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on &= a[k].eqNullSafe(b[k])
+    return on
+
+
+def _of(pieces: DataFrame, some: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    return pieces.join(some, _same(pieces, some, keys), how)
+
+
+def _glued(pieces: DataFrame, by: list[str], *sums: Column) -> DataFrame:
+    """The bytes of pieces that stand together, as one."""
+    tiles = F.sort_array(F.collect_list(F.struct("piece", "tile")))
+    return pieces.groupBy(*by).agg(tiles.alias("_t"), *sums).withColumn("tile", F.aggregate("_t", F.lit(b""), lambda have, p: F.concat(have, p["tile"]))).drop("_t")
+
+
+def _framed(frame: bytes, held: int) -> dict:
+    """The layer whose bytes around its features are frame, and whose features have held bytes."""
+    r = _Reader(frame)
+    tag, size = r.varint(), r.varint()
+    if tag != 3 << 3 | 2 or size != len(frame) - r.at + held:
+        raise ValueError("a layer's length is wrong")
+    layer = _layer(frame, r.at, len(frame))
+    if len(layer["raw"]):
+        raise ValueError("a feature stands outside of its piece")
+    return layer
+
+
+def _frames(pieces: DataFrame, keys: list[str], limits: dict[str, int] | None) -> tuple[DataFrame, DataFrame | None]:
+    """A row for each layer of payloads in indexed pieces: (keys, layer_id, layer_at, frame, layer, version, extent, held,
+    points, size); and the payloads that a limit of a whole payload or layer may be about, which are then read from
+    their first byte to the last, or None."""
+    most = LIMITS | (limits or {})
+    around = _glued(pieces.where("at IS NULL"), [*keys, "layer_id", "layer_at"]).withColumnRenamed("tile", "frame")
+    within = pieces.where("at IS NOT NULL").groupBy("layer_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("held", "points", "size")))
+    rows = around.join(within, "layer_id").select(*keys, "layer_id", "layer_at", "frame", "held", "points", "size")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for frame, size in zip(batch.column("frame"), batch.column("size").to_pylist(), strict=True):
+                try:
+                    layer = _framed(frame.as_py(), size)
+                    sound = 0 < len(layer["name"]) <= most["name"] and most["least_extent"] <= layer["extent"] <= most["most_extent"] and max(layer["version"], layer["extent"]) < 1 << 31
+                except (ValueError, struct.error):
+                    sound = False
+                out.append((layer["name"], layer["version"], layer["extent"], True) if sound else (None, None, None, False))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], names=[*batch.schema.names, "layer", "version", "extent", "sound"])
+
+    frames = durable(rows.mapInArrow(run, ", ".join(f"{k} {kind}" for k, kind in rows.dtypes) + ", layer string, version int, extent int, sound boolean"))
+    total = frames.groupBy(*keys).agg(
+        F.sum(F.col("size") + F.octet_length("frame")).alias("_bytes"), F.count("*").alias("_layers"), F.count_distinct("layer").alias("_names"), F.sum("held").alias("_held"), F.sum("points").alias("_points"), F.every("sound").alias("_sound")
+    )
+    beyond = ~F.col("_sound") | (F.col("_layers") > F.col("_names")) | (F.col("_layers") > most["layers"]) | (F.col("_bytes") > most["bytes"]) | (F.col("_held") > most["features"]) | (F.col("_points") > most["points"])
+    odd = durable(total.where(beyond).select(*keys))
+    return frames, None if odd.isEmpty() else odd
+
+
+def _bodies(pieces: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The pieces of features, those of one feature as one, each with its layer's frame."""
+    rows = pieces.where("at IS NOT NULL")
+    own = [*keys, "layer_id", "layer_at", "at"]
+    sums = [F.sum(c).cast(kind).alias(c) for c, kind in (("held", "int"), ("points", "long"), ("size", "long"))]
+    both = rows.where("NOT cut").select(*own, "held", "points", "size", "tile").unionByName(_glued(rows.where("cut"), own, *sums))
+    return both.join(frames.select("layer_id", "frame", F.col("size").alias("whole")), "layer_id")
+
+
+def _decoded_pieces(pieces: DataFrame, frames: DataFrame, limits: dict[str, int] | None) -> DataFrame:
+    keys, most = ["z", "x", "y", "payload"], LIMITS | (limits or {})
+    names = ["z", "x", "y", "payload", "layer_at", "layer", "version", "extent", "at", "fid", "gtype", "props", "geom"]
+
+    def run(batches):
+        for batch in batches:
+            for row, layer, first, data, index in _body_rows(batch):
+                try:
+                    found, plain = _read_body(layer, first, data, index, most)
+                except Broken as e:
+                    *address, payload = (batch.column(c)[row].as_py() for c in keys)
+                    raise ValueError(f"payload {payload} of tile {'/'.join(map(str, address))}: {e}") from e
+                if found:
+                    n, columns = len(found[1]), _columns(layer, *found)
+                else:
+                    n, fid, props = len(plain), [None if f[1] is None else Decimal(f[1]) for f in plain], [list(f[3].items()) for f in plain]
+                    columns = [pa.array(fid, pa.decimal128(20, 0)), pa.array([f[2] for f in plain], pa.int32()), pa.array(props, pa.map_(pa.string(), VALUE)), nested([f[4] for f in plain])]
+                same = lambda v, kind: pa.repeat(pa.scalar(v, kind), n)  # noqa: B023, E731
+                heads = [same(batch.column(c)[row].as_py(), pa.int32()) for c in [*keys, "layer_at"]]
+                yield pa.RecordBatch.from_arrays([*heads, same(layer["name"], pa.string()), same(layer["version"], pa.int32()), same(layer["extent"], pa.int32()), pa.array(np.arange(first, first + n)), *columns], names=names)
+
+    return _bodies(pieces, frames, keys).mapInArrow(run, FEATURES)
+
+
+def _columns(layer: dict, ids: np.ndarray, known: np.ndarray, gtype: np.ndarray, counts: np.ndarray, key: np.ndarray, value: np.ndarray, shapes: tuple) -> list[pa.Array]:
+    """fid, gtype, props and geom of features_of(). Properties without a value are left out."""
+    texts = pa.array(layer["keys"], pa.string())
+    values = pa.array([{"text": None, "number": None, "flag": None} if v is None else normal(v) for v in layer["values"]], VALUE)
+    if any(v is None for v in layer["values"]):
+        have = np.array([v is not None for v in layer["values"]])[value]
+        owner = np.repeat(np.arange(len(counts)), counts)[have]
+        key, value, counts = key[have], value[have], np.bincount(owner, minlength=len(counts))
+    ends = lambda sizes: pa.array(ends_of(sizes).astype(np.int32))
+    _, parts, part_at, x, y = shapes
+    points = pa.StructArray.from_arrays([pa.array(v.astype(np.float64)) for v in (x, y)], names=["x", "y"])
+    geom = pa.ListArray.from_arrays(ends(parts), pa.ListArray.from_arrays(pa.array(part_at.astype(np.int32)), points))
+    return [as_decimals(ids, known), pa.array(gtype.astype(np.int32)), pa.MapArray.from_arrays(ends(counts), texts.take(pa.array(key)), values.take(pa.array(value))), geom]
+
+
+def _body_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(row, layer, number of the first feature, bytes, what the index says of them) of each row of _bodies()."""
+    seen = layer = None
+    for row, (own, first, held, points, size, whole) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("layer_id", "at", "held", "points", "size", "whole")), strict=True)):
+        if own != seen:
+            seen, layer = own, _framed(batch.column("frame")[row].as_py(), whole)
+            layer["apart"] = len(set(layer["keys"])) == len(layer["keys"])
+        yield row, layer, first, batch.column("tile")[row].as_py(), (held, points, size)
+
+
+def _read_body(layer: dict, first: int, data: bytes, index: tuple, most: dict[str, int]) -> tuple[tuple | None, list | None]:
+    """The features in data: as features_of() has them; one by one where a limit may be about one of them or they are
+    written in another way. Broken where they break a limit or aren't those that the index says."""
+    found = features_of(data, len(layer["keys"]), len(layer["values"])) if data and layer["apart"] else None
+    if found:
+        n, _, _, x, y = found[-1]
+        if max(np.abs(x).max(), np.abs(y).max()) <= layer["extent"] * most["scale"] and found[3].max() <= most["properties"] and n.max() <= most["feature_points"] and (len(n), int(n.sum()), len(data)) == index:
+            return found, None
+    layer, seen = dict(layer, raw=array("Q")), {"points": 0}
+    try:
+        for k, v in _spans(data, 0, len(data)):
+            if k != 2:
+                raise ValueError("a piece holds more than features")
+            layer["raw"].extend(v)
+    except (ValueError, TypeError) as e:
+        raise Broken("malformed", f"it can't be read: {e}") from e
+    plain = list(_features(data, layer, first, most, seen))
+    if (len(plain), seen["points"], len(data)) != index:
+        raise Broken("malformed", "a piece holds other features than its index says")
+    return None, plain
 
 
 #: Bytes of a piece of a payload that goes from task to task in pieces.
 PIECE = 4 << 20
 
 
-def encode_payloads(features: DataFrame, order: list[str], keys: list[str] | None = None, piece: int | None = None) -> DataFrame:
+def encode_payloads(features: DataFrame, order: list[str], keys: list[str] | None = None, piece: int | None = None, made: dict[str, Column] | None = None) -> DataFrame:
     """(z, x, y, tile, and further keys) of features: layers by layer_at and name, features by order. With piece, each
-    payload is rows of so many bytes at most: (keys, piece, tile), numbered in their order.
+    payload is rows of so many bytes at most: (keys, piece, tile, INDEX), with numbers that ascend in their order.
 
-    Features are dealt by keys and sorted; a task streams them and holds one payload's bytes, with piece one layer's.
+    Features are dealt by keys and sorted; a task streams them and holds one payload's bytes. With piece they are dealt by
+    ranges of keys and order, so that a payload is written by many tasks, and a task holds a batch of features. made are
+    columns of features, other than those they are dealt by, that are made of its others once they lie where they are
+    written: neither the sample that finds the ranges nor the exchange has them then.
     """
     keys = keys or ["z", "x", "y"]
+    if piece:
+        return _encoded_pieces(features, order, keys, piece, made or {})
+    features = features.withColumns(made) if made else features
     own = ["layer_at", "layer", "version", "extent", "fid", "gtype", "geom"]
     # a map can't be sorted; its entries can
     rows = features.select(*keys, *(F.col(c).alias(f"_{k}") for k, c in enumerate(order)), *own, F.map_entries("props").alias("props"))
     by = [*keys, "layer_at", "layer", *(f"_{k}" for k in range(len(order))), "version", "extent", "fid", "gtype", "geom", "props"]
     rows = rows.repartition(partitions(features.sparkSession, features), *keys).sortWithinPartitions(*by)
     kinds = dict(features.dtypes)
-    out = f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, {'piece int, ' if piece else ''}tile binary"
+    out = f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, tile binary"
 
     def run(batches):
-        key, made, at, tile, types = None, bytearray(), 0, _Payload(), None
-
-        def row(data: bytes) -> pa.RecordBatch:
-            number = [pa.array([at], pa.int32())] if piece else []
-            return pa.RecordBatch.from_arrays([*(pa.array([v], kind) for v, kind in zip(key, types, strict=True)), *number, pa.array([data], pa.binary())], names=[*keys, *["piece"] * len(number), "tile"])
-
-        def full(last: bool):
-            """The payload's next rows; what is less than a piece waits until its last layer is there."""
-            nonlocal made, at
-            for part in tile.end():
-                for k in range(0, len(part), piece or len(part) or 1):
-                    made += part[k : k + piece] if piece else part
-                    if piece and len(made) >= piece:
-                        yield row(bytes(made[:piece]))
-                        made, at = made[piece:], at + 1
-            if last and (made or not at):
-                yield row(bytes(made))
-            if last:
-                made, at = bytearray(), 0
+        key, made, tile, types = None, bytearray(), _Payload(), None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([v], kind) for v, kind in zip(key, types, strict=True)), pa.array([bytes(made)], pa.binary())], names=[*keys, "tile"])
 
         for batch in batches:
             types = [batch.schema.field(k).type for k in keys]
@@ -366,19 +535,217 @@ def encode_payloads(features: DataFrame, order: list[str], keys: list[str] | Non
             for k, stream in enumerate(streams):
                 if addresses[k] != key:
                     if key is not None:
-                        yield from full(True)
-                    key, layer = addresses[k], None
+                        made += tile.end()
+                        yield row()
+                    key, layer, made = addresses[k], None, bytearray()
                 if name[k] != layer:
-                    yield from full(False)
+                    made += tile.end()
                     layer = name[k]
                     tile.start((layer, version[k], extent[k]))
                 tile.add(fid[k], gtype[k], entries[k], stream)
         if key is not None:
-            yield from full(True)
+            made += tile.end()
+            yield row()
 
     return rows.select(*keys, *own, "props").mapInArrow(run, out)
 
 
+def _encoded_pieces(features: DataFrame, order: list[str], keys: list[str], piece: int, made: dict[str, Column]) -> DataFrame:
+    """encode_payloads() in pieces. Tasks write batches of features with keys and values of their own; these are united
+    layer by layer, and each batch is finished by itself with its layer's numbers."""
+    spark, kinds = features.sparkSession, dict(features.dtypes)
+    own = ["layer", "version", "extent", "fid", "gtype", "geom"]
+    by = list(dict.fromkeys([*keys, "layer_at", "layer", *order]))
+    # a map can't be sorted; its entries can
+    rows = features.withColumns({k: F.map_entries(k) for k, kind in kinds.items() if kind.startswith("map<")})
+    rows = rows.repartitionByRange(partitions(spark, features), *by).sortWithinPartitions(*by, *(c for c in rows.columns if c not in by))
+    # properties go to Python as texts, of which equal ones are read once; nested columns take six times as long
+    props = F.to_json(F.map_entries(made["props"])) if "props" in made else F.col("props") if kinds["props"] == "binary" else F.to_json("props")
+    own += [c for c in ("points",) if c in rows.columns]
+    rows = rows.withColumns({k: v for k, v in made.items() if k != "props"} | {"props": props})
+    address = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def draft(batches):
+        number = TaskContext.get().partitionId() << 44
+        for batch in batches:
+            new = np.ones(batch.num_rows, bool)
+            if batch.num_rows:
+                codes = [pc.fill_null(batch.column(c).dictionary_encode().indices, -1).to_numpy() for c in [*keys, "layer"]]
+                new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+            bounds = [*np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                part = batch.slice(a, b - a)
+                made = _draft(part)
+                heads = [part.column(c).slice(0, 1) for c in [*keys, "layer", "version", "extent"]]
+                yield pa.RecordBatch.from_arrays([*heads, pa.array([number], pa.int64()), *(pa.array([v], kind) for v, kind in zip(made, _DRAFT, strict=True))], names=[*keys, "layer", "version", "extent", "draft", "count", "names", "values", "sizes", "pairs", "front", "back"])
+                number += 1 << 24
+
+    drafts = durable(rows.select(*keys, *own, "props").mapInArrow(draft, f"{address}, layer string, version int, extent int, draft long, count int, names array<string>, values array<binary>, sizes binary, pairs binary, front binary, back binary"))
+    met = drafts.select(*keys, "layer", "version", "extent", "draft", "count", "names", "values").repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "draft")
+    united = durable(met.mapInArrow(_unite(keys), f"{address}, {_UNITED}"))
+    numbers = united.where("name_map IS NOT NULL").select("draft", "layer_id", "layer_at", "at", "name_map", "value_map")
+    out = f"{address}, piece long, tile binary, {INDEX}"
+    names = [*keys, "piece", "tile", *_INDEX]
+
+    def finish(batches):
+        for batch in batches:
+            for k, (number, layer_id, layer_at, at, count) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("draft", "layer_id", "layer_at", "at", "count")), strict=True)):
+                data, starts, points = _finished(*(batch.column(c)[k].as_py() for c in ("sizes", "pairs", "front", "back", "name_map", "value_map")))
+                found = list(_rows_within(data, starts, points, piece))
+                heads = [pa.repeat(batch.column(c)[k], len(found)) for c in keys]
+                same = lambda v, kind: pa.repeat(pa.scalar(v, kind), len(found))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [*heads, pa.array([number + (1 << 20) + n for n in range(len(found))], pa.int64()), pa.array([r[0] for r in found], pa.binary()), same(layer_id, pa.int64()), same(layer_at, pa.int32()), pa.array([at + r[1] for r in found], pa.int64()),
+                     pa.array([r[2] for r in found], pa.int32()), pa.array([r[3] for r in found], pa.int64()), pa.array([len(r[0]) for r in found], pa.int64()), pa.array([r[4] for r in found], pa.bool_())], names=names,
+                )
+
+    bodies = durable(drafts.join(numbers, "draft").select(*keys, "draft", "count", "sizes", "pairs", "front", "back", "layer_id", "layer_at", "at", "name_map", "value_map").mapInArrow(finish, out))
+
+    def around(batches):
+        for batch in batches:
+            address = [batch.column(c) for c in keys]
+            for k, (layer, version, extent, texts, last, layer_id, layer_at, held) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("layer", "version", "extent", "names", "draft", "layer_id", "layer_at", "held")), strict=True)):
+                sides = _around(layer, version, extent, texts, batch.column("values")[k].as_py(), held)
+                found = [(begin + n, side[a : a + piece]) for begin, side in ((layer_id, sides[0]), (last + (1 << 23), sides[1])) for n, a in enumerate(range(0, len(side), piece))]
+                same = lambda v, kind: pa.repeat(pa.scalar(v, kind), len(found))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.repeat(c[k], len(found)) for c in address), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.binary()), same(layer_id, pa.int64()), same(layer_at, pa.int32()), same(None, pa.int64()),
+                     same(0, pa.int32()), same(0, pa.int64()), pa.array([len(r[1]) for r in found], pa.int64()), same(False, pa.bool_())], names=names,
+                )
+
+    sizes = bodies.groupBy("layer_id").agg(F.sum("size").alias("held"))
+    layers = united.where("name_map IS NULL").join(sizes, "layer_id").select(*keys, "layer", "version", "extent", "names", "values", "draft", "layer_id", "layer_at", "held")
+    return bodies.unionByName(durable(layers.mapInArrow(around, out)))
+
+
+_DRAFT = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+_UNITED = "draft long, layer_id long, layer_at int, at long, name_map binary, value_map binary, layer string, version int, extent int, names array<string>, values array<binary>"
+
+
+def _draft(rows: pa.RecordBatch) -> tuple:
+    """Features of one layer but for their tags: (how many, keys, values, bytes before and after the tags, tags and points
+    of each, key and value of each tag, bytes before the tags, bytes after them)."""
+    if rows.column("gtype").null_count:
+        raise ValueError("a feature has no type")
+    gtype = rows.column("gtype").to_numpy(zero_copy_only=False)
+    if "points" in rows.schema.names:
+        (stream, bounds), points = as_bytes(rows.column("geom")), rows.column("points").to_numpy()
+    else:
+        stream, bounds, points = flat_streams(gtype, rows.column("geom"))
+    n, fid = len(gtype), rows.column("fid")
+    known = fid.is_valid().to_numpy(zero_copy_only=False)
+    ids, id_at = varints(low_bits(fid)[known])
+    id_sizes = np.zeros(n, np.int64)
+    id_sizes[known] = np.diff(id_at)
+    front, front_at = woven([(np.full(int(known.sum()), 8, np.uint8), ends_of(known)), (ids, ends_of(id_sizes))])
+    back, back_at = woven([constant(3 << 3, n), varints(gtype.astype(np.int64).view(np.uint64)), constant(4 << 3 | 2, n), varints(np.diff(bounds).view(np.uint64)), (stream, bounds)])
+    props = rows.column("props").dictionary_encode()
+    names: dict[str, int] = {}
+    values: dict[bytes, int] = {}
+    pairs, held = [], []
+    for each in props.dictionary.to_pylist():
+        entries = _from_text(each) if isinstance(each, str) else _from_bytes(each)
+        held.append(len(entries))
+        pairs += [(names.setdefault(k, len(names)), values.setdefault(v, len(values))) for k, v in entries]
+    # the last stands for no properties
+    held, own = np.array([*held, 0], np.int64), props.indices.fill_null(len(held)).to_numpy(zero_copy_only=False)
+    sizes = np.stack([np.diff(front_at), np.diff(back_at), held[own], points], axis=1).astype(np.int32)
+    pairs = np.array(pairs, np.int32).reshape(-1, 2)[ragged(ends_of(held)[own], held[own])]
+    return n, list(names), list(values), sizes.tobytes(), pairs.tobytes(), front.tobytes(), back.tobytes()
+
+
+def _from_text(props: str) -> list[tuple[str, bytes]]:
+    """Keys and encoded values of properties as JSON, in which numbers that aren't finite are texts."""
+    out = []
+    for e in json.loads(props):
+        if not e.get("value"):
+            raise ValueError(f"property {e['key']} has no value")
+        text, number, flag = (e["value"].get(c) for c in ("text", "number", "flag"))
+        out.append((e["key"], _encoded((text, None if number is None else float(number), flag))))
+    return out
+
+
+def _from_bytes(props: bytes) -> list[tuple[str, bytes]]:
+    """Keys and encoded values of properties as entry after entry, each part with its length."""
+    r, parts = _Reader(props), []
+    while r.at < len(props):
+        size = r.varint()
+        parts.append(props[r.at : r.at + size])
+        r.at += size
+    return [(k.decode(), v) for k, v in zip(parts[::2], parts[1::2], strict=True)]
+
+
+def _unite(keys: list[str]):
+    """Drafts of payloads, one after another: each with the numbers that its keys and values have in its layer, and each
+    layer with all of them. A layer begins where the name changes, with that draft's version and extent."""
+
+    def run(batches):
+        key = layer = None
+        own: tuple = ()
+        last = first = layer_at = at = 0
+        names: dict = {}
+        values: dict = {}
+        out: list[tuple] = []
+        types: list = []
+
+        def made() -> pa.RecordBatch:
+            kinds = [*types, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[*keys, *(c.split()[0] for c in _UNITED.split(", "))])
+
+        def closed() -> tuple:
+            return (*key, last, first, layer_at, None, None, None, *own, list(names), list(values))
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            addresses = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            for address, *head, draft, count, texts, encoded in zip(addresses, *(batch.column(c).to_pylist() for c in ("layer", "version", "extent", "draft", "count", "names", "values")), strict=True):
+                if address != key or head[0] != layer:
+                    if key is not None:
+                        out.append(closed())
+                    layer_at = 0 if address != key else layer_at + 1
+                    key, layer, own, first, at, names, values = address, head[0], tuple(head), draft, 0, {}, {}
+                last = draft
+                numbers = [np.array([have.setdefault(v, len(have)) for v in new], np.int32).tobytes() for have, new in ((names, texts), (values, encoded))]
+                out.append((*key, draft, first, layer_at, at, *numbers, None, None, None, None, None))
+                at += count
+            if out:
+                yield made()
+                out = []
+        if key is not None:
+            out.append(closed())
+            yield made()
+
+    return run
+
+
+def _finished(sizes: bytes, pairs: bytes, front: bytes, back: bytes, name_map: bytes, value_map: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a draft's features, where each begins, and the points of each."""
+    table, pair = np.frombuffer(sizes, np.int32).reshape(-1, 4).astype(np.int64), np.frombuffer(pairs, np.int32).reshape(-1, 2)
+    known = [np.frombuffer(m, np.int32) for m in (name_map, value_map)]
+    numbers = np.stack([m[pair[:, k]] for k, m in enumerate(known)], axis=1).astype(np.uint64).ravel()
+    tags, tag_at = varints(numbers)
+    tag_at = tag_at[2 * ends_of(table[:, 2])]
+    tag_size = varints(np.diff(tag_at).view(np.uint64))
+    n, wide = len(table), np.diff(tag_size[1])
+    size = varints((table[:, 0] + 1 + wide + np.diff(tag_at) + table[:, 1]).view(np.uint64))
+    data, starts = woven([constant(2 << 3 | 2, n), size, (np.frombuffer(front, np.uint8), ends_of(table[:, 0])), constant(2 << 3 | 2, n), tag_size, (tags, tag_at), (np.frombuffer(back, np.uint8), ends_of(table[:, 1]))])
+    return data, starts, table[:, 3]
+
+
+def _rows_within(data: np.ndarray, starts: np.ndarray, points: np.ndarray, piece: int) -> Iterator[tuple]:
+    """(bytes, number of the first feature, features, points, cut) of features in pieces; one that is larger is cut."""
+    a, n = 0, len(points)
+    while a < n:
+        b = int(np.searchsorted(starts, starts[a] + piece, "right")) - 1
+        if b > a:
+            yield data[starts[a] : starts[b]].tobytes(), a, b - a, int(points[a:b].sum()), False
+        else:
+            b, whole = a + 1, data[starts[a] : starts[a + 1]].tobytes()
+            for k in range(0, len(whole), piece):
+                yield whole[k : k + piece], a, int(k == 0), int(points[a]) * (k == 0), True
+        a = b
+
+
 def _entries(props: pa.Array) -> list[list[tuple]]:
     """The entries (key, value) of each row's properties."""
     flat = props.flatten()
@@ -395,13 +762,9 @@ def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclud
     Layers that aren't included, or are excluded, go, as do features beyond the extent times scale. Tiles of which
     nothing is left are no rows. What comes out is checked as what goes in. Layers of one tile that differ in extent fail.
     """
-    features = decode_payloads(payloads, limits)
-    if include is not None:
-        features = features.where(F.col("layer").isin(include))
-    if exclude:
-        features = features.where(~F.col("layer").isin(exclude))
-    features = durable(features)
     tile = ["z", "x", "y", "layer"]
+    kept = lambda rows: rows.where(F.lit(include is None) | F.col("layer").isin(include or [])).where(~F.col("layer").isin(exclude or []))
+    features = durable(kept(decode_payloads(payloads, limits)))
     # the layer is the first payload's: its version and its place; numbers alone are reduced before they move
     layers = features.groupBy(*tile, "payload", "layer_at", "version").agg(F.min("extent").alias("least"), F.max("extent").alias("most"))
     layers = layers.groupBy(*tile).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min(F.struct("payload", "layer_at", "version")).alias("head"))
@@ -417,7 +780,7 @@ def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclud
 
 def checked(tiles: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """tiles (z, x, y, tile), all within the limits, or an error. Those in pieces are a stored table, which is read once to
-    check them; so a task holds a tile, and not its rows beside it."""
+    check them, side by side; a tile that breaks a limit is then read as a whole, to say where."""
     keys = ["z", "x", "y"]
 
     def check(address: tuple, tile: bytes) -> None:
@@ -438,16 +801,46 @@ def checked(tiles: DataFrame, limits: dict[str, int] | None = None) -> DataFrame
             check(address, tile)
             yield pa.RecordBatch.from_arrays([pa.array([address[0]], pa.int32())], names=["z"])
 
-    if "piece" in tiles.columns:
-        in_order(tiles, keys).mapInArrow(alone, "z int").write.format("noop").mode("overwrite").save()
-        return tiles.select(*keys, "piece", "tile")
+    if indexed(tiles):
+        beyond = durable(payload_totals(tiles, limits, keys).where("broken IS NOT NULL").select(*keys))
+        if not beyond.isEmpty():
+            in_order(_of(tiles, beyond, keys), keys).mapInArrow(alone, "z int").write.format("noop").mode("overwrite").save()
+        return tiles
     return tiles.select(*keys, "tile").mapInArrow(each, "z int, x int, y int, tile binary")
 
 
 def payload_totals(payloads: DataFrame, limits: dict[str, int] | None = None, keys: list[str] | None = None) -> DataFrame:
     """(keys, bytes, layers, features, points, broken) of each payload: what was counted, and the first limit that it
-    breaks or null. Counting ends at the breach."""
+    breaks or null. Counting ends at the breach. Pieces with their INDEX are counted side by side; payloads that break a
+    limit are read once more, from their first byte to the breach."""
     keys = keys or ["z", "x", "y"]
+    if not indexed(payloads):
+        return _counted(payloads, keys, limits)
+    frames, odd = _frames(payloads, keys, limits)
+    sound, frames = (payloads, frames) if odd is None else (_of(payloads, odd, keys, "left_anti"), _of(frames, odd, keys, "left_anti"))
+    most, kinds = LIMITS | (limits or {}), dict(payloads.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for _, layer, first, data, index in _body_rows(batch):
+                try:
+                    _read_body(layer, first, data, index, most)
+                    out.append((0, 0, *index[:2], False))
+                except Broken:
+                    out.append((0, 0, 0, 0, True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array([r[k] for r in out], pa.int64()) for k in range(4)), pa.array([r[4] for r in out], pa.bool_())], names=[*keys, "bytes", "layers", "features", "points", "odd"])
+
+    counted = _bodies(sound, frames, keys).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", bytes long, layers long, features long, points long, odd boolean")
+    around = frames.select(*keys, (F.col("size") + F.octet_length("frame")).cast("long").alias("bytes"), F.lit(1).cast("long").alias("layers"), F.lit(0).cast("long").alias("features"), F.lit(0).cast("long").alias("points"), F.lit(False).alias("odd"))
+    totals = durable(counted.unionByName(around).groupBy(*keys).agg(*(F.sum(c).cast("long").alias(c) for c in ("bytes", "layers", "features", "points")), F.bool_or("odd").alias("odd")))
+    out = totals.where("NOT odd").select(*keys, "bytes", "layers", "features", "points", F.lit(None).cast("string").alias("broken"))
+    found = totals.where("odd").select(*keys)
+    again = found if odd is None else found.unionByName(odd)
+    return out if odd is None and found.isEmpty() else out.unionByName(_counted(_of(payloads, again, keys), keys, limits))
+
+
+def _counted(payloads: DataFrame, keys: list[str], limits: dict[str, int] | None) -> DataFrame:
     names = [*keys, "bytes", "layers", "features", "points", "broken"]
 
     def run(batches):
