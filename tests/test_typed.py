@@ -226,3 +226,39 @@ def test_limits_of_payloads_in_pieces_are_those_of_whole_ones(spark):
     with pytest.raises(Exception, match="other features than its index says"):
         typed.decode_payloads(lies).count()
     assert typed.payload_totals(lies, keys=["payload"]).orderBy("payload").collect() == typed.payload_totals(rows(spark, whole), keys=["payload"]).orderBy("payload").collect()
+
+
+def test_merge_of_pieces_equals_loop(spark, monkeypatch):
+    r = random.Random(31)
+    path = [(k * 10, k * k) for k in range(30)]
+
+    def feature():
+        gtype = r.choice([1, 2, 2, 2, 3])
+        a = r.randrange(20)
+        parts = [[r.choice(path[:9])]] if gtype == 1 else [path[a : a + r.randint(2, 9)] for _ in range(r.randint(1, 2))] if gtype == 2 else [[(0, 0), (r.choice([5, 9]), 0), (3, 8), (0, 0)]]
+        if r.random() < 0.1:
+            parts = [[(4096 * 64 + 1, 0)]] if gtype == 1 else parts
+        if gtype == 2 and r.random() < 0.5:
+            parts = [p[::-1] for p in parts]
+        props = [("k", r.choice([(5, 1), (1, "1"), (7, True), (3, 1.5)])), ("j", (6, -3)), ("none", (9, 0))][: r.randint(0, 3)]
+        return r.choice([None, None, 1, 2, 2**63 + 1]), gtype, dict(r.sample(props, len(props))), parts
+
+    tiles = [payload({name: (4096, [feature() for _ in range(r.randint(1, 60))]) for name in r.sample(["a", "b", "road"], 2)}) for _ in range(6)]
+    pieces = in_pieces(spark, tiles, 90)
+    want = bytes(typed.merge_payloads(rows(spark, tiles)).first()["tile"])
+
+    def whole(*_):
+        raise AssertionError("a tile is held as one")
+
+    monkeypatch.setattr(typed, "whole", whole)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        merged = typed.merge_payloads(pieces, piece=90).orderBy("piece").collect()
+        only = typed.merge_payloads(pieces, include=["a", "b"], exclude=["b"], piece=90)
+        assert {f["layer"] for f in typed.decode_payloads(only.withColumn("payload", F.lit(0))).collect()} == {"a"}
+        assert typed.merge_payloads(pieces, include=["none"], piece=90).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = b"".join(bytes(r["tile"]) for r in merged)
+    assert got == want
+    assert [(name, fid, gtype, props, [list(p) for p in geom]) for _, name, _, _, _, fid, gtype, props, geom in typed.read_payload(got)] == merged_by_loop(tiles, 64)

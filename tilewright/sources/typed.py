@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.features import SHAPE, merge, with_shape
 from tilewright.plans.storage import durable, partitions
-from tilewright.sources.flat import as_bytes, as_decimals, constant, ends_of, features_of, low_bits, ragged, woven
+from tilewright.sources.flat import as_binary, as_bytes, as_decimals, constant, ends_of, features_of, low_bits, ragged, run_starts, woven
 from tilewright.sources.mvt import _field, _geometry, _packed, _Reader, _varint, flat_geometries, flat_streams, nested, varints  # noqa: F401
 
 PROPS = "map<string,struct<text:string,number:double,flag:boolean>>"
@@ -218,6 +218,11 @@ def _feature(raw: bytes, layer: dict) -> tuple:
             commands = _packed(v)
     if len(tags) % 2:
         raise ValueError("a property has no value")
+    return fid, gtype, {layer["keys"][a]: layer["values"][b] for a, b in zip(tags[::2], tags[1::2], strict=True)}, _parts(commands)
+
+
+def _parts(commands: list[int]) -> list[list[tuple[int, int]]]:
+    """The parts that a geometry's commands draw."""
     parts, x, y, at = [], 0, 0, 0
     while at < len(commands):
         op, count = commands[at] & 7, commands[at] >> 3
@@ -236,7 +241,7 @@ def _feature(raw: bytes, layer: dict) -> tuple:
             if op == 1:
                 parts.append([])
             parts[-1].append((x, y))
-    return fid, gtype, {layer["keys"][a]: layer["values"][b] for a, b in zip(tags[::2], tags[1::2], strict=True)}, parts
+    return parts
 
 
 class _Payload:
@@ -452,15 +457,24 @@ def _columns(layer: dict, ids: np.ndarray, known: np.ndarray, gtype: np.ndarray,
     """fid, gtype, props and geom of features_of(). Properties without a value are left out."""
     texts = pa.array(layer["keys"], pa.string())
     values = pa.array([{"text": None, "number": None, "flag": None} if v is None else normal(v) for v in layer["values"]], VALUE)
-    if any(v is None for v in layer["values"]):
-        have = np.array([v is not None for v in layer["values"]])[value]
-        owner = np.repeat(np.arange(len(counts)), counts)[have]
-        key, value, counts = key[have], value[have], np.bincount(owner, minlength=len(counts))
-    ends = lambda sizes: pa.array(ends_of(sizes).astype(np.int32))
+    counts, key, value = _with_value(layer, counts, key, value)
+    ends = pa.array(ends_of(counts).astype(np.int32))
+    return [as_decimals(ids, known), pa.array(gtype.astype(np.int32)), pa.MapArray.from_arrays(ends, texts.take(pa.array(key)), values.take(pa.array(value))), _drawn(shapes)]
+
+
+def _with_value(layer: dict, counts: np.ndarray, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tags whose value is one."""
+    if all(v is not None for v in layer["values"]):
+        return counts, key, value
+    have = np.array([v is not None for v in layer["values"]])[value]
+    return np.bincount(np.repeat(np.arange(len(counts)), counts)[have], minlength=len(counts)), key[have], value[have]
+
+
+def _drawn(shapes: tuple) -> pa.ListArray:
+    """What geometries() found, as GEOM."""
     _, parts, part_at, x, y = shapes
     points = pa.StructArray.from_arrays([pa.array(v.astype(np.float64)) for v in (x, y)], names=["x", "y"])
-    geom = pa.ListArray.from_arrays(ends(parts), pa.ListArray.from_arrays(pa.array(part_at.astype(np.int32)), points))
-    return [as_decimals(ids, known), pa.array(gtype.astype(np.int32)), pa.MapArray.from_arrays(ends(counts), texts.take(pa.array(key)), values.take(pa.array(value))), geom]
+    return pa.ListArray.from_arrays(pa.array(ends_of(parts).astype(np.int32)), pa.ListArray.from_arrays(pa.array(part_at.astype(np.int32)), points))
 
 
 def _body_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -568,11 +582,7 @@ def _encoded_pieces(features: DataFrame, order: list[str], keys: list[str], piec
     def draft(batches):
         number = TaskContext.get().partitionId() << 44
         for batch in batches:
-            new = np.ones(batch.num_rows, bool)
-            if batch.num_rows:
-                codes = [pc.fill_null(batch.column(c).dictionary_encode().indices, -1).to_numpy() for c in [*keys, "layer"]]
-                new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
-            bounds = [*np.flatnonzero(new).tolist(), batch.num_rows]
+            bounds = [*run_starts(batch, [*keys, "layer"]).tolist(), batch.num_rows]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 part = batch.slice(a, b - a)
                 made = _draft(part)
@@ -764,18 +774,162 @@ def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclud
     """
     tile = ["z", "x", "y", "layer"]
     kept = lambda rows: rows.where(F.lit(include is None) | F.col("layer").isin(include or [])).where(~F.col("layer").isin(exclude or []))
-    features = durable(kept(decode_payloads(payloads, limits)))
+    packed = odd = None
+    if piece and indexed(payloads):
+        payloads = payloads.withColumn("payload", F.col("payload").cast("int"))
+        frames, odd = _frames(payloads, ["z", "x", "y", "payload"], limits)
+        if odd is None:
+            packed, features = kept(_packed_pieces(payloads, frames, limits, scale)), kept(frames)
+    if packed is None:
+        features = durable(kept(decode_payloads(payloads, limits)))
     # the layer is the first payload's: its version and its place; numbers alone are reduced before they move
     layers = features.groupBy(*tile, "payload", "layer_at", "version").agg(F.min("extent").alias("least"), F.max("extent").alias("most"))
     layers = layers.groupBy(*tile).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min(F.struct("payload", "layer_at", "version")).alias("head"))
     differ = F.concat(F.lit("layer "), "layer", F.lit(" of tile "), F.concat_ws("/", "z", "x", "y"), F.lit(" has extents "), F.col("least").cast("string"), F.lit(" and "), F.col("most").cast("string"))
     layers = durable(layers.select(*tile, F.when(F.col("least") < F.col("most"), F.raise_error(differ).cast("int")).otherwise(F.col("least")).alias("layer_extent"), F.struct(F.col("head.payload").alias("p"), F.col("head.layer_at").alias("a")).alias("layer_place"), F.col("head.version").alias("layer_version")))
+    named = {"layer_version": "version", "layer_extent": "extent", "layer_place": "layer_at"}
+    if packed is not None:
+        placed = durable(_merged_pieces(packed, tile, partitions(payloads.sparkSession, payloads)).join(layers, tile).withColumnsRenamed(named))
+        return checked(encode_payloads(placed, ["payload", "at"], piece=piece), limits)
     far = lambda c: F.exists(F.flatten("geom"), lambda p: F.abs(p[c]) > F.col("extent") * scale)
     # features are dealt by their own key, as a tile may hold very many
     sane = with_shape(features.where(~far("x") & ~far("y"))).repartition(partitions(features.sparkSession, features), *tile, *SHAPE)
     merged = merge(sane, [*tile, *SHAPE], ["payload", "at"])
-    placed = merged.join(layers, tile).drop("version", "extent", "layer_at").withColumnsRenamed({"layer_version": "version", "layer_extent": "extent", "layer_place": "layer_at"})
-    return checked(durable(encode_payloads(durable(placed), ["payload", "at"], piece=piece)) if piece else encode_payloads(placed, ["payload", "at"]), limits)
+    placed = merged.join(layers, tile).drop("version", "extent", "layer_at").withColumnsRenamed(named)
+    return checked(encode_payloads(durable(placed), ["payload", "at"], piece=piece) if piece else encode_payloads(placed, ["payload", "at"]), limits)
+
+
+_KEY = ["key_id", "key_a", "key_b"]
+_PACKED = "z int, x int, y int, payload int, layer string, at long, fid long, gtype int, props binary, geom binary, points int, shape binary, far boolean"
+_FIRST = "z int, x int, y int, layer string, payload int, at long, fid long, gtype int, props binary, geom binary, points int"
+
+
+def _packed_pieces(pieces: DataFrame, frames: DataFrame, limits: dict[str, int] | None, scale: int) -> DataFrame:
+    """Features of payloads in indexed pieces as merging needs them: an id's 64 bits, properties and geometry as bytes;
+    shape: what a polygon, or a feature without an id, is known by (parts, points, and properties in order of key)."""
+    keys, most = ["z", "x", "y", "payload"], LIMITS | (limits or {})
+
+    def run(batches):
+        for batch in batches:
+            for row, layer, first, data, index in _body_rows(batch):
+                try:
+                    found, plain = _read_body(layer, first, data, index, most)
+                except Broken as e:
+                    *address, payload = (batch.column(c)[row].as_py() for c in keys)
+                    raise ValueError(f"payload {payload} of tile {'/'.join(map(str, address))}: {e}") from e
+                if found:
+                    ids, known, gtype, counts, key, value, shapes = found
+                    counts, key, value = _with_value(layer, counts, key, value)
+                    names, values, geom = layer["keys"], [b"" if v is None else _encoded(tuple(normal(v).values())) for v in layer["values"]], _drawn(shapes)
+                else:
+                    own_names: dict[str, int] = {}
+                    own_values: dict[bytes, int] = {}
+                    pairs = [(own_names.setdefault(k, len(own_names)), own_values.setdefault(_encoded(tuple(v.values())), len(own_values))) for f in plain for k, v in f[3].items()]
+                    key, value = np.array(pairs, np.int64).reshape(-1, 2).T
+                    ids, known = np.array([f[1] or 0 for f in plain], np.uint64), np.array([f[1] is not None for f in plain])
+                    gtype, counts = np.array([f[2] for f in plain], np.int64), np.array([len(f[3]) for f in plain], np.int64)
+                    names, values, geom = list(own_names), list(own_values), nested([f[4] for f in plain])
+                n, same = len(ids), lambda v, kind: pa.repeat(pa.scalar(v, kind), n)  # noqa: B023
+                packed = _packed_rows(names, values, ids, known, gtype, counts, key, value, geom, layer["extent"] * scale)
+                heads = [same(batch.column(c)[row].as_py(), pa.int32()) for c in keys]
+                yield pa.RecordBatch.from_arrays([*heads, same(layer["name"], pa.string()), pa.array(np.arange(first, first + n)), *packed], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+    return _bodies(pieces, frames, keys).mapInArrow(run, _PACKED)
+
+
+def _packed_rows(names: list[str], values: list[bytes], ids: np.ndarray, known: np.ndarray, gtype: np.ndarray, counts: np.ndarray, key: np.ndarray, value: np.ndarray, geom: pa.ListArray, reach: int) -> list[pa.Array]:
+    """fid, gtype, props, geom, points, shape and far of features that have at least one point each."""
+    stream, bounds, points = flat_streams(gtype, geom)
+    tables = []
+    for own in ([k.encode() for k in names], values):
+        parts = [_varint(len(v)) + v for v in own]
+        tables.append((np.frombuffer(b"".join(parts), np.uint8), ends_of(np.array([len(v) for v in parts], np.int64))))
+
+    def entries(*picked):
+        rows = [(at[:-1][k], np.diff(at)[k]) for (_, at), k in zip(tables, picked, strict=True)]
+        return woven([(data[ragged(*row)], ends_of(row[1])) for (data, _), row in zip(tables, rows, strict=True)])
+
+    tags, tag_at = entries(key, value)
+    own = (gtype == 3) | ~known
+    owner = np.repeat(np.arange(len(gtype)), counts)
+    rank = np.empty(len(names), np.int64)
+    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    of_own = own[owner]
+    order = np.lexsort((rank[key[of_own]], owner[of_own]))
+    sorted_tags, sorted_at = entries(key[of_own][order], value[of_own][order])
+    parts, lengths = (pc.list_value_length(g).to_numpy().astype(np.int64) for g in (geom, geom.flatten()))
+    as_numbers = lambda v: np.ascontiguousarray(v, np.int32).view(np.uint8).ravel()
+    size, n = np.diff(bounds), int(own.sum())
+    shape, shape_at = woven([(as_numbers(np.stack([parts[own], size[own]], axis=1)), 8 * np.arange(n + 1)), (as_numbers(lengths[ragged(ends_of(parts)[:-1][own], parts[own])]), ends_of(4 * parts[own])),
+                             (stream[ragged(bounds[:-1][own], size[own])], ends_of(size[own])), (sorted_tags, sorted_at[ends_of(counts[own])])])
+    sizes = np.zeros(len(own), np.int64)
+    sizes[own] = np.diff(shape_at)
+    flat = geom.flatten().flatten()
+    far = np.maximum(*(np.abs(flat.field(c).to_numpy()) for c in "xy"))
+    held = np.diff(ends_of(lengths)[ends_of(parts)])
+    far = np.maximum.reduceat(far, ends_of(held)[:-1]) > reach
+    fid = pa.array(ids.view(np.int64), mask=~known)
+    return [fid, pa.array(gtype.astype(np.int32)), as_binary(tags, tag_at[ends_of(counts)]), as_binary(stream, bounds), pa.array(points.astype(np.int32)), as_binary(shape, ends_of(sizes), own), pa.array(far)]
+
+
+def _merged_pieces(features: DataFrame, tile: list[str], parts: int) -> DataFrame:
+    """One of _packed_pieces() for each key, as operators.features.merge() has it: the first by payload and place; lines with
+    the parts of all. Features are dealt by a hash of their key and sorted by key and order; a task holds one key's lines."""
+    key = [*tile, "gtype", *_KEY]
+    digest = lambda *salt: F.when(F.col("shape").isNotNull(), F.xxhash64(*salt, "shape"))
+    rows = features.where("NOT far").withColumns({"key_id": F.when(F.col("shape").isNull(), F.col("fid")), "key_a": digest(), "key_b": digest(F.lit(1))}).drop("shape", "far")
+    dealt = rows.withColumn("hash", F.xxhash64(*key)).repartition(parts, "hash").sortWithinPartitions("hash", *key, "payload", "at")
+    names = [c.split()[0] for c in _FIRST.split(", ")]
+
+    def reduced(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        out = rows.take(pa.array(starts))
+        ends = np.append(starts[1:], rows.num_rows)
+        lines = np.flatnonzero((ends - starts > 1) & (out.column("gtype").to_numpy() == 2))
+        columns = {c: out.column(c) for c in names}
+        if len(lines):
+            geom, points = columns["geom"].to_pylist(), columns["points"].to_pylist()
+            for k in lines.tolist():
+                # a geometry that comes once more adds nothing
+                streams = list(dict.fromkeys(rows.column("geom").slice(starts[k], ends[k] - starts[k]).to_pylist()))
+                if len(streams) > 1:
+                    united = _united([_parts(_packed(v)) for v in streams])
+                    geom[k], points[k] = _geometry(2, united), sum(map(len, united))
+            columns |= {"geom": pa.array(geom, pa.binary()), "points": pa.array(points, pa.int32())}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    def first(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            starts = run_starts(batch, ["hash", *key])
+            held, last = batch.slice(starts[-1]), int(starts[-1])
+            if last:
+                yield reduced(batch.slice(0, last), starts[:-1])
+            if held.column("gtype")[0].as_py() != 2:
+                held = held.slice(0, 1)
+            elif held.num_rows > 1:
+                held = held.take(pa.array(np.sort(np.unique(held.column("geom").dictionary_encode().indices.to_numpy(), return_index=True)[1])))
+        if held is not None:
+            yield reduced(held, np.zeros(1, np.int64))
+
+    return dealt.mapInArrow(first, _FIRST)
+
+
+def _united(lines: list[list[list[tuple]]]) -> list[list[tuple]]:
+    """operators.features.union_parts(): the parts of the first line as they are, and further ones; one within an earlier
+    is skipped, ones within it go."""
+
+    def within(piece: list[tuple], part: list[tuple]) -> bool:
+        n, back = len(piece), piece[::-1]
+        return any(part[k : k + n] in (piece, back) for k in range(len(part) - n + 1))
+
+    have, *further = lines
+    for new in (part for line in further for part in line):
+        if not any(within(new, part) for part in have):
+            have = [*(part for part in have if not within(part, new)), new]
+    return have
 
 
 def checked(tiles: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
