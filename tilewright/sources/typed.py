@@ -420,13 +420,13 @@ def _frames(pieces: DataFrame, keys: list[str], limits: dict[str, int] | None) -
     return frames, None if odd.isEmpty() else odd
 
 
-def _bodies(pieces: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+def _bodies(pieces: DataFrame, frames: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """The pieces of features, those of one feature as one, each with its layer's frame."""
     rows = pieces.where("at IS NOT NULL")
     own = [*keys, "layer_id", "layer_at", "at"]
     sums = [F.sum(c).cast(kind).alias(c) for c, kind in (("held", "int"), ("points", "long"), ("size", "long"))]
     both = rows.where("NOT cut").select(*own, "held", "points", "size", "tile").unionByName(_glued(rows.where("cut"), own, *sums))
-    return both.join(frames.select("layer_id", "frame", F.col("size").alias("whole")), "layer_id")
+    return both.join(frames.select("layer_id", "frame", F.col("size").alias("whole"), *more), "layer_id")
 
 
 def _decoded_pieces(pieces: DataFrame, frames: DataFrame, limits: dict[str, int] | None) -> DataFrame:
@@ -574,9 +574,11 @@ def _encoded_pieces(features: DataFrame, order: list[str], keys: list[str], piec
     rows = features.withColumns({k: F.map_entries(k) for k, kind in kinds.items() if kind.startswith("map<")})
     rows = rows.repartitionByRange(partitions(spark, features), *by).sortWithinPartitions(*by, *(c for c in rows.columns if c not in by))
     # properties go to Python as texts, of which equal ones are read once; nested columns take six times as long
-    props = F.to_json(F.map_entries(made["props"])) if "props" in made else F.col("props") if kinds["props"] == "binary" else F.to_json("props")
-    own += [c for c in ("points",) if c in rows.columns]
-    rows = rows.withColumns({k: v for k, v in made.items() if k != "props"} | {"props": props})
+    if "body" in kinds:
+        own = [*own[:3], "body"]
+    else:
+        own.append("props")
+        rows = rows.withColumns({k: v for k, v in made.items() if k != "props"} | {"props": F.to_json(F.map_entries(made["props"]) if "props" in made else F.col("props"))})
     address = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
     def draft(batches):
@@ -590,7 +592,7 @@ def _encoded_pieces(features: DataFrame, order: list[str], keys: list[str], piec
                 yield pa.RecordBatch.from_arrays([*heads, pa.array([number], pa.int64()), *(pa.array([v], kind) for v, kind in zip(made, _DRAFT, strict=True))], names=[*keys, "layer", "version", "extent", "draft", "count", "names", "values", "sizes", "pairs", "front", "back"])
                 number += 1 << 24
 
-    drafts = durable(rows.select(*keys, *own, "props").mapInArrow(draft, f"{address}, layer string, version int, extent int, draft long, count int, names array<string>, values array<binary>, sizes binary, pairs binary, front binary, back binary"))
+    drafts = durable(rows.select(*keys, *own).mapInArrow(draft, f"{address}, layer string, version int, extent int, draft long, count int, names array<string>, values array<binary>, sizes binary, pairs binary, front binary, back binary"))
     met = drafts.select(*keys, "layer", "version", "extent", "draft", "count", "names", "values").repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "draft")
     united = durable(met.mapInArrow(_unite(keys), f"{address}, {_UNITED}"))
     numbers = united.where("name_map IS NOT NULL").select("draft", "layer_id", "layer_at", "at", "name_map", "value_map")
@@ -635,21 +637,21 @@ _UNITED = "draft long, layer_id long, layer_at int, at long, name_map binary, va
 def _draft(rows: pa.RecordBatch) -> tuple:
     """Features of one layer but for their tags: (how many, keys, values, bytes before and after the tags, tags and points
     of each, key and value of each tag, bytes before the tags, bytes after them)."""
-    if rows.column("gtype").null_count:
-        raise ValueError("a feature has no type")
-    gtype = rows.column("gtype").to_numpy(zero_copy_only=False)
-    if "points" in rows.schema.names:
-        (stream, bounds), points = as_bytes(rows.column("geom")), rows.column("points").to_numpy()
+    if "body" in rows.schema.names:
+        numbers, known, gtype, points, (stream, bounds), props = _opened(rows.column("body"))
     else:
+        if rows.column("gtype").null_count:
+            raise ValueError("a feature has no type")
+        gtype, props, fid = rows.column("gtype").to_numpy(zero_copy_only=False), rows.column("props"), rows.column("fid")
         stream, bounds, points = flat_streams(gtype, rows.column("geom"))
-    n, fid = len(gtype), rows.column("fid")
-    known = fid.is_valid().to_numpy(zero_copy_only=False)
-    ids, id_at = varints(low_bits(fid)[known])
+        numbers, known = low_bits(fid), fid.is_valid().to_numpy(zero_copy_only=False)
+    n = len(gtype)
+    ids, id_at = varints(numbers[known])
     id_sizes = np.zeros(n, np.int64)
     id_sizes[known] = np.diff(id_at)
     front, front_at = woven([(np.full(int(known.sum()), 8, np.uint8), ends_of(known)), (ids, ends_of(id_sizes))])
     back, back_at = woven([constant(3 << 3, n), varints(gtype.astype(np.int64).view(np.uint64)), constant(4 << 3 | 2, n), varints(np.diff(bounds).view(np.uint64)), (stream, bounds)])
-    props = rows.column("props").dictionary_encode()
+    props = props.dictionary_encode()
     names: dict[str, int] = {}
     values: dict[bytes, int] = {}
     pairs, held = [], []
@@ -779,7 +781,9 @@ def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclud
         payloads = payloads.withColumn("payload", F.col("payload").cast("int"))
         frames, odd = _frames(payloads, ["z", "x", "y", "payload"], limits)
         if odd is None:
-            packed, features = kept(_packed_pieces(payloads, frames, limits, scale)), kept(frames)
+            features = kept(frames)
+            slots = features.groupBy(*tile).agg(F.min("layer_id").alias("slot"))
+            packed = _packed_pieces(payloads, frames.join(slots, tile, "left"), limits, scale)
     if packed is None:
         features = durable(kept(decode_payloads(payloads, limits)))
     # the layer is the first payload's: its version and its place; numbers alone are reduced before they move
@@ -789,7 +793,7 @@ def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclud
     layers = durable(layers.select(*tile, F.when(F.col("least") < F.col("most"), F.raise_error(differ).cast("int")).otherwise(F.col("least")).alias("layer_extent"), F.struct(F.col("head.payload").alias("p"), F.col("head.layer_at").alias("a")).alias("layer_place"), F.col("head.version").alias("layer_version")))
     named = {"layer_version": "version", "layer_extent": "extent", "layer_place": "layer_at"}
     if packed is not None:
-        placed = durable(_merged_pieces(packed, tile, partitions(payloads.sparkSession, payloads)).join(layers, tile).withColumnsRenamed(named))
+        placed = durable(_merged_pieces(packed, partitions(payloads.sparkSession, payloads)).join(durable(layers.join(slots, tile)), "slot").drop("slot").withColumnsRenamed(named))
         return checked(encode_payloads(placed, ["payload", "at"], piece=piece), limits)
     far = lambda c: F.exists(F.flatten("geom"), lambda p: F.abs(p[c]) > F.col("extent") * scale)
     # features are dealt by their own key, as a tile may hold very many
@@ -799,24 +803,27 @@ def merge_payloads(payloads: DataFrame, include: list[str] | None = None, exclud
     return checked(encode_payloads(durable(placed), ["payload", "at"], piece=piece) if piece else encode_payloads(placed, ["payload", "at"]), limits)
 
 
-_KEY = ["key_id", "key_a", "key_b"]
-_PACKED = "z int, x int, y int, payload int, layer string, at long, fid long, gtype int, props binary, geom binary, points int, shape binary, far boolean"
-_FIRST = "z int, x int, y int, layer string, payload int, at long, fid long, gtype int, props binary, geom binary, points int"
+# A feature as it moves while payloads in pieces are merged. key: what it is known by, its type and its id or, of a polygon
+# or without an id, its parts, points, and properties in order of key. body: _HEAD, properties, geometry.
+_PACKED = "slot long, payload int, at long, key binary, body binary"
+_HEAD = np.dtype([("id", "<u8"), ("points", "<i4"), ("props", "<i4"), ("known", "u1"), ("gtype", "u1")])
 
 
 def _packed_pieces(pieces: DataFrame, frames: DataFrame, limits: dict[str, int] | None, scale: int) -> DataFrame:
-    """Features of payloads in indexed pieces as merging needs them: an id's 64 bits, properties and geometry as bytes;
-    shape: what a polygon, or a feature without an id, is known by (parts, points, and properties in order of key)."""
+    """Features of payloads in indexed pieces as rows of few columns, as each costs time on its way to Python and back.
+    slot stands for tile and layer; layers without one are read and checked, and go, as do features that are far out."""
     keys, most = ["z", "x", "y", "payload"], LIMITS | (limits or {})
 
     def run(batches):
         for batch in batches:
             for row, layer, first, data, index in _body_rows(batch):
+                *address, payload, slot = (batch.column(c)[row].as_py() for c in [*keys, "slot"])
                 try:
                     found, plain = _read_body(layer, first, data, index, most)
                 except Broken as e:
-                    *address, payload = (batch.column(c)[row].as_py() for c in keys)
                     raise ValueError(f"payload {payload} of tile {'/'.join(map(str, address))}: {e}") from e
+                if slot is None:
+                    continue
                 if found:
                     ids, known, gtype, counts, key, value, shapes = found
                     counts, key, value = _with_value(layer, counts, key, value)
@@ -829,16 +836,16 @@ def _packed_pieces(pieces: DataFrame, frames: DataFrame, limits: dict[str, int]
                     ids, known = np.array([f[1] or 0 for f in plain], np.uint64), np.array([f[1] is not None for f in plain])
                     gtype, counts = np.array([f[2] for f in plain], np.int64), np.array([len(f[3]) for f in plain], np.int64)
                     names, values, geom = list(own_names), list(own_values), nested([f[4] for f in plain])
-                n, same = len(ids), lambda v, kind: pa.repeat(pa.scalar(v, kind), n)  # noqa: B023
-                packed = _packed_rows(names, values, ids, known, gtype, counts, key, value, geom, layer["extent"] * scale)
-                heads = [same(batch.column(c)[row].as_py(), pa.int32()) for c in keys]
-                yield pa.RecordBatch.from_arrays([*heads, same(layer["name"], pa.string()), pa.array(np.arange(first, first + n)), *packed], names=[c.split()[0] for c in _PACKED.split(", ")])
+                known_by, body, far = _packed_rows(names, values, ids, known, gtype, counts, key, value, geom, layer["extent"] * scale)
+                n = len(ids)
+                out = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(slot, pa.int64()), n), pa.repeat(pa.scalar(payload, pa.int32()), n), pa.array(np.arange(first, first + n)), known_by, body], names=["slot", "payload", "at", "key", "body"])
+                yield out.filter(pa.array(~far)) if far.any() else out
 
-    return _bodies(pieces, frames, keys).mapInArrow(run, _PACKED)
+    return _bodies(pieces, frames, keys, "slot").mapInArrow(run, _PACKED)
 
 
-def _packed_rows(names: list[str], values: list[bytes], ids: np.ndarray, known: np.ndarray, gtype: np.ndarray, counts: np.ndarray, key: np.ndarray, value: np.ndarray, geom: pa.ListArray, reach: int) -> list[pa.Array]:
-    """fid, gtype, props, geom, points, shape and far of features that have at least one point each."""
+def _packed_rows(names: list[str], values: list[bytes], ids: np.ndarray, known: np.ndarray, gtype: np.ndarray, counts: np.ndarray, key: np.ndarray, value: np.ndarray, geom: pa.ListArray, reach: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """key and body of features that have at least one point each, and which have one beyond reach."""
     stream, bounds, points = flat_streams(gtype, geom)
     tables = []
     for own in ([k.encode() for k in names], values):
@@ -849,7 +856,12 @@ def _packed_rows(names: list[str], values: list[bytes], ids: np.ndarray, known:
         rows = [(at[:-1][k], np.diff(at)[k]) for (_, at), k in zip(tables, picked, strict=True)]
         return woven([(data[ragged(*row)], ends_of(row[1])) for (data, _), row in zip(tables, rows, strict=True)])
 
+    raw = lambda v: np.ascontiguousarray(v).view(np.uint8).ravel()
     tags, tag_at = entries(key, value)
+    tag_at = tag_at[ends_of(counts)]
+    head = np.zeros(len(ids), _HEAD)
+    head["id"], head["points"], head["props"], head["known"], head["gtype"] = ids, points, np.diff(tag_at), known, gtype
+    body = woven([(raw(head), _HEAD.itemsize * np.arange(len(ids) + 1)), (tags, tag_at), (stream, bounds)])
     own = (gtype == 3) | ~known
     owner = np.repeat(np.arange(len(gtype)), counts)
     rank = np.empty(len(names), np.int64)
@@ -858,44 +870,51 @@ def _packed_rows(names: list[str], values: list[bytes], ids: np.ndarray, known:
     order = np.lexsort((rank[key[of_own]], owner[of_own]))
     sorted_tags, sorted_at = entries(key[of_own][order], value[of_own][order])
     parts, lengths = (pc.list_value_length(g).to_numpy().astype(np.int64) for g in (geom, geom.flatten()))
-    as_numbers = lambda v: np.ascontiguousarray(v, np.int32).view(np.uint8).ravel()
-    size, n = np.diff(bounds), int(own.sum())
-    shape, shape_at = woven([(as_numbers(np.stack([parts[own], size[own]], axis=1)), 8 * np.arange(n + 1)), (as_numbers(lengths[ragged(ends_of(parts)[:-1][own], parts[own])]), ends_of(4 * parts[own])),
-                             (stream[ragged(bounds[:-1][own], size[own])], ends_of(size[own])), (sorted_tags, sorted_at[ends_of(counts[own])])])
-    sizes = np.zeros(len(own), np.int64)
-    sizes[own] = np.diff(shape_at)
+    size, mine = np.diff(bounds), lambda sizes: ends_of(np.where(own, sizes, 0))
+    tag_sizes = np.zeros(len(own), np.int64)
+    tag_sizes[own] = np.diff(sorted_at[ends_of(counts[own])])
+    known_by = woven([(gtype.astype(np.uint8), np.arange(len(own) + 1)), (raw(ids[~own]), ends_of(np.where(own, 0, 8))), (raw(np.stack([parts[own], size[own]], axis=1).astype(np.int32)), mine(8)),
+                      (raw(lengths[ragged(ends_of(parts)[:-1][own], parts[own])].astype(np.int32)), mine(4 * parts)), (stream[ragged(bounds[:-1][own], size[own])], mine(size)), (sorted_tags, ends_of(tag_sizes))])
     flat = geom.flatten().flatten()
     far = np.maximum(*(np.abs(flat.field(c).to_numpy()) for c in "xy"))
     held = np.diff(ends_of(lengths)[ends_of(parts)])
-    far = np.maximum.reduceat(far, ends_of(held)[:-1]) > reach
-    fid = pa.array(ids.view(np.int64), mask=~known)
-    return [fid, pa.array(gtype.astype(np.int32)), as_binary(tags, tag_at[ends_of(counts)]), as_binary(stream, bounds), pa.array(points.astype(np.int32)), as_binary(shape, ends_of(sizes), own), pa.array(far)]
+    return as_binary(*known_by), as_binary(*body), np.maximum.reduceat(far, ends_of(held)[:-1]) > reach
+
+
+def _opened(bodies: pa.Array) -> tuple:
+    """(ids, whether each has one, types, points, geometries, properties) of bodies."""
+    data, at = as_bytes(bodies)
+    head = data[at[:-1, None] + np.arange(_HEAD.itemsize)].view(_HEAD)[:, 0]
+    props, start = head["props"].astype(np.int64), at[:-1] + _HEAD.itemsize
+    size = at[1:] - start - props
+    return head["id"], head["known"] > 0, head["gtype"].astype(np.int64), head["points"].astype(np.int64), (data[ragged(start + props, size)], ends_of(size)), as_binary(data[ragged(start, props)], ends_of(props))
+
+
+def _geometry_at(body: bytes) -> int:
+    return _HEAD.itemsize + int.from_bytes(body[12:16], "little")
 
 
-def _merged_pieces(features: DataFrame, tile: list[str], parts: int) -> DataFrame:
-    """One of _packed_pieces() for each key, as operators.features.merge() has it: the first by payload and place; lines with
-    the parts of all. Features are dealt by a hash of their key and sorted by key and order; a task holds one key's lines."""
-    key = [*tile, "gtype", *_KEY]
-    digest = lambda *salt: F.when(F.col("shape").isNotNull(), F.xxhash64(*salt, "shape"))
-    rows = features.where("NOT far").withColumns({"key_id": F.when(F.col("shape").isNull(), F.col("fid")), "key_a": digest(), "key_b": digest(F.lit(1))}).drop("shape", "far")
-    dealt = rows.withColumn("hash", F.xxhash64(*key)).repartition(parts, "hash").sortWithinPartitions("hash", *key, "payload", "at")
-    names = [c.split()[0] for c in _FIRST.split(", ")]
+def _merged_pieces(features: DataFrame, parts: int) -> DataFrame:
+    """(slot, payload, at, body) of _packed_pieces(), one for each key, as operators.features.merge() has it: the first by
+    payload and place; lines with the parts of all. Features are dealt by a hash of their key and sorted by key and order;
+    a task holds one key's lines."""
+    dealt = features.withColumn("hash", F.xxhash64("slot", "key")).repartition(parts, "hash").sortWithinPartitions("hash", "slot", "key", "payload", "at")
+    names = ["slot", "payload", "at", "body"]
 
     def reduced(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        out = rows.take(pa.array(starts))
-        ends = np.append(starts[1:], rows.num_rows)
-        lines = np.flatnonzero((ends - starts > 1) & (out.column("gtype").to_numpy() == 2))
-        columns = {c: out.column(c) for c in names}
-        if len(lines):
-            geom, points = columns["geom"].to_pylist(), columns["points"].to_pylist()
-            for k in lines.tolist():
+        ends, body = np.append(starts[1:], rows.num_rows), rows.column("body")
+        out = rows.select(names).take(pa.array(starts))
+        more = [k for k in np.flatnonzero(ends - starts > 1).tolist() if body[starts[k]].as_py()[_HEAD.itemsize - 1] == 2]
+        if more:
+            first = out.column("body").to_pylist()
+            for k in more:
                 # a geometry that comes once more adds nothing
-                streams = list(dict.fromkeys(rows.column("geom").slice(starts[k], ends[k] - starts[k]).to_pylist()))
+                streams = list(dict.fromkeys(b[_geometry_at(b) :] for b in body.slice(starts[k], ends[k] - starts[k]).to_pylist()))
                 if len(streams) > 1:
-                    united = _united([_parts(_packed(v)) for v in streams])
-                    geom[k], points[k] = _geometry(2, united), sum(map(len, united))
-            columns |= {"geom": pa.array(geom, pa.binary()), "points": pa.array(points, pa.int32())}
-        return pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+                    united, own = _united([_parts(_packed(v)) for v in streams]), first[k]
+                    first[k] = own[:8] + sum(map(len, united)).to_bytes(4, "little") + own[12 : _geometry_at(own)] + _geometry(2, united)
+            out = out.set_column(3, "body", pa.array(first, pa.binary()))
+        return out
 
     def first(batches):
         held = None
@@ -903,18 +922,21 @@ def _merged_pieces(features: DataFrame, tile: list[str], parts: int) -> DataFram
             if not batch.num_rows:
                 continue
             batch = batch if held is None else pa.concat_batches([held, batch])
-            starts = run_starts(batch, ["hash", *key])
+            starts = run_starts(batch, ["hash", "slot", "key"])
             held, last = batch.slice(starts[-1]), int(starts[-1])
             if last:
                 yield reduced(batch.slice(0, last), starts[:-1])
-            if held.column("gtype")[0].as_py() != 2:
-                held = held.slice(0, 1)
-            elif held.num_rows > 1:
-                held = held.take(pa.array(np.sort(np.unique(held.column("geom").dictionary_encode().indices.to_numpy(), return_index=True)[1])))
+            if held.num_rows > 1:
+                bodies = held.column("body").to_pylist()
+                line = bodies[0][_HEAD.itemsize - 1] == 2
+                kept: dict[bytes, int] = {}
+                for k, b in enumerate(bodies if line else bodies[:1]):
+                    kept.setdefault(b[_geometry_at(b) :], k)
+                held = held.take(pa.array(list(kept.values())))
         if held is not None:
             yield reduced(held, np.zeros(1, np.int64))
 
-    return dealt.mapInArrow(first, _FIRST)
+    return dealt.mapInArrow(first, "slot long, payload int, at long, body binary")
 
 
 def _united(lines: list[list[list[tuple]]]) -> list[list[tuple]]:
