@@ -902,14 +902,14 @@ def _merged_pieces(features: DataFrame, parts: int) -> DataFrame:
     names = ["slot", "payload", "at", "body"]
 
     def reduced(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        ends, body = np.append(starts[1:], rows.num_rows), rows.column("body")
+        begin, end, body = starts.tolist(), [*starts[1:].tolist(), rows.num_rows], rows.column("body").to_pylist()
         out = rows.select(names).take(pa.array(starts))
-        more = [k for k in np.flatnonzero(ends - starts > 1).tolist() if body[starts[k]].as_py()[_HEAD.itemsize - 1] == 2]
+        more = [k for k, (a, b) in enumerate(zip(begin, end, strict=True)) if b - a > 1 and body[a][_HEAD.itemsize - 1] == 2]
         if more:
-            first = out.column("body").to_pylist()
+            first = [body[a] for a in begin]
             for k in more:
                 # a geometry that comes once more adds nothing
-                streams = list(dict.fromkeys(b[_geometry_at(b) :] for b in body.slice(starts[k], ends[k] - starts[k]).to_pylist()))
+                streams = list(dict.fromkeys([b[_geometry_at(b) :] for b in body[begin[k] : end[k]]]))
                 if len(streams) > 1:
                     united, own = _united([_parts(_packed(v)) for v in streams]), first[k]
                     first[k] = own[:8] + sum(map(len, united)).to_bytes(4, "little") + own[12 : _geometry_at(own)] + _geometry(2, united)
